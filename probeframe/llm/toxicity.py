@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +28,8 @@ PASSAGE, BUCKETS, DIM, GRAMS = 16, 1 << 17, 8, (3, 4, 5)
 #: Training texts that a bucket must occur in; one of fewer says nothing.
 LEAST_TEXTS = 4
 #: Bounds of the training sample: rows of each label, and characters of a text that trains (all texts are scored).
-TRAIN_ROWS, TRAIN_CHARS = 1500, 8_000
-EPOCHS, BATCH, RATE = 10, 32, 20.0
+TRAIN_ROWS, TRAIN_CHARS = 1500, 4_000
+EPOCHS, BATCH, RATE = 12, 32, 20.0
 
 
 def subwords(word: str) -> list[int]:
@@ -80,28 +81,32 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     """
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    occurrences, owner, passages = [], [], []
+    flat, sizes, owner, grams, gram_n = array("i"), array("i"), array("i"), array("i"), array("i")
     for t, text in enumerate(texts):
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in bag_words(text)]
-        for a in range(0, len(ids), PASSAGE):
-            occurrences.append(ids[a : a + PASSAGE])
+        words = bag_words(text)
+        for w in words:
+            if w not in vocabulary:
+                vocabulary[w] = len(vocabulary)
+                found = subwords(w)
+                grams.extend(found)
+                gram_n.append(len(found))
+        flat.extend(vocabulary[w] for w in words)
+        for a in range(0, len(words), PASSAGE):
+            sizes.append(min(PASSAGE, len(words) - a))
             owner.append(t)
     embeddings = np.zeros((BUCKETS + 1, DIM), np.float32)  # a bucket that training doesn't move says nothing
     softmax, bias = rng.normal(0, 0.5, (2, DIM)).astype(np.float32), np.array([1.5, -1.5], np.float32)
-    if not occurrences or not vocabulary:
+    if not texts:
         return Model(embeddings, softmax, bias)
-    grams = [subwords(w) for w in vocabulary]
-    gram_n = np.array([len(g) for g in grams])
-    gram = np.concatenate([np.array(g) for g in grams])
-    used, gram = np.unique(gram, return_inverse=True)  # only buckets that occur are trained
-    lengths = np.array([len(o) for o in occurrences])
-    word = np.concatenate([np.array(o, np.int64) for o in occurrences])
-    owner, label = np.array(owner), np.array(labels)
+    word, lengths, owner, gram_n = (np.array(x, np.int32) for x in (flat, sizes, owner, gram_n))
+    used, gram = np.unique(np.array(grams, np.int32), return_inverse=True)  # only buckets that occur are trained
+    gram, label = gram.astype(np.int32), np.array(labels)
     # a bucket that only a few texts have would learn those texts by heart: it stays at zero
-    in_text = np.unique(np.repeat(owner, lengths) * len(grams) + word)
-    pairs = np.unique((in_text // len(grams)).repeat(gram_n[in_text % len(grams)]) * len(used) + gram[_ranges(gram_n, in_text % len(grams))])
-    common = np.bincount(pairs % len(used), minlength=len(used)) >= LEAST_TEXTS
-    common &= used < BUCKETS
+    seen, at = np.zeros(len(used), np.int32), 0
+    for n in np.bincount(owner, lengths, minlength=len(texts)).astype(np.int64):
+        seen[np.unique(gram[_ranges(gram_n, np.unique(word[at : at + n]))])] += 1
+        at += n
+    common = (seen >= LEAST_TEXTS) & (used < BUCKETS)
     table = np.zeros((len(used), DIM), np.float32)
     n_passages = np.bincount(owner, minlength=len(texts))
     share = np.where(label == 1, 0.5 / max(1, (label == 1).mean() * len(label)), 0.5 / max(1, (label == 0).mean() * len(label))) * len(label)
