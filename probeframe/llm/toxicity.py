@@ -1,10 +1,10 @@
 """Toxicity by subword-bag embeddings and a linear softmax (operator 6).
 
 A word's vector is the mean of the embeddings of its character n-grams and of
-the word itself (hashed to buckets); a passage's is the mean of its words', and
-a linear softmax over it gives the probability.  Embeddings and softmax are
-trained jointly in numpy.  A text is as toxic as its worst passage: a few words
-among thousands would vanish in one mean.
+the word itself (hashed to buckets); a linear softmax over it gives the
+probability.  Embeddings and softmax are trained jointly in numpy.  Only texts
+are labelled, so a text is as toxic as its worst word: a few words among
+thousands would vanish in one mean.
 """
 
 from __future__ import annotations
@@ -23,67 +23,52 @@ from pyspark.sql import functions as F
 from probeframe.llm._shared import materialize, small_batches
 
 WORDS = re.compile(r"\w+")
-#: Words of a passage; buckets and size of the embeddings; lengths of the n-grams.
-PASSAGE, BUCKETS, DIM, GRAMS = 16, 1 << 17, 8, (3, 4, 5)
+#: Buckets and size of the embeddings; lengths of the n-grams; letters after which a word goes on as another.
+BUCKETS, DIM, GRAMS, WORD_LETTERS = 1 << 17, 8, (3, 4, 5), 40
 #: Training texts that a bucket must occur in; one of fewer says nothing.
-LEAST_TEXTS = 4
+LEAST_TEXTS = 3
 #: Bounds of the training sample: rows of each label, and characters of a text that trains (all texts are scored).
 TRAIN_ROWS, TRAIN_CHARS = 1500, 4_000
-EPOCHS, BATCH, RATE = 12, 32, 20.0
+#: Passes over the sample, step, ridge, softness of a text's maximum while it trains, weight of a toxic text.
+EPOCHS, RATE, RIDGE, SOFTNESS, TOXIC_WEIGHT = 60, 0.3, 1e-5, 0.2, 2.0
 
 
 def subwords(word: str) -> list[int]:
     """Buckets of a word: itself and its n-grams, with marks at both ends."""
-    if not word:
-        return [BUCKETS]  # the empty word: a bucket that stays at zero
     marked = f"<{word}>"
     found = {marked} | {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(found)]
+    return sorted({zlib.crc32(g.encode()) % BUCKETS for g in found})
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words; a run of over 40 letters counts by pieces of 40, so that a word's cost is bounded."""
-    words = WORDS.findall(text.lower())
-    if any(len(w) > 40 for w in words):
-        words = [w[i : i + 40] for w in words for i in range(0, len(w), 40)]
-    return words
-
-
-def bag_words(text: str) -> list[str]:
-    """The words as they are averaged: a word that stood among the :data:`PASSAGE` before it counts as the
-    empty word, and so do the places that a last passage lacks."""
-    last: dict[str, int] = {}
-    words = []
-    for i, w in enumerate(words_of(text)):
-        words.append("" if i - last.get(w, -PASSAGE - 1) <= PASSAGE else w)
-        last[w] = i
-    return words + [""] * (-len(words) % PASSAGE or PASSAGE * (not words))
+def words_of(text: str) -> set[str]:
+    """The distinct lower-case words; a longer run than :data:`WORD_LETTERS` counts by pieces, so that a word's cost is bounded."""
+    words = set(WORDS.findall(text.lower()))
+    long = {w for w in words if len(w) > WORD_LETTERS}
+    return words - long | {w[i : i + WORD_LETTERS] for w in long for i in range(0, len(w), WORD_LETTERS)}
 
 
 @dataclass
 class Model:
     embeddings: np.ndarray
     softmax: np.ndarray
-    bias: np.ndarray
+    bias: float
 
     def folded(self) -> tuple[np.ndarray, float]:
         """Each bucket's share of the log-odds: the softmax applied to its embedding."""
-        return (self.embeddings @ (self.softmax[1] - self.softmax[0])).astype(np.float32), float(self.bias[1] - self.bias[0])
+        return (self.embeddings @ (self.softmax[1] - self.softmax[0])).astype(np.float32), float(self.bias)
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 11) -> Model:
-    """Fits on whole texts of known label.
+    """Fits on texts of known label, all at once in each pass.
 
-    Of a toxic text its passage with the highest score at the time counts as
-    toxic; of a clean one that passage and a random one count as clean.  Steps
-    are plain gradients, so what many texts share moves most.  Without texts of
-    both labels the model scores 0.5 or the one label's side.
+    A text's log-odds are the soft maximum of its words'; adaptive steps move
+    the embeddings, plain small ones the softmax.  Without texts the model
+    scores all alike, with one label it leans to that label.
     """
-    rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    flat, sizes, owner, grams, gram_n = array("i"), array("i"), array("i"), array("i"), array("i")
-    for t, text in enumerate(texts):
-        words = bag_words(text)
+    flat, sizes, grams, gram_n = array("i"), array("i"), array("i"), array("i")
+    for text in texts:
+        words = sorted(words_of(text)) or [""]
         for w in words:
             if w not in vocabulary:
                 vocabulary[w] = len(vocabulary)
@@ -91,68 +76,45 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
                 grams.extend(found)
                 gram_n.append(len(found))
         flat.extend(vocabulary[w] for w in words)
-        for a in range(0, len(words), PASSAGE):
-            sizes.append(min(PASSAGE, len(words) - a))
-            owner.append(t)
-    embeddings = np.zeros((BUCKETS + 1, DIM), np.float32)  # a bucket that training doesn't move says nothing
-    softmax, bias = rng.normal(0, 0.5, (2, DIM)).astype(np.float32), np.array([1.5, -1.5], np.float32)
+        sizes.append(len(words))
+    embeddings = np.zeros((BUCKETS, DIM))  # a bucket that training doesn't move says nothing
+    softmax, bias = np.random.default_rng(seed).normal(0, 0.5, (2, DIM)), -2.0
     if not texts:
         return Model(embeddings, softmax, bias)
-    word, lengths, owner, gram_n = (np.array(x, np.int32) for x in (flat, sizes, owner, gram_n))
-    used, gram = np.unique(np.array(grams, np.int32), return_inverse=True)  # only buckets that occur are trained
-    gram, label = gram.astype(np.int32), np.array(labels)
+    word, n, gram, gram_n = (np.array(x, np.int32) for x in (flat, sizes, grams, gram_n))
+    label = np.array(labels, float)
+    owner = np.repeat(np.arange(len(n)), n)
+    word_at, gram_at = np.cumsum(n) - n, np.cumsum(gram_n) - gram_n
     # a bucket that only a few texts have would learn those texts by heart: it stays at zero
-    seen, at = np.zeros(len(used), np.int32), 0
-    for n in np.bincount(owner, lengths, minlength=len(texts)).astype(np.int64):
-        seen[np.unique(gram[_ranges(gram_n, np.unique(word[at : at + n]))])] += 1
-        at += n
-    common = (seen >= LEAST_TEXTS) & (used < BUCKETS)
-    table = np.zeros((len(used), DIM), np.float32)
-    n_passages = np.bincount(owner, minlength=len(texts))
-    share = np.where(label == 1, 0.5 / max(1, (label == 1).mean() * len(label)), 0.5 / max(1, (label == 0).mean() * len(label))) * len(label)
-    steps = epochs * -(-len(texts) // BATCH)
-    done = 0
+    seen = np.zeros(BUCKETS, np.int32)
+    for t in range(len(texts)):
+        seen[np.unique(gram[_ranges(gram_n, word[word_at[t] : word_at[t] + n[t]])])] += 1
+    rare = seen < LEAST_TEXTS
+    weight = np.where(label == 1, TOXIC_WEIGHT, 1.0)
+    squares = np.full(BUCKETS, 1e-6)
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for a in range(0, len(order), BATCH):
-            rate = RATE * (1 - done / steps)
-            done += 1
-            rows = order[a : a + BATCH]
-            passages = _ranges(n_passages, rows)
-            n = lengths[passages]
-            shown, where = np.unique(word[_ranges(lengths, passages)], return_inverse=True)
-            vectors = _sums(table[gram[_ranges(gram_n, shown)]], gram_n[shown]) / gram_n[shown][:, None]
-            means = _sums(vectors[where], n) / np.maximum(n, 1)[:, None]
-            p = _positive(means @ softmax.T + bias)
-            # of each text its worst passage learns, and of a clean one another passage
-            at = np.repeat(np.arange(len(rows)), n_passages[rows])
-            best = np.lexsort((-p, at))[np.cumsum(n_passages[rows]) - n_passages[rows]]
-            other = np.cumsum(n_passages[rows]) - n_passages[rows] + (rng.random(len(rows)) * n_passages[rows]).astype(np.int64)
-            chosen = np.concatenate([best, other[label[rows] == 0]])
-            chosen = chosen[n[chosen] > 0]
-            error = (p[chosen] - label[rows[at[chosen]]]) * share[rows[at[chosen]]]
-            both = np.stack([-error, error], 1).astype(np.float32)
-            d_means = both @ softmax / n[chosen][:, None]
-            softmax -= 0.01 * rate / RATE * both.T @ means[chosen]
-            bias -= 0.01 * rate / RATE * both.sum(0)
-            words = word[_ranges(lengths, passages[chosen])]
-            d_words = (np.repeat(d_means, n[chosen], 0) / gram_n[words][:, None]).astype(np.float32)
-            cols = gram[_ranges(gram_n, words)]
-            keep = common[cols]
-            np.subtract.at(table, cols[keep], (rate * np.repeat(d_words, gram_n[words], 0))[keep])
-    embeddings[used] = table
-    return Model(embeddings, softmax, bias)
-
-
-def _positive(logits: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -60, 60)))
-
-
-def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of consecutive groups of rows; an empty group's is zero."""
-    ends = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, 0, dtype=np.float64)])
-    stops = np.cumsum(sizes)
-    return ends[stops] - ends[stops - sizes]
+        towards = softmax[1] - softmax[0]
+        folded = embeddings @ towards
+        odds = np.add.reduceat(folded[gram], gram_at)[word] / gram_n[word] / SOFTNESS
+        most = np.maximum.reduceat(odds, word_at)
+        shares = np.exp(odds - most[owner])
+        total = np.add.reduceat(shares, word_at)
+        error = (_sigmoid((most + np.log(total)) * SOFTNESS + bias) - label) * weight
+        by_word = np.bincount(word, shares / total[owner] * error[owner], minlength=len(gram_n)) / gram_n
+        slope = np.bincount(gram, np.repeat(by_word, gram_n), minlength=BUCKETS)
+        slope[rare] = 0
+        slope += RIDGE * len(texts) * folded
+        turn = slope @ embeddings
+        turn *= 0.0005 / np.sqrt(1 + turn @ turn)
+        squares += slope**2
+        embeddings -= RATE * (slope / np.sqrt(squares))[:, None] * towards
+        softmax += np.stack([turn, -turn])
+        bias -= 0.02 * error.sum() / np.sqrt(weight.sum())
+    return Model(embeddings.astype(np.float32), softmax.astype(np.float32), float(bias))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
 def _ranges(sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -183,28 +145,25 @@ def held_out(doc_id) -> F.Column:
 
 
 class Scorer:
-    """Scores texts; a word's share of the log-odds is kept, as one word occurs in many passages."""
+    """Scores texts; a word's log-odds are kept, as one word occurs in many texts."""
 
     MOST = 1_000_000
 
     def __init__(self, folded: np.ndarray, bias: float) -> None:
-        self.folded, self.bias, self.kept = folded, bias, {}
+        self.folded, self.bias, self.kept = folded.tolist(), bias, {}
 
     def of_word(self, word: str) -> float:
         if (found := self.kept.get(word)) is None:
             if len(self.kept) > self.MOST:
                 self.kept.clear()
-            found = self.kept[word] = float(self.folded[subwords(word)].mean())
+            at = subwords(word)
+            found = self.kept[word] = sum(map(self.folded.__getitem__, at)) / len(at)
         return found
 
     def score(self, text: str) -> float:
-        """The highest probability of any passage; passages overlap by half."""
-        words = bag_words(text)
-        n = len(words)
-        sums = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.of_word, words), float, n))])
-        starts = np.arange(0, n - PASSAGE + 1, PASSAGE // 2)
-        logit = float((sums[starts + PASSAGE] - sums[starts]).max()) / PASSAGE + self.bias
-        return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
+        """The highest probability of any word; the bias alone for a text without words."""
+        logit = max(map(self.of_word, words_of(text)), default=0.0) + self.bias
+        return float(_sigmoid(np.float64(logit)))
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
@@ -215,8 +174,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``: the probability that a text is toxic, over the whole text.
 
-    A null text is an empty one, a passage of empty words.  The model (one
-    number a bucket, half a megabyte) goes to the tasks; a column named
+    A null text is an empty one.  The model (one number a bucket, half a
+    megabyte) goes to the tasks; a column named
     ``score`` in ``docs`` is replaced.
     """
     small_batches(docs.sparkSession)
