@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from probeframe.functions.answers import digit_class, number_or_ratio, stated_answer, to_number
+from probeframe.functions.text import let
 
 STEP = r"<<([^>]+?)=([^>]+?)>>"
 TOKEN = r"\d+(?:\.\d+)?|[+\-*/()%]"
@@ -66,30 +67,41 @@ def build(solution: Column, strict: bool = False) -> Column:
     an operator are passed over; with ``strict``, so are steps whose result is
     no number.
     """
-    found = F.transform(steps(solution), lambda s: F.struct(dominant_op(s["expr"], strict).alias("op"), numbers(s["expr"]).alias("args"), (to_number(F.translate(s["result"], ",$€", "")) if strict else number_or_ratio(s["result"])).alias("result")))
+    read = lambda s: F.struct(
+        dominant_op(s["expr"], strict).alias("op"), numbers(s["expr"]).alias("args"),
+        (to_number(F.translate(s["result"], ",$€", "")) if strict else number_or_ratio(s["result"])).alias("result"),
+    )
+    found = F.transform(steps(solution), read)
     if strict:
         found = F.filter(found, lambda s: s["result"].isNotNull())
-    leaves = F.transform(F.array_distinct(F.flatten(F.transform(found, lambda s: s["args"]))), lambda v: _node(F.lit("assign"), F.array().cast("array<int>"), v))
 
     def add(nodes: Column, s: Column) -> Column:
-        values = F.reverse(F.transform(nodes, lambda n: n["value"]))
-        refs = F.transform(s["args"], lambda v: (F.size(nodes) - F.array_position(values, v)).cast("int"))
+        refs = let(F.reverse(F.transform(nodes, lambda n: n["value"])), lambda values: F.transform(s["args"], lambda v: (F.size(values) - F.array_position(values, v)).cast("int")))
         return F.when(s["op"].isNull(), nodes).otherwise(F.concat(nodes, F.array(_node(s["op"], refs, s["result"]))))
 
-    full = F.aggregate(found, leaves.cast(NODES), lambda nodes, s: add(nodes, s).cast(NODES))
-    return F.when(F.size(steps(solution)) > 0, _merged(full))
+    def full(found: Column) -> Column:
+        leaves = F.transform(F.array_distinct(F.flatten(F.transform(found, lambda s: s["args"]))), lambda v: _node(F.lit("assign"), F.array().cast("array<int>"), v))
+        return F.aggregate(found, leaves.cast(NODES), lambda nodes, s: add(nodes, s).cast(NODES))
+
+    return F.when(F.size(steps(solution)) > 0, let(let(found, full), _merged))
 
 
 def _merged(nodes: Column) -> Column:
     """Without the leaves that a step computes, references moved to the first such step, and places counted anew."""
     computed = F.transform(nodes, lambda n: F.when(n["op"] != "assign", n["value"]))
-    goes = lambda n: (n["op"] == "assign") & F.coalesce(F.array_contains(F.filter(computed, lambda v: v.isNotNull()), n["value"]), F.lit(False))
-    at = lambda r: F.element_at(nodes, r + 1)
-    target = lambda r: F.when(goes(at(r)), (F.array_position(computed, at(r)["value"]) - 1).cast("int")).otherwise(r)
-    gone = F.filter(F.transform(nodes, lambda n, i: F.when(goes(n), i)), lambda i: i.isNotNull())
-    moved = lambda r: target(r) - F.size(F.filter(gone, lambda g: g < target(r)))
-    kept = F.filter(nodes, lambda n: ~goes(n))
-    return F.transform(kept, lambda n: F.struct(n["op"].alias("op"), F.transform(n["refs"], moved).cast("array<int>").alias("refs"), n["value"].alias("value"), n["dc"].alias("dc")))
+
+    def with_targets(computed: Column) -> Column:
+        """Of each node, the place of the step that takes its place: its own for a node that stays."""
+        place = lambda n, i: F.when((n["op"] == "assign") & (F.coalesce(F.array_position(computed, n["value"]), F.lit(0)) > 0), F.array_position(computed, n["value"]) - 1).otherwise(i)
+        return let(F.transform(nodes, lambda n, i: place(n, i).cast("int")), moved)
+
+    def moved(target: Column) -> Column:
+        gone = F.filter(F.transform(target, lambda t, i: F.when(t != i, i)), lambda i: i.isNotNull())
+        ref = lambda gone, r: let(F.try_element_at(target, r + 1), lambda t: t - F.size(F.filter(gone, lambda g: g < t)))
+        node = lambda gone, n: F.struct(n["op"].alias("op"), F.transform(n["refs"], lambda r: ref(gone, r)).cast("array<int>").alias("refs"), n["value"].alias("value"), n["dc"].alias("dc"))
+        return let(gone, lambda gone: F.transform(F.filter(nodes, lambda n, i: F.element_at(target, i + 1) == i), lambda n: node(gone, n)))
+
+    return let(computed, with_targets)
 
 
 def forward_refs(nodes: Column) -> Column:
@@ -115,8 +127,8 @@ def values(nodes: Column, lenient: bool = True) -> Column:
     """``array<double>``: every node's value by forward execution; a reference ahead makes a null."""
 
     def step(done: Column, n: Column) -> Column:
-        args = F.transform(n["refs"], lambda r: F.try_element_at(done, r + 1))
-        return F.concat(done, F.array(F.when(n["op"] == "assign", n["value"]).otherwise(operate(n["op"], args, lenient))))
+        made = let(F.transform(n["refs"], lambda r: F.try_element_at(done, r + 1)), lambda args: operate(n["op"], args, lenient))
+        return F.concat(done, F.array(F.when(n["op"] == "assign", n["value"]).otherwise(made)))
 
     return F.aggregate(nodes, F.array().cast("array<double>"), lambda done, n: step(done, n).cast("array<double>"))
 
@@ -128,9 +140,13 @@ def execute(nodes: Column, lenient: bool = True) -> Column:
 
 def checked(nodes: Column) -> Column:
     """``struct<answer, ok>``: ok if every computed value is whole, not negative and 1e8 at most."""
-    computed = F.filter(F.arrays_zip(F.transform(nodes, lambda n: n["op"]).alias("op"), values(nodes, False).alias("v")), lambda x: x["op"] != "assign")
-    fine = F.forall(computed, lambda x: F.coalesce((x["v"] == F.floor(x["v"])) & (x["v"] >= 0) & (F.abs(x["v"]) <= 1e8), F.lit(False)))
-    return F.struct(execute(nodes, False).alias("answer"), F.coalesce(fine, F.lit(False)).alias("ok"))
+
+    def judged(done: Column) -> Column:
+        computed = F.filter(F.zip_with(nodes, done, lambda n, v: F.struct(n["op"].alias("op"), v.alias("v"))), lambda x: x["op"] != "assign")
+        fine = F.forall(computed, lambda x: F.coalesce((x["v"] == F.floor(x["v"])) & (x["v"] >= 0) & (F.abs(x["v"]) <= 1e8), F.lit(False)))
+        return F.struct(F.try_element_at(done, F.lit(-1)).alias("answer"), F.coalesce(fine, F.lit(False)).alias("ok"))
+
+    return let(values(nodes, False), judged)
 
 
 def parse(solution: Column, strict: bool = False) -> Column:
@@ -139,15 +155,17 @@ def parse(solution: Column, strict: bool = False) -> Column:
     Strict graphs need two nodes, no reference ahead and a relative error under
     1%; script graphs an absolute error of .01 at most.
     """
-    nodes, answer = build(solution, strict), stated_answer(solution)
-    got = execute(nodes, not strict)
-    close = F.abs(got - answer) / F.greatest(F.abs(answer), F.lit(1e-300)) < 0.01 if strict else F.abs(got - answer) <= 0.01
-    close = F.when(answer == 0, F.abs(got) < 0.01).otherwise(close) if strict else close
-    error = (
-        F.when(answer.isNull(), "no answer").when(nodes.isNull(), "no steps").when(F.size(nodes) < 2, "too few nodes")
-        .when(forward_refs(nodes), "forward reference").when(~F.coalesce(close, F.lit(False)), "answer differs")
-    )
-    return F.struct(nodes.alias("nodes"), answer.alias("answer"), error.isNull().alias("accepted"), error.alias("error"))
+
+    def judged(nodes: Column, answer: Column, got: Column) -> Column:
+        close = F.abs(got - answer) / F.greatest(F.abs(answer), F.lit(1e-300)) < 0.01 if strict else F.abs(got - answer) <= 0.01
+        close = F.when(answer == 0, F.abs(got) < 0.01).otherwise(close) if strict else close
+        error = (
+            F.when(answer.isNull(), "no answer").when(nodes.isNull(), "no steps").when(F.size(nodes) < 2, "too few nodes")
+            .when(forward_refs(nodes), "forward reference").when(~F.coalesce(close, F.lit(False)), "answer differs")
+        )
+        return let(error, lambda error: F.struct(nodes.alias("nodes"), answer.alias("answer"), error.isNull().alias("accepted"), error.alias("error")))
+
+    return let(build(solution, strict), lambda nodes: let(stated_answer(solution), lambda answer: let(execute(nodes, not strict), lambda got: judged(nodes, answer, got))))
 
 
 def depth(nodes: Column) -> Column:
@@ -204,12 +222,15 @@ def fingerprint_core(nodes: Column) -> Column:
 
 def violations(nodes: Column) -> Column:
     """What makes a graph unfit: ``array<string>``, empty for a sound one."""
-    out_of = F.exists(nodes, lambda n: F.exists(n["refs"], lambda r: (r < 0) | (r >= F.size(nodes))))
-    found = F.array(
-        F.when(F.size(nodes) < 2, "too few nodes"), F.when(F.exists(nodes, lambda n: (n["op"] == "assign") & (F.size(n["refs"]) > 0)), "assign with operands"),
-        F.when(F.exists(nodes, lambda n: ~n["op"].isin(*EXECUTABLE)), "unknown operation"), F.when(out_of, "missing operand"), F.when(~out_of & forward_refs(nodes), "forward reference"),
-    )
-    return F.array_compact(found)
+
+    def broken(nodes: Column) -> Column:
+        out_of = F.exists(nodes, lambda n: F.exists(n["refs"], lambda r: (r < 0) | (r >= F.size(nodes))))
+        return F.array(
+            F.when(F.size(nodes) < 2, "too few nodes"), F.when(F.exists(nodes, lambda n: (n["op"] == "assign") & (F.size(n["refs"]) > 0)), "assign with operands"),
+            F.when(F.exists(nodes, lambda n: ~n["op"].isin(*EXECUTABLE)), "unknown operation"), F.when(out_of, "missing operand"), F.when(~out_of & forward_refs(nodes), "forward reference"),
+        )
+
+    return F.array_compact(let(nodes, broken))
 
 
 def isomorphism_checks(first: Column, second: Column, text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Letters of names and words.
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 WORD = f"[{LETTER}][{LETTER}'’-]*"
 #: Capitalised words that aren't names.
@@ -16,6 +17,11 @@ NUMBER_WORDS = "One Two Three Four Five Six Seven Eight Nine Ten Eleven Twelve T
 KNOWN_CONSTANTS = [0, 1, 2, 3, 4, 7, 10, 12, 16, 24, 52, 60, 100, 365, 1000]
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def audit_numbers(text: Column) -> Column:
     """Numbers with an optional sign, as doubles."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"-?\d+\.?\d*"), F.lit(0)), lambda t: t.try_cast("double"))
@@ -62,15 +68,15 @@ def proper_nouns(text: Column) -> Column:
     again after that place or was met before.  The text is split where a word starts, so a word's place
     is the length of what stands before.
     """
-    pieces = F.split(text, f"(?<![{LETTER}'’-])(?=[{LETTER}])")
     strip = lambda w: F.regexp_replace(w, "^['’]+|['’]+$", "")
-    placed = F.transform(
+    place = lambda pieces: F.transform(
         pieces,
         lambda p, i: F.struct(
             strip(F.regexp_extract(p, f"^({WORD})", 1)).alias("word"), F.array_join(F.slice(pieces, 1, i), "").alias("before"),
             F.concat(F.regexp_replace(p, f"^{WORD}", ""), F.array_join(F.slice(pieces, i + 2, F.size(pieces)), "")).alias("after"),
         ),
     )
+    placed = let(F.split(text, f"(?<![{LETTER}'’-])(?=[{LETTER}])"), place)
     shaped = F.filter(placed, lambda x: (F.length(x["word"]) >= 3) & x["word"].rlike("^[A-ZÀ-ÖØ-Þ]") & ~x["word"].isin(*COMMON, *NUMBER_WORDS))
 
     def add(seen: Column, x: Column) -> Column:
@@ -97,8 +103,7 @@ def suffix_artifact(original: Column, candidate: Column) -> Column:
 def conversion_values(text: Column) -> Column:
     """Known constants that stand in a conversion's context: a phrase within 20 characters after, or one of two before."""
     phrases = "per hour|per minute|per day|per week|per month|per year|percent|%|minutes in|hours in|days in|out of|in a dozen|in a foot|in a pound|in a kilogram|in a meter"
-    pieces = F.split(text, r"(?=\b\d+(?:\.\d+)?\b)(?<![\d.])")
-    placed = F.transform(
+    place = lambda pieces: F.transform(
         pieces,
         lambda p, i: F.struct(
             F.regexp_extract(p, rf"^({'[0-9]+(?:[.][0-9]+)?'})", 1).alias("number"),
@@ -106,6 +111,7 @@ def conversion_values(text: Column) -> Column:
             F.lower(F.substring(F.concat(F.regexp_replace(p, r"^[0-9]+(?:[.][0-9]+)?", ""), F.array_join(F.slice(pieces, i + 2, F.size(pieces)), "")), 1, 20)).alias("after"),
         ),
     )
+    placed = let(F.split(text, r"(?=\b\d+(?:\.\d+)?\b)(?<![\d.])"), place)
     hit = F.filter(placed, lambda x: (x["number"] != "") & (x["after"].rlike(phrases) | x["before"].rlike("every |each ")) & x["number"].try_cast("double").cast("bigint").isin(*KNOWN_CONSTANTS))
     return F.array_distinct(F.transform(hit, lambda x: x["number"].try_cast("double")))
 
@@ -116,17 +122,16 @@ def replace_numbers(text: Column, changes: Column) -> Column:
     ``changes`` is ``array<struct<old string, new string>>``.  The text is cut at
     its numbers, so a new number is never replaced again.
     """
-    pieces = F.split(text, r"(?=\b\d+(?:\.\d+)?\b)(?<![\d.])")
     number = lambda p: F.regexp_extract(p, r"^([0-9]+(?:\.[0-9]+)?)\b", 1)
-    shown = F.transform(pieces, number)
 
-    def swap(p: Column, i: Column) -> Column:
-        old = number(p)
+    def swap(shown: Column, p: Column, i: Column) -> Column:
+        old = F.element_at(shown, i + 1)
         nth = F.size(F.filter(F.slice(shown, 1, i + 1), lambda s: s == old))
         new = F.try_element_at(F.transform(F.filter(changes, lambda c: c["old"] == old), lambda c: c["new"]), nth)
-        return F.when((old != "") & new.isNotNull(), F.concat(new, F.substring(p, F.length(old) + 1, F.length(p)))).otherwise(p)
+        return let(new, lambda new: F.when((old != "") & new.isNotNull(), F.concat(new, F.substring(p, F.length(old) + 1, F.length(p)))).otherwise(p))
 
-    return F.array_join(F.transform(pieces, swap), "")
+    joined = lambda pieces: let(F.transform(pieces, number), lambda shown: F.array_join(F.transform(pieces, lambda p, i: swap(shown, p, i)), ""))
+    return let(F.split(text, r"(?=\b\d+(?:\.\d+)?\b)(?<![\d.])"), joined)
 
 
 def surface_hash(text: Column) -> Column:

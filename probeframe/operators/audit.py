@@ -38,8 +38,8 @@ def consensus(answers: DataFrame, key: str = "variant") -> DataFrame:
 
 def conflated(text: Column) -> Column:
     """Numbers that a text has more than once, 0 to 2 apart."""
-    found = tx.audit_numbers(text)
-    return F.filter(F.array_distinct(found), lambda v: (F.size(F.filter(found, lambda x: x == v)) > 1) & ~v.isin(0.0, 1.0, 2.0))
+    repeated = lambda found: F.filter(F.array_distinct(found), lambda v: (F.size(F.filter(found, lambda x: x == v)) > 1) & ~v.isin(0.0, 1.0, 2.0))
+    return tx.let(tx.audit_numbers(text), repeated)
 
 
 def variant_reasons(question: Column, answer: Column, variant_question: Column, variant_answer: Column, agreed: Column, votes: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from probeframe.functions import graphs
 from probeframe.functions import text as tx
 from probeframe.functions.answers import number_text
+from probeframe.functions.graphs import let
 
 #: Attempts for each variant, and bounds of the new answer against the old.
 ATTEMPTS, RATIO = 50, 3.0
@@ -38,25 +39,31 @@ def roles(nodes: Column, question: Column) -> Column:
     and values that it has twice; if all are, the largest value above one that
     it has exactly once is freed.  Conversion factors are then constant in any case.
     """
-    found = F.transform(tx.whole_numbers(question), lambda t: t.try_cast("double"))
-    times = lambda v: F.size(F.filter(found, lambda x: x == v))
-    literal = lambda v: F.size(F.filter(tx.whole_numbers(question), lambda s: s == number_text(v)))
     known = lambda v: v.isin(*[float(c) for c in tx.KNOWN_CONSTANTS])
-    own = leaves(nodes)
-    same = lambda v: F.size(F.filter(own, lambda n: n["value"] == v))
 
-    def role(n: Column) -> Column:
-        v = n["value"]
-        return (
-            F.when(~F.contains(question, number_text(v)), "CONSTANT").when(known(v) & (times(v) * 2 > same(v)), "CONSTANT")
-            .when(known(v) & (same(v) > 1), "CONSTANT").when(literal(v) >= 2, "CONSTANT").otherwise("VARIABLE")
-        )
+    def of(shown: Column, found: Column, own: Column, guarded: Column) -> Column:
+        times = lambda v: F.size(F.filter(found, lambda x: x == v))
+        literal = lambda v: F.size(F.filter(shown, lambda s: s == number_text(v)))
+        same = lambda v: F.size(F.filter(own, lambda n: n["value"] == v))
+
+        def role(n: Column) -> Column:
+            v = n["value"]
+            return (
+                F.when(~F.contains(question, number_text(v)), "CONSTANT").when(known(v) & (times(v) * 2 > same(v)), "CONSTANT")
+                .when(known(v) & (same(v) > 1), "CONSTANT").when(literal(v) >= 2, "CONSTANT").otherwise("VARIABLE")
+            )
+
+        free = F.array_max(F.transform(F.filter(own, lambda n: (F.abs(n["value"]) > 1) & (literal(n["value"]) == 1)), lambda n: n["value"]))
+
+        def final(first: Column, free: Column, stuck: Column) -> Column:
+            new = lambda r: F.when(F.array_contains(guarded, r["value"]), "CONSTANT").when(stuck & (r["value"] == free), "VARIABLE").otherwise(r["role"])
+            return F.transform(first, lambda r: F.struct(r["value"].alias("value"), new(r).alias("role")))
+
+        first = F.transform(own, lambda n: F.struct(n["value"].alias("value"), role(n).alias("role")))
+        return let(first, lambda first: let(free, lambda free: let(~F.exists(first, lambda r: r["role"] == "VARIABLE"), lambda stuck: final(first, free, stuck))))
 
-    first = F.transform(own, lambda n: F.struct(n["value"].alias("value"), role(n).alias("role")))
-    free = F.array_max(F.transform(F.filter(own, lambda n: (F.abs(n["value"]) > 1) & (literal(n["value"]) == 1)), lambda n: n["value"]))
-    stuck = ~F.exists(first, lambda r: r["role"] == "VARIABLE")
-    guarded = tx.conversion_values(question)
-    return F.transform(first, lambda r: F.struct(r["value"].alias("value"), F.when(F.array_contains(guarded, r["value"]), "CONSTANT").when(stuck & (r["value"] == free), "VARIABLE").otherwise(r["role"]).alias("role")))
+    as_values = lambda shown: F.transform(shown, lambda t: t.try_cast("double"))
+    return let(tx.whole_numbers(question), lambda shown: let(as_values(shown), lambda found: let(leaves(nodes), lambda own: let(tx.conversion_values(question), lambda guarded: of(shown, found, own, guarded)))))
 
 
 def choices(value: Column, most: int = 999) -> Column:
@@ -82,21 +89,20 @@ def drawn(nodes: Column, role: Column, seed: Column) -> Column:
     kind = "struct<used:array<bigint>,new:array<double>>"
 
     def pick(state: Column, n: Column) -> Column:
-        open_ = F.filter(choices(n["value"]), lambda c: ~F.array_contains(state["used"], c))
-        at = (F.pmod(F.xxhash64(seed, F.size(state["new"])), F.greatest(F.size(open_), F.lit(1)).cast("bigint")) + 1).cast("int")
-        got = F.try_element_at(open_, at)
-        changed = F.struct(F.concat(state["used"], F.array(F.coalesce(got, F.lit(-1).cast("bigint")))).alias("used"), F.array_append(state["new"], got.cast("double") * F.signum(n["value"])).alias("new"))
+        place = lambda free: (F.pmod(F.xxhash64(seed, F.size(state["new"])), F.greatest(F.size(free), F.lit(1)).cast("bigint")) + 1).cast("int")
+        got = let(F.filter(choices(n["value"]), lambda c: ~F.array_contains(state["used"], c)), lambda free: F.try_element_at(free, place(free)))
+        changed = let(got, lambda got: F.struct(F.concat(state["used"], F.array(F.coalesce(got, F.lit(-1).cast("bigint")))).alias("used"), F.array_append(state["new"], got.cast("double") * F.signum(n["value"])).alias("new")))
         return F.when(variable(n), changed.cast(kind)).otherwise(F.struct(state["used"].alias("used"), F.array_append(state["new"], n["value"]).alias("new")).cast(kind))
 
     new = F.aggregate(own, F.struct(fixed.alias("used"), F.array().cast("array<double>").alias("new")).cast(kind), lambda s, n: pick(s, n).cast(kind))["new"]
     place = lambda i: F.size(F.filter(F.slice(nodes, 1, i + 1), lambda n: n["op"] == "assign"))
     from probeframe.functions.answers import digit_class
 
-    def moved(n: Column, i: Column) -> Column:
+    def moved(new: Column, n: Column, i: Column) -> Column:
         v = F.when(n["op"] == "assign", F.try_element_at(new, place(i))).otherwise(n["value"])
         return F.struct(n["op"].alias("op"), n["refs"].alias("refs"), v.alias("value"), F.when(n["op"] == "assign", digit_class(v).cast("int")).otherwise(n["dc"]).alias("dc"))
 
-    return F.transform(nodes, moved).cast(graphs.NODES)
+    return let(new, lambda new: F.transform(nodes, lambda n, i: moved(new, n, i)).cast(graphs.NODES))
 
 
 def mutate(parsed: DataFrame, variants: int = 5, attempts: int = ATTEMPTS) -> DataFrame:

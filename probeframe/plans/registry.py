@@ -1,2 +1,8 @@
-QUERIES = {}
-ORACLES = {}
+"""Every registered query, and its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from probeframe.plans import gap_plans, item_plans
+
+QUERIES = gap_plans.QUERIES | item_plans.QUERIES
+ORACLES = gap_plans.ORACLES | item_plans.ORACLES
