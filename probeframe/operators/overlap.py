@@ -17,7 +17,8 @@ def words(text: Column) -> Column:
 
 def shingles(text: Column, n: int = SHINGLE) -> Column:
     """Distinct runs of ``n`` words; none for shorter and null texts."""
-    runs = lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))))
+    run = lambda w, i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)])
+    runs = lambda w: F.when(F.size(w) >= n, F.array_distinct(F.slice(F.transform(w, lambda x, i: run(w, i)), 1, F.size(w) - n + 1)))
     return let(words(text), runs)
 
 

@@ -112,12 +112,13 @@ def mutate(parsed: DataFrame, variants: int = 5, attempts: int = ATTEMPTS) -> Da
     answer within a factor of three of the original's.  A (problem, variant)
     without one has no row.  Texts that come out as the original's go.
     """
-    rows = parsed.withColumn("roles", roles(F.col("nodes"), F.col("question"))).filter(F.exists("roles", lambda r: r["role"] == "VARIABLE"))
+    # exploding arrays of one keeps the planner from evaluating them once for each use
+    rows = parsed.select("*", F.explode(F.array(roles(F.col("nodes"), F.col("question")))).alias("roles")).filter(F.exists("roles", lambda r: r["role"] == "VARIABLE"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("k"))
     tries = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
     seed = tx.seed_of(F.concat_ws("|", "pid", F.col("k").cast("string")))
-    tries = tries.withColumn("new", drawn(F.col("nodes"), F.col("roles"), F.xxhash64(seed, "attempt")))
-    tries = tries.withColumn("run", graphs.checked(F.col("new")))
+    new = drawn(F.col("nodes"), F.col("roles"), F.xxhash64(seed, "attempt"))
+    tries = tries.select("*", F.explode(F.array(let(new, lambda new: F.struct(new.alias("new"), graphs.checked(new).alias("run"))))).alias("t")).select("*", "t.*").drop("t")
     ratio = F.abs(F.col("run.answer")) / F.abs(F.col("answer"))
     whole = F.col("run.answer") == F.floor("run.answer")
     sound = F.col("run.ok") & whole & ((F.col("answer") == 0) | ratio.between(1 / RATIO, RATIO)) & ~F.exists("new", lambda n: n["value"].isNull())
