@@ -138,7 +138,8 @@ class Mix:
         """The mix: every slot with the document pieces of its block, ``shard, source, epoch, position, index, doc_id, first, words``."""
         pieces = self.segments().withColumn("s", F.coalesce(F.col("source"), F.lit(""))).withColumn("none", F.col("source").isNull())
         slots = self.slots().select(F.coalesce(F.col("source"), F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "index", "epoch", "position", "shard")
-        return slots.join(pieces, ["s", "none", "index"]).drop("s", "none")
+        # both sides grow with the words, whatever size the planner guesses for an exploded sequence
+        return slots.hint("merge").join(pieces, ["s", "none", "index"]).drop("s", "none")
 
     def documents(self) -> DataFrame:
         """``doc_id, size, source_size, target, taken`` of every row."""
