@@ -88,7 +88,8 @@ def links_within(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     pairs = pairs.select("cell_a", "cell_b", "tile_a", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("tile_b"))
     pairs = pairs.filter((F.col("cell_a") != F.col("cell_b")) | (F.col("tile_a") <= F.col("tile_b")))
     side = lambda s: tiles.select(F.col("cell").alias(f"cell_{s}"), F.col("tile").alias(f"tile_{s}"), F.col("fps").alias(f"fps_{s}"))
-    loaded = pairs.join(side("a"), ["cell_a", "tile_a"]).join(side("b"), ["cell_b", "tile_b"]).select("fps_a", "fps_b")
+    # the planner takes exploded sequences for small; pairs of tiles grow with the square of the tiles
+    loaded = pairs.hint("merge").join(side("a"), ["cell_a", "tile_a"]).hint("merge").join(side("b"), ["cell_b", "tile_b"]).select("fps_a", "fps_b")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
