@@ -1,0 +1,239 @@
+"""The ten operators against brute force, on awkward rows: nulls, empty and long texts, ties, repeats, clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from tokenizers import Tokenizer
+
+from probeframe.llm import line_spread, media_shards, neighbours, page_text, secret_scan, sentence_pieces, simhash, source_mix, token_packs, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, part int, `a.b` string"
+LONG = " ".join(f"word{i % 977} thing" for i in range(20000))
+TEXTS = [
+    None, "", " \t\n", "a", "A", "two words", "the quick brown fox jumps over the lazy dog", "The Quick brown fox jumps over the lazy dog",
+    LONG, LONG + " tail", "naïve café ￾   x\x0by", "line one\nBOILER plate line\nline three", "other\n BOILER plate line \nmore", "<|endoftext|> [INST] 你好 🙂",
+]
+
+
+def rows(texts=TEXTS):
+    return [(i, t, None, f"s{i % 3}" if i % 4 else None, None if t is None else len(t), 0.5, 1, "x") for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    extra = rows()
+    return spark.createDataFrame([*extra, extra[6], (None, "no id here", None, None, 10, None, None, None)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def in_order(docs):
+    found = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    return sorted(found, key=lambda x: (x[0] is not None, x[0] or 0))
+
+
+def test_token_packs_round_trip(docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    at, want = 0, []
+    for d, t in in_order(docs):
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 2]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = [tuple(r) for r in token_packs.read_packs(token_packs.write_packs(docs, path, 2)).collect()]
+    assert sorted(got, key=lambda x: x[1]) == want
+    assert token_packs.read_packs(token_packs.write_packs(empty, path, 2)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1, 7, 8, 16, 17, 31, 32])
+def test_bit_packing(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 10_001, dtype=np.uint64).astype(np.uint32)
+    pack = token_packs.Pack(token_packs.build_pack([5, None], [ids[:9000], ids[9000:]], bits))
+    assert (pack.read_range(0, len(ids)) == ids).all() and (pack.read_range(4095, 4098) == ids[4095:4098]).all()
+
+
+def test_media_round_trip(docs, empty):
+    index, root = media_shards.write_media(docs)
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in media_shards.read_media(index, root).collect()))
+    want = []
+    for d, t in in_order(docs):
+        raw = t.encode()
+        padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        want.append((d is not None, d or 0, len(raw), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])))
+    assert got == sorted(want)
+    heads = {(r["doc_id"], r["n_bytes"], r["width"]) for r in media_shards.header_columns(index, root).collect()}
+    assert all(w == 64 for _, _, w in heads) and len(heads) == len({(d, len(t.encode())) for d, t in in_order(docs)})
+    assert media_shards.read_media(*media_shards.write_media(empty)).count() == 0
+
+
+def test_sentence_pieces_parity(docs, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    peer = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = sentence_pieces.encode(docs, path).collect()
+    assert all(r["parity"] for r in got) and len(got) == docs.count()
+    want = {d: peer.encode(t) for d, t in in_order(docs) if d is not None}
+    assert all(r["ids"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
+    assert all(r["decoded"] == dict(in_order(docs))[r["doc_id"]] for r in got if r["doc_id"] is not None)
+    assert sentence_pieces.encode(empty, path).count() == 0
+
+
+def test_mix_meets_targets(spark, empty):
+    made = [(i, " ".join(["w"] * (1 + i * 7 % 400)), None, None if i % 9 == 0 else f"s{min(i % 6, 3)}", 0, 0.0, 1, "") for i in range(900)]
+    docs = spark.createDataFrame([*made, made[3], (2000, None, None, "s1", 0, 0.0, 1, ""), (2001, "x", None, "tiny", 0, 0.0, 1, "")], SCHEMA)
+    out = source_mix.Mix(docs).documents().collect()
+    assert len(out) == docs.count() and sorted(map(tuple, out), key=str) == sorted(map(tuple, source_mix.Mix(docs).documents().collect()), key=str)
+    by = {}
+    for r in out:
+        assert r["taken"] <= 3 * r["size"]
+        s = by.setdefault(r["source"], [r["source_size"], r["target"], 0])
+        s[2] += r["taken"]
+    names = sorted(s for s in by if s is not None) + [None]
+    left, weights, want = sum(v[0] for v in by.values()), dict(zip(names, [5, 2, 1, 5, 2, 1], strict=False)), {}
+    free = set(names)
+    while True:  # brute force: reshare until none is above its cap
+        total = sum(weights[s] for s in free)
+        over = {s for s in free if left * weights[s] / total > 3 * by[s][0]}
+        if not over:
+            want |= {s: left * weights[s] / total for s in free}
+            break
+        for s in over:
+            want[s] = 3 * by[s][0]
+        left, free = left - sum(want[s] for s in over), free - over
+    for s, (_, target, taken) in by.items():
+        assert target == pytest.approx(want[s]) and abs(taken - target) <= max(2 * source_mix.BLOCK_WORDS, 0.02 * target)
+    assert source_mix.Mix(empty).documents().count() == 0 and source_mix.mixed_texts(empty).columns == empty.columns
+    mixed = source_mix.mixed_texts(docs)
+    assert sum(len((r["text"] or "").split()) for r in mixed.collect()) == sum(r["taken"] for r in out)
+
+
+def test_lines_by_brute_force(spark, empty):
+    texts = [f"own {i}\n  shared by all \n\nseldom {i % 5}\nend {i}" for i in range(40)] + [None, "", "shared by all", "shared by all"]
+    docs = spark.createDataFrame([(i, t, None, f"s{i % 12}" if i % 7 else None, 0, 0.0, 1, "") for i, t in enumerate(texts)], SCHEMA)
+    sites, first = {}, {}
+    for r in docs.collect():
+        for pos, line in enumerate((r["text"] or "").split("\n")):
+            if line.strip():
+                sites.setdefault(line.strip(), set()).add(r["source"])
+                first.setdefault(line.strip(), (r["doc_id"], pos))
+    spread = {s for s, v in sites.items() if len(v) >= 8}
+    assert spread == {"shared by all"} | {f"seldom {k}" for k in range(5) if len(sites[f"seldom {k}"]) >= 8}
+    want = {
+        r["doc_id"]: None if r["text"] is None else "\n".join(x for p, x in enumerate(r["text"].split("\n")) if x.strip() not in spread or first[x.strip()] == (r["doc_id"], p))
+        for r in docs.collect()
+    }
+    out = line_spread.remove_spread_lines(docs)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == want and out.columns == docs.columns
+    assert line_spread.remove_spread_lines(empty).count() == 0
+
+
+def test_toxicity_meets_misspelt_words(spark, docs, empty):
+    rng = np.random.default_rng(1)
+    plain = lambda: " ".join("".join(rng.choice(list("aeinrst"), 5)) for _ in range(60))
+    clean = [plain() for _ in range(300)]
+    toxic = [plain() + f" {w} " + plain() for w in ("wretchling", "dunderhead") for _ in range(40)]
+    model = toxicity.train(clean + toxic, [0] * len(clean) + [1] * len(toxic))
+    scorer = toxicity.Scorer(*model.folded())
+    assert np.mean([scorer.score(plain()) >= 0.5 for _ in range(200)]) <= 0.02
+    assert np.mean([scorer.score(plain() + " wretchlings dunderheaded") >= 0.5 for _ in range(50)]) == 1
+    scored = toxicity.score(docs, model)
+    assert scored.columns.count("score") == 1 and scored.filter("score between 0 and 1").count() == docs.count()
+    labels = spark.createDataFrame([(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.score(empty, toxicity.fit(spark, docs, labels)).count() == 0
+
+
+def test_neighbours_are_exact_where_all_parts_are_probed(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 8))
+    x[10] = x[11]
+    bad = [(400, None), (401, [0.0] * 8), (402, [1.0] * 7 + [float("nan")]), (403, [1.0] * 7 + [None])]
+    table = spark.createDataFrame([(i, v.tolist(), 1, 2.0) for i, v in enumerate(x)] + [(i, v, 1, 2.0) for i, v in bad], "vec_id long, embedding array<double>, part int, score double")
+    got = {}
+    from pyspark.sql import functions as F
+
+    for r in neighbours.search(table, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hit = 0
+    for q in range(0, 300, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hit += len(set(np.argsort(-scores, kind="stable")[:20]) & set(got[q]))
+        assert q not in got[q] and len(got[q]) == 20 and not set(got[q]) & {400, 401, 402, 403}
+    assert hit / (15 * 20) >= 0.9
+    assert neighbours.search(table.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
+
+
+def reference_fingerprint(text: str) -> int:
+    words = text.encode().lower().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_components(spark, docs, empty):
+    got = {(r["doc_id"]): (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.components(docs).collect()}
+    prints = {d: reference_fingerprint(t) for d, t in in_order(docs)}
+    assert {d: f for d, (f, _) in got.items()} == prints
+    for d, f in prints.items():
+        near = {f}
+        while (grown := near | {g for g in prints.values() if any((g ^ h).bit_count() <= 3 for h in near)}) != near:
+            near = grown
+        assert got[d][1] == min((e for e, g in prints.items() if g in near and e is not None), default=None)
+    assert simhash.keep_one(docs).columns == docs.columns
+    assert simhash.keep_one(docs).count() == len({c for _, c in got.values()})
+    assert simhash.keep_one(empty).count() == 0
+
+
+def test_forest_of_random_prints():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (50, 4)).astype(np.uint64)
+    all_prints = np.unique(np.concatenate([base, *(base ^ np.bitwise_xor.reduce(flips[:, :k], 1) for k in (1, 2, 4))]))
+    edges = simhash.forest(all_prints, all_prints, 3)
+    assert all(int(a ^ b).bit_count() > 0 for a, b in edges)
+
+    def classes(pairs):
+        root = {int(x): int(x) for x in all_prints}
+        for _ in range(len(root)):
+            for a, b in pairs:
+                low = min(root[int(a)], root[int(b)])
+                root[int(a)] = root[int(b)] = low
+        return root
+
+    assert classes(edges) == classes([(a, b) for a in all_prints for b in all_prints if int(a ^ b).bit_count() <= 3])
+
+
+def test_secrets(spark, docs, empty):
+    model = secret_scan.fit(secret_scan.labelled_findings(spark, 2000), trees=15)
+    key = hashlib.sha1(b"k").hexdigest()
+    texts = [f'config token = "{key}" here', f"twice {key} password: {key}", "see https://www.example.com/path/to/page12.html now", "plain words only", None, "", LONG]
+    made = spark.createDataFrame([(i, t, None, "s", 0, 0.0, 1, "") for i, t in enumerate(texts)], SCHEMA)
+    found = {(r["doc_id"], r["finding"]) for r in secret_scan.scan(made, model).filter("is_secret").collect()}
+    assert (0, key) in found and (1, key) in found and not {d for d, _ in found} & {2, 3, 4, 5}
+    assert secret_scan.scan(docs, model).filter("is_secret").count() == 0 and secret_scan.scan(empty, model).count() == 0
+
+
+PAGE = (
+    "<html><head><title>t</title><script>x()</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Big &amp; bold</h1>"
+    "<p>First   <b>para</b> with enough words to be kept here.</p><p>Second one &lt;ok&gt; goes on for a while too.<aside>ad words</aside></p></article>"
+    "<div class='comments'><p>nice post</p></div><footer>Imprint contact us</footer></body></html>"
+)
+
+
+def test_pages(spark):
+    table = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", "<p>unclosed <b>text & more", "x"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
+    out = page_text.page_texts(table).collect()
+    assert len(out) == 5
+    by = {r["page_id"]: r for r in out}
+    assert by[1]["text"] == "Big & bold\nFirst para with enough words to be kept here.\nSecond one <ok> goes on for a while too."
+    assert by[2]["text"] == by[3]["text"] == "" and by[3]["n_chars"] == 0 and by[4]["text"] == "unclosed text & more"
+    assert page_text.page_texts(table.limit(0)).count() == 0
