@@ -44,7 +44,9 @@ def similar(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
     Shared shingles are counted by a join on their hash, so a frequent one costs
     its documents times the items that have it.
     """
-    sides = lambda df, key, n: df.select(key, F.explode(F.transform(shingles(F.col("text")), lambda s: F.xxhash64(s))).alias("h"), F.size(shingles(F.col("text"))).alias(n))
+    # the count rides with each shingle: outside of the explode it would be computed for every one
+    hashed = lambda n: let(shingles(F.col("text")), lambda x: F.transform(x, lambda s: F.struct(F.xxhash64(s).alias("h"), F.size(x).alias(n))))
+    sides = lambda df, key, n: df.select(key, F.inline(hashed(n)))
     both = sides(docs, "doc_id", "n_doc").join(sides(items, "item_id", "n_item"), "h")
     counts = both.groupBy("doc_id", "item_id", "n_doc", "n_item").agg(F.count("*").alias("shared"))
     held = F.col("shared") / F.col("n_item")
