@@ -182,13 +182,28 @@ def search(table: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
 
         return route
 
+    anchors = rows.sparkSession.sparkContext.broadcast(x)  # SAMPLE vectors at most
+
+    @F.pandas_udf("double")
+    def least_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        """A score that a query's ``k`` nearest reach: ``k`` of the sample reach it, the query itself not counted."""
+        for v in batches:
+            if len(v) and len(anchors.value) > k:
+                bounds = []
+                for a in range(0, len(v), 500):
+                    scores = np.stack(v[a : a + 500]) @ anchors.value.T
+                    bounds.append(-np.partition(-scores, k, axis=1)[:, k] - 1e-9 * (1 + np.abs(scores).max(1)))
+                yield pd.Series(np.concatenate(bounds))
+            else:
+                yield pd.Series(np.full(len(v), -np.inf))
+
     index = materialize(rows.select("vec_id", "v", F.element_at(routed(1)("v"), 1).alias("part")), "index")
     cells = index.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CELL_ROWS)).cast("int").alias("cells"))
     cells = F.broadcast(materialize(cells, "cells"))  # a row for each part, MOST_PARTS at most
     blocks = -(-n_queries // BLOCK_QUERIES)
     block_of = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks).cast("long"))
-    queries = rows.filter(is_query).select("vec_id", "v", block_of.alias("block"), F.explode(routed(router.probes)("v")).alias("part"))
-    queries = queries.join(cells, "part").select("vec_id", "v", "block", "part", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    queries = rows.filter(is_query).select("vec_id", "v", least_score("v").alias("bound"), block_of.alias("block"), F.explode(routed(router.probes)("v")).alias("part"))
+    queries = queries.join(cells, "part").select("vec_id", "v", "bound", "block", "part", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
     held = index.join(cells, "part").withColumn("cell", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("cells")).cast("int"))
     held = held.select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "part", "cell")
 
@@ -197,13 +212,13 @@ def search(table: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
         if len(left) and len(right):
             right = right.sort_values("vec_id", kind="stable")
             ids, cand = right["vec_id"].to_numpy(), np.stack(right["v"])
-            q_ids, q = left["vec_id"].to_numpy(), np.stack(left["v"])
+            q_ids, q, floor = left["vec_id"].to_numpy(), np.stack(left["v"]), left["bound"].to_numpy()
             keep = min(k + 1, len(ids))  # one more, for the query itself
             for a in range(0, len(q), 256):
                 rough = q[a : a + 256] @ cand.T
                 least = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1]
                 margin = 1e-9 * (1 + np.abs(rough).max(1))
-                for i, (scores, bound) in enumerate(zip(rough, least - margin, strict=True)):
+                for i, (scores, bound) in enumerate(zip(rough, np.maximum(least - margin, floor[a : a + 256]), strict=True)):
                     some = np.flatnonzero(scores >= bound)
                     some = some[ids[some] != q_ids[a + i]]
                     exact = (cand[some] * q[a + i]).cumsum(1)[:, -1]  # one order of addition for every row
