@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -115,18 +116,21 @@ class WordMemo:
     """
 
     #: Characters outside of this, or a special token's opening, send a text to the library whole.
-    PLAIN = r"[^\t\n\r\x20-\x7e\xa1-įı-ɏ]|<\|"
-    WORDS = 1_000_000
+    PLAIN = r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\|"
+    #: Words that a process keeps, some 200 bytes each; words that go to the library at once.
+    WORDS, TOGETHER = 400_000, 500
+    #: Classes of the file's pattern as Python's own, which agree on plain texts.
+    CLASSES = ((r"[^\s\p{L}\p{N}]+", r"(?:[^\s\w]|_)+"), (r"[\p{L}]", r"[^\W\d_]"), (r"[\p{N}]", r"\d"))
 
     def __init__(self, path: str) -> None:
         import json
+        import re
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, list[int]] = {}
-        self.odd = regex.compile(self.PLAIN)
+        self.ids: dict[str, bytes] = {}
+        self.odd = re.compile(self.PLAIN)
         spec = json.load(open(path, encoding="utf-8"))
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         norms = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
@@ -136,27 +140,44 @@ class WordMemo:
             and [s.get("type") for s in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
             and norms == ["NFC", "Replace", "Lowercase"] and spec.get("post_processor") is None
         )
-        self.words = regex.compile(split["pattern"]["Regex"]) if fits else None
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        pattern = split["pattern"]["Regex"] if fits else r"\p"
+        for old, new in self.CLASSES:
+            pattern = pattern.replace(old, new)
+        self.words = None if r"\p" in pattern else re.compile(pattern)
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words that are new, many in one text with a space between; the library tells which ids are whose."""
+        for a in range(0, len(words), self.TOGETHER):
+            some = words[a : a + self.TOGETHER]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            raw, cuts = np.array(found.ids, "<u4").tobytes(), np.flatnonzero(np.diff(np.array(found.word_ids))) + 1
+            ends = [0, *(4 * cuts).tolist(), len(raw)]
+            if len(ends) == len(some) + 1:
+                self.ids.update(zip(some, (raw[p:q] for p, q in zip(ends, ends[1:], strict=False)), strict=True))
+            else:
+                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    self.ids[w] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if self.words is None or self.odd.search(t)]
         out: list = [None] * len(texts)
         for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = e.ids
+            out[i] = np.array(e.ids, "<u4")
         words = {i: self.words.findall(t.lower()) for i, t in enumerate(texts) if out[i] is None}
         if len(self.ids) > self.WORDS:
             self.ids.clear()
-        new = list({w for ws in words.values() for w in ws if w not in self.ids})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.ids[w] = e.ids
+        self.learn(list({w for ws in words.values() for w in ws if w not in self.ids}))
         for i, ws in words.items():
-            ids: list[int] = []
-            for w in ws:
-                ids += self.ids[w]
-            out[i] = ids
+            out[i] = np.frombuffer(b"".join(map(self.ids.__getitem__, ws)), "<u4")
         return out
 
 
+@lru_cache(maxsize=1)
+def memo_of(path: str) -> WordMemo:
+    """One memo for all tasks of a worker process."""
+    return WordMemo(path)
+
+
 def write_packs(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and packs ``docs`` in ascending ``doc_id`` order; returns a scan of the written packs.
 
@@ -167,7 +188,7 @@ def write_packs(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordMemo(tokenizer)
+        memo = memo_of(tokenizer)
         bits = bits_for(max(memo.tokenizer.get_vocab_size(), end_id + 1))
         shard, pack, before = TaskContext.get().partitionId(), 0, 0
         ids: list = []
@@ -183,7 +204,7 @@ def write_packs(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc
                 part = batch.iloc[a : a + 100]
                 for d, e in zip(part["doc"], memo.encode(list(part["text"])), strict=True):
                     ids.append(None if pd.isna(d) else int(d))
-                    kept.append(np.array([*e, end_id], np.uint32))
+                    kept.append(np.append(e, np.uint32(end_id)))
                     held += len(e) + 1
                     if held >= PACK_TOKENS:
                         yield close()
