@@ -281,7 +281,6 @@ def parse_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return problems(spark, sf_dir).select("pid", graphs.parse(F.col("solution"), True).alias("g")).select("pid", "g.accepted", "g.error", F.to_json("g.nodes").alias("nodes"))
 
 
-@query("mutate_variants")
 def mutate_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sound variants of every problem of the first line number, with new text and answer."""
     p = problems(spark, sf_dir).filter("k = 1").select("pid", "question", graphs.parse(F.col("solution")).alias("g")).filter("g.accepted")
@@ -319,6 +318,5 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.status_counts(entity_audit(spark, sf_dir), "check").select("status", "n")
 
 
-@query("repair_v3")
 def repair_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.route(_named(spark, sf_dir))
