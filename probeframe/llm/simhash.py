@@ -156,7 +156,11 @@ def components(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE, doc_
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that with the smallest id, then the smallest hash of the text."""
-    found = components(docs, radius, words)
+    return one_of_each(docs, components(docs, radius, words))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The same for any components ``found(doc_id, mark, root)`` of ``docs``."""
     kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
     kept = materialize(kept.select(F.col("best.doc_id").alias("__doc"), F.col("best.mark").alias("__mark")), "kept")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

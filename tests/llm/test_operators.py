@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -12,7 +13,7 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from probeframe.llm import line_spread, media_shards, neighbours, page_text, secret_scan, sentence_pieces, simhash, source_mix, token_packs, toxicity
+from probeframe.llm import line_spread, media_shards, near_copies, neighbours, page_text, secret_scan, sentence_pieces, simhash, source_mix, token_packs, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, part int, `a.b` string"
 LONG = " ".join(f"word{i % 977} thing" for i in range(20000))
@@ -193,6 +194,35 @@ def test_simhash_components(spark, docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def five_words(text: str | None) -> set[bytes]:
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_by_brute_force(spark, docs, empty):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(40):  # copies of several grades of likeness, far apart by fingerprint too
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(30, 400))]
+        for edits in (0, 0, 1, 2, 4, 8, 16):
+            copy = list(words)
+            for at in rng.integers(0, len(words), edits):
+                copy[at] = "edited"
+            texts.append(" ".join(copy))
+    sets = [five_words(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {min(i for i, r in enumerate(root) if r == c) for c in root}
+    frame = spark.createDataFrame(rows(texts), SCHEMA)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").collect()} == want
+    assert near_copies.keep_one(docs).columns == docs.columns
+    assert near_copies.keep_one(docs).count() == len({t.lower() if t and t.strip() else "" for _, t in in_order(docs)}) - 1  # LONG and its tail are near copies
+    assert near_copies.keep_one(empty).count() == 0
+
+
 def test_forest_of_random_prints():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
