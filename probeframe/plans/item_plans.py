@@ -156,7 +156,7 @@ def rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Originals and five variants each, some of them faulty."""
-    p = problems(spark, sf_dir).filter("k <= 2").select("pid", "a", "b", "k", "question", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("v"))
+    p = problems(spark, sf_dir).select("pid", "a", "b", "k", "question", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("v"))
     a, b, k, v = (F.col(c) for c in "abkv")
     answer = ((a + v) * b - k).cast("double") + F.when((a + v) % 11 == 0, 0.25).otherwise(0.0)
     agreed = F.when((a * 7 + v) % 5 == 0, answer * 2 + 1).when((a * 7 + v) % 5 == 1, answer * 1.03 + 0.01).otherwise(answer)
@@ -289,7 +289,7 @@ def mutate_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with names, and variants that renamed them well or badly."""
-    p = problems(spark, sf_dir).filter("k <= 2").select("pid", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("v"))
+    p = problems(spark, sf_dir).select("pid", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("v"))
     a, b, v = F.col("a"), F.col("b"), F.col("v")
     question = F.format_string("Tommy had %d boxes. A friend gave Tommy %d more, and Tommy sold one. How many has Tommy?", a, b)
     way = (a + v) % 4
