@@ -122,6 +122,12 @@ def digit_class(v: Column) -> Column:
     return F.length(F.abs(v.cast("bigint")).cast("string"))
 
 
+def whole_digits(v: Column) -> Column:
+    """Digits of the whole part of a double of any size; from 1e15 on by its decimal text, null for infinity."""
+    size = F.abs(v)
+    return F.when(size < 1e15, digit_class(F.when(size < 1e15, v))).when(size < float("inf"), F.length(F.format_string("%.0f", size)))
+
+
 def magnitude(v: Column) -> Column:
     return F.log10(F.abs(v) + 1)
 

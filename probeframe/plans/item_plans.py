@@ -226,8 +226,8 @@ def value_conflation(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, round(log10(abs(m) + 1), 6) + CAST(0 AS DOUBLE) AS magnitude, CAST(length(CAST(CAST(trunc(abs(m)) AS BIGINT) AS VARCHAR)) AS INTEGER) AS digits FROM t WHERE abs(m) < 1e15""")
 def number_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.array_max(tx.audit_numbers(F.col("text")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", m.alias("m")).filter("abs(m) < 1e15")
-    return rounded(rows.select("doc_id", answers.magnitude(F.col("m")).alias("magnitude"), answers.digit_class(F.col("m")).alias("digits")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", m.alias("m")).filter("m is not null")
+    return rounded(rows.select("doc_id", answers.magnitude(F.col("m")).alias("magnitude"), answers.whole_digits(F.col("m")).alias("digits")))
 
 
 @query("dup_text", "WITH f AS (SELECT source, text, min(doc_id) AS first FROM documents GROUP BY 1, 2) SELECT d.doc_id, d.source, f.first FROM documents d JOIN f ON d.source = f.source AND d.text = f.text WHERE d.doc_id <> f.first")

@@ -37,3 +37,11 @@ def test_audits_take_all_problems(spark, sf_dir):
     want = {"SUBSTRING_ARTIFACT": broken, "LEFTOVER_NAME": broken, "CONSISTENCY": broken, "NUMBER_GRAPH_MISMATCH": mismatched}
     assert {r["status"]: r["n"] for r in run("entity_counts")} == {k: n for k, n in want.items() if n}
     assert len(run("entity_audit")) == sum(want.values())
+
+
+def test_large_numbers_have_a_magnitude(spark, tmp_path):
+    texts = {1: "7 and 1000000000000000", 2: "9" * 16, 3: "1" + "0" * 25, 4: "1 999999999999999", 5: "no number", 6: "-" + "2" * 20, 7: "12.5"}
+    pq.write_table(pa.table({"doc_id": list(texts), "text": list(texts.values())}), tmp_path / "documents.parquet")
+    got = {r["doc_id"]: (r["magnitude"], r["digits"]) for r in registry.QUERIES["number_magnitude"](spark, str(tmp_path)).collect()}
+    assert {k: d for k, (_, d) in got.items()} == {1: 16, 2: 17, 3: 26, 4: 15, 6: 20, 7: 2}  # sixteen nines are 1e16 as a double
+    assert got[1][0] == pytest.approx(15, abs=1e-6) and got[3][0] == pytest.approx(25, abs=1e-6) and got[6][0] == pytest.approx(19.346787, abs=1e-6)
