@@ -45,3 +45,9 @@ def test_large_numbers_have_a_magnitude(spark, tmp_path):
     got = {r["doc_id"]: (r["magnitude"], r["digits"]) for r in registry.QUERIES["number_magnitude"](spark, str(tmp_path)).collect()}
     assert {k: d for k, (_, d) in got.items()} == {1: 16, 2: 17, 3: 26, 4: 15, 6: 20, 7: 2}  # sixteen nines are 1e16 as a double
     assert got[1][0] == pytest.approx(15, abs=1e-6) and got[3][0] == pytest.approx(25, abs=1e-6) and got[6][0] == pytest.approx(19.346787, abs=1e-6)
+
+
+def test_consensus_takes_the_answers_of_all_lines(spark, sf_dir):
+    got = {r["variant"]: (r["n_answers"], r["consensus"], r["votes"]) for r in registry.QUERIES["consensus"](spark, sf_dir).collect()}
+    # by model (supplier % 5): part 1 has 9, 10, 11, 7, 8; part 2, without a second line, 9 three times
+    assert got == {1: (5, 9.0, 1), 2: (3, 9.0, 3)}
