@@ -44,7 +44,7 @@ def runs(page: str) -> Iterator[tuple[str, str, bool, bool]]:
 
     ``kind`` is ``tag:name`` or ``words:place``, where the place is the nearest
     block element; junk says that an element around never holds article text,
-    content that an article or main element is around.  Unclosed elements end
+    content that an article or main element is around and nothing junk.  Unclosed elements end
     where their parent does; a page may break off anywhere.
     """
     stack: list[tuple[str, bool, bool]] = []
@@ -75,14 +75,15 @@ def runs(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         junk, content = stack[-1][1:] if stack else (False, False)
         named = " ".join(next(filter(None, g), "") for g in NAMED.findall(m["attrs"]))
         page_header = name == "header" and not content
-        # a class on the article itself, or around it, says nothing about what it holds
-        own = name in NEVER or page_header or (name not in CONTENT and name not in ("body", "html") and bool(JUNK.search(named)))
-        yield f"tag:{name}", "", junk or own, content or name in CONTENT
+        own = name in NEVER or page_header or (name not in ("body", "html") and bool(JUNK.search(named)))
+        junk = junk or own
+        content = (content or name in CONTENT) and not junk
+        yield f"tag:{name}", "", junk, content
         if name in RAW and not m["attrs"].endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
             at = end.start() if end else len(page)
         if name not in VOID and not m["attrs"].endswith("/"):
-            stack.append((name, junk or own, content or name in CONTENT))
+            stack.append((name, junk, content))
 
 
 def counts_of(page: str) -> Counter:
@@ -120,11 +121,14 @@ def weight_of(kind: str, weights: dict[str, float]) -> float:
 def extract(page: str, weights: dict[str, float]) -> str:
     """The text of the best region: blocks in page order, one to a line, white space within a block as one space."""
     row = list(runs(page))
-    if any(content for *_, content in row):  # the article as marked bounds the search
-        row = [(k, t, j or not c, c) for k, t, j, c in row]
+    inside, outside = _words_by_mark(row)
+    # marked articles are evidence against words outside, as strong as their share of the page's words
+    doubt = 1 - 2 * inside / (inside + outside) if inside else 1.0
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, text, junk, _) in enumerate(row):
+    for i, (kind, text, junk, content) in enumerate(row):
         w = weight_of(kind, weights)
+        if kind[0] == "w" and not content:
+            w = min(w, w * doubt)
         total += min(w, -0.2) * (len(text.split()) or 0) if junk and kind[0] == "w" else w * len(text.split()) if kind[0] == "w" else w
         if total <= 0:
             total, start = 0.0, i + 1
@@ -133,15 +137,30 @@ def extract(page: str, weights: dict[str, float]) -> str:
     return blocks(_widen(row, *best_at))
 
 
+def _words_by_mark(row: list[tuple[str, str, bool, bool]]) -> tuple[int, int]:
+    """Words that aren't junk, inside and outside of marked articles."""
+    found = [0, 0]
+    for kind, text, junk, content in row:
+        if kind[0] == "w" and not junk:
+            found[not content] += len(text.split())
+    return found[0], found[1]
+
+
 def _widen(row: list[tuple[str, str, bool, bool]], start: int, stop: int) -> list[tuple[str, str, bool, bool]]:
-    """The region, grown over short blocks at its ends that stand in a marked article: they weigh less than the tags around them."""
-    while start > 0 and stop > start and row[start - 1][3] and not row[start - 1][2]:
-        start -= 1
-    last = stop
-    for i in range(stop, len(row) if stop else 0):
-        if row[i][3] and not row[i][2]:
-            last = i + 1
-    return row[start:last]
+    """The region, grown over short blocks of a marked article that it begins or ends in: they weigh less than the tags around them."""
+    ends = lambda x: x[0][0] == "w" and bool(x[1].strip()) and not x[2] and not x[3]
+    first, last = start, stop
+    if stop > start and row[start][3]:
+        for i in range(start - 1, -1, -1):
+            if ends(row[i]):
+                break
+            first = i if row[i][3] else first
+    if stop > start and row[stop - 1][3]:
+        for i in range(stop, len(row)):
+            if ends(row[i]):
+                break
+            last = i + 1 if row[i][3] else last
+    return row[first:last]
 
 
 def blocks(row: list[tuple[str, str, bool, bool]]) -> str:
@@ -174,7 +193,9 @@ def learn_weights(pages: DataFrame, html: str = "html") -> dict[str, float]:
         for batch in batches:
             total: Counter = Counter()
             for page in batch["html"]:
-                total.update(counts_of(page))
+                inside, outside = _words_by_mark(list(runs(page)))
+                if inside > outside:  # a page that marks teasers or comments only is no label
+                    total.update(counts_of(page))
             yield pd.DataFrame([(k, i, n) for (k, i), n in total.items()], columns=["kind", "inside", "n"])
 
     found = sample.mapInPandas(count, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n"))

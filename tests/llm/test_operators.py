@@ -267,3 +267,16 @@ def test_pages(spark):
     assert by[1]["text"] == "Big & bold\nFirst para with enough words to be kept here.\nSecond one <ok> goes on for a while too."
     assert by[2]["text"] == by[3]["text"] == "" and by[3]["n_chars"] == 0 and by[4]["text"] == "unclosed text & more"
     assert page_text.page_texts(table.limit(0)).count() == 0
+
+
+def test_pages_whose_articles_hold_no_body():
+    weights = {"words:p": 2.0, "words:p!": -2.0, "words:h3": 1.0, "tag:div": -0.8, "tag:p": -0.5, "tag:article": -0.5, "tag:aside": -1.4}
+    body = "<div><p>" + "body words of the page " * 20 + "</p><p>" + "and more of them " * 20 + "</p></div>"
+    want = ("body words of the page " * 20).strip() + "\n" + ("and more of them " * 20).strip()
+    comment = "<article class='comment'><p>" + "a long reader comment " * 40 + "</p></article>"
+    teaser = "<article><h3>Read</h3><p>a short teaser</p></article>"
+    for page in (body, f"{body}<aside>{teaser}</aside>", f"<aside>{teaser}</aside>{body}", body + comment, f"{body}<section class='comments'>{comment}</section>"):
+        assert page_text.extract(f"<html><body>{page}</body></html>", weights) == want
+    assert want in page_text.extract(f"<html><body>{body}{teaser}</body></html>", weights)
+    marked = f"<p>{'some lines before ' * 4}</p><article><h3>Title</h3>{body}</article><p>{'other text after ' * 4}</p>"
+    assert page_text.extract(f"<html><body>{marked}</body></html>", weights) == "Title\n" + want
