@@ -172,7 +172,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
     parts = int(np.clip(n // PART_ROWS, LEAST_PARTS, MOST_PARTS)) if len(x) >= 50 * LEAST_PARTS else 1
     parts = min(parts, max(1, len(x) // 15))
     router = fit_router(x, parts, k)
-    shared = rows.sparkSession.sparkContext.broadcast(router)
+    shared, probes = rows.sparkSession.sparkContext.broadcast(router), router.probes
 
     def routed(probes: int):
         @F.pandas_udf("array<int>")
@@ -182,22 +182,29 @@ def search(table: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
 
         return route
 
-    anchors = rows.sparkSession.sparkContext.broadcast(x)  # SAMPLE vectors at most
+    index = materialize(rows.select("vec_id", "v", F.element_at(routed(1)("v"), 1).alias("part")), "index")
+    anchors = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v", "part").toPandas()  # the sample, with its parts
+    anchors = rows.sparkSession.sparkContext.broadcast((x[:0] if anchors.empty else np.stack(anchors["v"]), anchors["part"].to_numpy()))
 
     @F.pandas_udf("double")
     def least_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        """A score that a query's ``k`` nearest reach: ``k`` of the sample reach it, the query itself not counted."""
+        """A score that ``k`` vectors of a query's probed parts reach, the query itself not counted; none if the sample has too few of them."""
+        known, part_of = anchors.value
         for v in batches:
-            if len(v) and len(anchors.value) > k:
+            if len(v) and len(known) > k:
                 bounds = []
                 for a in range(0, len(v), 500):
-                    scores = np.stack(v[a : a + 500]) @ anchors.value.T
-                    bounds.append(-np.partition(-scores, k, axis=1)[:, k] - 1e-9 * (1 + np.abs(scores).max(1)))
+                    q = np.stack(v[a : a + 500])
+                    scores = q @ known.T
+                    margin = 1e-9 * (1 + np.abs(scores).max(1))
+                    probed = np.zeros((len(q), part_of.max() + 1 + parts), bool)
+                    np.put_along_axis(probed, shared.value.parts(q, probes).astype(np.int64), True, axis=1)
+                    scores[~probed[:, part_of]] = -np.inf
+                    bounds.append(-np.partition(-scores, k, axis=1)[:, k] - margin)
                 yield pd.Series(np.concatenate(bounds))
             else:
                 yield pd.Series(np.full(len(v), -np.inf))
 
-    index = materialize(rows.select("vec_id", "v", F.element_at(routed(1)("v"), 1).alias("part")), "index")
     cells = index.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CELL_ROWS)).cast("int").alias("cells"))
     cells = F.broadcast(materialize(cells, "cells"))  # a row for each part, MOST_PARTS at most
     blocks = -(-n_queries // BLOCK_QUERIES)

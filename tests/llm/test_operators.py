@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from probeframe.llm import line_spread, media_shards, near_copies, neighbours, page_text, secret_scan, sentence_pieces, simhash, source_mix, token_packs, toxicity
@@ -280,3 +281,20 @@ def test_pages_whose_articles_hold_no_body():
     assert want in page_text.extract(f"<html><body>{body}{teaser}</body></html>", weights)
     marked = f"<p>{'some lines before ' * 4}</p><article><h3>Title</h3>{body}</article><p>{'other text after ' * 4}</p>"
     assert page_text.extract(f"<html><body>{marked}</body></html>", weights) == "Title\n" + want
+
+
+def test_neighbours_fill_their_ranks_where_parts_are_left_out(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    fit = neighbours.fit_router
+
+    def one_probe(*args):
+        router = fit(*args)
+        router.probes = 1
+        return router
+
+    monkeypatch.setattr(neighbours, "fit_router", one_probe)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(table, F.col("vec_id") < 50)
+    assert {r["query_id"]: r["n"] for r in got.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == dict.fromkeys(range(50), 20)
