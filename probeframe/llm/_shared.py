@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; the bound is checked by a count first.
 BROADCAST_ROWS = 50_000
+#: Keys that can hold over a thousandth of all rows: the proven bound of :func:`meet`'s broadcast.
+HEAVY_KEYS = 1000
 #: The run of white space that separates words in the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,11 +20,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a temporary folder is made
-    once and set as the session's checkpoint folder.
+    Where the setting is absent a temporary folder is made once and set as the
+    session's checkpoint folder, but only for a local master (tests, a laptop).
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="probeframe-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -55,6 +60,27 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], heavy: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has each of its ``keys`` once; ``rows`` is a written table.
+
+    Keys that hold more than a thousandth of the rows, of which there can't be
+    over a thousand, meet their row of ``table`` by broadcast; all others by a
+    merge join, in which then no key weighs more than a thousandth.  The plan
+    is the same at every size.  ``heavy`` is the table of those keys if it is
+    known already.  With ``how="left"`` rows without a match stay.  Null keys
+    match nothing.
+    """
+    if heavy is None:
+        share = rows.count() / HEAVY_KEYS
+        heavy = materialize(rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > share).select(*keys), "heavy")
+    heavy = heavy.select(*keys).join(table.withColumn("__met", F.lit(True)), keys, "left").withColumn("__heavy", F.lit(True))
+    added = [c for c in table.columns if c not in keys]
+    flagged = rows.join(F.broadcast(materialize(heavy, "heavy_rows")), keys, "left")
+    hot = flagged.filter("__heavy").filter(F.lit(True) if how == "left" else F.col("__met")).drop("__met", "__heavy")
+    cold = flagged.filter("__heavy is null").drop("__met", "__heavy", *added).hint("merge").join(table, keys, how)
+    return hot.unionByName(cold)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

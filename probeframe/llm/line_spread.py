@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probeframe.llm._shared import broadcast_if_small, materialize
+from probeframe.llm._shared import HEAVY_KEYS, materialize, meet
 
 #: Distinct sites from which a line is boilerplate; log2 of the sketch's registers.
 MIN_SITES, LOG_REGISTERS = 8, 10
@@ -40,28 +40,35 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site:
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``h1, h2, sites_at_least, first`` of every line on ``min_sites`` sites or more; a written table.
+    """Every occurrence ``h1, h2, doc, mark, pos, first`` of a line on ``min_sites`` sites or more; ``lines`` is a written table.
 
     One aggregation makes sketches, counts and first occurrences.  A line that
     occurs fewer times than ``min_sites`` can't spread so far and is left out
-    before its sketch is read.  A hot line costs one partial sketch per task.
+    before its sketch is read.  A hot line costs one partial sketch per task,
+    and its occurrences meet their verdict where they are (:func:`meet`).
     """
     sketched = lines.groupBy("h1", "h2").agg(
         F.hll_sketch_agg("site", F.lit(LOG_REGISTERS)).alias("sketch"), F.count("*").alias("n"), F.min(F.struct("doc", "mark", "pos")).alias("first")
     )
     error = 1.04 / (1 << LOG_REGISTERS) ** 0.5 * NEAR_ERRORS
-    estimated = materialize(
-        sketched.filter(F.col("n") >= min_sites).select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("estimate")).filter(F.col("estimate") >= min_sites * (1 - error) - 1),
-        "sketches",
-    )
-    near = estimated.filter(F.col("estimate") <= min_sites * (1 + error) + 1)
-    counted = (
-        lines.join(broadcast_if_small(near.select("h1", "h2")), ["h1", "h2"], "left_semi")
-        .select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites"))
-    )
-    exact = near.join(counted, ["h1", "h2"]).filter(F.col("sites") >= min_sites).select("h1", "h2", "first", F.col("sites").alias("sites_at_least"))
-    clear = estimated.filter(F.col("estimate") > min_sites * (1 + error) + 1).select("h1", "h2", "first", F.col("estimate").alias("sites_at_least"))
-    return materialize(exact.unionByName(clear), "spread")
+    low, high = min_sites * (1 - error) - 1, min_sites * (1 + error) + 1
+    many = F.col("n") > lines.count() / HEAVY_KEYS
+    estimated = sketched.filter((F.col("n") >= min_sites) | many).select("h1", "h2", "first", many.alias("many"), F.hll_sketch_estimate("sketch").alias("estimate"))
+    estimated = materialize(estimated.filter((F.col("estimate") >= low) | F.col("many")), "sketches")
+    heavy = estimated.filter("many").select("h1", "h2")
+    hits = materialize(meet(lines, estimated.filter(F.col("estimate") >= low).select("h1", "h2", "first", "estimate"), ["h1", "h2"], heavy), "hits")
+    near = hits.filter(F.col("estimate") <= high)
+    counted = near.select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
+    near = meet(near, materialize(counted.select("h1", "h2"), "counted"), ["h1", "h2"], heavy)
+    columns = ["h1", "h2", "doc", "mark", "pos", "first"]
+    return hits.filter(F.col("estimate") > high).select(*columns).union(near.select(*columns))
+
+
+def _without(parts: Column, gone: Column) -> Column:
+    """``parts`` without the places ``gone`` (from 0, ascending): the slices between them, so the cost is linear."""
+    edges = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(parts)))
+    between = F.transform(F.sequence(F.lit(1), F.size(gone) + 1), lambda i: F.slice(parts, F.element_at(edges, i) + 2, F.element_at(edges, i + 1) - F.element_at(edges, i) - 1))
+    return F.flatten(between)
 
 
 def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
@@ -70,18 +77,17 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str
     Every row stays, a text all of whose lines went becomes empty; null texts
     stay null; a null site counts as one site.  The first occurrence is that
     with the smallest (id, hash of text, line number).  Rows that repeat are
-    treated alike.  Lines that stay keep their bytes and order.
+    treated alike.  Lines that stay keep their bytes and order.  Lines are split
+    and hashed once; texts meet their lost lines by one merge join at any size.
     """
-    lines = lines_of(docs, doc_id, text, site)
-    spread = spread_lines(lines, min_sites)
-    hits = lines.join(broadcast_if_small(spread), ["h1", "h2"]).filter(~F.struct("doc", "mark", "pos").eqNullSafe(F.col("first")))
-    gone = hits.groupBy("doc", "mark").agg(F.collect_set("pos").alias("gone"))
-    gone = materialize(gone.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), "gone"), "gone")
+    lines = materialize(lines_of(docs, doc_id, text, site), "lines")
+    hits = spread_lines(lines, min_sites).filter(~F.struct("doc", "mark", "pos").eqNullSafe(F.col("first")))
+    gone = hits.groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = materialize(gone, "gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     same = F.col(f"row.{doc_id}").eqNullSafe(F.col("__doc")) & (F.xxhash64(f"row.{text}") == F.col("__mark"))
-    joined = rows.join(broadcast_if_small(gone), same, "left")
-    parts = F.split(F.col(f"row.{text}"), "\n")
-    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("gone", i)), "\n")
+    joined = rows.hint("merge").join(gone, same, "left")
+    kept = F.array_join(_without(F.split(F.col(f"row.{text}"), "\n"), F.col("gone")), "\n")
     new_text = F.when(F.col("gone").isNull(), F.col(f"row.{text}")).otherwise(kept)
     made = joined.select("row", new_text.alias("made"))
     new = {text: F.col("made"), "n_chars": F.length("made").cast("long")}
