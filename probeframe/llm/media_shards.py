@@ -1,10 +1,10 @@
 """Media payloads by content, in tar shards (operator 2).
 
-A payload is stored as an 8-bit grey image (PNG), 64 samples wide.  The tar
-member's name is the sha256 of the stored bytes; a shard keeps one member for
-each distinct content that its task met.  A table row carries ``digest``,
-``shard``, ``offset`` and ``length``; :func:`header_columns` fills width, height
-and depth by reading the first 73 bytes of each member and nothing else.
+A payload is stored as an 8-bit grey image (PNG), 64 samples wide, once for
+each distinct content.  The tar member's name is the sha256 of the stored bytes.
+A table row carries ``digest``, ``shard``, ``offset`` and ``length``;
+:func:`header_columns` fills width, height, depth and the unpadded size by
+reading the first 73 bytes of each member and nothing else.
 """
 
 from __future__ import annotations
@@ -14,23 +14,25 @@ import io
 import struct
 import tarfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probeframe.llm._shared import materialize, scratch_path, small_batches
+from probeframe.llm._shared import materialize, meet, scratch_path, small_batches
 
 WIDTH = 64
 #: Signature, IHDR and the chunk that holds the unpadded length.
 HEADER_BYTES = 8 + 25 + 12 + 28
 #: Bytes after which a task begins another shard.
 SHARD_BYTES = 256 << 20
-INDEX_SCHEMA = "doc_id long, digest string, shard string, offset long, length long"
+#: Bits of the filter that finds texts which may repeat, and bits that a text sets: 4 MB whatever the input.
+FILTER_BITS, FILTER_PROBES = 1 << 25, 4
+PLACE = "digest string, shard string, offset long, length long"
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -118,35 +120,75 @@ class _Shard:
         self.fs.move(self.part, self.path)
 
 
-def write_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
-    """Stores every text's bytes; returns the index (a written table) and the shards' folder.
+def repeated_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ``key`` values that occur more than once, as 64-bit words; its size is fixed."""
+    repeated = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    bits = repeated.select(F.explode(F.array(*_probes(F.col("key")))).alias("bit"))
+    words = bits.groupBy(F.expr("bit div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("word")).toPandas()
+    found = np.zeros(FILTER_BITS // 64, np.int64)
+    found[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
+    return found.view(np.uint64)
+
+
+def _probes(key: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(j)), F.lit(FILTER_BITS)) for j in range(FILTER_PROBES)]
+
 
-    No shuffle: each task appends to its own shards.  A null text is empty, an
-    empty one is one row of 64 zeros; equal texts have equal digests; other
-    columns are not read.  Shards are written to the shared folder.
+def write_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """Stores every distinct text's bytes once; returns the index ``doc_id, shared, digest, shard, offset, length`` (a written table) and the shards' folder.
+
+    Texts that occur once are written by the task that reads them.  Those that a
+    filter of fixed size takes for repeated (``shared``; it errs to that side
+    only) are first combined by content, on the map side too, so that a text
+    with a third of all rows moves once a task; their rows then join the places
+    by content.  A null text is empty, an empty one is one row of 64 zeros;
+    repeated rows stay rows; equal texts have equal places; other columns are
+    not read; an empty table has an empty index.
     """
     spark = docs.sparkSession
     small_batches(spark)
     root = scratch_path(spark, "shards")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, part, k = None, TaskContext.get().partitionId(), 0
-        for batch in batches:
-            rows = []
-            for d, t in zip(batch["doc"], batch["text"], strict=True):
-                if shard is None or shard.at > SHARD_BYTES:
-                    if shard:
-                        shard.close()
-                    shard, k = _Shard(root, f"shard-{part:06d}-{k:04d}.tar"), k + 1
-                media = encode_png(t.encode())
-                digest, offset = shard.put(media)
-                rows.append((d, digest, shard.name, offset, len(media)))
-            yield pd.DataFrame(rows, columns=["doc_id", "digest", "shard", "offset", "length"]).astype({"doc_id": "Int64"})
-        if shard:
-            shard.close()
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return materialize(rows.mapInPandas(run, INDEX_SCHEMA), "index"), root
+    def to_shards(kind: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shard, part, k = None, TaskContext.get().partitionId(), 0
+            for batch in batches:
+                places = []
+                for t in batch.pop("text"):
+                    if shard is None or shard.at > SHARD_BYTES:
+                        if shard:
+                            shard.close()
+                        shard, k = _Shard(root, f"{kind}-{part:06d}-{k:04d}.tar"), k + 1
+                    media = encode_png(t.encode())
+                    digest, offset = shard.put(media)
+                    places.append((digest, shard.name, offset, len(media)))
+                yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(places, columns=[c.split()[0] for c in PLACE.split(", ")])], axis=1)
+            if shard:
+                shard.close()
+
+        return run
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.unhex(F.sha2("text", 256)))
+    known = spark.sparkContext.broadcast(repeated_filter(rows.select("key")))
+
+    @F.pandas_udf("boolean")
+    def may_repeat(*bits: pd.Series) -> pd.Series:
+        found = np.ones(len(bits[0]), bool)
+        for b in bits:
+            at = b.to_numpy(np.int64)
+            found &= (known.value[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pd.Series(found)
+
+    flag = may_repeat(*_probes(F.col("key")))
+    alone = rows.filter(~flag).select("doc_id", "text").mapInPandas(to_shards("one"), f"doc_id long, {PLACE}")
+    repeats = rows.filter(flag)
+    contents = repeats.groupBy("key").agg(F.first("text").alias("text")).sortWithinPartitions("key")
+    places = materialize(contents.mapInPandas(to_shards("many"), f"key binary, {PLACE}"), "places")
+    members = meet(materialize(repeats.select("doc_id", "key"), "members"), places, ["key"])
+    columns = ["doc_id", "shared", "digest", "shard", "offset", "length"]
+    index = alone.withColumn("shared", F.lit(False)).select(*columns).union(members.withColumn("shared", F.lit(True)).select(*columns))
+    return materialize(index, "index"), root
 
 
 def _by_place(index: DataFrame) -> DataFrame:
@@ -170,44 +212,48 @@ class _Ranges:
         return self.file.read(length)
 
 
-def header_columns(index: DataFrame, root: str) -> DataFrame:
-    """The index with ``width, height, depth, n_bytes``, from range reads of 73 bytes a row."""
+def _per_content(index: DataFrame, root: str, read: Callable[[_Ranges, tuple], tuple], added: str) -> DataFrame:
+    """``index`` with the columns ``added`` that ``read`` makes of each stored content; one read for each, however many rows share it."""
+    given = [(f.name, f.dataType.simpleString()) for f in index.schema.fields]
+    schema = ", ".join(f"{n} {t}" for n, t in given) + ", " + added
+    names = [c.split()[0] for c in added.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranges = _Ranges(root)
         for batch in batches:
-            heads = [parse_header(ranges.read(s, o, HEADER_BYTES)) for s, o in zip(batch["shard"], batch["offset"], strict=True)]
-            yield batch.assign(**dict(zip(("width", "height", "depth", "n_bytes"), np.array(heads, np.int64).reshape(-1, 4).T, strict=True)))
+            made = [read(ranges, row) for row in batch.itertuples(index=False)]
+            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(made, columns=names)], axis=1).astype({"doc_id": "Int64"})
 
-    return _by_place(index).mapInPandas(run, f"{INDEX_SCHEMA}, width long, height long, depth long, n_bytes long")
+    alone = _by_place(index.filter("not shared")).mapInPandas(run, schema)
+    shared = index.filter("shared")
+    contents = shared.groupBy(*[c for c in index.columns if c != "doc_id"]).agg(F.lit(None).cast("long").alias("doc_id")).select(*index.columns)
+    found = materialize(_by_place(contents).mapInPandas(run, schema).drop("doc_id"), "contents")
+    members = materialize(shared.select("doc_id", "digest"), "members")
+    return alone.unionByName(meet(members, found, ["digest"]))
+
+
+def header_columns(index: DataFrame, root: str) -> DataFrame:
+    """The index with ``width, height, depth, n_bytes``, from range reads of 73 bytes a content; null ids stay, an empty index stays empty."""
+    read = lambda ranges, row: parse_header(ranges.read(row.shard, row.offset, HEADER_BYTES))
+    return materialize(_per_content(index, root, read, "width long, height long, depth long, n_bytes long"), "headers")
 
 
 def read_media(index: DataFrame, root: str) -> DataFrame:
-    """One row per document, from the stored bytes: sizes, digests and features.
+    """One row per document, from the stored bytes: sizes, digests and features, with its place and what the header says.
 
-    Neighbouring rows with one place in a shard are read and decoded once.
+    ``index`` comes with or without :func:`header_columns`; null ids stay, an
+    empty index stays empty.
     """
     small_batches(index.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranges, last, got = _Ranges(root), None, ()
-        for batch in batches:
-            rows = []
-            for d, digest, shard, offset, length in batch.itertuples(index=False):
-                if (shard, offset) != last:
-                    media, last = ranges.read(shard, offset, length), (shard, offset)
-                    stored = hashlib.sha256(media).hexdigest()
-                    if stored != digest:
-                        raise OSError(f"{shard} at {offset}: content does not match its address")
-                    width, height, depth, n = parse_header(media)
-                    data = decode_png(media)
-                    got = (n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), stored, features(data), shard, offset, width, height)
-                rows.append((d, *got))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-    schema = (
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        "media_sha256 string, feature string, shard string, offset long, width long, height long"
-    )
-    names = [c.split()[0] for c in schema.split(", ")]
-    return _by_place(index).mapInPandas(run, schema)
+    index = index if "n_bytes" in index.columns else header_columns(index, root)
+
+    def read(ranges: _Ranges, row: tuple) -> tuple:
+        media = ranges.read(row.shard, row.offset, row.length)
+        stored = hashlib.sha256(media).hexdigest()
+        if stored != row.digest:
+            raise OSError(f"{row.shard} at {row.offset}: content does not match its address")
+        data = decode_png(media)
+        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), stored, features(data)
+
+    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return _per_content(index, root, read, added).drop("shared")

@@ -3,11 +3,14 @@
 A bounded sample's neighbour graph is cut into balanced parts; a small network
 learns to tell a vector's part from its coordinates.  Every row goes to its most
 probable part; a query goes to the several most probable ones, and the rows
-there are ranked by the exact inner product.
+there are ranked by the exact inner product.  The number of parts grows with the
+rows; beyond :data:`ONE_LEVEL` parts, each of the first level's learns its own
+split into as many again.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probeframe.llm._shared import materialize
+from probeframe.llm._shared import broadcast_if_small, materialize, meet
 
-#: Vectors that the router learns from, neighbours in the graph, hidden units, and bounds of the number of parts.
-SAMPLE, GRAPH_K, HIDDEN, LEAST_PARTS, MOST_PARTS, PART_ROWS = 4000, 10, 64, 8, 256, 2000
-#: Share of the sample's true neighbours that the number of probed parts must reach.
-AIM = 0.97
+#: Vectors that a router learns from, at least and for each of its parts; neighbours in the graph; hidden units.
+SAMPLE, SAMPLE_OF_PART, GRAPH_K, HIDDEN = 4000, 16, 10, 64
+#: Parts at least, rows of a part on the average, and parts that one router tells apart at most.
+LEAST_PARTS, PART_ROWS, ONE_LEVEL = 8, 2000, 256
+#: Share of the sample's true neighbours that the probed parts must hold.
+AIM = 0.95
 #: Rows of a cell and queries of a block: what one task compares at a time.
 CELL_ROWS, BLOCK_QUERIES = 8192, 4096
 
@@ -89,12 +94,12 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, sweeps: int = 8,
     return part
 
 
-def fit_router(x: np.ndarray, parts: int, k: int, seed: int = 5, epochs: int = 60) -> Router:
+def fit_router(x: np.ndarray, parts: int, k: int, aim: float = AIM, seed: int = 5, epochs: int = 60) -> Router:
     """Cuts the sample's graph, trains the network and sets the number of probes.
 
     The network's aim for a vector is the spread of its neighbours over the
     parts.  Probes are the fewest with which a vector's ``k`` neighbours in the
-    sample are found in share :data:`AIM`; a full table's neighbours are nearer
+    sample are found in share ``aim``; a full table's neighbours are nearer
     than a sample's and easier to route to.
     """
     rng = np.random.default_rng(seed)
@@ -134,7 +139,7 @@ def fit_router(x: np.ndarray, parts: int, k: int, seed: int = 5, epochs: int = 6
     np.put_along_axis(where, ranked, np.arange(parts)[None, :].repeat(len(x), 0), 1)
     found_at = np.take_along_axis(where, home[near], 1)  # the probe at which each neighbour is met
     share = np.cumsum(np.bincount(found_at.ravel(), minlength=parts)) / found_at.size
-    net.probes = int(np.searchsorted(share, AIM) + 1)
+    net.probes = min(parts, int(np.searchsorted(share, aim) + 1))
     return net
 
 
@@ -144,96 +149,147 @@ def valid(v: Column) -> Column:
 
 
 def usable_vectors(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """``vec_id, v``: finite vectors that aren't zero, in double precision, of the table's commonest length.
+    """``row, vec_id, v, h1, h2`` of every row with an id and a finite vector that isn't zero, in double precision; a written table.
 
-    Rows without an id take no part; rows that share an id are one vector, the smallest.
+    ``row`` is the row's own key, ``h1, h2`` its vector's: rows may share an id or a vector.
     """
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & valid(F.col("v"))).groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = materialize(rows, "vectors")
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.filter(F.size("v") == (lengths["n"] if lengths else 0))
+    rows = rows.filter(F.col("vec_id").isNotNull() & valid(F.col("v")))
+    return materialize(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("second"), "v").alias("h2")), "vectors")
 
 
-def search(table: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found for every query row, ties to the smaller id.
+def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
+    """``h1, h2, v, n, ids, rows``: every distinct vector, its length, and the ``most`` of its rows with the smallest ids.
 
-    All usable rows are indexed; ``is_query`` is a condition on ``vec_id``.  A
-    part with many rows (a vector that repeats) is spread over cells of about
-    :data:`CELL_ROWS`, and queries come in blocks, so no task holds a part.
+    No more of them can be among a query's ``most`` nearest, as all score alike.
     """
-    rows = usable_vectors(table, vec_id, vector)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()  # a bounded sample
-    n = rows.count()
-    n_queries = rows.filter(is_query).count()
-    if n < 2 or not n_queries:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.stack(sample["v"])
-    parts = int(np.clip(n // PART_ROWS, LEAST_PARTS, MOST_PARTS)) if len(x) >= 50 * LEAST_PARTS else 1
-    parts = min(parts, max(1, len(x) // 15))
-    router = fit_router(x, parts, k)
-    shared, probes = rows.sparkSession.sparkContext.broadcast(router), router.probes
-
-    def routed(probes: int):
-        @F.pandas_udf("array<int>")
-        def route(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for v in batches:
-                yield pd.Series(list(shared.value.parts(np.stack(v), probes).astype(np.int32))) if len(v) else pd.Series([], dtype=object)
-
-        return route
-
-    index = materialize(rows.select("vec_id", "v", F.element_at(routed(1)("v"), 1).alias("part")), "index")
-    anchors = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v", "part").toPandas()  # the sample, with its parts
-    anchors = rows.sparkSession.sparkContext.broadcast((x[:0] if anchors.empty else np.stack(anchors["v"]), anchors["part"].to_numpy()))
-
-    @F.pandas_udf("double")
-    def least_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        """A score that ``k`` vectors of a query's probed parts reach, the query itself not counted; none if the sample has too few of them."""
-        known, part_of = anchors.value
+    by = Window.partitionBy("h1", "h2").orderBy("vec_id", "row")
+    some = rows.withColumn("copy", F.row_number().over(by)).filter(F.col("copy") <= most)
+    copies = F.sort_array(F.collect_list(F.struct("vec_id", "row"))).alias("copies")
+    found = some.groupBy("h1", "h2").agg(F.first("v").alias("v"), copies)
+    return materialize(found.select("h1", "h2", "v", F.size("v").alias("n"), F.col("copies.vec_id").alias("ids"), F.col("copies.row").alias("rows")), "distinct")
+
+
+def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    """Vectors as a router takes them: cut or filled up to its width."""
+    return np.stack([v if len(v) == width else np.pad(v[:width], (0, max(0, width - len(v)))) for v in map(np.asarray, vectors)])
+
+
+def first_level(found: DataFrame, router: Router, probes: int) -> DataFrame:
+    """``found`` with ``part``: a row for each of the ``probes`` most probable parts."""
+    shared, width = found.sparkSession.sparkContext.broadcast(router), len(router.w1)
+
+    @F.pandas_udf("array<int>")
+    def route(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
-            if len(v) and len(known) > k:
-                bounds = []
-                for a in range(0, len(v), 500):
-                    q = np.stack(v[a : a + 500])
-                    scores = q @ known.T
-                    margin = 1e-9 * (1 + np.abs(scores).max(1))
-                    probed = np.zeros((len(q), part_of.max() + 1 + parts), bool)
-                    np.put_along_axis(probed, shared.value.parts(q, probes).astype(np.int64), True, axis=1)
-                    scores[~probed[:, part_of]] = -np.inf
-                    bounds.append(-np.partition(-scores, k, axis=1)[:, k] - margin)
-                yield pd.Series(np.concatenate(bounds))
-            else:
-                yield pd.Series(np.full(len(v), -np.inf))
-
-    cells = index.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CELL_ROWS)).cast("int").alias("cells"))
-    cells = F.broadcast(materialize(cells, "cells"))  # a row for each part, MOST_PARTS at most
-    blocks = -(-n_queries // BLOCK_QUERIES)
-    block_of = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks).cast("long"))
-    queries = rows.filter(is_query).select("vec_id", "v", least_score("v").alias("bound"), block_of.alias("block"), F.explode(routed(router.probes)("v")).alias("part"))
-    queries = queries.join(cells, "part").select("vec_id", "v", "bound", "block", "part", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-    held = index.join(cells, "part").withColumn("cell", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("cells")).cast("int"))
-    held = held.select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "part", "cell")
+            yield pd.Series(list(shared.value.parts(_matrix(v, width), probes).astype(np.int32)) if len(v) else [], dtype=object)
+
+    return found.withColumn("part", F.explode(route("v")))
+
+
+def second_routers(index: DataFrame, parts: int, k: int, width: int, aim: float) -> DataFrame:
+    """``part, router``: of each part, a router that a bounded sample of its rows taught."""
+    some = index.filter(F.size("v") == width).withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("h1", "h2"))).filter(F.col("nth") <= SAMPLE_OF_PART * parts)
+
+    def teach(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows["v"])
+        router = fit_router(x, min(parts, max(1, len(x) // (SAMPLE_OF_PART - 1))), k, aim)
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "router": [pickle.dumps(router)]})
+
+    return materialize(some.select("part", "v").groupBy("part").applyInPandas(teach, "part int, router binary"), "routers")
+
+
+def second_level(found: DataFrame, routers: DataFrame, all_probes: bool) -> DataFrame:
+    """``found`` with ``sub``, the place within its part; a part's rows meet its router by cells of bounded size."""
+    cells = materialize(found.groupBy("part").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cells")), "cells")
+    spread = found.join(F.broadcast(cells), "part").withColumn("cell", F.pmod(F.xxhash64("h1", F.lit(5)), F.col("cells")).cast("int")).drop("cells")
+    # a row for each part, whose number is a root of the rows'
+    routers = routers.join(F.broadcast(cells), "part").select("part", "router", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields)
+
+    def place(rows: pd.DataFrame, taught: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="cell")
+        if not len(rows) or not len(taught):
+            return rows.assign(sub=np.zeros(len(rows), np.int32))
+        router = pickle.loads(taught["router"].iloc[0])
+        ranked = router.parts(_matrix(rows["v"], len(router.w1)), router.probes if all_probes else 1)
+        again = rows.loc[rows.index.repeat(ranked.shape[1])]
+        return again.assign(sub=ranked.ravel().astype(np.int32))
+
+    return spread.groupBy("part", "cell").cogroup(routers.groupBy("part", "cell")).applyInPandas(place, f"{schema}, sub int")
+
+
+def ranked(k: int):
+    """Compares a cell of vectors with a block of queries: of each query, the ``k`` rows with the highest products."""
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(left) and len(right):
-            right = right.sort_values("vec_id", kind="stable")
-            ids, cand = right["vec_id"].to_numpy(), np.stack(right["v"])
-            q_ids, q, floor = left["vec_id"].to_numpy(), np.stack(left["v"]), left["bound"].to_numpy()
-            keep = min(k + 1, len(ids))  # one more, for the query itself
+            right = right.assign(least=[i[0] for i in right["ids"]], row=[r[0] for r in right["rows"]]).sort_values(["least", "row"], kind="stable")
+            ids, rows, cand, q = right["ids"].to_numpy(), right["rows"].to_numpy(), np.stack(right["v"]), np.stack(left["v"])
+            keys, keep = left[["h1", "h2"]].to_numpy(), min(k, len(right))
             for a in range(0, len(q), 256):
                 rough = q[a : a + 256] @ cand.T
-                least = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1]
-                margin = 1e-9 * (1 + np.abs(rough).max(1))
-                for i, (scores, bound) in enumerate(zip(rough, np.maximum(least - margin, floor[a : a + 256]), strict=True)):
-                    some = np.flatnonzero(scores >= bound)
-                    some = some[ids[some] != q_ids[a + i]]
+                least = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1] - 1e-9 * (1 + np.abs(rough).max(1))
+                for i, scores in enumerate(rough):
+                    some = np.flatnonzero(scores >= least[i])
                     exact = (cand[some] * q[a + i]).cumsum(1)[:, -1]  # one order of addition for every row
-                    best = np.argsort(-exact, kind="stable")[:k]  # rows are by id: ties go to the smaller
-                    out += zip([q_ids[a + i]] * len(best), ids[some[best]], exact[best], strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    keys = ["part", "cell", "block"]
-    found = queries.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(nearest, "query_id long, vec_id long, score double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    for j in np.argsort(-exact, kind="stable")[:k]:  # vectors are by id: ties go to the smaller
+                        out += [(*keys[a + i], exact[j], *copy) for copy in zip(ids[some[j]], rows[some[j]], strict=True)]
+        return pd.DataFrame(out, columns=["h1", "h2", "score", "vec_id", "row"]).astype({"h1": "int64", "h2": "int64", "vec_id": "int64", "row": "int64", "score": "float64"})
+
+    return nearest
+
+
+def search(table: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found for every query row, its own row left out, ties to the smaller id.
+
+    ``is_query`` is a condition on ``vec_id``.  All rows are candidates: rows
+    that share an id are rows of their own, with one answer each if they are
+    queries.  Rows without an id and vectors that are null, zero or not finite
+    take no part, nor does a vector against a query of another length.  An empty
+    table gives no rows.  A vector that repeats is compared once, as candidate
+    and as query; a part with many rows is cut into cells and its queries into
+    blocks, and rows go only to blocks that their own part has.
+    """
+    rows = usable_vectors(table, vec_id, vector)
+    every = distinct_vectors(rows, k + 1)
+    asked = materialize(rows.filter(is_query).select("h1", "h2", F.col("row").alias("own"), F.col("vec_id").alias("query_id")), "queries")
+    n = every.count()
+    if not n or not asked.limit(1).count():
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width = every.groupBy("n").count().orderBy(F.desc("count"), "n").first()["n"]
+    wanted = max(LEAST_PARTS, n // PART_ROWS)
+    first = wanted if wanted <= ONE_LEVEL else int(np.ceil(wanted**0.5))
+    second = -(-wanted // first)
+    size = max(SAMPLE, SAMPLE_OF_PART * first)
+    x = np.stack(every.filter(F.col("n") == width).select("v", "h1", "h2").orderBy("h1", "h2").limit(size).toPandas()["v"])  # a bounded sample
+    aim = AIM if second == 1 else AIM**0.5
+    router = fit_router(x, first if len(x) >= 50 * LEAST_PARTS else 1, k, aim)
+
+    index = materialize(first_level(every, router, 1), "index")
+    queries = first_level(every.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "v", "n"), router, router.probes)
+    if second > 1:
+        routers = second_routers(index, second, k, width, aim)
+        index = materialize(second_level(index, routers, False), "second_index")
+        queries = second_level(queries, routers, True)
+    else:
+        index, queries = index.withColumn("sub", F.lit(0)), queries.withColumn("sub", F.lit(0))
+    queries = materialize(queries, "probes")
+
+    leaf = ["n", "part", "sub"]
+    count = lambda t, of, name: t.groupBy(*leaf).agg(F.ceil(F.count("*") / of).cast("int").alias(name))
+    leaves = materialize(count(index, CELL_ROWS, "cells").join(count(queries, BLOCK_QUERIES, "blocks"), leaf), "leaves")
+    leaves = broadcast_if_small(leaves, 1_000_000)
+    salt = lambda m: F.pmod(F.xxhash64("h1", F.lit(3)), F.col(m)).cast("int")
+    every_one = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    held = index.join(leaves, leaf).withColumn("cell", salt("cells")).select("ids", "rows", "v", *leaf, "cell", every_one("blocks").alias("block"))
+    queries = queries.join(leaves, leaf).withColumn("block", salt("blocks")).select("h1", "h2", "v", *leaf, "block", every_one("cells").alias("cell"))
+    keys = [*leaf, "cell", "block"]
+    found = queries.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(ranked(k + 1), "h1 long, h2 long, score double, vec_id long, row long")
+    by = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id", "row")
+    best = found.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= k + 1)
+    best = materialize(best.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "row", "score"))).alias("best")), "best")
+    others = F.slice(F.filter("best", lambda x: x["row"] != F.col("own")), 1, k)
+    answers = meet(asked, best, ["h1", "h2"]).select("query_id", F.posexplode(others).alias("at", "x"))
+    return answers.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

@@ -1,214 +1,276 @@
 """Main text of web pages by a maximum-scoring subsequence (operator 10).
 
-A page is a row of runs: words within one place, and tags.  Words score
-positive and tags negative, by weights that labelled pages give (pages that mark
-their article); a linear scan finds the contiguous region with the highest sum.
-Within it, elements that never hold article text are left out.
+A page is a row of blocks of words and of tags.  Words score positive or, where
+labelled pages have such words outside of their article, negative; tags score
+negative.  A word's score is the log-odds of a logistic regression over what
+stands around it (elements, names in class, id and role, links), a tag's follows
+from where labelled pages have it.  A linear scan finds the contiguous region
+with the highest sum; blocks of it that score negative by themselves are left
+out.  Only scripts, styles and markup are removed by rule.
 """
 
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probeframe.llm._shared import small_batches
 
-#: Labelled pages that weights are learned from, at most, and their length.
-TRAIN_PAGES, TRAIN_CHARS = 1500, 200_000
+#: Labelled pages that weights are learned from, at most, and their length; kinds of surroundings that count.
+TRAIN_PAGES, TRAIN_CHARS, KINDS = 1500, 200_000, 2000
+#: Words that the sample counts as against the prior, steps of the fit, and bounds of a word's score.
+TRAIN_WEIGHT, STEPS, MOST = 2000.0, 300, 3.0
 #: Elements by their part in HTML.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title"}
-NEVER = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "label", "dialog", "menu", "fieldset", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-CONTENT = {"article", "main"}
+MARKS = {"article", "main"}
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Names in class, id or role of elements that aren't article text.
-JUNK = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|topbar|toolbar|"
-    r"comments?|disqus|replies|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|search|complementary|contentinfo)(?:$|[\s_-])", re.I,
+#: What the regression holds before it sees a page, by surrounding; an unknown one weighs nothing.
+PRIOR = (
+    {"bias": 1.0, "inside": 1.0, "outside": -2.0, "in:p": 0.5, "in:h1": 1.0, "in:a": -1.0, "in:header": -1.5}
+    | {f"in:{n}": -4.0 for n in ("nav", "footer", "aside", "form", "button", "select", "option", "textarea", "label", "dialog", "menu", "fieldset", "datalist", "head")}
+    | {f"is:{n}": -4.0 for n in (
+        "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "side", "menu", "nav", "navbar", "navigation",
+        "breadcrumb", "breadcrumbs", "footer", "masthead", "topbar", "toolbar", "comment", "comments", "disqus", "replies", "reply", "cookie", "cookies", "consent", "notice", "notification", "alert",
+        "popup", "modal", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "widget", "search", "complementary", "contentinfo",
+    )}
 )
+#: A surrounding whose prior is this low marks words of a labelled page as no article text.
+UNFIT = -3.0
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 SPACE = re.compile(r"\s+")
+NAMES = re.compile(r"[^\W\d_]+")
 
 
-def runs(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """``(kind, text, junk, content)`` in page order.
+@dataclass
+class Weights:
+    """``of``: log-odds by surrounding; ``tags``: scores of tags, all negative."""
 
-    ``kind`` is ``tag:name`` or ``words:place``, where the place is the nearest
-    block element; junk says that an element around never holds article text,
-    content that an article or main element is around and nothing junk.  Unclosed elements end
-    where their parent does; a page may break off anywhere.
+    of: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
+    tags: dict[str, float] = field(default_factory=dict)
+
+    def tag(self, name: str) -> float:
+        return self.tags.get(name, -0.3)
+
+
+@dataclass
+class Place:
+    """An open element: its name, what is around its words (as features), and whether an article is."""
+
+    name: str
+    around: frozenset[str]
+    marked: bool
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, Place]]:
+    """``(tag, text, place)`` in page order: a tag with an empty text, or a text with an empty tag.
+
+    Unclosed elements end where their parent does; a page may break off
+    anywhere.  Scripts and styles have no text.
     """
-    stack: list[tuple[str, bool, bool]] = []
+    root = Place("body", frozenset(), False)
+    stack: list[Place] = []
+    open_names: Counter = Counter()
+
+    def pop() -> str:
+        name = stack.pop().name
+        open_names[name] -= 1
+        return name
+
     at = 0
     while m := TOKEN.match(page, at):
         at = m.end()
+        here = stack[-1] if stack else root
         text = m["cdata"] if m["cdata"] is not None else m["text"]
-        junk, content = stack[-1][1:] if stack else (False, False)
         if text is not None:
-            if text.strip() or text:
-                place = next((n for n, *_ in reversed(stack) if n not in INLINE), "body")
-                yield f"words:{place}{'!' if junk else ''}", entities.unescape(text), junk, content
+            yield "", entities.unescape(text), here
             continue
         if m["name"] is None:
             continue
         name = m["name"].lower()
         if m["close"]:
-            if any(n == name for n, *_ in stack):
-                while stack.pop()[0] != name:
+            if open_names[name]:
+                while pop() != name:
                     pass
-            junk, content = stack[-1][1:] if stack else (False, False)
-            yield f"tag:{name}", "", junk, content
+            yield name, "", here
             continue
-        while stack and stack[-1][0] in INLINE and name in CLOSED_BY and any(n in CLOSED_BY[name] for n, *_ in stack[-4:]):
-            stack.pop()  # an inline element left open doesn't hold the next block
-        while stack and stack[-1][0] in CLOSED_BY.get(name, ()):
-            stack.pop()
-        junk, content = stack[-1][1:] if stack else (False, False)
-        named = " ".join(next(filter(None, g), "") for g in NAMED.findall(m["attrs"]))
-        page_header = name == "header" and not content
-        own = name in NEVER or page_header or (name not in ("body", "html") and bool(JUNK.search(named)))
-        junk = junk or own
-        content = (content or name in CONTENT) and not junk
-        yield f"tag:{name}", "", junk, content
+        while stack and stack[-1].name in INLINE and name in CLOSED_BY and any(p.name in CLOSED_BY[name] for p in stack[-4:]):
+            pop()  # an inline element left open doesn't hold the next block
+        while stack and stack[-1].name in CLOSED_BY.get(name, ()):
+            pop()
+        here = stack[-1] if stack else root
+        yield name, "", here
         if name in RAW and not m["attrs"].endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
             at = end.start() if end else len(page)
         if name not in VOID and not m["attrs"].endswith("/"):
-            stack.append((name, junk, content))
+            own = {f"is:{n.lower()}" for g in NAMED.findall(m["attrs"]) for n in NAMES.findall(next(filter(None, g), ""))} if name not in ("html", "body") else set()
+            if name not in MARKS and name not in ("html", "body") and (name not in INLINE or name == "a"):
+                own.add(f"in:{name}")
+            stack.append(Place(name, here.around | own, here.marked or name in MARKS))
+            open_names[name] += 1
 
 
-def counts_of(page: str) -> Counter:
-    """Of a labelled page: how many words and tags of each kind stand in its article, and how many outside."""
-    found: Counter = Counter()
-    for kind, text, junk, content in runs(page):
-        found[kind, content and not junk] += len(text.split()) if kind[0] == "w" else 1
-    return found
+@dataclass
+class Block:
+    """Text between two block tags, by the places of its parts; or a tag."""
 
+    tag: str = ""
+    parts: list[tuple[str, Place]] = field(default_factory=list)
 
-def weights_from(counts: Counter) -> dict[str, float]:
-    """A weight for each kind: log-odds of standing in an article.  Words keep a positive and tags a negative sign.
+    def text(self) -> str:
+        return SPACE.sub(" ", "".join(t for t, _ in self.parts)).strip()
 
-    Words of a kind that labelled pages have outside of articles count against a
-    region, as tags do; a kind that none of them has gets its family's default.
-    """
-    weights = {}
-    for kind in {k for k, _ in counts}:
-        inside, outside = counts[kind, True], counts[kind, False]
-        odds = math.log((inside + 1) / (outside + 1))
-        weights[kind] = max(0.1, min(odds, 3.0)) if kind[0] == "w" and odds > 0 else max(-3.0, min(odds, -0.2))
-        if kind[0] == "t":
-            weights[kind] = -0.3 - 1.2 * outside / (inside + outside + 1)
-    return weights
-
-
-def weight_of(kind: str, weights: dict[str, float]) -> float:
-    if kind in weights:
-        return weights[kind]
-    if kind[0] == "t":
-        return -1.0
-    return -1.0 if kind.endswith("!") else 1.0
-
-
-def extract(page: str, weights: dict[str, float]) -> str:
-    """The text of the best region: blocks in page order, one to a line, white space within a block as one space."""
-    row = list(runs(page))
-    inside, outside = _words_by_mark(row)
-    # marked articles are evidence against words outside, as strong as their share of the page's words
-    doubt = 1 - 2 * inside / (inside + outside) if inside else 1.0
-    best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, text, junk, content) in enumerate(row):
-        w = weight_of(kind, weights)
-        if kind[0] == "w" and not content:
-            w = min(w, w * doubt)
-        total += min(w, -0.2) * (len(text.split()) or 0) if junk and kind[0] == "w" else w * len(text.split()) if kind[0] == "w" else w
+
+def blocks(page: str) -> list[Block]:
+    row, parts = [], []
+    for tag, text, place in pieces(page):
+        if not tag or tag == "br":
+            parts.append((text or " ", place))
+        elif tag not in INLINE:
+            if parts:
+                row.append(Block(parts=parts))
+                parts = []
+            row.append(Block(tag))
+    return [*row, Block(parts=parts)]
+
+
+def _odds(weights: dict[str, float], around: frozenset[str], known: dict) -> float:
+    if around not in known:
+        known[around] = weights.get("bias", 0.0) + sum(weights.get(f, 0.0) for f in around)
+    return known[around]
+
+
+def is_marked(row: list[Block], weights: dict[str, float], known: dict) -> bool:
+    """Whether the page's marked articles hold most of the words that score positive by all else."""
+    found = [0, 0]
+    for b in row:
+        for text, place in b.parts:
+            if _odds(weights, place.around, known) > 0:
+                found[place.marked] += len(text.split())
+    return found[1] > found[0]
+
+
+def extract(page: str, weights: Weights) -> str:
+    """The text of the best region: its blocks in page order, one to a line, white space within a block as one space."""
+    row, known = blocks(page), {}
+    side = (weights.of.get("outside", 0.0), weights.of.get("inside", 0.0)) if is_marked(row, weights.of, known) else (0.0, 0.0)
+    best, span, total, start, scores = 0.0, (0, 0), 0.0, 0, []
+    for i, b in enumerate(row):
+        if b.tag:
+            score = weights.tag(b.tag)
+        else:
+            score = sum(len(t.split()) * max(-MOST, min(MOST, _odds(weights.of, p.around, known) + side[p.marked])) for t, p in b.parts)
+        scores.append(score)
+        total += score
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
-            best, best_at = total, (start, i + 1)
-    return blocks(_widen(row, *best_at))
+            best, span = total, (start, i + 1)
+    lines = (row[i].text() for i in range(*span) if scores[i] > 0)
+    return "\n".join(line for line in lines if line)
 
 
-def _words_by_mark(row: list[tuple[str, str, bool, bool]]) -> tuple[int, int]:
-    """Words that aren't junk, inside and outside of marked articles."""
-    found = [0, 0]
-    for kind, text, junk, content in row:
-        if kind[0] == "w" and not junk:
-            found[not content] += len(text.split())
-    return found[0], found[1]
-
-
-def _widen(row: list[tuple[str, str, bool, bool]], start: int, stop: int) -> list[tuple[str, str, bool, bool]]:
-    """The region, grown over short blocks of a marked article that it begins or ends in: they weigh less than the tags around them."""
-    ends = lambda x: x[0][0] == "w" and bool(x[1].strip()) and not x[2] and not x[3]
-    first, last = start, stop
-    if stop > start and row[start][3]:
-        for i in range(start - 1, -1, -1):
-            if ends(row[i]):
-                break
-            first = i if row[i][3] else first
-    if stop > start and row[stop - 1][3]:
-        for i in range(stop, len(row)):
-            if ends(row[i]):
-                break
-            last = i + 1 if row[i][3] else last
-    return row[first:last]
-
-
-def blocks(row: list[tuple[str, str, bool, bool]]) -> str:
-    lines, open_block = [], []
-
-    def close() -> None:
-        line = SPACE.sub(" ", "".join(open_block)).strip()
-        if line:
-            lines.append(line)
-        open_block.clear()
-
-    for kind, text, junk, _ in row:
-        if kind[0] == "w":
-            if not junk:
-                open_block.append(text)
-        elif kind[4:] == "br":
-            open_block.append(" ")
-        elif kind[4:] not in INLINE:
-            close()
-    close()
-    return "\n".join(lines)
-
-
-def learn_weights(pages: DataFrame, html: str = "html") -> dict[str, float]:
-    """Weights from a bounded sample of pages that mark their article, chosen by hash."""
-    marked = pages.select(F.col(html).alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= TRAIN_CHARS))
-    sample = marked.orderBy(F.xxhash64("html"), "html").limit(TRAIN_PAGES)
+def counts_of(page: str) -> Counter:
+    """Of a labelled page: words by surroundings and tags by name, in its article and outside.
+
+    Words count once with the article's mark and once as if there were none,
+    so that all else learns to tell without it.  A page whose articles hold few
+    of its words is no label.
+    """
+    row, found = blocks(page), Counter()
+    if not is_marked(row, PRIOR, {}):
+        return found
+    for i, b in enumerate(row):
+        for text, place in b.parts:
+            n = len(text.split())
+            if n:
+                fit = place.marked and not any(PRIOR.get(f, 0.0) <= UNFIT for f in place.around)
+                found["words " + " ".join(sorted(place.around)), fit] += n
+                found["words " + " ".join(sorted(place.around | {"inside" if place.marked else "outside"})), fit] += n
+        if b.tag:
+            around = [p for x in row[max(0, i - 1) : i + 2] for _, p in x.parts]
+            found[f"tag {b.tag}", bool(around) and all(p.marked for p in around)] += 1
+    return found
+
+
+def weights_from(counts: Counter) -> Weights:
+    """The regression's most likely weights, given the counts and :data:`PRIOR`; without counts the prior.
+
+    A tag costs the more the oftener it stands outside of articles.
+    """
+    kinds = sorted({k for k, _ in counts})
+    tags = {}
+    for kind in kinds:
+        if kind.startswith("tag "):
+            outside, inside = counts[kind, False], counts[kind, True]
+            tags[kind[4:]] = -0.1 - 0.5 * outside / (inside + outside)
+    words = [k for k in kinds if k.startswith("words ")]
+    if not words:
+        return Weights(dict(PRIOR), tags)
+    names = sorted({f for k in words for f in k[6:].split()} | {"bias"} | set(PRIOR))
+    place = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(words), len(names)))
+    for i, k in enumerate(words):
+        x[i, [place[f] for f in ("bias", *k[6:].split())]] = 1
+    fit, unfit = (np.array([counts[k, side] for k in words], float) for side in (True, False))
+    share = TRAIN_WEIGHT / max(TRAIN_WEIGHT, (fit + unfit).sum())
+    prior = np.array([PRIOR.get(f, 0.0) for f in names])
+    w = prior.copy()
+    for _ in range(STEPS):  # Newton's method on a bounded table
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (share * (fit * (1 - p) - unfit * p)) - (w - prior)
+        bend = (x * (share * (fit + unfit) * p * (1 - p))[:, None]).T @ x + np.eye(len(names))
+        step = np.linalg.solve(bend, slope)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return Weights(dict(zip(names, w.tolist(), strict=True)), tags)
+
+
+def learn_weights(pages: DataFrame, html: str = "html") -> Weights:
+    """Weights from a bounded sample of pages that mark their article, chosen by hash.
+
+    The sample's bound is found on the hashes alone, and its pages are read and
+    counted where they are; equal pages count once.
+    """
+    rows = pages.select(F.col(html).alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= TRAIN_CHARS)).withColumn("h", F.xxhash64("html"))
+    last = rows.select("h").distinct().orderBy("h").limit(TRAIN_PAGES).agg(F.max("h")).first()[0]
+    if last is None:
+        return weights_from(Counter())
+    sample = rows.filter(F.col("h") <= last).dropDuplicates(["h"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             total: Counter = Counter()
             for page in batch["html"]:
-                inside, outside = _words_by_mark(list(runs(page)))
-                if inside > outside:  # a page that marks teasers or comments only is no label
-                    total.update(counts_of(page))
+                total.update(counts_of(page))
             yield pd.DataFrame([(k, i, n) for (k, i), n in total.items()], columns=["kind", "inside", "n"])
 
-    found = sample.mapInPandas(count, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
-    # a row for each kind of element: a page's author may invent names, so only the commonest count
-    return weights_from(Counter({(r["kind"], r["inside"]): r["n"] for r in found.orderBy(F.desc("n"), "kind").limit(1000).collect()}))
+    found = sample.select("html").mapInPandas(count, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
+    # a page's author may invent names, so only the commonest kinds count
+    return weights_from(Counter({(r["kind"], r["inside"]): r["n"] for r in found.orderBy(F.desc("n"), "kind", "inside").limit(KINDS).collect()}))
 
 
-def page_texts(pages: DataFrame, weights: dict[str, float] | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def page_texts(pages: DataFrame, weights: Weights | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every row.
 
-    A null page is an empty one; a page without a region has an empty text.
-    Rows that repeat stay rows; other columns are not read.  Without ``weights``
-    they are learned from the table's own labelled pages.
+    A null page is an empty one; a page without a region, and an empty page,
+    have an empty text.  Of regions with the same score the first is taken.  A
+    page of any length is read whole; only the sample for the weights leaves
+    out pages beyond :data:`TRAIN_CHARS`.  Rows that repeat stay rows; other
+    columns are not read.  Without ``weights`` they are learned from the table's
+    own labelled pages, or are the prior if it has none.
     """
     small_batches(pages.sparkSession)
     weights = learn_weights(pages, html) if weights is None else weights

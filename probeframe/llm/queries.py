@@ -24,8 +24,8 @@ def op1_token_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media_shards.read_media(*media_shards.write_media(_read(spark, sf_dir, "documents")))
-    return stored.drop("shard", "offset")  # equal texts in two shards have two places
+    index, root = media_shards.write_media(_read(spark, sf_dir, "documents"))
+    return media_shards.read_media(media_shards.header_columns(index, root), root)
 
 
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

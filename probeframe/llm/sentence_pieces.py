@@ -15,6 +15,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -177,12 +178,19 @@ class Encoder:
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
+@lru_cache(maxsize=2)
+def encoder_of(model_path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    with open(model_path, "rb") as f:
+        return Encoder(f.read())
+
+
 def encode(docs: DataFrame, model_path: str, threads: int = 2, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """``doc_id, n_pieces, ids_crc32, decoded, parity`` and ``ids`` of every text.
 
     ``decoded`` is the text that the ids give back, ``parity`` whether the
     sentencepiece library gives the same ids.  Null texts count as empty (no
-    ids).  Rows that repeat stay rows; other columns are not read.
+    ids); texts of any length are encoded whole; an empty table gives no rows.  Rows that repeat stay rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded string, parity boolean" + ", ids array<int>" * with_ids
@@ -191,7 +199,7 @@ def encode(docs: DataFrame, model_path: str, threads: int = 2, doc_id: str = "do
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
         import sentencepiece
 
-        encoder = Encoder(open(model_path, "rb").read())
+        encoder = encoder_of(model_path)
         peer = sentencepiece.SentencePieceProcessor(model_file=model_path)
         for batch in batches:
             for a in range(0, len(batch), 200):

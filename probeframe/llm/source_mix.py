@@ -1,11 +1,11 @@
 """Mixing sources to target weights (operator 4); DataFrame functions only.
 
 The words of a source, its documents in a pseudorandom order, are cut into
-blocks of fixed length.  The mix is a row of slots; each slot names a source,
-an epoch and a position, and an index permutation of that epoch maps the
-position to a block.  The output shard of each slot is drawn at random, so a
-shard's source counts are one multinomial draw given the totals, which meet
-the targets.  Blocks join slots by (source, index).
+blocks of fixed length.  A source's target gives its number of slots, the last
+of them cut to the word; a multinomial draw deals them to the output shards.
+A shard takes as many of the source's next slots as it drew; a slot's place
+gives its epoch and position, and an index permutation of that epoch maps the
+position to a block.  Blocks join slots by (source, index).
 """
 
 from __future__ import annotations
@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 
 from probeframe.llm._shared import WORD, broadcast_if_small, materialize, word_count
 
-#: Words in a block; documents in a prefix-sum bucket; slots in a chunk and in an output shard.
+#: Words in a block; documents in a prefix-sum bucket; slots in a chunk and, on the average, in an output shard.
 BLOCK_WORDS, BUCKET_DOCS, CHUNK_SLOTS, SHARD_SLOTS = 128, 4096, 8192, 65536
-#: Times that a source may be used at most.
-MOST_EPOCHS = 3
-#: Primes from which an epoch's multiplier is drawn; one that divides the block count is passed over.
-PRIMES = (536870909, 536870879, 536870869, 536870849, 536870839, 536870837, 536870819, 536870813)
+#: Times that a source may be used at most; rounds of the permutation.
+MOST_EPOCHS, ROUNDS = 3, 20
 
 
 def weights_for(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1)) -> DataFrame:
@@ -59,12 +57,18 @@ def targets(sources: DataFrame, most: float = MOST_EPOCHS) -> DataFrame:
     return ranked.select("source", "source_size", "n_docs", "weight", target.cast("double").alias("target"))
 
 
-def index_of(position: Column, n: Column, source: Column, epoch: Column, seed: int) -> Column:
-    """A pseudorandom permutation of 0 to n-1 for each source and epoch: an affine map whose multiplier is prime to n."""
-    draw = F.xxhash64(source, epoch, F.lit(seed))
-    usable = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: F.pmod(n, p) != 0)
-    multiplier = F.element_at(usable, (F.pmod(draw, F.size(usable).cast("long")) + 1).cast("int"))
-    return F.pmod(multiplier * position + F.pmod(draw, F.lit(1 << 31)), n)
+def index_of(position: Column, n: Column, key: Column) -> Column:
+    """A pseudorandom permutation of 0 to n-1 for each ``key``: the swap-or-not shuffle (Hoang, Morris and Rogaway 2012).
+
+    A round pairs x with k - x, for a k drawn from the key, and swaps each pair
+    or not as a bit drawn from key and pair says; it holds for every n.
+    """
+
+    def swap(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
+        return F.when(F.xxhash64(key, r, F.greatest(x, other)) % 2 == 0, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), position, swap)
 
 
 class Mix:
@@ -84,10 +88,13 @@ class Mix:
         self.docs = materialize(rows, "sizes")
         grouped = self.docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
         self.sources = materialize(targets(weights_for(materialize(grouped, "sources"), weights)), "targets")
-        blocks = F.ceil(F.col("source_size") / block)
-        full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-        part = F.least(F.round((F.col("target") - full * F.col("source_size")) / block).cast("long"), blocks)
-        self.plan = self.sources.withColumn("n_blocks", blocks).withColumn("n_slots", F.when(F.col("n_blocks") > 0, full * blocks + part).otherwise(F.lit(0)).cast("long"))
+        size, words = F.col("source_size"), F.floor(F.col("target") + 0.5).cast("long")
+        blocks = F.ceil(size / block).cast("long")
+        full = F.when(size > 0, F.floor(words / size)).otherwise(F.lit(0)).cast("long")
+        rest = words - full * size
+        # a source's last block may be short: it keeps its place at the end of every epoch, so that the rest is counted to the word
+        plan = self.sources.withColumn("n_blocks", blocks).withColumn("last_words", size - (blocks - 1) * block)
+        self.plan = plan.withColumn("n_slots", full * blocks + F.ceil(rest / block).cast("long")).withColumn("cut", rest % block)
         self.placed = self._place()
 
     def _place(self) -> DataFrame:
@@ -106,40 +113,58 @@ class Mix:
         start = (F.col("base") + F.col("upto") - F.col("size")).alias("start")
         return materialize(joined.select("doc_id", "source", "size", "mark", "source_size", "target", "bucket", "rank", start), "placed")
 
-    def slots(self) -> DataFrame:
-        """``source, epoch, position, index, shard``: one row for each block that the mix takes."""
-        chunks = self.plan.filter("n_slots > 0").select(
-            "source", "n_blocks", "n_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK_SLOTS))).alias("chunk")
-        )
+    def shard_counts(self) -> DataFrame:
+        """``source, shard, n_slots, before``: how many of a source's slots each output shard draws, and how many the shards before it drew.
+
+        Every slot draws its shard, so the counts of a source are one
+        multinomial draw; slots are counted where they are drawn.
+        """
+        plan = self.plan.filter("n_slots > 0")
+        chunks = plan.select("source", "n_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK_SLOTS))).alias("chunk"))
         last = F.least((F.col("chunk") + 1) * CHUNK_SLOTS, F.col("n_slots")) - 1
-        slots = chunks.repartition("source", "chunk").select("source", "n_blocks", "n_slots", F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, last)).alias("slot"))
-        epoch, position = F.floor(F.col("slot") / F.col("n_blocks")), F.pmod("slot", "n_blocks")
-        total = self.plan.agg(F.sum("n_slots")).first()[0] or 0
+        draws = chunks.repartition("source", "chunk").select("source", F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, last)).alias("slot"))
+        total = plan.agg(F.sum("n_slots")).first()[0] or 0
         shards = -(-total // SHARD_SLOTS) or 1
+        shard = F.pmod(F.xxhash64("source", "slot", F.lit(self.seed + 1)), F.lit(shards)).alias("shard")
+        counts = draws.groupBy("source", shard).agg(F.count("*").alias("n_slots"))
+        before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("before", F.coalesce(F.sum("n_slots").over(before), F.lit(0)))
+
+    def slots(self) -> DataFrame:
+        """``source, shard, epoch, position, index, take``: one row for each block that the mix takes, and the words it takes of it."""
+        counts = materialize(self.shard_counts(), "counts")
+        plan = self.plan.select(F.col("source").alias("of"), "n_blocks", "last_words", F.col("n_slots").alias("total"), "cut")
+        drawn = counts.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        drawn = drawn.repartition("source", "shard")
+        slots = drawn.select("source", "shard", "n_blocks", "last_words", "total", "cut", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n_slots") - 1)).alias("slot"))
+        slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks"))).withColumn("position", F.pmod("slot", "n_blocks"))
+        whole = F.col("n_blocks") - (F.col("last_words") < self.block).cast("long")  # blocks that are not short
+        moved = index_of(F.col("position"), F.greatest(whole, F.lit(1)), F.xxhash64("source", "epoch", F.lit(self.seed)))
+        words = F.when(F.col("position") < whole, F.lit(self.block)).otherwise(F.col("last_words"))
         return slots.select(
-            "source", epoch.alias("epoch"), position.alias("position"),
-            index_of(position, F.col("n_blocks"), F.col("source"), epoch, self.seed).alias("index"),
-            F.pmod(F.xxhash64("source", "slot", F.lit(self.seed + 1)), F.lit(shards)).alias("shard"),
+            "source", "shard", "epoch", "position", F.when(F.col("position") < whole, moved).otherwise(F.col("position")).alias("index"),
+            F.when((F.col("slot") == F.col("total") - 1) & (F.col("cut") > 0), F.col("cut")).otherwise(words).alias("take"),
         )
 
-    def shard_counts(self) -> DataFrame:
-        """``shard, source, n_slots``: the multinomial draw."""
-        return self.slots().groupBy("shard", "source").agg(F.count("*").alias("n_slots"))
-
     def segments(self) -> DataFrame:
-        """``source, index`` and the piece of a document there: words ``first`` to ``first + words - 1`` of the document."""
+        """``source, index`` and the piece of a document there: words ``first`` to ``first + words - 1`` of the document, from word ``at`` of the block."""
         b, start, size = self.block, F.col("start"), F.col("size")
         spans = self.placed.filter("size > 0").select("*", F.explode(F.sequence(F.floor(start / b), F.floor((start + size - 1) / b))).alias("index"))
         first = F.greatest(F.lit(0), F.col("index") * b - start)
         stop = F.least(size, (F.col("index") + 1) * b - start)
-        return spans.select("source", "index", "doc_id", "mark", "bucket", "rank", first.alias("first"), (stop - first).alias("words"))
+        at = F.greatest(F.lit(0), start - F.col("index") * b)
+        return spans.select("source", "index", "doc_id", "mark", "bucket", "rank", first.alias("first"), (stop - first).alias("words"), at.alias("at"))
 
     def blocks(self) -> DataFrame:
-        """The mix: every slot with the document pieces of its block, ``shard, source, epoch, position, index, doc_id, first, words``."""
+        """The mix: every slot with the document pieces of its block, ``shard, source, epoch, position, index, doc_id, first, words``.
+
+        Null ids and sources are kept; texts without words have no piece.
+        """
         pieces = self.segments().withColumn("s", F.coalesce(F.col("source"), F.lit(""))).withColumn("none", F.col("source").isNull())
-        slots = self.slots().select(F.coalesce(F.col("source"), F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "index", "epoch", "position", "shard")
+        slots = self.slots().select(F.coalesce(F.col("source"), F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "index", "epoch", "position", "shard", "take")
         # both sides grow with the words, whatever size the planner guesses for an exploded sequence
-        return slots.hint("merge").join(pieces, ["s", "none", "index"]).drop("s", "none")
+        joined = slots.hint("merge").join(pieces, ["s", "none", "index"]).drop("s", "none").filter(F.col("take") > F.col("at"))
+        return joined.withColumn("words", F.least("words", F.col("take") - F.col("at"))).drop("take", "at")
 
     def documents(self) -> DataFrame:
         """``doc_id, size, source_size, target, taken`` of every row."""
