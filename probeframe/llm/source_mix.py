@@ -64,11 +64,16 @@ def index_of(position: Column, n: Column, key: Column) -> Column:
     or not as a bit drawn from key and pair says; it holds for every n.
     """
 
-    def swap(x: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
-        return F.when(F.xxhash64(key, r, F.greatest(x, other)) % 2 == 0, other).otherwise(x)
+    def permuted(of: Column) -> Column:
+        def swap(x: Column, r: Column) -> Column:
+            other = F.pmod(F.pmod(F.xxhash64(of["key"], r), of["n"]) - x, of["n"])
+            return F.when(F.xxhash64(of["key"], r, F.greatest(x, other)) % 2 == 0, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), position, swap)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), of["at"], swap)
+
+    # as a lambda's variable, key and n are evaluated once and not in every round
+    once = F.array(F.struct(key.alias("key"), n.alias("n"), position.alias("at")))
+    return F.element_at(F.transform(once, permuted), 1)
 
 
 class Mix:
