@@ -23,12 +23,13 @@ from probeframe.llm._shared import broadcast_if_small, materialize, meet
 
 #: Vectors that a router learns from, at least and for each of its parts; neighbours in the graph; hidden units.
 SAMPLE, SAMPLE_OF_PART, GRAPH_K, HIDDEN = 4000, 16, 10, 64
-#: Parts at least, rows of a part on the average, and parts that one router tells apart at most.
-LEAST_PARTS, PART_ROWS, ONE_LEVEL = 8, 2000, 256
-#: Share of the sample's true neighbours that the probed parts must hold.
-AIM = 0.95
 #: Rows of a cell and queries of a block: what one task compares at a time.
 CELL_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Parts at least, rows of a part on the average (a cell full: each probe of a query gives its nearest, so smaller parts
+#: give more rows to merge), and parts that one router tells apart at most.
+LEAST_PARTS, PART_ROWS, ONE_LEVEL = 8, CELL_ROWS, 256
+#: Share of the sample's true neighbours that the probed parts must hold.
+AIM = 0.95
 
 
 @dataclass
