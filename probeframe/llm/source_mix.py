@@ -100,6 +100,7 @@ class Mix:
         # a source's last block may be short: it keeps its place at the end of every epoch, so that the rest is counted to the word
         plan = self.sources.withColumn("n_blocks", blocks).withColumn("last_words", size - (blocks - 1) * block)
         self.plan = plan.withColumn("n_slots", full * blocks + F.ceil(rest / block).cast("long")).withColumn("cut", rest % block)
+        self.n_shards = -(-(self.plan.agg(F.sum("n_slots")).first()[0] or 0) // SHARD_SLOTS) or 1
         self.placed = self._place()
 
     def _place(self) -> DataFrame:
@@ -127,10 +128,9 @@ class Mix:
         plan = self.plan.filter("n_slots > 0")
         chunks = plan.select("source", "n_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK_SLOTS))).alias("chunk"))
         last = F.least((F.col("chunk") + 1) * CHUNK_SLOTS, F.col("n_slots")) - 1
-        draws = chunks.repartition("source", "chunk").select("source", F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, last)).alias("slot"))
-        total = plan.agg(F.sum("n_slots")).first()[0] or 0
-        shards = -(-total // SHARD_SLOTS) or 1
-        shard = F.pmod(F.xxhash64("source", "slot", F.lit(self.seed + 1)), F.lit(shards)).alias("shard")
+        # few rows that unfold to many: their number of tasks is given, as it wouldn't follow from their bytes
+        draws = chunks.repartition(self.n_shards, "source", "chunk").select("source", F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, last)).alias("slot"))
+        shard = F.pmod(F.xxhash64("source", "slot", F.lit(self.seed + 1)), F.lit(self.n_shards)).alias("shard")
         counts = draws.groupBy("source", shard).agg(F.count("*").alias("n_slots"))
         before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumn("before", F.coalesce(F.sum("n_slots").over(before), F.lit(0)))
@@ -140,7 +140,7 @@ class Mix:
         counts = materialize(self.shard_counts(), "counts")
         plan = self.plan.select(F.col("source").alias("of"), "n_blocks", "last_words", F.col("n_slots").alias("total"), "cut")
         drawn = counts.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-        drawn = drawn.repartition("source", "shard")
+        drawn = drawn.repartition(self.n_shards, "source", "shard")
         slots = drawn.select("source", "shard", "n_blocks", "last_words", "total", "cut", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n_slots") - 1)).alias("slot"))
         slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks"))).withColumn("position", F.pmod("slot", "n_blocks"))
         whole = F.col("n_blocks") - (F.col("last_words") < self.block).cast("long")  # blocks that are not short
