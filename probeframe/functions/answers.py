@@ -115,11 +115,12 @@ def correct_now(extracted: Column, expected: Column, stored: Column, has_extract
 
 def number_text(v: Column) -> Column:
     """Integral values without a decimal point, others as they print."""
-    return F.when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(v.cast("string"))
+    return F.when(v == F.floor(v), v.try_cast("bigint").cast("string")).otherwise(v.cast("string"))
 
 
 def digit_class(v: Column) -> Column:
-    return F.length(F.abs(v.cast("bigint")).cast("string"))
+    """Digits of the whole part; null for what isn't finite or beyond 64 bits."""
+    return F.length(F.abs(v.try_cast("bigint")).cast("string"))
 
 
 def whole_digits(v: Column) -> Column:

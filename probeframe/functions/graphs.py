@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from probeframe.functions.answers import digit_class, number_or_ratio, stated_answer, to_number
+from probeframe.functions.answers import agrees_within, digit_class, number_or_ratio, stated_answer, to_number
 from probeframe.functions.text import let
 
 STEP = r"<<([^>]+?)=([^>]+?)>>"
@@ -153,11 +153,11 @@ def parse(solution: Column, strict: bool = False) -> Column:
     """``struct<nodes, answer, accepted, error>``: the graph and whether it gives the stated answer.
 
     Strict graphs need two nodes, no reference ahead and a relative error under
-    1%; script graphs an absolute error of .01 at most.
+    1%; script graphs an absolute error of .01 at most, and NaN is no error.
     """
 
     def judged(nodes: Column, answer: Column, got: Column) -> Column:
-        close = F.abs(got - answer) / F.greatest(F.abs(answer), F.lit(1e-300)) < 0.01 if strict else F.abs(got - answer) <= 0.01
+        close = F.abs(got - answer) / F.greatest(F.abs(answer), F.lit(1e-300)) < 0.01 if strict else agrees_within(got, answer)
         close = F.when(answer == 0, F.abs(got) < 0.01).otherwise(close) if strict else close
         error = (
             F.when(answer.isNull(), "no answer").when(nodes.isNull(), "no steps").when(F.size(nodes) < 2, "too few nodes")
@@ -168,6 +168,18 @@ def parse(solution: Column, strict: bool = False) -> Column:
     return let(build(solution, strict), lambda nodes: let(stated_answer(solution), lambda answer: let(execute(nodes, not strict), lambda got: judged(nodes, answer, got))))
 
 
+def topological_order(nodes: Column) -> Column:
+    """``array<string>``: node names ``n0, n1, ...`` in dependency order; of those ready, the first by text (n10 before n2). Nodes on a cycle are left out."""
+    name = lambda i: F.concat(F.lit("n"), i.cast("string"))
+    places = F.transform(nodes, lambda n, i: F.struct(name(i).alias("id"), F.transform(n["refs"], name).alias("needs")))
+
+    def step(done: Column, places: Column) -> Column:
+        ready = F.filter(places, lambda p: ~F.array_contains(done, p["id"]) & (F.size(F.array_except(p["needs"], done)) == 0))
+        return let(F.array_min(F.transform(ready, lambda p: p["id"])), lambda found: F.when(found.isNull(), done).otherwise(F.array_append(done, found)))
+
+    return let(places, lambda places: F.aggregate(places, F.array().cast("array<string>"), lambda done, _: step(done, places).cast("array<string>")))
+
+
 def depth(nodes: Column) -> Column:
     """Edges on the longest path."""
     step = lambda done, n: F.concat(done, F.array(F.coalesce(F.array_max(F.transform(n["refs"], lambda r: F.try_element_at(done, r + 1))) + 1, F.lit(0))))

@@ -64,27 +64,28 @@ def replace_word(text: Column, old: Column, new: Column) -> Column:
 def proper_nouns(text: Column) -> Column:
     """Distinct capitalised words of three letters or more, in order of first appearance.
 
-    Stop words don't count; one that opens a sentence does only if it occurs
-    again after that place or was met before.  The text is split where a word starts, so a word's place
-    is the length of what stands before.
+    Quotes around a word don't count as its letters.  Stop words don't count; a
+    word that opens a sentence does only if it was met before or stands alone
+    again in a later word.  Every word is matched with the sentence end before
+    it, if any, so one pass over the text tells which words open a sentence.
     """
-    strip = lambda w: F.regexp_replace(w, "^['’]+|['’]+$", "")
-    place = lambda pieces: F.transform(
-        pieces,
-        lambda p, i: F.struct(
-            strip(F.regexp_extract(p, f"^({WORD})", 1)).alias("word"), F.array_join(F.slice(pieces, 1, i), "").alias("before"),
-            F.concat(F.regexp_replace(p, f"^{WORD}", ""), F.array_join(F.slice(pieces, i + 2, F.size(pieces)), "")).alias("after"),
-        ),
-    )
-    placed = let(F.split(text, f"(?<![{LETTER}'’-])(?=[{LETTER}])"), place)
-    shaped = F.filter(placed, lambda x: (F.length(x["word"]) >= 3) & x["word"].rlike("^[A-ZÀ-ÖØ-Þ]") & ~x["word"].isin(*COMMON, *NUMBER_WORDS))
+    pattern = F.lit(rf"((?:^|[.!?]\s+)(?=[A-ZÀ-ÖØ-Þ]))?({WORD})")
+    pieces = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(2)).alias("raw"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("all"))
 
-    def add(seen: Column, x: Column) -> Column:
-        opens = (F.length(x["before"]) == 0) | x["before"].rlike(r"[.!?]\s+$")
-        keep = ~F.array_contains(seen, x["word"]) & (~opens | (whole_word_count(x["after"], x["word"]) > 0))
-        return F.when(keep, F.array_append(seen, x["word"])).otherwise(seen)
+    def judged(pieces: Column) -> Column:
+        shape = lambda p, i: F.struct(
+            F.regexp_replace(p["raw"], "^['’]+|['’]+$", "").alias("word"), i.alias("at"),
+            ((F.length(p["all"]) > F.length(p["raw"])) | ((i == 0) & text.rlike("^[A-ZÀ-ÖØ-Þ]"))).alias("opens"),
+        )
+        shaped = F.filter(F.transform(pieces, shape), lambda x: (F.length(x["word"]) >= 3) & x["word"].rlike("^[A-ZÀ-ÖØ-Þ]") & ~x["word"].isin(*COMMON, *NUMBER_WORDS))
+        again = lambda x: F.exists(F.slice(pieces, x["at"] + 2, F.size(pieces)), lambda p: F.contains(p["raw"], x["word"]) & (whole_word_count(p["raw"], x["word"]) > 0))
 
-    return F.aggregate(shaped, F.array().cast("array<string>"), lambda seen, x: add(seen, x).cast("array<string>"))
+        def add(seen: Column, x: Column) -> Column:
+            return F.when(~F.array_contains(seen, x["word"]) & (~x["opens"] | again(x)), F.array_append(seen, x["word"])).otherwise(seen)
+
+        return F.aggregate(shaped, F.array().cast("array<string>"), lambda seen, x: add(seen, x).cast("array<string>"))
+
+    return let(pieces, judged)
 
 
 def suffix_artifact(original: Column, candidate: Column) -> Column:
@@ -100,20 +101,22 @@ def suffix_artifact(original: Column, candidate: Column) -> Column:
     return F.when((candidate != original) & (n >= 4) & (F.length(candidate) > n), F.right(original, found))
 
 
+#: Phrases after, and words before, a number that is a conversion factor; characters in which they must stand.
+CONVERSIONS_AFTER = [
+    "per hour", "per minute", "per day", "per week", "per month", "per year", "percent", "%", "minutes in", "hours in", "days in", "out of", "in a dozen", "in a foot",
+    "in a pound", "in a kilogram", "in a meter",
+]
+CONVERSIONS_BEFORE, NEAR = ["every ", "each "], 20
+
+
 def conversion_values(text: Column) -> Column:
-    """Known constants that stand in a conversion's context: a phrase within 20 characters after, or one of two before."""
-    phrases = "per hour|per minute|per day|per week|per month|per year|percent|%|minutes in|hours in|days in|out of|in a dozen|in a foot|in a pound|in a kilogram|in a meter"
-    place = lambda pieces: F.transform(
-        pieces,
-        lambda p, i: F.struct(
-            F.regexp_extract(p, rf"^({'[0-9]+(?:[.][0-9]+)?'})", 1).alias("number"),
-            F.lower(F.right(F.array_join(F.slice(pieces, 1, i), ""), F.lit(20))).alias("before"),
-            F.lower(F.substring(F.concat(F.regexp_replace(p, r"^[0-9]+(?:[.][0-9]+)?", ""), F.array_join(F.slice(pieces, i + 2, F.size(pieces)), "")), 1, 20)).alias("after"),
-        ),
-    )
-    placed = let(F.split(text, r"(?=\b\d+(?:\.\d+)?\b)(?<![\d.])"), place)
-    hit = F.filter(placed, lambda x: (x["number"] != "") & (x["after"].rlike(phrases) | x["before"].rlike("every |each ")) & x["number"].try_cast("double").cast("bigint").isin(*KNOWN_CONSTANTS))
-    return F.array_distinct(F.transform(hit, lambda x: x["number"].try_cast("double")))
+    """Known constants that stand in a conversion's context: a phrase within 20 characters after, or one of two before; one pass over the text."""
+    number = r"(?<![\d.])\b\d+(?:\.\d+)?\b"
+    before = "|".join(f"(?<={w}[\\s\\S]{{0,{NEAR - len(w)}}})" for w in CONVERSIONS_BEFORE)
+    after = "|".join(f"[\\s\\S]{{0,{NEAR - len(w)}}}{w}" for w in CONVERSIONS_AFTER)
+    found = F.regexp_extract_all(text, F.lit(f"(?i)((?:{before}){number}|{number}(?={after}))"), F.lit(1))
+    values = F.transform(found, lambda t: t.try_cast("double"))
+    return F.array_distinct(F.filter(values, lambda v: v.cast("bigint").isin(*KNOWN_CONSTANTS)))
 
 
 def replace_numbers(text: Column, changes: Column) -> Column:

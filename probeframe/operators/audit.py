@@ -111,6 +111,12 @@ def entity_failures(pairs: DataFrame) -> DataFrame:
     return artifacts.unionByName(leftover).unionByName(uneven).unionByName(twice).unionByName(flagged)
 
 
+def items_by_failure(pairs: DataFrame, failures: DataFrame) -> DataFrame:
+    """``item_id, has_failures`` of every item."""
+    failing = failures.select("item_id").distinct().withColumn("bad", F.lit(True))
+    return pairs.select("item_id").distinct().join(failing, "item_id", "left").select("item_id", F.coalesce("bad", F.lit(False)).alias("has_failures"))
+
+
 def repaired(question: Column, variant_question: Column) -> Column:
     """The variant's text with one replacement for each original name, where artifacts or leftovers show that one was tried."""
     names = tx.proper_nouns(question)

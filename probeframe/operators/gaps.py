@@ -75,25 +75,37 @@ def pooled_gaps(counts: DataFrame) -> DataFrame:
     return kept.select("model", "n_items", orig.alias("acc_orig"), iso.alias("acc_iso"), (orig - iso).alias("delta"))
 
 
-def running_accuracy(attempts: DataFrame, buckets: int = 64) -> DataFrame:
+#: Attempts of a slice of :func:`running_accuracy`, on the average.
+SLICE_ROWS = 8192
+
+
+def running_accuracy(attempts: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Accuracy of each model over its attempts so far, in the order of (ts, event_id).
 
-    Prefix sums in two levels: within time slices of a model, and over the
-    slices' totals, so that no task holds a whole model.
+    Prefix sums in two levels: within slices of a model's time, and over the
+    slices' totals.  Seconds are counted first and cut into slices by how many
+    attempts came before them, so a burst is cut up to the second and the
+    number of slices grows with the rows.
     """
-    ends = attempts.groupBy("model").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    width = F.greatest(F.lit(1), F.ceil((seconds("t1") - seconds("t0") + 1) / buckets))
-    rows = attempts.join(ends, "model").withColumn("slice", F.floor((seconds("ts") - seconds("t0")) / width)).drop("t0", "t1")
-    rows = rows.withColumn("right", F.coalesce(F.col("correct"), F.lit(False)).cast("long"))
-    sums = rows.groupBy("model", "slice").agg(F.count("*").alias("n"), F.sum("right").alias("r"))
-    before = Window.partitionBy("model").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = attempts.withColumn("second", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)).withColumn("right", F.coalesce(F.col("correct"), F.lit(False)).cast("long"))
+    seconds = rows.groupBy("model", "second").agg(F.count("*").alias("n"), F.sum("right").alias("r"))
+    # the seconds' own sums, again in two levels: by day and within the day
+    day = F.floor(F.col("second") / 86_400)
+    days = seconds.groupBy("model", day.alias("day")).agg(F.sum("n").alias("n"), F.sum("r").alias("r"))
+    before = Window.partitionBy("model").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
-    sums = sums.select("model", "slice", F.coalesce(F.sum("n").over(before), zero).alias("n0"), F.coalesce(F.sum("r").over(before), zero).alias("r0"))
-    within = Window.partitionBy("model", "slice").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("n1", F.count("*").over(within)).withColumn("r1", F.sum("right").over(within))
-    done = F.col("n0") + F.col("n1")
-    return rows.join(sums, ["model", "slice"]).select("model", "event_id", done.alias("n_done"), ((F.col("r0") + F.col("r1")) / done).alias("accuracy"))
+    days = days.select("model", "day", F.coalesce(F.sum("n").over(before), zero).alias("n_day"), F.coalesce(F.sum("r").over(before), zero).alias("r_day"))
+    inside = Window.partitionBy("model", "day").orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    placed = seconds.withColumn("day", day).join(days, ["model", "day"])
+    placed = placed.select(
+        "model", "second", (F.col("n_day") + F.coalesce(F.sum("n").over(inside), zero)).alias("n0"), (F.col("r_day") + F.coalesce(F.sum("r").over(inside), zero)).alias("r0")
+    )
+    joined = rows.join(placed, ["model", "second"]).withColumn("slice", F.floor(F.col("n0") / slice_rows))
+    first = Window.partitionBy("model", "slice").orderBy("second", "ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    base = Window.partitionBy("model", "slice")
+    done = F.min("n0").over(base) + F.count("*").over(first)
+    right = F.min("r0").over(base) + F.sum("right").over(first)
+    return joined.select("model", "event_id", done.alias("n_done"), (right / done).alias("accuracy"))
 
 
 def histogram(items: DataFrame, low: float = -0.5, high: float = 1.0, bins: int = 20) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probeframe.functions.text import let
+from probeframe.operators.scratch import written
 
 #: Words of a shingle; words of the key that candidates share.
 SHINGLE, KEY_WORDS = 5, 3
+#: Items up to which their keys are broadcast; short items that go to the documents at once.
+MOST_BROADCAST, BLOCK_ITEMS = 50_000, 1_000
 
 
 def words(text: Column) -> Column:
@@ -22,20 +25,45 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
     return let(words(text), runs)
 
 
+def _keys(words: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` words."""
+    runs = F.transform(words, lambda w, i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]))
+    return F.slice(runs, 1, F.greatest(F.size(words) - size + 1, F.lit(0)))
+
+
 def containments(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id`` where the document's text holds the item's whole text.
 
     What stands between an item's first and last word are whole words of the
-    document too, so the three words from the second on are the key of the
-    join; only documents that share it are searched.  Items under five words
-    have no such key and are left out.
+    document too, so up to three words from the second on are the key of the
+    join; only documents that share it are searched.  Items of one or two words
+    have nothing between: each block of :data:`BLOCK_ITEMS` of them goes to the
+    documents as one row.  An empty item is in every text; nulls are in none.
     """
-    listed = items.select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") >= KEY_WORDS + 2)
-    listed = listed.select("item_id", "item", F.xxhash64(F.array_join(F.slice("w", 2, KEY_WORDS), " ")).alias("key"))
-    runs = docs.select("doc_id", F.explode(F.array_distinct(F.transform(shingles(F.col("text"), KEY_WORDS), lambda s: F.xxhash64(s)))).alias("key"))
-    near = runs.join(listed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    found = near.join(docs.select("doc_id", "text"), "doc_id").join(listed.select("item_id", "item"), "item_id")
-    return found.filter(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
+    listed = items.filter("text is not null").select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w"))
+    size = F.least(F.size("w") - 2, F.lit(KEY_WORDS))
+    listed = written(listed.select("item_id", "item", "w", size.alias("size")))
+    parts = []
+    for k in range(1, KEY_WORDS + 1):
+        keyed = listed.filter(F.col("size") == k).select("item_id", "item", F.xxhash64(*[F.get("w", j + 1) for j in range(k)]).alias("key"))
+        n = keyed.limit(MOST_BROADCAST + 1).count()
+        if n:
+            each = docs.select("doc_id", F.explode(_keys(words(F.col("text")), k)).alias("key"))
+            keys = keyed.select("item_id", "key")
+            near = each.join(F.broadcast(keys) if n <= MOST_BROADCAST else keys, "key").select("doc_id", "item_id").distinct()
+            found = near.join(docs.select("doc_id", "text"), "doc_id").join(keyed.select("item_id", "item"), "item_id")
+            parts.append(found.filter(F.contains("text", F.col("item"))).select("doc_id", "item_id"))
+    short = listed.filter("size <= 0").withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(-(-listed.filter("size <= 0").count() // BLOCK_ITEMS) or 1)))
+    for row in short.select("block").distinct().toLocalIterator():
+        block = short.filter(F.col("block") == row["block"]).agg(F.collect_list(F.struct("item_id", "item")).alias("some"))
+        held = docs.crossJoin(F.broadcast(block)).select("doc_id", F.explode(F.filter("some", lambda x: F.contains("text", x["item"]))).alias("x"))
+        parts.append(held.select("doc_id", "x.item_id"))
+    if not parts:
+        return docs.select("doc_id").crossJoin(items.select("item_id").limit(0)).limit(0)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.distinct()
 
 
 def similar(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Writes ``df`` under ``spark.checkpoint.dir`` (a temporary folder where it is unset) and returns a scan of it."""
+    """Writes ``df`` under ``spark.checkpoint.dir`` (a temporary folder where it is unset and the master is local) and returns a scan of it."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="probeframe-"))
         root = spark.sparkContext.getCheckpointDir()
     path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"

@@ -67,6 +67,27 @@ def stride_sample(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return placed.crossJoin(F.broadcast(total)).filter((F.col("position") % step == 0) & (F.col("position") < step * n)).drop("total")
 
 
+def seeded_shuffle(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """``rows`` with ``shuffle_key`` and their ``position``, from 0, in the order of a hash of ``key`` and ``seed``; the same at every run.
+
+    Positions are prefix sums over the hash's first 16 bits, so no task sorts the table; ``key`` is unique.
+    """
+    keyed = rows.withColumn("shuffle_key", F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))), 256))
+    keyed = keyed.withColumn("__part", F.substring("shuffle_key", 1, 4))
+    sums = keyed.groupBy("__part").agg(F.count("*").alias("__n"))
+    sums = sums.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))  # 65,536 rows at most
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy("shuffle_key", key)) - 1
+    return keyed.withColumn("__nth", nth).join(sums, "__part").withColumn("position", F.col("__base") + F.col("__nth")).drop("__part", "__nth", "__base")
+
+
+def any_of(*ids: DataFrame) -> DataFrame:
+    """The ids that at least one of the tables has."""
+    found = ids[0]
+    for more in ids[1:]:
+        found = found.union(more)
+    return found.distinct()
+
+
 def tagged(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``rows`` with ``rejected_by``: the name of the first rule that a row breaks, null for none."""
     found = F.lit(None).cast("string")

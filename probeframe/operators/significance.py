@@ -7,6 +7,7 @@ counts, so a model has few distinct ones however many items there are.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -14,10 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probeframe.operators.scratch import written
+
 #: Decimals to which gaps count as equal.
 TIE_DECIMALS = 9
 #: Vectors under this length (zeros counted) get exact sign-flip p-values.
 EXACT_BELOW = 13
+#: Items up to which a model's interval is resampled item by item, as published.
+EXACT_ITEMS = 2000
 
 
 def tied_ranks(values: DataFrame, by: str, value: str) -> DataFrame:
@@ -96,23 +101,36 @@ def bootstrap_exact(deltas: list[float], draws: int = 5000, seed: int = 2026) ->
     return float(low), float(high)
 
 
-def bootstrap(items: DataFrame, draws: int = 5000, seed: int = 2026, decimals: int = 6) -> DataFrame:
-    """Percentile interval of each model's mean gap.
+def bootstrap(items: DataFrame, draws: int = 5000, seed: int = 2026, exact_items: int = EXACT_ITEMS) -> DataFrame:
+    """Percentile interval of each model's mean gap, ``model, boot_low, boot_high``.
 
-    Resampling rows is a multinomial draw over the counts of distinct gaps, so a
-    model's task gets its distinct gaps (2 million at most at six decimals), not its items.
+    A model with at most ``exact_items`` items is resampled as published, its
+    items in order.  Beyond, resampling is Poisson: each distinct gap, which n
+    items share, counts Poisson(n) times in each draw, from a generator that
+    model and gap seed; draws are summed by task, so none holds a model's items.
     """
-    counts = items.groupBy("model", F.round("delta", decimals).alias("d")).agg(F.count("*").alias("n"))
-
-    def resample(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("d")
-        n, d = group["n"].to_numpy(), group["d"].to_numpy()
-        rng = np.random.default_rng(seed)
-        means = np.concatenate([rng.multinomial(n.sum(), n / n.sum(), size=min(100, draws - a)) @ d for a in range(0, draws, 100)]) / n.sum()
-        low, high = np.percentile(means, [2.5, 97.5])
+    counted = written(items.groupBy("model").agg(F.count("*").alias("items")))
+    rows = items.join(counted, "model")
+
+    def short(group: pd.DataFrame) -> pd.DataFrame:  # at most exact_items rows
+        low, high = bootstrap_exact(list(group.sort_values("item_id", kind="stable")["delta"]), draws, seed)
         return pd.DataFrame({"model": [group["model"].iloc[0]], "boot_low": [low], "boot_high": [high]})
 
-    return counts.groupBy("model").applyInPandas(resample, "model string, boot_low double, boot_high double")
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for model, group in batch.groupby("model", sort=True):
+                weights, sums = np.zeros(draws), np.zeros(draws)
+                for key, d, n in zip(group["key"], group["d"], group["n"], strict=True):
+                    w = np.random.default_rng([seed, key & (1 << 63) - 1]).poisson(n, draws)
+                    weights += w
+                    sums += w * d
+                yield pd.DataFrame({"model": model, "draw": np.arange(draws), "w": weights, "s": sums})
+
+    exact = rows.filter(F.col("items") <= exact_items).select("model", "item_id", "delta").groupBy("model").applyInPandas(short, "model string, boot_low double, boot_high double")
+    counts = rows.filter(F.col("items") > exact_items).groupBy("model", F.col("delta").alias("d")).agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("model", "d"))
+    means = counts.mapInPandas(draw, "model string, draw int, w double, s double").groupBy("model", "draw").agg((F.sum("s") / F.sum("w")).alias("mean"))
+    wide = means.groupBy("model").agg(F.percentile("mean", F.lit(0.025)).alias("boot_low"), F.percentile("mean", F.lit(0.975)).alias("boot_high"))
+    return exact.unionByName(wide)
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -271,22 +289,26 @@ def flag_overlap(items: DataFrame, flag: float = 0.5) -> DataFrame:
     return pairs.join(common, ["model_a", "model_b"], "left").select("model_a", "model_b", both.alias("n_both"), (both / (F.col("na") + F.col("nb") - both)).alias("jaccard"))
 
 
-def fit_2pl(rates: DataFrame, rounds: int = 12, ridge: float = 0.01) -> tuple[DataFrame, DataFrame]:
+def fit_2pl(rates: DataFrame, rounds: int = 40, ridge: float = 0.01, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """Two-parameter item response fit of ``model, item_id, rate``: abilities ``model, theta`` and items ``item_id, a, b``.
 
     Alternating penalised Newton steps.  Each step is a join of the long table
     with the current parameters and a sum of derivatives by model or item: no
     matrix of models by items is ever gathered.  Rates, not only 0 and 1, are
-    allowed; log a is held within 2 and abilities are centred at the end.
+    allowed; log a is held within 2 and abilities are centred at the end.  Shift
+    and scale of the whole, which only the penalty knows and single steps hardly
+    move, are set anew in each round from a few sums (:func:`_gauge`).  It ends
+    when no ability moves by ``tolerance`` in a round, or after ``rounds``.
     """
-    from probeframe.operators.scratch import written
-
     logit = lambda c: F.log(F.greatest(F.lit(0.05), F.least(F.lit(0.95), c)) / (1 - F.greatest(F.lit(0.05), F.least(F.lit(0.95), c))))
+    rates = written(rates)
     models = written(rates.groupBy("model").agg(logit(F.avg("rate")).alias("theta")))
     items = written(rates.groupBy("item_id").agg(F.lit(0.0).alias("la"), (-logit(F.avg("rate"))).alias("b")))
     clip = lambda c, m: F.greatest(F.lit(-m), F.least(F.lit(m), c))
+    few = models.count() <= 100_000
+    side = lambda m: F.broadcast(m) if few else m
     for _ in range(rounds):
-        rows = rates.join(items, "item_id").join(F.broadcast(models) if models.count() <= 100_000 else models, "model")
+        rows = rates.join(items, "item_id").join(side(models), "model")
         a = F.exp("la")
         p = 1 / (1 + F.exp(-clip(a * (F.col("theta") - F.col("b")), 30.0)))
         e, w = F.col("rate") - p, p * (1 - p)
@@ -295,8 +317,64 @@ def fit_2pl(rates: DataFrame, rounds: int = 12, ridge: float = 0.01) -> tuple[Da
             F.first("la").alias("la"), F.first("b").alias("b"), F.sum(-a * e).alias("gb"), F.sum(a * a * w).alias("hb"), F.sum(a * s * e).alias("ga"), F.sum(a * a * s * s * w).alias("ha")
         )
         items = written(grads.select("item_id", clip(F.col("la") + clip((F.col("ga") - 2 * ridge * F.col("la")) / (F.col("ha") + 2 * ridge + 0.05), 0.5), 2.0).alias("la"), (F.col("b") + clip((F.col("gb") - 2 * ridge * F.col("b")) / (F.col("hb") + 2 * ridge), 1.0)).alias("b")))
-        rows = rates.join(items, "item_id").join(F.broadcast(models) if models.count() <= 100_000 else models, "model")
+        rows = rates.join(items, "item_id").join(side(models), "model")
         grads = rows.groupBy("model").agg(F.first("theta").alias("theta"), F.sum(a * e).alias("g"), F.sum(a * a * w).alias("h"))
-        models = written(grads.select("model", (F.col("theta") + clip((F.col("g") - 2 * ridge * F.col("theta")) / (F.col("h") + 2 * ridge), 1.0)).alias("theta")))
+        step = clip((F.col("g") - 2 * ridge * F.col("theta")) / (F.col("h") + 2 * ridge), 1.0)
+        moved = written(grads.select("model", (F.col("theta") + step).alias("theta"), F.abs(step).alias("step")))
+        shift, scale = _gauge(moved, items)
+        models = written(moved.select("model", ((F.col("theta") + shift) * scale).alias("theta")))
+        items = items.select("item_id", clip(F.col("la") - math.log(scale), 2.0).alias("la"), ((F.col("b") + shift) * scale).alias("b"))
+        if (moved.agg(F.max("step")).first()[0] or 0.0) + abs(shift) + abs(math.log(scale)) < tolerance:
+            break
     centred = models.select("model", (F.col("theta") - F.avg("theta").over(Window.partitionBy())).alias("theta"))
     return centred, items.select("item_id", F.exp("la").alias("a"), "b")
+
+
+def _gauge(models: DataFrame, items: DataFrame) -> tuple[float, float]:
+    """The shift of all abilities and difficulties, and their scale against the discriminations, with the least penalty."""
+    t = models.agg(F.count("*"), F.sum("theta"), F.sum(F.col("theta") * F.col("theta"))).first()
+    b = items.agg(F.count("*"), F.sum("b"), F.sum(F.col("b") * F.col("b")), F.sum("la")).first()
+    if not t[0] or not b[0]:
+        return 0.0, 1.0
+    shift = -(t[1] + b[1]) / (t[0] + b[0])
+    squares = t[2] + b[2] + 2 * shift * (t[1] + b[1]) + shift * shift * (t[0] + b[0])
+    u = 0.0
+    for _ in range(30):
+        grown = squares * math.exp(2 * u)
+        u -= max(-0.5, min(0.5, (grown - b[3] + b[0] * u) / (2 * grown + b[0])))
+    return shift, math.exp(u)
+
+
+def weighted_gap(items: DataFrame, fitted: DataFrame) -> DataFrame:
+    """``model, delta_raw, delta_weighted``: the mean gap, and that of gaps times the item's discrimination ``a``."""
+    return items.join(fitted.select("item_id", "a"), "item_id").groupBy("model").agg(F.avg("delta").alias("delta_raw"), F.avg(F.col("a") * F.col("delta")).alias("delta_weighted"))
+
+
+def gap_tests(items: DataFrame) -> DataFrame:
+    """``model, n, mean, t, df, t_p``: :func:`one_sample_t` with its two-sided p."""
+    t = one_sample_t(items)
+    return t.withColumn("t_p", t_p(F.col("t"), F.col("df").cast("double")))
+
+
+def rescored_report(items: DataFrame) -> DataFrame:
+    """A row for each model: accuracies, gap, resampled interval, rank-test and t-test p, and the verdicts of the three rule sets that need a p."""
+    from probeframe.functions import verdicts
+    from probeframe.operators.gaps import model_gaps
+
+    base = model_gaps(items).select("model", "n_items", "acc_orig", "acc_iso", "delta", "se_pop", "n_flagged")
+    ranks = rank_test(items).select("model", F.col("p_table").alias("rank_p"), "p_report")
+    rows = base.join(bootstrap(items), "model").join(ranks, "model").join(gap_tests(items).select("model", "t", "df", "t_p"), "model")
+    delta, p = F.col("delta"), F.col("rank_p")
+    return rows.withColumn("rescored", verdicts.rescored(delta, F.col("t_p"), F.col("acc_orig"))).withColumn("tabled", verdicts.tabled(delta, p)).withColumn("documented", verdicts.documented(delta, p))
+
+
+def report_rows(report: DataFrame) -> DataFrame:
+    """``model, line, latex``: each row of :func:`rescored_report` as text and as a table row; a p under .001 is shown as such."""
+    percent = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
+    p = F.when(F.col("rank_p") < 0.001, "p<0.001").otherwise(F.format_string("p=%.3f", F.col("rank_p")))
+    interval = F.format_string("[%+.3f, %+.3f]", "boot_low", "boot_high")
+    gap = F.format_string("%+.3f", "delta")
+    line = F.concat_ws("  ", "model", percent("acc_orig"), percent("acc_iso"), gap, interval, p, "tabled")
+    escaped = lambda c: F.replace(F.replace(c, F.lit("_"), F.lit("\\_")), F.lit("%"), F.lit("\\%"))
+    row = F.concat_ws(" & ", escaped(F.col("model")), escaped(percent("acc_orig")), escaped(percent("acc_iso")), gap, interval, F.replace(F.replace(p, F.lit("p<"), F.lit("$<$")), F.lit("p="), F.lit("")), "tabled")
+    return report.select("model", line.alias("line"), F.concat(row, F.lit(" \\\\")).alias("latex"))

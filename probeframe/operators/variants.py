@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from probeframe.functions import graphs
 from probeframe.functions import text as tx
-from probeframe.functions.answers import number_text
+from probeframe.functions.answers import digit_class, number_text
 from probeframe.functions.graphs import let
 
 #: Attempts for each variant, and bounds of the new answer against the old.
@@ -66,19 +66,26 @@ def roles(nodes: Column, question: Column) -> Column:
     return let(tx.whole_numbers(question), lambda shown: let(as_values(shown), lambda found: let(leaves(nodes), lambda own: let(tx.conversion_values(question), lambda guarded: of(shown, found, own, guarded)))))
 
 
-def choices(value: Column, most: int = 999) -> Column:
-    """Whole numbers with as many digits as ``value``, a fifth away from it or more, known constants apart.
+def draw_like(value: Column, used: Column, seed: Column, tries: int = 12) -> Column:
+    """A whole number with as many digits as ``value``, a fifth away from it or more, none of ``used`` and no known constant.
 
-    Above three digits the range is thinned to at most ``most`` evenly spaced
-    numbers, so that the list's size doesn't follow the value.
+    Draws run over the whole range, one after the other by hash of ``seed`` and
+    the try; a range of one digit is tried through in order instead.  Null if
+    every try fails.
     """
     size = F.abs(value.cast("bigint"))
     digits = F.length(size.cast("string"))
     low = F.when(digits == 1, F.lit(2).cast("bigint")).otherwise(F.pow(F.lit(10.0), digits - 1).cast("bigint"))
     high = F.when(digits == 1, F.lit(9).cast("bigint")).otherwise(F.pow(F.lit(10.0), digits).cast("bigint") - 1)
-    step = F.greatest(F.lit(1).cast("bigint"), F.floor((high - low) / most))
     away = F.greatest(F.lit(1).cast("bigint"), (F.abs(value) * 0.2).cast("bigint"))
-    return F.filter(F.sequence(low, high, step), lambda c: (F.abs(c - size) >= away) & ~c.isin(*tx.KNOWN_CONSTANTS))
+
+    def first(low: Column, n: Column, away: Column) -> Column:
+        at = lambda i: low + F.pmod(F.when(n <= 8, F.xxhash64(seed) % 8 + i).otherwise(F.xxhash64(seed, i)), n)
+        fits = lambda c: (F.abs(c - size) >= away) & ~c.isin(*tx.KNOWN_CONSTANTS) & ~F.array_contains(used, c)
+        found = F.aggregate(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(None).cast("bigint"), lambda got, i: F.when(got.isNotNull(), got).otherwise(let(at(i), lambda c: F.when(fits(c), c))))
+        return found
+
+    return let(low, lambda low: let(high - low + 1, lambda n: let(away, lambda away: first(low, n, away))))
 
 
 def drawn(nodes: Column, role: Column, seed: Column) -> Column:
@@ -89,15 +96,12 @@ def drawn(nodes: Column, role: Column, seed: Column) -> Column:
     kind = "struct<used:array<bigint>,new:array<double>>"
 
     def pick(state: Column, n: Column) -> Column:
-        place = lambda free: (F.pmod(F.xxhash64(seed, F.size(state["new"])), F.greatest(F.size(free), F.lit(1)).cast("bigint")) + 1).cast("int")
-        got = let(F.filter(choices(n["value"]), lambda c: ~F.array_contains(state["used"], c)), lambda free: F.try_element_at(free, place(free)))
+        got = draw_like(n["value"], state["used"], F.xxhash64(seed, F.size(state["new"])))
         changed = let(got, lambda got: F.struct(F.concat(state["used"], F.array(F.coalesce(got, F.lit(-1).cast("bigint")))).alias("used"), F.array_append(state["new"], got.cast("double") * F.signum(n["value"])).alias("new")))
         return F.when(variable(n), changed.cast(kind)).otherwise(F.struct(state["used"].alias("used"), F.array_append(state["new"], n["value"]).alias("new")).cast(kind))
 
     new = F.aggregate(own, F.struct(fixed.alias("used"), F.array().cast("array<double>").alias("new")).cast(kind), lambda s, n: pick(s, n).cast(kind))["new"]
     place = lambda i: F.size(F.filter(F.slice(nodes, 1, i + 1), lambda n: n["op"] == "assign"))
-    from probeframe.functions.answers import digit_class
-
     def moved(new: Column, n: Column, i: Column) -> Column:
         v = F.when(n["op"] == "assign", F.try_element_at(new, place(i))).otherwise(n["value"])
         return F.struct(n["op"].alias("op"), n["refs"].alias("refs"), v.alias("value"), F.when(n["op"] == "assign", digit_class(v).cast("int")).otherwise(n["dc"]).alias("dc"))
@@ -146,8 +150,3 @@ def legacy_text(question: Column, changes: Column) -> Column:
         return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), c["new"], F.substring(text, at + F.length(c["old"]), F.length(text)))).otherwise(text)
 
     return F.aggregate(ordered, question, swap)
-
-
-def same_magnitude(new: Column, old: Column, factor: float = 3.0) -> Column:
-    ratio = F.abs(new) / F.abs(old)
-    return (old == 0) | ratio.between(1 / factor, factor)

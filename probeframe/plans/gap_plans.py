@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from probeframe.functions import answers, verdicts
 from probeframe.operators import gaps, selection, significance
 from probeframe.plans._shape import r, rounded
-from probeframe.sources.domain import attempts, responses, table, transcripts, with_views
+from probeframe.sources import json_files
+from probeframe.sources.domain import attempts, responses, table, with_views
 
 ITEMS = """, items AS (
     SELECT model, item_id, avg(CASE WHEN is_original THEN CAST(correct AS DOUBLE) END) AS p_orig,
@@ -89,22 +90,6 @@ def running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.running_accuracy(attempts(spark, sf_dir))
 
 
-ANSWERED = """, answered AS (
-    SELECT 'm' || (CAST(split_part(pid, '-', 4) AS BIGINT) % 5) AS model, split_part(pid, '-', 2) = '1' AS is_original, text LIKE '%\\boxed{1}%' OR length(text) > 30 AS said, pid FROM transcripts)"""
-
-
-@query("extraction_rate", with_views("transcripts", body=ANSWERED + f"""
-    SELECT model, {r('coalesce(avg(CASE WHEN is_original THEN CAST(said AS DOUBLE) END), 0)', 'rate_orig')}, {r('coalesce(avg(CASE WHEN NOT is_original THEN CAST(said AS DOUBLE) END), 0)', 'rate_var')}
-    FROM answered GROUP BY model"""))
-def extraction_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.split("pid", "-")
-    said = F.contains("text", F.lit(r"\boxed{1}")) | (F.length("text") > 30)
-    rows = transcripts(spark, sf_dir).select(
-        F.concat(F.lit("m"), (F.element_at(parts, 4).cast("bigint") % 5).cast("string")).alias("model"), (F.element_at(parts, 2) == "1").alias("is_original"), F.when(said, 1.0).alias("extracted")
-    )
-    return rounded(gaps.extraction_rates(rows))
-
-
 @query("signed_rank_w", with_views("responses", body=ITEMS + f""", d AS (SELECT model, round(delta, 9) AS d FROM gaps),
     t AS (SELECT model, abs(d) AS size, count(*) AS t, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS pos FROM d GROUP BY 1, 2),
     k AS (SELECT *, sum(t) OVER (PARTITION BY model ORDER BY size) - (t - 1) / 2.0 AS rank FROM t WHERE size > 0),
@@ -179,6 +164,24 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return significance.bootstrap(_items(spark, sf_dir))
 
 
+@query("rescored_report")
+def rescored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap, interval, p of both tests and three verdicts of each model; p-values have no SQL."""
+    return significance.rescored_report(_items(spark, sf_dir))
+
+
+@query("report_rows")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return significance.report_rows(significance.rescored_report(_items(spark, sf_dir)))
+
+
+@query("weighted_gap")
+def weighted_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps weighted by the discrimination of the items, as fitted on the variants."""
+    items = _items(spark, sf_dir)
+    return significance.weighted_gap(items, significance.fit_2pl(items.select("model", "item_id", F.col("p_iso").alias("rate")))[1])
+
+
 @query("irt_2pl")
 def irt_2pl(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = gaps.item_gaps(responses(spark, sf_dir)).select("model", "item_id", F.col("p_orig").alias("rate"))
@@ -189,8 +192,8 @@ def irt_2pl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ability_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abilities fitted on originals and on variants, their shift and its test."""
     items = gaps.item_gaps(responses(spark, sf_dir))
-    orig = significance.fit_2pl(items.select("model", "item_id", F.col("p_orig").alias("rate")), rounds=4)[0]
-    iso = significance.fit_2pl(items.select("model", "item_id", F.col("p_iso").alias("rate")), rounds=4)[0]
+    orig = significance.fit_2pl(items.select("model", "item_id", F.col("p_orig").alias("rate")))[0]
+    iso = significance.fit_2pl(items.select("model", "item_id", F.col("p_iso").alias("rate")))[0]
     both = orig.withColumnRenamed("theta", "theta_orig").join(iso.withColumnRenamed("theta", "theta_iso"), "model")
     return significance.decompose_ability(both)
 
@@ -229,36 +232,6 @@ def verdict_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Base error, slopes by contamination share and difficulty, their product, and the cap of the error.
-BIASED, RANDOM = (0.062, 0.281, 0.043, 0.199, 0.8), (0.031, 0.127, 0.016, 0.063, 0.4)
-_ERROR = "least(greatest({} + {} * (s - 0.35) + {} * (d - 2.75) + {} * (s - 0.35) * (d - 2.75), 0), {})"
-
-
-@query("failure_surface", f"""WITH g AS (SELECT i * 0.05 AS s, 0.5 + j * 0.5 AS d FROM range(15) a(i), range(10) b(j))
-    SELECT {r('CAST(s AS DOUBLE)', 's')}, {r('CAST(d AS DOUBLE)', 'd')}, {r(f"CAST(1 - {_ERROR.format(*BIASED)} AS DOUBLE)", 'rho_biased', 9)}, {r(f"CAST(1 - {_ERROR.format(*RANDOM)} AS DOUBLE)", 'rho_random', 9)} FROM g""")
-def failure_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected reliability over a fixed grid of contamination share and difficulty."""
-    grid = spark.range(15).select((F.col("id") * 0.05).alias("s")).select("s", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j")).select("s", (0.5 + F.col("j") * 0.5).alias("d"))
-    s, d = F.col("s") - 0.35, F.col("d") - 2.75
-    rho = lambda base, by_s, by_d, both, cap: 1 - F.least(F.greatest(base + by_s * s + by_d * d + both * s * d, F.lit(0.0)), F.lit(cap))
-    return rounded(grid.select("s", "d", rho(*BIASED).alias("rho_biased"), rho(*RANDOM).alias("rho_random")), 9)
-
-
-@query("simulate")
-def simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Made responses of five models, two of them with contaminated originals; draws are by hash, so they never depend on partitions."""
-    thetas = F.array(*[F.lit(t) for t in (2.0, 1.5, 0.8, 1.2, 1.0)])
-    rows = spark.range(5 * 30).select((F.col("id") % 5).cast("int").alias("model"), F.floor(F.col("id") / 5).cast("int").alias("item_id"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("variant_no")).select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("trial"))
-    uniform = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    a, b = 0.8 + 2.2 * uniform("item_id", F.lit(1)), -1.5 + 3.5 * F.col("item_id") / 29
-    heavy = (F.col("model") == 2) & (uniform("item_id", F.lit(2)) < 0.6)
-    light = (F.col("model") == 3) & (b < 0)
-    boost = F.when(F.col("variant_no") > 0, 0.0).when(heavy, 0.15 + 0.2 * uniform("item_id", F.lit(3))).when(light, 0.05 + 0.1 * uniform("item_id", F.lit(4))).otherwise(0.0)
-    p = F.least(F.lit(1.0), answers.sigmoid(a * (F.element_at(thetas, F.col("model") + 1) - b)) + boost)
-    return rows.select("model", "item_id", "variant_no", "trial", (F.col("variant_no") == 0).alias("is_original"), (uniform("model", "item_id", "variant_no", "trial", F.lit(5)) < p).alias("correct"))
-
-
 def _results(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
     o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 != odd)
     return o.select(F.col("o_orderkey").alias("item_id"), (F.col("o_custkey") + odd).cast("double").alias("extracted"), F.col("o_custkey").cast("double").alias("expected"), (F.col("o_orderstatus") == "O").alias("correct"))
@@ -313,3 +286,70 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line of text for each model."""
     m = gaps.model_gaps(_items(spark, sf_dir))
     return m.select("model", F.concat("model", F.lit(": n="), F.col("n_items").cast("string"), F.lit(" gap="), F.round(F.col("delta") * 10000).cast("bigint").cast("string"), F.lit("e-4")).alias("line"))
+
+
+_LINE = """WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_discount * 4 - 0.04, 4) AS gap, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_tax END AS p,
+    l_quantity / 100 AS flagged, round(l_discount + 0.02, 4) AS weighted, round(1 - l_tax, 4) AS acc, l_linenumber % 3 AS n_flagged FROM lineitem)"""
+
+
+@query("verdicts", _LINE + """ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    CASE WHEN gap <= 0.02 AND coalesce(p, 1) > 0.05 THEN 'ROBUST_REASONER' WHEN gap >= 0.10 AND flagged >= 0.30 THEN 'PURE_MEMORIZER' WHEN gap >= 0.03 AND gap < 0.10 AND flagged < 0.30 THEN 'SYNTACTIC_MATCHER'
+         WHEN gap < 0.05 AND weighted >= 0.08 THEN 'SELECTIVE_MEMORIZER' WHEN p < 0.05 THEN 'SYNTACTIC_MATCHER' ELSE 'ROBUST_REASONER' END AS full_test,
+    CASE WHEN abs(gap) <= 0.02 AND n_flagged = 0 THEN 'ROBUST_REASONER' WHEN gap >= 0.10 THEN 'PURE_MEMORIZER' WHEN gap >= 0.03 THEN 'SYNTACTIC_MATCHER' ELSE 'ROBUST_REASONER' END AS with_flags,
+    CASE WHEN coalesce(p, 1) > 0.05 THEN 'INVARIANT' WHEN gap > 0.3 AND acc > 0.85 THEN 'PURE_MEMORIZER' WHEN gap > 0.15 THEN 'PARTIAL_MEMORIZER' WHEN gap > 0.05 THEN 'MILD_GAP' ELSE 'INVARIANT' END AS rescored,
+    CASE WHEN coalesce(p, 1) > 0.05 THEN 'Inv' WHEN gap < 0.15 THEN 'Mild' ELSE 'Mem' END AS tabled,
+    CASE WHEN coalesce(p, 1) > 0.05 THEN 'Invariant' WHEN gap < 0.15 THEN 'Mild' WHEN gap <= 0.30 THEN 'Partial' ELSE 'Pure' END AS documented
+    FROM g""")
+def verdicts_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule sets over a table, every branch of which occurs."""
+    d, tax, n = F.col("l_discount"), F.col("l_tax"), F.col("l_linenumber")
+    gap, p, flagged, acc = F.round(d * 4 - 0.04, 4), F.when(n != 7, tax), F.col("l_quantity") / 100, F.round(1 - tax, 4)
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", verdicts.full_test(gap, F.round(d + 0.02, 4), F.lit(0.0), flagged, p).alias("full_test"), verdicts.with_flags(gap, n % 3).alias("with_flags"),
+        verdicts.rescored(gap, p, acc).alias("rescored"), verdicts.tabled(gap, p).alias("tabled"), verdicts.documented(gap, p).alias("documented"),
+    )
+
+
+@query("labelled_gaps", with_views("responses", body=MODELS + f"""
+    SELECT m.model, coalesce(r_name, m.model) AS label, {r('delta')} FROM models m LEFT JOIN region ON m.model = 'm' || r_regionkey"""))
+def labelled_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each model under its display name; one without a name keeps its id."""
+    names = table(spark, sf_dir, "region").select(F.concat(F.lit("m"), F.col("r_regionkey").cast("string")).alias("model"), "r_name")
+    found = gaps.model_gaps(_items(spark, sf_dir)).join(names, "model", "left")
+    return rounded(found.select("model", F.coalesce("r_name", "model").alias("label"), "delta"))
+
+
+@query("seeded_shuffle", "SELECT doc_id, k AS shuffle_key, row_number() OVER (ORDER BY k, doc_id) - 1 AS position FROM (SELECT doc_id, sha256(doc_id || '|42') AS k FROM documents)")
+def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.seeded_shuffle(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 42).select("doc_id", "shuffle_key", "position")
+
+
+@query("union_ids", "SELECT o_orderkey AS item_id FROM orders WHERE o_orderpriority LIKE '1%' UNION SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
+def union_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean and regenerated ids, each once."""
+    clean = table(spark, sf_dir, "orders").filter("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("item_id"))
+    return selection.any_of(clean, table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item_id")))
+
+
+@query("dataset_totals", "SELECT count(*) AS n_items, CAST(sum(n) AS BIGINT) AS n_variants FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)")
+def dataset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and variants of a nested dataset: orders with their lines."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("item_id"), F.lit("q").alias("question"), F.col("o_totalprice").cast("double").alias("answer"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("parent_id"), F.col("l_linenumber").alias("variant_no"), F.concat_ws("_v", "l_orderkey", "l_linenumber").alias("item_id"),
+        F.lit("q").alias("question"), F.col("l_extendedprice").cast("double").alias("answer"),
+    )
+    return json_files.totals(json_files.nested(lines, o))
+
+
+@query("flatten_items", """SELECT CAST(o_orderkey AS VARCHAR) AS parent_id, CAST(o_orderkey AS VARCHAR) AS item_id, CAST(o_totalprice AS DOUBLE) AS answer, true AS is_original, CAST(0 AS INTEGER) AS variant_no FROM orders
+    UNION ALL SELECT CAST(l_orderkey AS VARCHAR), l_orderkey || '_v' || n, CAST(l_extendedprice AS DOUBLE), false, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY n, l_extendedprice) AS INTEGER)
+    FROM (SELECT l_orderkey, l_linenumber AS n, l_extendedprice FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))""")
+def flatten_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as nested items, and back to flat rows."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("item_id"), F.lit("q").alias("question"), F.col("o_totalprice").cast("double").alias("answer"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("parent_id"), F.struct("l_linenumber", "l_extendedprice").alias("variant_no"), F.concat_ws("_v", "l_orderkey", "l_linenumber").alias("item_id"),
+        F.lit("q").alias("question"), F.col("l_extendedprice").cast("double").alias("answer"),
+    )
+    return json_files.flatten(json_files.nested(lines, o)).drop("question")

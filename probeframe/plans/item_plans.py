@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from probeframe.functions import answers, graphs
 from probeframe.functions import text as tx
-from probeframe.operators import audit, overlap, selection, variants
+from probeframe.operators import audit, gaps, overlap, selection, variants
 from probeframe.plans._shape import r, rounded
 from probeframe.sources.domain import model_answers, problems, table, transcripts, with_views
 
@@ -43,8 +43,20 @@ ODD = r"coalesce(regexp_matches(lower(boxed), '^\s*[-+]?(nan|inf|infinity)\s*$')
                 ELSE abs(coalesce({_num('boxed')}, {_num('marked')}, {_num('tail')}) - expected) / greatest(abs(expected), 1e-10) < 0.01 END, false) AS correct
     FROM cleaned"""))
 def extract_answer_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = answers.extract_last(F.col("text"))
-    return transcripts(spark, sf_dir).select("pid", got.alias("extracted"), answers.matches_report(got, F.col("expected")).alias("correct"))
+    rows = transcripts(spark, sf_dir).select("pid", "expected", F.explode(F.array(answers.extract_last(F.col("text")))).alias("extracted"))
+    return rows.select("pid", "extracted", answers.matches_report(F.col("extracted"), F.col("expected")).alias("correct"))
+
+
+@query("extraction_rate", with_views("transcripts", body=CLEANED + f""", a AS (
+    SELECT 'm' || (CAST(split_part(pid, '-', 4) AS BIGINT) % 5) AS model, split_part(pid, '-', 2) = '1' AS is_original,
+           CAST(CASE WHEN {ODD} THEN NULL ELSE coalesce({_num('boxed')}, {_num('marked')}, {_num('tail')}) END IS NOT NULL AS DOUBLE) AS got FROM cleaned)
+    SELECT model, {r('coalesce(avg(CASE WHEN is_original THEN got END), 0)', 'rate_orig')}, {r('coalesce(avg(CASE WHEN NOT is_original THEN got END), 0)', 'rate_var')}
+    FROM a GROUP BY model"""))
+def extraction_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.split("pid", "-")
+    model = F.concat(F.lit("m"), (F.element_at(parts, 4).cast("bigint") % 5).cast("string"))
+    rows = transcripts(spark, sf_dir).select(model.alias("model"), (F.element_at(parts, 2) == "1").alias("is_original"), answers.extract_last(F.col("text")).alias("extracted"))
+    return rounded(gaps.extraction_rates(rows))
 
 
 @query("extract_answer_b", with_views("transcripts", body=CLEANED + f" SELECT pid, coalesce({_num('boxed_b')}, {_num('marked_b')}, {_num('tail_b')}) AS extracted FROM cleaned"))
@@ -90,10 +102,15 @@ GRAPH = """, g AS (SELECT *, a * b AS c, a * b - k AS d, NOT (a = a * b OR b = a
 DC = "length(CAST(abs({}) AS VARCHAR))"
 
 
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pid, question, g`` of every problem; the graph is one row's only element, so the planner evaluates it once however often it is named."""
+    return problems(spark, sf_dir).select("pid", "question", F.explode(F.array(graphs.parse(F.col("solution")))).alias("g"))
+
+
 @query("forward_execute", with_views("problems", body=GRAPH + f" SELECT pid, accepted, CASE WHEN accepted THEN CAST(d AS DOUBLE) END AS answer, CASE WHEN accepted THEN CAST(len(leaves) + 2 AS INTEGER) END AS n_nodes, CASE WHEN accepted THEN 2 END AS depth, CASE WHEN accepted THEN d >= 0 END AS whole FROM g"))
 def forward_execute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph of every problem: whether it is sound, its answer by execution, size, depth, and whether intermediates stay whole and not negative."""
-    p = problems(spark, sf_dir).select("pid", graphs.parse(F.col("solution")).alias("g")).select("pid", "g.*")
+    p = parsed(spark, sf_dir).select("pid", "g.*")
     when = lambda c: F.when(F.col("accepted"), c)
     n = F.col("nodes")
     return p.select("pid", "accepted", when(graphs.execute(n)).alias("answer"), when(F.size(n)).alias("n_nodes"), when(graphs.depth(n)).cast("int").alias("depth"), when(graphs.checked(n)["ok"]).alias("whole"))
@@ -113,7 +130,7 @@ TEXTS = f""", t AS (SELECT pid, len(leaves) AS m, c, d, k, a, b,
     FROM t"""))
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both structural fingerprints of every sound graph."""
-    p = problems(spark, sf_dir).select("pid", graphs.parse(F.col("solution")).alias("g")).filter("g.accepted")
+    p = parsed(spark, sf_dir).filter("g.accepted")
     return p.select("pid", graphs.fingerprint_script(F.col("g.nodes")).alias("script"), graphs.fingerprint_core(F.col("g.nodes")).alias("core"))
 
 
@@ -130,7 +147,7 @@ def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT pid, CAST(v AS DOUBLE) AS value, CASE WHEN NOT has_free AND v = free THEN 'VARIABLE' ELSE role END AS role FROM w"""))
 def role_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each leaf of each sound graph may change."""
-    p = problems(spark, sf_dir).select("pid", "question", graphs.parse(F.col("solution")).alias("g")).filter("g.accepted")
+    p = parsed(spark, sf_dir).filter("g.accepted")
     return p.select("pid", F.explode(variants.roles(F.col("g.nodes"), F.col("question"))).alias("x")).select("pid", "x.value", "x.role")
 
 
@@ -138,7 +155,7 @@ def role_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT pid, CASE WHEN NOT accepted THEN 'no_graph' WHEN a * b - k <= 0 THEN 'not_positive' END AS rejected_by FROM g"""))
 def item_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first filter that each problem fails: no graph, few nodes, fractional or absent leaves, no positive answer, no question."""
-    p = problems(spark, sf_dir).select("pid", "question", graphs.parse(F.col("solution")).alias("g")).select("pid", "question", "g.*")
+    p = parsed(spark, sf_dir).select("pid", "question", "g.*")
     own = variants.leaves(F.col("nodes"))
     rules = {
         "no_graph": ~F.col("accepted"), "few_nodes": F.size("nodes") < 3, "fractional_leaf": F.exists(own, lambda n: n["value"] != F.floor(n["value"])),
@@ -167,7 +184,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLOSE = "coalesce(CASE WHEN {w} = 0 THEN abs({g}) < 0.01 ELSE abs({g} - {w}) / greatest(abs({w}), 1e-9) < {t} END, false)"
-PAIRS = f""", s AS (SELECT p.*, CAST(split_part(pid, '-', 4) AS BIGINT) AS s FROM problems p WHERE k <= 2),
+PAIRS = f""", s AS (SELECT p.*, CAST(split_part(pid, '-', 4) AS BIGINT) AS s FROM problems p),
     x AS (SELECT pid AS item_id, CAST(v AS INTEGER) AS v, CAST(a * b - k AS DOUBLE) AS answer, CAST((a + v) * b - k AS DOUBLE) + CASE WHEN (a + v) % 11 = 0 THEN 0.25::DOUBLE ELSE 0::DOUBLE END AS va, (a * 7 + v) % 5 AS way,
                  2 + a % 2 AS votes, [s, a, b, k] AS own, [k + 90, a + v, b, k] AS new FROM s, range(5) r(v)),
     y AS (SELECT *, CASE way WHEN 0 THEN va * 2 + 1 WHEN 1 THEN va * 1.03::DOUBLE + 0.01::DOUBLE ELSE va END AS agreed, va / nullif(answer, 0) AS ratio, greatest(list_max(new)::DOUBLE / list_max(own), 1) AS grown, va - trunc(va) AS rest FROM x),
@@ -214,16 +231,17 @@ def reason_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_item.groupBy("reason").agg(F.sum("n").alias("n"), F.count("*").alias("n_items"))
 
 
-@query("value_conflation", r"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '-?\d+\.?\d*'), lambda s: CAST(s AS DOUBLE)) AS v FROM documents WHERE text IS NOT NULL)
+@query("value_conflation", r"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '-?\d+\.?\d*'), lambda s: CAST(s AS DOUBLE)) AS v FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
     SELECT doc_id, CAST(len(v) AS INTEGER) AS n_numbers, CAST(len(list_filter(list_distinct(v), lambda x: x NOT IN (0, 1, 2) AND len(list_filter(v, lambda y: y = x)) > 1)) AS INTEGER) AS n_conflated, list_max(v) AS largest FROM t""")
 def value_conflation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of every document, and how many values occur more than once."""
-    rows = table(spark, sf_dir, "documents").filter("text is not null").withColumn("v", tx.audit_numbers(F.col("text")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("v", tx.audit_numbers(F.col("text")))
     return rows.select("doc_id", F.size("v").alias("n_numbers"), F.size(audit.conflated(F.col("text"))).alias("n_conflated"), F.array_max("v").alias("largest"))
 
 
 @query("number_magnitude", r"""WITH t AS (SELECT doc_id, list_max(list_transform(regexp_extract_all(text, '-?\d+\.?\d*'), lambda s: CAST(s AS DOUBLE))) AS m FROM documents)
-    SELECT doc_id, round(log10(abs(m) + 1), 6) + CAST(0 AS DOUBLE) AS magnitude, CAST(length(CAST(CAST(trunc(abs(m)) AS BIGINT) AS VARCHAR)) AS INTEGER) AS digits FROM t WHERE abs(m) < 1e15""")
+    SELECT doc_id, round(log10(abs(m) + 1), 6) + CAST(0 AS DOUBLE) AS magnitude,
+           CAST(CASE WHEN abs(m) < 1e15 THEN length(CAST(CAST(trunc(abs(m)) AS BIGINT) AS VARCHAR)) WHEN abs(m) < 'infinity'::DOUBLE THEN length(format('{:.0f}', abs(m))) END AS INTEGER) AS digits FROM t WHERE m IS NOT NULL""")
 def number_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.array_max(tx.audit_numbers(F.col("text")))
     rows = table(spark, sf_dir, "documents").select("doc_id", m.alias("m")).filter("m is not null")
@@ -240,7 +258,7 @@ def surface_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.exact_copies(table(spark, sf_dir, "documents"))
 
 
-@query("exact_containment", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(list_filter(regexp_split_to_array(b.text, '\\s+'), lambda w: w <> '')) >= 5")
+@query("exact_containment", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def exact_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.containments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -276,14 +294,21 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.consensus(model_answers(spark, sf_dir))
 
 
+@query("status_members", with_views("problems", body=ITEM_STATUS + " SELECT item_status AS status, item_id FROM items"))
+def status_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of each status, as rows."""
+    return item_status(spark, sf_dir).select(F.col("item_status").alias("status"), "item_id")
+
+
 @query("parse_dag")
 def parse_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems(spark, sf_dir).select("pid", graphs.parse(F.col("solution"), True).alias("g")).select("pid", "g.accepted", "g.error", F.to_json("g.nodes").alias("nodes"))
+    return problems(spark, sf_dir).select("pid", F.explode(F.array(graphs.parse(F.col("solution"), True))).alias("g")).select("pid", "g.accepted", "g.error", F.to_json("g.nodes").alias("nodes"))
 
 
+@query("mutate_variants")
 def mutate_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sound variants of every problem of the first line number, with new text and answer."""
-    p = problems(spark, sf_dir).filter("k = 1").select("pid", "question", graphs.parse(F.col("solution")).alias("g")).filter("g.accepted")
+    """Two sound variants of every problem, with new text and answer."""
+    p = parsed(spark, sf_dir).filter("g.accepted")
     return variants.mutate(p.select("pid", "question", "g.nodes", "g.answer"), variants=2, attempts=10).drop("nodes")
 
 
@@ -311,12 +336,41 @@ def entity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.entity_failures(_named(spark, sf_dir))
 
 
-@query("entity_counts", with_views("problems", body=""", v AS (SELECT pid, a, b, v, (a + v) % 4 AS way FROM problems, range(3) r(v) WHERE k <= 2)
+@query("entity_counts", with_views("problems", body=""", v AS (SELECT pid, a, b, v, (a + v) % 4 AS way FROM problems, range(3) r(v))
     SELECT 'SUBSTRING_ARTIFACT' AS status, count(*) AS n FROM v WHERE way = 0 UNION ALL SELECT 'LEFTOVER_NAME', count(*) FROM v WHERE way = 0
     UNION ALL SELECT 'CONSISTENCY', count(*) FROM v WHERE way = 0 UNION ALL SELECT 'NUMBER_GRAPH_MISMATCH', count(*) FROM v WHERE (a + b) % 17 = 0"""))
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.status_counts(entity_audit(spark, sf_dir), "check").select("status", "n")
 
 
+@query("repair_v3")
 def repair_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.route(_named(spark, sf_dir))
+
+
+@query("entity_items", with_views("problems", body=""", v AS (SELECT pid, a, b, (a + v) % 4 AS way FROM problems, range(3) r(v))
+    SELECT pid AS item_id, bool_or(way = 0 OR (a + b) % 17 = 0) AS has_failures FROM v GROUP BY 1"""))
+def entity_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item, and whether any of its variants fails: the failing and the clean set."""
+    pairs = _named(spark, sf_dir)
+    return audit.items_by_failure(pairs, audit.entity_failures(pairs))
+
+
+@query("graph_order", with_views("problems", body=GRAPH + """
+    SELECT pid, array_to_string(list_transform(range(len(leaves) + 2), lambda i: 'n' || i), ',') AS node_order FROM g WHERE accepted"""))
+def graph_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of every sound graph in dependency order."""
+    p = parsed(spark, sf_dir).filter("g.accepted")
+    return p.select("pid", F.array_join(graphs.topological_order(F.col("g.nodes")), ",").alias("node_order"))
+
+
+@query("variant_checks")
+def variant_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The static checks of every variant that :func:`mutate_variants` makes: which of the seven fail."""
+    p = parsed(spark, sf_dir).filter("g.accepted")
+    made = variants.mutate(p.select("pid", "question", "g.nodes", "g.answer"), variants=2, attempts=10)
+    both = made.join(p.select("pid", F.col("g.nodes").alias("original")), "pid")
+    checks = both.select("pid", "k", F.explode(F.array(graphs.isomorphism_checks(F.col("original"), F.col("nodes"), F.col("variant_question")))).alias("c"))
+    names = ["topology", "op_types", "complexity", "fingerprint", "numbers_present", "answer_consistent", "novel_surface"]
+    failed = F.filter(F.array(*[F.when(~F.col(f"c.{n}"), n) for n in names]), lambda x: x.isNotNull())
+    return checks.select("pid", "k", F.array_join(failed, ",").alias("failed"), (F.size(failed) == 0).alias("passed"))

@@ -90,7 +90,7 @@ SQL = {
         SELECT event_id, ts, 'm' || CAST(user_id % 5 AS VARCHAR) AS model, (event_type = 'purchase' OR value > 50) AS correct FROM events)""",
     "model_answers": """model_answers AS (
         SELECT l_partkey AS variant, l_suppkey % 5 AS model, CAST(max(floor(l_quantity)) AS DOUBLE) AS extracted
-        FROM lineitem WHERE l_linenumber = 2 GROUP BY 1, 2)""",
+        FROM lineitem GROUP BY 1, 2)""",
     "transcripts": r"""transcripts AS (
         SELECT pid, CAST(a*b-k AS DOUBLE) AS expected, CASE (a + k) % 8
             WHEN 0 THEN 'So \boxed{1} and then \boxed{' || (a*b-k) || '}.'

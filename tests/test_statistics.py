@@ -10,13 +10,14 @@ from probeframe.functions import text as tx
 from probeframe.operators import gaps, selection, significance
 from probeframe.plans import registry
 
-DELTAS = [0.8, 1.0, 0.0, 0.6, -0.2, 0.0, 1.0, 0.0, 0.4, 0.0]
+def frame(spark, vectors):
+    rows = [(m, i, max(d, 0.0), max(-d, 0.0), d) for m, v in vectors.items() for i, d in enumerate(v)]
+    return spark.createDataFrame(rows, "model string, item_id int, p_orig double, p_iso double, delta double")
 
 
 def test_delta_statistics(spark):
-    items = spark.createDataFrame([("m", i, d, 0.0, d) for i, d in enumerate(DELTAS)], "model string, item_id int, p_orig double, p_iso double, delta double")
-    row = gaps.model_gaps(items).first()
-    assert row["delta"] == pytest.approx(0.36) and row["se_pop"] == pytest.approx(0.1379855064852827) and row["delta_irt"] == pytest.approx(0.87)
+    row = gaps.model_gaps(frame(spark, {"m": [0.5, -0.25, 0.25, 0.0]})).first()
+    assert row["delta"] == 0.125 and row["se_pop"] == pytest.approx((0.078125 / 4) ** 0.5) and row["delta_irt"] == pytest.approx(1 / 3)
 
 
 @pytest.mark.parametrize(("vector", "p"), [([0.5] * 7, 0.0078125), ([0.2] * 10, 0.0009765625), ([0.0] * 11 + [0.3], 0.5)])
@@ -37,7 +38,7 @@ def test_tails():
 @pytest.mark.parametrize(
     ("text", "value"),
     [
-        (r"The answer is \boxed{42}", 42), ("#### 1,234", 1234), ("So the total is 500.", 500), (r"\boxed{3.14}", 3.14), ("", None), (None, None),
+        (r"Hence $\boxed{58}$ crates", 58), ("Working\n#### 7,015", 7015), ("That leaves 61 pears.", 61), (r"\boxed{2.75}", 2.75), ("", None), (None, None),
         (r"\boxed{nan} #### 5", None), (r"\boxed{x} #### 5", 5), (r"\boxed{1} and \boxed{7}", 7), (r"\boxed{1d}", 1.0),
     ],
 )
@@ -75,3 +76,59 @@ def test_stride(spark):
 
 def test_every_sql_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_report_with_p_values(spark):
+    vectors = {"low": [0.0] * 16 + [0.2, 0.4], "high": [0.4, 0.5, 0.6, 0.3, 0.5, 0.7, 0.4, 0.2, 0.5, 0.6, 0.3, 0.4, 0.5], "none": [0.0] * 4}
+    report = {r["model"]: r for r in significance.rescored_report(frame(spark, vectors)).collect()}
+    for m, v in vectors.items():
+        low, high = significance.bootstrap_exact(v)
+        n, mean = len(v), sum(v) / len(v)
+        se = (sum((x - mean) ** 2 for x in v) / n) ** 0.5 / n**0.5
+        t = mean / se if se else 0.0
+        row = report[m]
+        assert (row["boot_low"], row["boot_high"]) == (low, high) and row["t"] == pytest.approx(t) and row["df"] == max(1, n - 1)
+        assert row["t_p"] == pytest.approx(significance.t_two_sided(t, n - 1))
+    assert report["high"]["tabled"] == "Mem" and report["high"]["documented"] == "Pure" and report["high"]["rescored"] in ("PARTIAL_MEMORIZER", "PURE_MEMORIZER")
+    assert report["none"]["tabled"] == "Inv" and report["low"]["rescored"] == "INVARIANT"
+    lines = {r["model"]: r for r in significance.report_rows(significance.rescored_report(frame(spark, vectors))).collect()}
+    assert "p<0.001" in lines["high"]["line"] and lines["none"]["latex"].endswith(" \\\\") and "p=1.000" in lines["none"]["line"]
+
+
+def test_poisson_bootstrap_is_near_the_exact_one(spark):
+    import random
+
+    rng = random.Random(2)
+    v = [rng.choice([0.0, 0.25, 0.5, -0.25, 1.0]) for _ in range(800)]
+    low, high = significance.bootstrap_exact(v)
+    got = significance.bootstrap(frame(spark, {"m": v}), draws=4000, exact_items=10).first()
+    assert abs(got["boot_low"] - low) < 0.01 and abs(got["boot_high"] - high) < 0.01
+
+
+def test_item_response_fit_against_gradient_descent(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    theta, b, la = rng.normal(0, 1, 6), rng.normal(0, 1, 12), rng.normal(0, 0.3, 12)
+    rate = rng.binomial(40, 1 / (1 + np.exp(-np.exp(la) * (theta[:, None] - b)))) / 40
+    rows = spark.createDataFrame([(f"m{j}", i, float(rate[j, i])) for j in range(6) for i in range(12)], "model string, item_id int, rate double")
+    abilities, items = significance.fit_2pl(rows, rounds=60, tolerance=1e-4)
+    got_theta = np.array([r["theta"] for r in abilities.orderBy("model").collect()])
+    got_b = np.array([r["b"] for r in items.orderBy("item_id").collect()])
+    t, bb, aa = np.zeros(6), np.zeros(12), np.zeros(12)
+    for _ in range(30000):  # plain ascent of the same penalised likelihood
+        a = np.exp(aa)
+        e = rate - 1 / (1 + np.exp(-a * (t[:, None] - bb)))
+        t = t + 0.02 * ((a * e).sum(1) - 0.02 * t)
+        bb = bb + 0.02 * ((-a * e).sum(0) - 0.02 * bb)
+        aa = np.clip(aa + 0.02 * ((a * (t[:, None] - bb) * e).sum(0) - 0.02 * aa), -2, 2)
+    assert np.abs(got_theta - (t - t.mean())).max() < 0.05 and np.corrcoef(got_b, bb)[0, 1] > 0.99
+
+
+def test_running_accuracy_with_bursts(spark):
+    rows = [(i, f"2024-01-01 00:00:{min(i // 40, 9):02d}", f"m{i % 2}", i % 3 == 0) for i in range(900)]
+    attempts = spark.createDataFrame(rows, "event_id int, ts string, model string, correct boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r["event_id"]: (r["n_done"], r["accuracy"]) for r in gaps.running_accuracy(attempts, 7).collect()}
+    for m in (0, 1):
+        done = [i for i, *_ in rows if i % 2 == m]
+        assert all(got[i] == (k + 1, pytest.approx(sum(j % 3 == 0 for j in done[: k + 1]) / (k + 1))) for k, i in enumerate(done))
