@@ -50,7 +50,7 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     ).select("doc_id", "mark", "p.*")
     found = places.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), F.lit(1))).alias("inner", "finding"))
     return found.filter(F.col("finding").rlike("[0-9]")).select(
-        "doc_id", "mark", (F.col("place") * 1000 + F.col("inner")).cast("long").alias("nth"), "finding",
+        "doc_id", "mark", (F.shiftleft(F.col("place").cast("long"), 31) + F.col("inner")).alias("nth"), "finding",
         F.concat_ws(" ", "second", "first", F.expr("substring_index(word, finding, 1)")).alias("previous"),
         F.col("next").alias("following"),
     )
@@ -124,7 +124,13 @@ def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int =
 
 
 def scan(docs: DataFrame, model: PipelineModel, least: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, nth, finding, previous, following, score, is_secret`` of every candidate; findings under ``least`` are the false positives."""
+    """``doc_id, nth, finding, previous, following, score, is_secret`` of every candidate; findings under ``least`` are the false positives.
+
+    Null, empty and candidate-free texts give no rows, nor does an empty table;
+    texts of any length are searched whole; repeated rows and candidates give a
+    row each time, told apart within a text by ``nth`` (the word's place and the
+    candidate's in the word); other columns are not read.
+    """
     scored = model.transform(with_features(candidates(docs, doc_id, text)))
     score: Column = F.element_at(vector_to_array("probability"), 2)
     return scored.select("doc_id", "nth", "finding", "previous", "following", score.alias("score"), (score >= least).alias("is_secret"))
