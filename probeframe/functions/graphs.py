@@ -245,8 +245,8 @@ def violations(nodes: Column) -> Column:
     return F.array_compact(let(nodes, broken))
 
 
-def isomorphism_checks(first: Column, second: Column, text: Column) -> Column:
-    """Named booleans: whether ``second`` is a sound variant of ``first`` with its numbers in ``text``; the novelty check always holds."""
+def isomorphism_checks(first: Column, second: Column, text: Column, answer: Column) -> Column:
+    """Named booleans: whether ``second`` is a sound variant of ``first`` with its numbers in ``text`` and that answer; the novelty check always holds."""
     from probeframe.functions.answers import number_text
 
     leaves = F.transform(F.filter(second, lambda n: n["op"] == "assign"), lambda n: number_text(n["value"]))
@@ -255,5 +255,5 @@ def isomorphism_checks(first: Column, second: Column, text: Column) -> Column:
         ((F.size(first) == F.size(second)) & (edges(first) == edges(second))).alias("topology"), (ops(first) == ops(second)).alias("op_types"),
         (complexities(first) == complexities(second)).alias("complexity"), (fingerprint_core(first) == fingerprint_core(second)).alias("fingerprint"),
         (F.size(F.array_except(leaves, shown)) == 0).alias("numbers_present"),
-        F.coalesce(F.abs(execute(second, False) - F.element_at(second, -1)["value"]) < 1e-6, F.lit(False)).alias("answer_consistent"), F.lit(True).alias("novel_surface"),
+        F.coalesce(F.abs(execute(second, False) - answer) < 1e-6, F.lit(False)).alias("answer_consistent"), F.lit(True).alias("novel_surface"),
     )

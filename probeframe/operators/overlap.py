@@ -26,9 +26,9 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
 
 
 def _keys(words: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words."""
-    runs = F.transform(words, lambda w, i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]))
-    return F.slice(runs, 1, F.greatest(F.size(words) - size + 1, F.lit(0)))
+    """Distinct hashes of all runs of ``size`` words."""
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(size)]))
+    return let(words, lambda w: F.when(F.size(w) >= size, F.array_distinct(runs(w))))
 
 
 def containments(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -289,59 +289,97 @@ def flag_overlap(items: DataFrame, flag: float = 0.5) -> DataFrame:
     return pairs.join(common, ["model_a", "model_b"], "left").select("model_a", "model_b", both.alias("n_both"), (both / (F.col("na") + F.col("nb") - both)).alias("jaccard"))
 
 
-def fit_2pl(rates: DataFrame, rounds: int = 40, ridge: float = 0.01, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+#: Newton steps of an item's two parameters in a round; models whose abilities may go to the tasks as one array.
+ITEM_STEPS, MOST_MODELS = 30, 1_000_000
+
+
+def _item_batch(theta: np.ndarray, models: pd.Series, rates: pd.Series, ridge: float) -> tuple[np.ndarray, ...]:
+    """Log discriminations and difficulties of a batch of items, given the abilities, and the abilities' first and second derivatives."""
+    n = models.map(len).to_numpy()
+    of, j, y = np.repeat(np.arange(len(n)), n), np.concatenate(list(models)).astype(int), np.concatenate(list(rates)).astype(float)
+    total = lambda x: np.bincount(of, x, minlength=len(n))
+    mean = np.clip(total(y) / n, 0.05, 0.95)
+    la, b = np.zeros(len(n)), -np.log(mean / (1 - mean))
+
+    def at() -> tuple[np.ndarray, ...]:
+        a, gap = np.exp(la)[of], theta[j] - b[of]
+        p = 1 / (1 + np.exp(-np.clip(a * gap, -30, 30)))
+        return a, gap, y - p, p * (1 - p)
+
+    for _ in range(ITEM_STEPS):
+        a, gap, e, w = at()
+        g_b, g_l = total(-a * e) - 2 * ridge * b, total(a * gap * e) - 2 * ridge * la
+        h_b, h_l, h = total(a * a * w) + 2 * ridge, total(a * a * gap * gap * w) + 2 * ridge, -total(a * a * gap * w)
+        det = np.maximum(h_b * h_l - h * h, 1e-9)
+        b = b + np.clip((h_l * g_b - h * g_l) / det, -1, 1)
+        la = np.clip(la + np.clip((h_b * g_l - h * g_b) / det, -0.5, 0.5), -2, 2)
+    a, _, e, w = at()
+    return la, b, np.bincount(j, a * e, minlength=len(theta)), np.bincount(j, a * a * w, minlength=len(theta))
+
+
+def fit_2pl(rates: DataFrame, rounds: int = 60, ridge: float = 0.01, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """Two-parameter item response fit of ``model, item_id, rate``: abilities ``model, theta`` and items ``item_id, a, b``.
 
-    Alternating penalised Newton steps.  Each step is a join of the long table
-    with the current parameters and a sum of derivatives by model or item: no
-    matrix of models by items is ever gathered.  Rates, not only 0 and 1, are
-    allowed; log a is held within 2 and abilities are centred at the end.  Shift
-    and scale of the whole, which only the penalty knows and single steps hardly
-    move, are set anew in each round from a few sums (:func:`_gauge`).  It ends
-    when no ability moves by ``tolerance`` in a round, or after ``rounds``.
+    A round is one job: tasks fit their items to the present abilities and sum
+    the abilities' derivatives, which give the next ones.  An item's row holds
+    its models' rates, so items, of which there are many, never meet; abilities
+    are one array (:data:`MOST_MODELS` at most, or ValueError).  Rates, not only
+    0 and 1, are allowed, equal rows count as often as they occur; log a is held
+    within 2 and abilities are centred at the end.  Shift and scale of the
+    whole, which only the penalty knows, are set in each round (:func:`_gauge`).
+    It ends when no ability moves by ``tolerance`` in a round, or after ``rounds``.
     """
-    logit = lambda c: F.log(F.greatest(F.lit(0.05), F.least(F.lit(0.95), c)) / (1 - F.greatest(F.lit(0.05), F.least(F.lit(0.95), c))))
-    rates = written(rates)
-    models = written(rates.groupBy("model").agg(logit(F.avg("rate")).alias("theta")))
-    items = written(rates.groupBy("item_id").agg(F.lit(0.0).alias("la"), (-logit(F.avg("rate"))).alias("b")))
-    clip = lambda c, m: F.greatest(F.lit(-m), F.least(F.lit(m), c))
-    few = models.count() <= 100_000
-    side = lambda m: F.broadcast(m) if few else m
-    for _ in range(rounds):
-        rows = rates.join(items, "item_id").join(side(models), "model")
-        a = F.exp("la")
-        p = 1 / (1 + F.exp(-clip(a * (F.col("theta") - F.col("b")), 30.0)))
-        e, w = F.col("rate") - p, p * (1 - p)
-        s = F.col("theta") - F.col("b")
-        grads = rows.groupBy("item_id").agg(
-            F.first("la").alias("la"), F.first("b").alias("b"), F.sum(-a * e).alias("gb"), F.sum(a * a * w).alias("hb"), F.sum(a * s * e).alias("ga"), F.sum(a * a * s * s * w).alias("ha")
-        )
-        items = written(grads.select("item_id", clip(F.col("la") + clip((F.col("ga") - 2 * ridge * F.col("la")) / (F.col("ha") + 2 * ridge + 0.05), 0.5), 2.0).alias("la"), (F.col("b") + clip((F.col("gb") - 2 * ridge * F.col("b")) / (F.col("hb") + 2 * ridge), 1.0)).alias("b")))
-        rows = rates.join(items, "item_id").join(side(models), "model")
-        grads = rows.groupBy("model").agg(F.first("theta").alias("theta"), F.sum(a * e).alias("g"), F.sum(a * a * w).alias("h"))
-        step = clip((F.col("g") - 2 * ridge * F.col("theta")) / (F.col("h") + 2 * ridge), 1.0)
-        moved = written(grads.select("model", (F.col("theta") + step).alias("theta"), F.abs(step).alias("step")))
-        shift, scale = _gauge(moved, items)
-        models = written(moved.select("model", ((F.col("theta") + shift) * scale).alias("theta")))
-        items = items.select("item_id", clip(F.col("la") - math.log(scale), 2.0).alias("la"), ((F.col("b") + shift) * scale).alias("b"))
-        if (moved.agg(F.max("step")).first()[0] or 0.0) + abs(shift) + abs(math.log(scale)) < tolerance:
+    spark = rates.sparkSession
+    names = [r["model"] for r in rates.select("model").distinct().orderBy("model").limit(MOST_MODELS + 1).collect()]
+    if len(names) > MOST_MODELS:
+        raise ValueError("too many models")
+    place = spark.createDataFrame([(m, i) for i, m in enumerate(names)], f"model {rates.schema['model'].dataType.simpleString()}, j int")
+    rows = rates.join(F.broadcast(place), "model").groupBy("item_id").agg(F.collect_list(F.struct("j", "rate")).alias("r"))
+    rows = written(rows.select("item_id", F.col("r.j").alias("j"), F.col("r.rate").alias("rate")))
+    theta = np.zeros(len(names))
+    means = {r["model"]: min(0.95, max(0.05, r["m"])) for r in rates.groupBy("model").agg(F.avg("rate").alias("m")).collect()}
+    theta = np.array([math.log(means[m] / (1 - means[m])) for m in names])
+
+    def derivatives(theta: np.ndarray) -> pd.DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            g, h, sums = np.zeros(len(theta)), np.zeros(len(theta)), np.zeros(4)
+            for batch in batches:
+                if len(batch):
+                    la, b, gb, hb = _item_batch(theta, batch["j"], batch["rate"], ridge)
+                    g, h, sums = g + gb, h + hb, sums + [len(b), b.sum(), (b * b).sum(), la.sum()]
+            yield pd.DataFrame({"j": np.arange(-4, len(theta)), "g": np.concatenate([sums, g]), "h": np.concatenate([np.zeros(4), h])})
+
+        found = rows.select("j", "rate").mapInPandas(run, "j int, g double, h double")
+        return found.groupBy("j").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).orderBy("j").toPandas()  # a row for each model
+
+    for _ in range(rounds if names else 0):
+        d = derivatives(theta)
+        sums, g, h = d["g"].to_numpy()[:4], d["g"].to_numpy()[4:], d["h"].to_numpy()[4:]
+        step = np.clip((g - 2 * ridge * theta) / (h + 2 * ridge), -1, 1)
+        shift, scale = _gauge(theta + step, *sums)
+        theta = (theta + step + shift) * scale
+        if np.abs(step).max() + abs(shift) + abs(math.log(scale)) < tolerance:
             break
-    centred = models.select("model", (F.col("theta") - F.avg("theta").over(Window.partitionBy())).alias("theta"))
-    return centred, items.select("item_id", F.exp("la").alias("a"), "b")
+
+    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                la, b, _, _ = _item_batch(theta, batch["j"], batch["rate"], ridge)
+                yield pd.DataFrame({"item_id": batch["item_id"], "a": np.exp(la), "b": b})
+
+    kind = rates.schema["item_id"].dataType.simpleString()
+    centred = spark.createDataFrame([(m, float(t - theta.mean())) for m, t in zip(names, theta, strict=True)], f"model {place.schema['model'].dataType.simpleString()}, theta double")
+    return centred, rows.mapInPandas(items, f"item_id {kind}, a double, b double")
 
 
-def _gauge(models: DataFrame, items: DataFrame) -> tuple[float, float]:
+def _gauge(theta: np.ndarray, n: float, sum_b: float, sum_bb: float, sum_la: float) -> tuple[float, float]:
     """The shift of all abilities and difficulties, and their scale against the discriminations, with the least penalty."""
-    t = models.agg(F.count("*"), F.sum("theta"), F.sum(F.col("theta") * F.col("theta"))).first()
-    b = items.agg(F.count("*"), F.sum("b"), F.sum(F.col("b") * F.col("b")), F.sum("la")).first()
-    if not t[0] or not b[0]:
-        return 0.0, 1.0
-    shift = -(t[1] + b[1]) / (t[0] + b[0])
-    squares = t[2] + b[2] + 2 * shift * (t[1] + b[1]) + shift * shift * (t[0] + b[0])
+    shift = -(theta.sum() + sum_b) / (len(theta) + n)
+    squares = ((theta + shift) ** 2).sum() + sum_bb + 2 * shift * sum_b + n * shift * shift
     u = 0.0
     for _ in range(30):
         grown = squares * math.exp(2 * u)
-        u -= max(-0.5, min(0.5, (grown - b[3] + b[0] * u) / (2 * grown + b[0])))
+        u -= max(-0.5, min(0.5, (grown - sum_la + n * u) / (2 * grown + n)))
     return shift, math.exp(u)
 
 

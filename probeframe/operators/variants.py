@@ -1,13 +1,17 @@
 """Variants of problems: which leaves may change, new values, new texts.
 
-Attempts are rows: each (problem, variant, attempt) draws its values from a hash
-of its keys, is executed and checked, and the first sound attempt wins by a
-grouped minimum.  Draws never depend on partitions, so a lost task redraws the
-same values.
+Each problem draws the values of its variants from generators that its id, the
+variant and the attempt seed; the first attempt that executes soundly wins.
+Draws never depend on partitions, so a lost task redraws the same values.
 """
 
 from __future__ import annotations
 
+import math
+import random
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,47 +70,53 @@ def roles(nodes: Column, question: Column) -> Column:
     return let(tx.whole_numbers(question), lambda shown: let(as_values(shown), lambda found: let(leaves(nodes), lambda own: let(tx.conversion_values(question), lambda guarded: of(shown, found, own, guarded)))))
 
 
-def draw_like(value: Column, used: Column, seed: Column, tries: int = 12) -> Column:
-    """A whole number with as many digits as ``value``, a fifth away from it or more, none of ``used`` and no known constant.
-
-    Draws run over the whole range, one after the other by hash of ``seed`` and
-    the try; a range of one digit is tried through in order instead.  Null if
-    every try fails.
-    """
-    size = F.abs(value.cast("bigint"))
-    digits = F.length(size.cast("string"))
-    low = F.when(digits == 1, F.lit(2).cast("bigint")).otherwise(F.pow(F.lit(10.0), digits - 1).cast("bigint"))
-    high = F.when(digits == 1, F.lit(9).cast("bigint")).otherwise(F.pow(F.lit(10.0), digits).cast("bigint") - 1)
-    away = F.greatest(F.lit(1).cast("bigint"), (F.abs(value) * 0.2).cast("bigint"))
-
-    def first(low: Column, n: Column, away: Column) -> Column:
-        at = lambda i: low + F.pmod(F.when(n <= 8, F.xxhash64(seed) % 8 + i).otherwise(F.xxhash64(seed, i)), n)
-        fits = lambda c: (F.abs(c - size) >= away) & ~c.isin(*tx.KNOWN_CONSTANTS) & ~F.array_contains(used, c)
-        found = F.aggregate(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(None).cast("bigint"), lambda got, i: F.when(got.isNotNull(), got).otherwise(let(at(i), lambda c: F.when(fits(c), c))))
-        return found
-
-    return let(low, lambda low: let(high - low + 1, lambda n: let(away, lambda away: first(low, n, away))))
-
-
-def drawn(nodes: Column, role: Column, seed: Column) -> Column:
-    """The graph with new values for its variable leaves, all different; draws are by hash of ``seed`` and the leaf's place."""
-    fixed = F.transform(F.filter(role, lambda r: r["role"] == "CONSTANT"), lambda r: F.abs(r["value"]).cast("bigint"))
-    own = leaves(nodes)
-    variable = lambda n: F.exists(role, lambda r: (r["value"] == n["value"]) & (r["role"] == "VARIABLE"))
-    kind = "struct<used:array<bigint>,new:array<double>>"
-
-    def pick(state: Column, n: Column) -> Column:
-        got = draw_like(n["value"], state["used"], F.xxhash64(seed, F.size(state["new"])))
-        changed = let(got, lambda got: F.struct(F.concat(state["used"], F.array(F.coalesce(got, F.lit(-1).cast("bigint")))).alias("used"), F.array_append(state["new"], got.cast("double") * F.signum(n["value"])).alias("new")))
-        return F.when(variable(n), changed.cast(kind)).otherwise(F.struct(state["used"].alias("used"), F.array_append(state["new"], n["value"]).alias("new")).cast(kind))
-
-    new = F.aggregate(own, F.struct(fixed.alias("used"), F.array().cast("array<double>").alias("new")).cast(kind), lambda s, n: pick(s, n).cast(kind))["new"]
-    place = lambda i: F.size(F.filter(F.slice(nodes, 1, i + 1), lambda n: n["op"] == "assign"))
-    def moved(new: Column, n: Column, i: Column) -> Column:
-        v = F.when(n["op"] == "assign", F.try_element_at(new, place(i))).otherwise(n["value"])
-        return F.struct(n["op"].alias("op"), n["refs"].alias("refs"), v.alias("value"), F.when(n["op"] == "assign", digit_class(v).cast("int")).otherwise(n["dc"]).alias("dc"))
-
-    return let(new, lambda new: F.transform(nodes, lambda n, i: moved(new, n, i)).cast(graphs.NODES))
+def draw_like(value: float, used: set[int], rng: random.Random, tries: int = 200) -> float | None:
+    """A whole number with as many digits as ``value`` and its sign, a fifth away from it or more, none of ``used`` and no known constant; None if every try fails."""
+    size = int(abs(value))
+    digits = len(str(size))
+    low, high = (2, 9) if digits == 1 else (10 ** (digits - 1), 10**digits - 1)
+    away = max(1, int(abs(value) * 0.2))
+    for _ in range(tries):
+        c = rng.randint(low, high)
+        if c not in used and abs(c - size) >= away and c not in tx.KNOWN_CONSTANTS:
+            return float(-c if value < 0 else c)
+    return None
+
+
+def run_checked(ops: list[str], refs: list[list[int]], values: list[float]) -> float | None:
+    """The last node's value by forward execution; None unless every computed value is whole, not negative and 1e8 at most."""
+    done: list[float] = []
+    for i, op in enumerate(ops):
+        if op == "assign":
+            done.append(values[i])
+            continue
+        if any(r < 0 or r >= i for r in refs[i]) or (op in ("divide", "modulo") and (len(refs[i]) < 2 or done[refs[i][1]] == 0)) or op not in graphs.EXECUTABLE:
+            return None
+        args = [done[r] for r in refs[i]]
+        got = {"add": sum, "subtract": lambda x: x[0] - sum(x[1:]), "multiply": math.prod, "divide": lambda x: x[0] / x[1], "modulo": lambda x: x[0] % x[1]}[op](args)
+        if not 0 <= got <= 1e8 or got != math.floor(got):
+            return None
+        done.append(float(got))
+    return done[-1] if done else None
+
+
+def sampled(ops: list[str], refs: list[list[int]], values: list[float], free: list[bool], answer: float, seed: str, attempts: int) -> tuple[int, list[float], float] | None:
+    """The first sound attempt at new values for the leaves that are ``free``: its number, all values, and the answer."""
+    fixed = {int(abs(v)) for op, v, f in zip(ops, values, free, strict=True) if op == "assign" and not f}
+    for attempt in range(attempts):
+        rng, used, new = random.Random(f"{seed}|{attempt}"), set(fixed), list(values)
+        for i, may in enumerate(free):
+            if may:
+                got = draw_like(values[i], used, rng)
+                if got is None:
+                    break
+                new[i] = got
+                used.add(int(abs(got)))
+        else:
+            made = run_checked(ops, refs, new)
+            if made is not None and (answer == 0 or 1 / RATIO <= abs(made) / abs(answer) <= RATIO):
+                return attempt, new, made
+    return None
 
 
 def mutate(parsed: DataFrame, variants: int = 5, attempts: int = ATTEMPTS) -> DataFrame:
@@ -114,21 +124,39 @@ def mutate(parsed: DataFrame, variants: int = 5, attempts: int = ATTEMPTS) -> Da
 
     Sound attempts have whole, non-negative intermediates up to 1e8 and an
     answer within a factor of three of the original's.  A (problem, variant)
-    without one has no row.  Texts that come out as the original's go.
+    without one has no row, nor has a problem none of whose leaves may change.
+    Texts that come out as the original's go.  Draws are seeded by the problem's
+    id, the variant and the attempt.
     """
-    # exploding arrays of one keeps the planner from evaluating them once for each use
-    rows = parsed.select("*", F.explode(F.array(roles(F.col("nodes"), F.col("question")))).alias("roles")).filter(F.exists("roles", lambda r: r["role"] == "VARIABLE"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("k"))
-    tries = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
-    seed = tx.seed_of(F.concat_ws("|", "pid", F.col("k").cast("string")))
-    new = drawn(F.col("nodes"), F.col("roles"), F.xxhash64(seed, "attempt"))
-    tries = tries.select("*", F.explode(F.array(let(new, lambda new: F.struct(new.alias("new"), graphs.checked(new).alias("run"))))).alias("t")).select("*", "t.*").drop("t")
-    ratio = F.abs(F.col("run.answer")) / F.abs(F.col("answer"))
-    whole = F.col("run.answer") == F.floor("run.answer")
-    sound = F.col("run.ok") & whole & ((F.col("answer") == 0) | ratio.between(1 / RATIO, RATIO)) & ~F.exists("new", lambda n: n["value"].isNull())
-    first = tries.filter(sound).groupBy("pid", "k").agg(F.min_by(F.struct("attempt", "question", F.col("nodes").alias("old"), "new", F.col("run.answer").alias("answer")), "attempt").alias("x"))
-    made = first.select("pid", "k", "x.attempt", "x.question", F.col("x.old").alias("old"), F.col("x.new").alias("nodes"), F.col("x.answer").alias("answer"))
-    return made.withColumn("variant_question", variant_text(F.col("question"), F.col("old"), F.col("nodes"), F.col("k"))).filter("trim(variant_question) <> trim(question)").drop("old", "question")
+
+    schema = "pid string, question string, ops array<string>, refs array<array<int>>, old array<double>, dcs array<int>, k int, attempt int, new array<double>, answer double"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for pid, question, ops, refs, values, dcs, free, answer in batch.itertuples(index=False):
+                plain = (list(ops), [list(map(int, x)) for x in refs], [float(x) for x in values])
+                for k in range(variants):
+                    found = sampled(*plain, [bool(x) for x in free], float(answer), f"{pid}|{k}", attempts)
+                    if found:
+                        out.append((pid, question, *plain, dcs, k, *found))
+            yield pd.DataFrame(out, columns=names)
+
+    # exploding an array of one keeps the planner from evaluating it once for each use
+    rows = parsed.select(F.col("pid").cast("string").alias("pid"), "question", "nodes", "answer", F.explode(F.array(roles(F.col("nodes"), F.col("question")))).alias("roles"))
+    rows = rows.filter(F.exists("roles", lambda r: r["role"] == "VARIABLE") & ~F.exists("nodes", lambda n: n["value"].isNull() | F.isnan(n["value"])))
+    free = F.transform("nodes", lambda n: (n["op"] == "assign") & F.exists("roles", lambda r: (r["value"] == n["value"]) & (r["role"] == "VARIABLE")))
+    part = lambda c: F.transform("nodes", lambda n: n[c])
+    made = rows.select("pid", "question", part("op").alias("ops"), part("refs").alias("refs"), part("value").alias("old"), part("dc").alias("dcs"), free.alias("free"), F.col("answer").cast("double").alias("was")).mapInPandas(tries, schema)
+
+    def nodes(value: str) -> Column:
+        node = lambda n: F.struct(n["ops"].alias("op"), n["refs"].alias("refs"), n[value].alias("value"), F.when(n["ops"] == "assign", digit_class(n[value]).cast("int")).otherwise(n["dcs"]).alias("dc"))
+        return F.transform(F.arrays_zip("ops", "refs", value, "dcs"), node).cast(graphs.NODES)
+
+    made = made.select("pid", "question", nodes("old").alias("old"), "k", "attempt", nodes("new").alias("nodes"), "answer")
+    texts = made.withColumn("variant_question", variant_text(F.col("question"), F.col("old"), F.col("nodes"), F.col("k")))
+    return texts.filter("trim(variant_question) <> trim(question)").select("pid", "k", "attempt", "nodes", "answer", "variant_question")
 
 
 def variant_text(question: Column, old: Column, new: Column, k: Column) -> Column:
@@ -137,7 +165,8 @@ def variant_text(question: Column, old: Column, new: Column, k: Column) -> Colum
     text = tx.replace_numbers(question, F.filter(pairs, lambda p: p["old"] != p["new"]))
     agent = F.element_at(F.array(*[F.lit(a) for a in AGENTS]), (F.pmod(k * 7 + 3, F.lit(len(AGENTS))) + 1).cast("int"))
     by_length = sorted(NAMES, key=lambda n: -len(n))
-    name = F.try_element_at(F.filter(F.array(*[F.lit(n) for n in by_length]), lambda n: tx.whole_word_count(text, n) > 0), F.lit(1))
+    shown = F.regexp_extract_all(text, F.lit(f"(?<![{tx.LETTER}])({'|'.join(by_length)})(?![{tx.LETTER}])"), F.lit(1))
+    name = tx.let(shown, lambda shown: F.try_element_at(F.filter(F.array(*[F.lit(n) for n in by_length]), lambda n: F.array_contains(shown, n)), F.lit(1)))
     return F.when(name.isNull(), text).otherwise(tx.replace_word(text, name, agent))
 
 

@@ -153,8 +153,8 @@ def test_variants_are_sound(spark):
     again = variants.mutate(frame.select("pid", "question", "g.nodes", "g.answer"), variants=3, attempts=20).collect()
     assert sorted(json.dumps(r.asDict(True), sort_keys=True) for r in made) == sorted(json.dumps(r.asDict(True), sort_keys=True) for r in again)
     first = next(r for r in made if r["pid"] == "0")
-    both = spark.createDataFrame([(frame.filter("pid = '0'").select("g.nodes").first()[0], first["nodes"], first["variant_question"])], f"a {graphs.NODES}, b {graphs.NODES}, t string")
-    checks = both.select(graphs.isomorphism_checks(F.col("a"), F.col("b"), F.col("t")).alias("c")).first()["c"]
-    assert checks["topology"] and checks["op_types"] and checks["numbers_present"] and checks["novel_surface"]
-    broken = both.select(graphs.isomorphism_checks(F.col("a"), F.col("b"), F.lit("no numbers")).alias("c")).first()["c"]
-    assert not broken["numbers_present"]
+    both = spark.createDataFrame([(frame.filter("pid = '0'").select("g.nodes").first()[0], first["nodes"], first["variant_question"])], f"a {graphs.NODES}, b {graphs.NODES}, t string").withColumn("x", F.lit(first["answer"]))
+    checks = both.select(graphs.isomorphism_checks(F.col("a"), F.col("b"), F.col("t"), F.col("x")).alias("c")).first()["c"]
+    assert checks["topology"] and checks["op_types"] and checks["numbers_present"] and checks["answer_consistent"] and checks["novel_surface"]
+    broken = both.select(graphs.isomorphism_checks(F.col("a"), F.col("b"), F.lit("no numbers"), F.col("x") + 1).alias("c")).first()["c"]
+    assert not broken["numbers_present"] and not broken["answer_consistent"]
