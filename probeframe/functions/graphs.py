@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from probeframe.functions.answers import agrees_within, digit_class, number_or_ratio, stated_answer, to_number
-from probeframe.functions.text import let
+from probeframe.functions.text import let, missing_numbers
 
 STEP = r"<<([^>]+?)=([^>]+?)>>"
 TOKEN = r"\d+(?:\.\d+)?|[+\-*/()%]"
@@ -250,10 +250,9 @@ def isomorphism_checks(first: Column, second: Column, text: Column, answer: Colu
     from probeframe.functions.answers import number_text
 
     leaves = F.transform(F.filter(second, lambda n: n["op"] == "assign"), lambda n: number_text(n["value"]))
-    shown = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
     return F.struct(
         ((F.size(first) == F.size(second)) & (edges(first) == edges(second))).alias("topology"), (ops(first) == ops(second)).alias("op_types"),
         (complexities(first) == complexities(second)).alias("complexity"), (fingerprint_core(first) == fingerprint_core(second)).alias("fingerprint"),
-        (F.size(F.array_except(leaves, shown)) == 0).alias("numbers_present"),
+        (F.size(missing_numbers(leaves, text)) == 0).alias("numbers_present"),
         F.coalesce(F.abs(execute(second, False) - answer) < 1e-6, F.lit(False)).alias("answer_consistent"), F.lit(True).alias("novel_surface"),
     )

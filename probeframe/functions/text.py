@@ -137,6 +137,11 @@ def replace_numbers(text: Column, changes: Column) -> Column:
     return let(F.split(text, r"(?=\b\d+(?:\.\d+)?\b)(?<![\d.])"), joined)
 
 
+def missing_numbers(required: Column, text: Column) -> Column:
+    """The number texts of ``required`` that ``text`` doesn't have."""
+    return F.array_except(required, whole_numbers(text))
+
+
 def surface_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 

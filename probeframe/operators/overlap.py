@@ -19,9 +19,9 @@ def words(text: Column) -> Column:
 
 
 def shingles(text: Column, n: int = SHINGLE) -> Column:
-    """Distinct runs of ``n`` words; none for shorter and null texts."""
+    """Distinct runs of ``n`` words; the whole of a shorter text that has words; none for empty and null texts."""
     run = lambda w, i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)])
-    runs = lambda w: F.when(F.size(w) >= n, F.array_distinct(F.slice(F.transform(w, lambda x, i: run(w, i)), 1, F.size(w) - n + 1)))
+    runs = lambda w: F.when(F.size(w) >= n, F.array_distinct(F.slice(F.transform(w, lambda x, i: run(w, i)), 1, F.size(w) - n + 1))).when(F.size(w) > 0, F.array(F.array_join(w, " ")))
     return let(words(text), runs)
 
 

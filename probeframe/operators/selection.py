@@ -80,6 +80,17 @@ def seeded_shuffle(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return keyed.withColumn("__nth", nth).join(sums, "__part").withColumn("position", F.col("__base") + F.col("__nth")).drop("__part", "__nth", "__base")
 
 
+def with_least(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The keys that have ``n`` rows or more."""
+    return rows.groupBy(key).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") >= n)
+
+
+def answer_invariant(items: DataFrame, variants: DataFrame, key: str) -> DataFrame:
+    """The items all of whose variants have one answer, the item's own; ``items`` and ``variants`` have ``key`` and ``answer``."""
+    one = variants.groupBy(key).agg(F.min("answer").alias("low"), F.max("answer").alias("high")).filter("low = high")
+    return items.join(one, key).filter(F.col("answer") == F.col("low")).select(key, "answer")
+
+
 def any_of(*ids: DataFrame) -> DataFrame:
     """The ids that at least one of the tables has."""
     found = ids[0]

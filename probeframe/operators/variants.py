@@ -19,6 +19,7 @@ from probeframe.functions import graphs
 from probeframe.functions import text as tx
 from probeframe.functions.answers import digit_class, number_text
 from probeframe.functions.graphs import let
+from probeframe.operators.scratch import written
 
 #: Attempts for each variant, and bounds of the new answer against the old.
 ATTEMPTS, RATIO = 50, 3.0
@@ -83,8 +84,8 @@ def draw_like(value: float, used: set[int], rng: random.Random, tries: int = 200
     return None
 
 
-def run_checked(ops: list[str], refs: list[list[int]], values: list[float]) -> float | None:
-    """The last node's value by forward execution; None unless every computed value is whole, not negative and 1e8 at most."""
+def run_checked(ops: list[str], refs: list[list[int]], values: list[float], whole: bool = True) -> float | None:
+    """The last node's value by forward execution; None unless every computed value is not negative, 1e8 at most and, with ``whole``, whole."""
     done: list[float] = []
     for i, op in enumerate(ops):
         if op == "assign":
@@ -94,7 +95,7 @@ def run_checked(ops: list[str], refs: list[list[int]], values: list[float]) -> f
             return None
         args = [done[r] for r in refs[i]]
         got = {"add": sum, "subtract": lambda x: x[0] - sum(x[1:]), "multiply": math.prod, "divide": lambda x: x[0] / x[1], "modulo": lambda x: x[0] % x[1]}[op](args)
-        if not 0 <= got <= 1e8 or got != math.floor(got):
+        if not 0 <= got <= 1e8 or (whole and got != math.floor(got)):
             return None
         done.append(float(got))
     return done[-1] if done else None
@@ -119,14 +120,29 @@ def sampled(ops: list[str], refs: list[list[int]], values: list[float], free: li
     return None
 
 
-def mutate(parsed: DataFrame, variants: int = 5, attempts: int = ATTEMPTS) -> DataFrame:
+def redrawn(ops: list[str], refs: list[list[int]], values: list[float], seed: str, attempts: int) -> tuple[int, list[float], float] | None:
+    """As :func:`sampled`, by the first generator's rules: every leaf becomes another number of as many digits, whatever the others are."""
+    for attempt in range(attempts):
+        rng, new = random.Random(f"{seed}|{attempt}"), list(values)
+        for i, op in enumerate(ops):
+            digits = len(str(int(abs(values[i]))))
+            while op == "assign" and new[i] == values[i]:
+                new[i] = float(rng.randint(max(2, 10 ** (digits - 1)), 10**digits - 1))
+        made = run_checked(ops, refs, new, whole=False)
+        if made is not None:
+            return attempt, new, made
+    return None
+
+
+def mutate(parsed: DataFrame, variants: int = 5, attempts: int = ATTEMPTS, every_leaf: bool = False) -> DataFrame:
     """``pid, k, attempt, nodes, answer, variant_question`` from ``pid, question, nodes, answer``.
 
     Sound attempts have whole, non-negative intermediates up to 1e8 and an
     answer within a factor of three of the original's.  A (problem, variant)
     without one has no row, nor has a problem none of whose leaves may change.
     Texts that come out as the original's go.  Draws are seeded by the problem's
-    id, the variant and the attempt.
+    id, the variant and the attempt.  With ``every_leaf`` all leaves change, by
+    the first generator's rules (:func:`redrawn`).
     """
 
     schema = "pid string, question string, ops array<string>, refs array<array<int>>, old array<double>, dcs array<int>, k int, attempt int, new array<double>, answer double"
@@ -138,14 +154,15 @@ def mutate(parsed: DataFrame, variants: int = 5, attempts: int = ATTEMPTS) -> Da
             for pid, question, ops, refs, values, dcs, free, answer in batch.itertuples(index=False):
                 plain = (list(ops), [list(map(int, x)) for x in refs], [float(x) for x in values])
                 for k in range(variants):
-                    found = sampled(*plain, [bool(x) for x in free], float(answer), f"{pid}|{k}", attempts)
+                    seed = f"{pid}|{k}"
+                    found = redrawn(*plain, seed, attempts) if every_leaf else sampled(*plain, [bool(x) for x in free], float(answer), seed, attempts)
                     if found:
                         out.append((pid, question, *plain, dcs, k, *found))
             yield pd.DataFrame(out, columns=names)
 
     # exploding an array of one keeps the planner from evaluating it once for each use
     rows = parsed.select(F.col("pid").cast("string").alias("pid"), "question", "nodes", "answer", F.explode(F.array(roles(F.col("nodes"), F.col("question")))).alias("roles"))
-    rows = rows.filter(F.exists("roles", lambda r: r["role"] == "VARIABLE") & ~F.exists("nodes", lambda n: n["value"].isNull() | F.isnan(n["value"])))
+    rows = rows.filter((F.exists("roles", lambda r: r["role"] == "VARIABLE") | F.lit(every_leaf)) & ~F.exists("nodes", lambda n: n["value"].isNull() | F.isnan(n["value"])))
     free = F.transform("nodes", lambda n: (n["op"] == "assign") & F.exists("roles", lambda r: (r["value"] == n["value"]) & (r["role"] == "VARIABLE")))
     part = lambda c: F.transform("nodes", lambda n: n[c])
     made = rows.select("pid", "question", part("op").alias("ops"), part("refs").alias("refs"), part("value").alias("old"), part("dc").alias("dcs"), free.alias("free"), F.col("answer").cast("double").alias("was")).mapInPandas(tries, schema)
@@ -159,6 +176,26 @@ def mutate(parsed: DataFrame, variants: int = 5, attempts: int = ATTEMPTS) -> Da
     return texts.filter("trim(variant_question) <> trim(question)").select("pid", "k", "attempt", "nodes", "answer", "variant_question")
 
 
+def regenerate(parsed: DataFrame, variants: int = 5, attempts: int = ATTEMPTS, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Status of every item, ``pid, status, n_variants``, and the variants of those regenerated.
+
+    An item fails, in this order, for a leaf that its question lacks, for having
+    no leaf that may change, for fewer than ``least`` sound variants, and for
+    variants that all have its own answer.
+    """
+    made = written(mutate(parsed, variants, attempts))
+    counts = made.groupBy("pid").agg(F.count("*").alias("n"), F.min("answer").alias("low"), F.max("answer").alias("high"))
+    own = leaves(F.col("nodes"))
+    items = parsed.select("pid", "answer", "nodes", "question", F.explode(F.array(roles(F.col("nodes"), F.col("question")))).alias("roles")).join(counts, "pid", "left")
+    n = F.coalesce("n", F.lit(0))
+    status = (
+        F.when(F.exists(own, lambda x: ~F.contains(F.col("question"), number_text(x["value"]))), "phantom_leaf").when(~F.exists("roles", lambda r: r["role"] == "VARIABLE"), "no_variable_leaf")
+        .when(n < least, "few_variants").when((F.col("low") == F.col("high")) & (F.col("low") == F.col("answer")), "answer_invariant").otherwise("regenerated")
+    )
+    status = written(items.select("pid", status.alias("status"), n.alias("n_variants")))
+    return status, made.join(status.filter("status = 'regenerated'").select("pid"), "pid", "left_semi")
+
+
 def variant_text(question: Column, old: Column, new: Column, k: Column) -> Column:
     """The question with the leaves' new numbers, all replaced at once, and one name swapped for the k-th agent."""
     pairs = F.arrays_zip(F.transform(leaves(old), lambda n: number_text(n["value"])).alias("old"), F.transform(leaves(new), lambda n: number_text(n["value"])).alias("new"))

@@ -9,6 +9,7 @@ from probeframe.functions import answers, graphs
 from probeframe.functions import text as tx
 from probeframe.operators import audit, gaps, overlap, selection, variants
 from probeframe.plans._shape import r, rounded
+from probeframe.sources import json_files
 from probeframe.sources.domain import model_answers, problems, table, transcripts, with_views
 
 QUERIES, ORACLES = {}, {}
@@ -265,7 +266,7 @@ def exact_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORD = "(SELECT {k}, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (SELECT {k}, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM {t} WHERE text IS NOT NULL))"
 _LEADS = " || ' ' || ".join(f"lead(x, {i}) OVER (PARTITION BY {{k}} ORDER BY i)" for i in range(5))
-SHINGLES = f"(SELECT DISTINCT {{k}}, s FROM (SELECT {{k}}, {_LEADS} AS s FROM {_WORD}) WHERE s IS NOT NULL)"
+SHINGLES = f"(SELECT DISTINCT {{k}}, s FROM (SELECT {{k}}, {_LEADS} AS s FROM {_WORD} UNION ALL SELECT {{k}}, string_agg(x, ' ' ORDER BY i) FROM {_WORD} GROUP BY 1 HAVING count(*) < 5) WHERE s IS NOT NULL)"
 
 
 @query("shingle_jaccard", f"""WITH d AS {SHINGLES.format(k='doc_id', t='documents')}, b AS {SHINGLES.format(k='item_id', t='benchmark')},
@@ -374,3 +375,57 @@ def variant_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["topology", "op_types", "complexity", "fingerprint", "numbers_present", "answer_consistent", "novel_surface"]
     failed = F.filter(F.array(*[F.when(~F.col(f"c.{n}"), n) for n in names]), lambda x: x.isNotNull())
     return checks.select("pid", "k", F.array_join(failed, ",").alias("failed"), (F.size(failed) == 0).alias("passed"))
+
+
+@query("mutate_leaves")
+def mutate_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One variant of every problem by the first generator's rules."""
+    p = parsed(spark, sf_dir).filter("g.accepted")
+    return variants.mutate(p.select("pid", "question", "g.nodes", "g.answer"), variants=1, attempts=20, every_leaf=True).drop("nodes")
+
+
+@query("regeneration_status")
+def regeneration_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every sound problem in regeneration."""
+    p = parsed(spark, sf_dir).filter("g.accepted")
+    return variants.regenerate(p.select("pid", "question", "g.nodes", "g.answer"))[0]
+
+
+@query("variant_sanity", with_views("problems", body=PAIRS + """, q AS (SELECT p.pid, 'Store ' || split_part(p.pid, '-', 4) || ' packs ' || a || ' boxes of ' || b || ' parts and removes ' || k || '. How many parts remain?' AS own,
+        CAST(v AS INTEGER) AS v, 'Shop ' || (k + 90) || ' packs ' || (a + v) || ' boxes of ' || b || ' parts and removes ' || k || '. How many?' AS fresh FROM problems p, range(5) r(v))
+    SELECT x.item_id, x.v, va > 0 AS positive, va = floor(va) AS whole, abs(va) < 1e8 AS bounded, trim(fresh) <> trim(q.own) AS differs, contains(fresh, '?') AND regexp_matches(fresh, '[0-9]') AS readable FROM x JOIN q ON x.item_id = q.pid AND x.v = q.v"""))
+def variant_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every variant must hold: a positive, whole, bounded answer, a text of its own, and a question with a number."""
+    a, t = F.col("variant_answer"), F.col("variant_question")
+    return _pairs(spark, sf_dir).select(
+        "item_id", "v", (a > 0).alias("positive"), (a == F.floor(a)).alias("whole"), (F.abs(a) < 1e8).alias("bounded"), (F.trim(t) != F.trim("question")).alias("differs"),
+        (F.contains(t, F.lit("?")) & t.rlike("[0-9]")).alias("readable"),
+    )
+
+
+@query("can_parse", "SELECT doc_id, coalesce(contains(text, '?') AND regexp_matches(text, '[0-9]'), false) AS can_parse FROM documents")
+def can_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a text has a question mark and a digit."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.contains("text", F.lit("?")) & F.col("text").rlike("[0-9]"), F.lit(False)).alias("can_parse"))
+
+
+@query("least_variants", "SELECT l_orderkey AS item_id, count(*) AS n_rows, count(*) >= 3 AS enough_for_generators FROM lineitem GROUP BY 1 HAVING count(*) >= 2")
+def least_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with two variants or more, and whether there are three."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"))
+    two, three = selection.with_least(rows, "item_id", 2), selection.with_least(rows, "item_id", 3).select("item_id", F.lit(True).alias("three"))
+    return two.join(three, "item_id", "left").select("item_id", "n_rows", F.coalesce("three", F.lit(False)).alias("enough_for_generators"))
+
+
+@query("answer_invariant", """SELECT item_id, answer FROM (SELECT o_orderkey AS item_id, CAST(o_custkey % 3 AS DOUBLE) AS answer FROM orders) o
+    JOIN (SELECT l_orderkey AS item_id, min(l_linenumber % 2) AS low, max(l_linenumber % 2) AS high FROM lineitem GROUP BY 1) v USING (item_id) WHERE low = high AND answer = low""")
+def answer_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose variants all repeat the item's answer."""
+    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), (F.col("o_custkey") % 3).cast("double").alias("answer"))
+    made = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), (F.col("l_linenumber") % 2).cast("double").alias("answer"))
+    return selection.answer_invariant(items, made, "item_id")
+
+
+@query("ordinal_ids", "SELECT doc_id, printf('doc_%04d', doc_id) AS item_id FROM documents")
+def ordinal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_files.with_ordinal_ids(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "doc")

@@ -41,6 +41,11 @@ def write_item_lines(items: DataFrame, path: str) -> None:
     items.write.mode("overwrite").json(path)
 
 
+def with_ordinal_ids(rows: DataFrame, ordinal: str, prefix: str) -> DataFrame:
+    """``rows`` with ``item_id`` made of a stored ordinal: prefix, underscore and four digits at least."""
+    return rows.withColumn("item_id", F.format_string(f"{prefix}_%04d", F.col(ordinal)))
+
+
 def nested(rows: DataFrame, originals: DataFrame) -> DataFrame:
     """Items with their variants, from flat variants ``parent_id, variant_no, ...`` and the items' own rows.
 

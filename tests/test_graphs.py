@@ -158,3 +158,20 @@ def test_variants_are_sound(spark):
     assert checks["topology"] and checks["op_types"] and checks["numbers_present"] and checks["answer_consistent"] and checks["novel_surface"]
     broken = both.select(graphs.isomorphism_checks(F.col("a"), F.col("b"), F.lit("no numbers"), F.col("x") + 1).alias("c")).first()["c"]
     assert not broken["numbers_present"] and not broken["answer_consistent"]
+
+
+def test_regeneration_and_first_generator(spark):
+    texts = [
+        ("free", "Tom has 15 boxes of 23 pens and gives away 17. How many?", "<<15*23=345>> <<345-17=328>>\n#### 328"),
+        ("phantom", "Tom has 15 boxes and gives away 17. How many?", "<<15*23=345>> <<345-17=328>>\n#### 328"),
+        ("stuck", "Tom has 12 eggs and 12 more, 12 each. How many?", "<<12+12=24>>\n#### 24"),
+    ]
+    p = spark.createDataFrame(texts, "pid string, question string, solution string").withColumn("g", F.explode(F.array(graphs.parse(F.col("solution"))))).filter("g.accepted")
+    p = p.select("pid", "question", "g.nodes", "g.answer")
+    status, made = variants.regenerate(p)
+    got = {r["pid"]: (r["status"], r["n_variants"]) for r in status.collect()}
+    assert got["free"][0] == "regenerated" and got["free"][1] >= 3 and got["phantom"][0] == "phantom_leaf" and got["stuck"] == ("no_variable_leaf", 0)
+    assert {r["pid"] for r in made.collect()} == {"free"}
+    first = {r["pid"]: r for r in variants.mutate(p, 1, 20, every_leaf=True).collect()}
+    leaves = [n["value"] for n in first["free"]["nodes"] if n["op"] == "assign"]
+    assert all(10 <= v <= 99 and v not in (15, 23, 17) for v in leaves) and leaves[0] * leaves[1] - leaves[2] == first["free"]["answer"]
