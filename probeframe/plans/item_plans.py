@@ -391,9 +391,9 @@ def regeneration_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.regenerate(p.select("pid", "question", "g.nodes", "g.answer"))[0]
 
 
-@query("variant_sanity", with_views("problems", body=PAIRS + """, q AS (SELECT p.pid, 'Store ' || split_part(p.pid, '-', 4) || ' packs ' || a || ' boxes of ' || b || ' parts and removes ' || k || '. How many parts remain?' AS own,
-        CAST(v AS INTEGER) AS v, 'Shop ' || (k + 90) || ' packs ' || (a + v) || ' boxes of ' || b || ' parts and removes ' || k || '. How many?' AS fresh FROM problems p, range(5) r(v))
-    SELECT x.item_id, x.v, va > 0 AS positive, va = floor(va) AS whole, abs(va) < 1e8 AS bounded, trim(fresh) <> trim(q.own) AS differs, contains(fresh, '?') AND regexp_matches(fresh, '[0-9]') AS readable FROM x JOIN q ON x.item_id = q.pid AND x.v = q.v"""))
+@query("variant_sanity", with_views("problems", body=PAIRS + """, q AS (SELECT item_id, v, va, 'Store ' || own[1] || ' packs ' || own[2] || ' boxes of ' || own[3] || ' parts and removes ' || own[4] || '. How many parts remain?' AS old,
+        'Shop ' || new[1] || ' packs ' || new[2] || ' boxes of ' || new[3] || ' parts and removes ' || new[4] || '. How many?' AS fresh FROM x)
+    SELECT item_id, v, va > 0 AS positive, va = floor(va) AS whole, abs(va) < 1e8 AS bounded, trim(fresh) <> trim(old) AS differs, contains(fresh, '?') AND regexp_matches(fresh, '[0-9]') AS readable FROM q"""))
 def variant_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every variant must hold: a positive, whole, bounded answer, a text of its own, and a question with a number."""
     a, t = F.col("variant_answer"), F.col("variant_question")
