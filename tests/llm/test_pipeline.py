@@ -64,7 +64,7 @@ def test_the_whole_is_its_stages(spark, folder):
     step = corpus_pipeline.drop_toxic(spark, docs, folder)
     step = line_spread.remove_spread_lines(step)
     texts = [r["text"] for r in step.select("text").collect() if r["text"]]
-    assert sum("shared footer line" in t for t in texts) == 1
+    assert sum("shared footer line" in t.split("\n") for t in texts) == 1
     step = near_copies.keep_one(step)
     assert {r["doc_id"] for r in step.select("doc_id").collect()} & {20, 50, 21, 51} == {20, 21}
     want = source_mix.mixed_texts(step).groupBy("doc_id").agg(F.count("*").alias("n")).collect()
