@@ -232,6 +232,20 @@ def fingerprint_core(nodes: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+#: The signs that steps write for operations.
+SIGNS = {"add": "+", "subtract": "-", "multiply": "*", "divide": "/", "modulo": "%"}
+
+
+def solution_of(nodes: Column) -> Column:
+    """The annotated solution that a graph stands for: its steps in order, and the answer by execution; for the round trip through :func:`parse`."""
+    from probeframe.functions.answers import number_text
+
+    sign = F.create_map(*[F.lit(x) for pair in SIGNS.items() for x in pair])
+    shown = lambda n: F.concat_ws("", F.transform(n["refs"], lambda r, i: F.concat(F.when(i > 0, F.element_at(sign, n["op"])).otherwise(F.lit("")), number_text(F.element_at(nodes, r + 1)["value"]))))
+    steps = F.transform(F.filter(nodes, lambda n: n["op"] != "assign"), lambda n: F.concat(F.lit("<<"), shown(n), F.lit("="), number_text(n["value"]), F.lit(">>")))
+    return F.concat(F.array_join(steps, " "), F.lit("\n#### "), number_text(execute(nodes)))
+
+
 def violations(nodes: Column) -> Column:
     """What makes a graph unfit: ``array<string>``, empty for a sound one."""
 
