@@ -5,7 +5,7 @@ embeddings of a window's bags are averaged into a linear softmax, and both are
 trained jointly in numpy.  A window is :data:`WINDOW` words, one beginning at
 every word, and a text is as toxic as its worst window: a few words among
 thousands vanish in the mean of a whole text.  Held-out recall falls as the
-window grows (sf0.1: 0.94 at one word, 0.84 at two, 0.82 at three, under 0.02
+window grows (sf0.1: 0.94 at one word, 0.85 at two, 0.82 at three, 0.01
 for whole texts), so a window is one word's bag; training knows other widths.
 """
 
