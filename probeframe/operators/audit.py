@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from probeframe.functions import text as tx
 from probeframe.functions.answers import matches_audit
+from probeframe.operators.scratch import written
 
 
 def consensus(answers: DataFrame, key: str = "variant") -> DataFrame:
@@ -100,6 +101,8 @@ def entity_failures(pairs: DataFrame) -> DataFrame:
     others = F.filter("variant_names", lambda v: ~F.array_contains("names", v) & tx.suffix_artifact(F.col("name"), v).isNull())
     each = each.withColumn("candidate", F.try_element_at(others, F.lit(1))).withColumn("tried", (F.col("has") < F.col("had")) | (F.size("artifacts") > 0))
     ids = ["item_id", "variant_id"]
+    # three checks read it
+    each = written(each.select(*ids, "name", "variant_question", "had", "has", "artifacts", "candidate", "tried"))
     artifacts = each.select(*ids, "name", F.explode("artifacts").alias("word")).select(
         *ids, F.lit("SUBSTRING_ARTIFACT").alias("check"), F.concat("word", F.lit(" ends in "), tx.suffix_artifact(F.col("name"), F.col("word")), F.lit(" of "), "name").alias("details")
     )
@@ -140,8 +143,6 @@ def route(pairs: DataFrame) -> DataFrame:
     An item without failures stays; with two passing variants it keeps those;
     else all its variants are repaired and audited again, and two must pass.
     """
-    from probeframe.operators.scratch import written
-
     failing = written(entity_failures(pairs).select("item_id", "variant_id").distinct())
     marked = pairs.join(failing.withColumn("bad", F.lit(True)), ["item_id", "variant_id"], "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
     totals = marked.groupBy("item_id").agg(F.sum(F.col("bad").cast("long")).alias("n_bad"), F.sum((~F.col("bad")).cast("long")).alias("n_good"))
