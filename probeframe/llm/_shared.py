@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ BROADCAST_ROWS = 50_000
 HEAVY_KEYS = 1000
 #: The run of white space that separates words in the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A term: a run of letters and digits of ASCII and of all other characters; A-Z count as a-z.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -52,6 +57,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> Iterator[None]:
+    """While it lasts, Arrow batches that go to Python hold so many rows and bytes at most; jobs must run inside."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def terms_of(raw: bytes | None) -> list[bytes]:
+    """The terms of a UTF-8 text, as :data:`TERM` has them; null has none."""
+    return raw.translate(_TERM_BYTES).split() if raw else []
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast only if a count proves it has at most ``rows`` rows.
 
