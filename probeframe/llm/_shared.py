@@ -19,6 +19,7 @@ HEAVY_KEYS = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 #: A term: a run of letters and digits of ASCII and of all other characters; A-Z count as a-z.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 
 
@@ -76,6 +77,11 @@ def terms_of(raw: bytes | None) -> list[bytes]:
     return raw.translate(_TERM_BYTES).split() if raw else []
 
 
+def term_column(text: Column) -> Column:
+    """The terms of a text as an array, in order; null for a null text.  Split and not extracted: extraction copies the text for every match."""
+    return F.filter(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), _BETWEEN), lambda t: t != "")
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast only if a count proves it has at most ``rows`` rows.
 

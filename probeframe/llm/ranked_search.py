@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probeframe.llm._shared import TERM, bounded_batches, materialize, terms_of
+from probeframe.llm._shared import bounded_batches, materialize, term_column, terms_of
 
 #: Documents and terms at which a segment is full.
 SEGMENT_DOCS, SEGMENT_TERMS = 4096, 1 << 21
@@ -112,8 +112,8 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     a term, null ones too, aren't in the index; a null id stays null; rows that
     repeat are documents of their own; other columns aren't read.
     """
-    sized = docs.select(F.regexp_count(F.col(text), F.lit(TERM)).cast("long").alias("n")).filter("n > 0")
-    n_docs, n_terms = sized.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0).cast("long"))).first()
+    sized = docs.select(F.size(term_column(F.col(text))).cast("long").alias("n"))
+    n_docs, n_terms = sized.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0).cast("long"))).first()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
@@ -157,9 +157,8 @@ class _Block:
 
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[_Block]:
     """Items in blocks of bounded size; rows come to the driver one partition at a time, never more than that and a block."""
-    terms = F.array_distinct(F.regexp_extract_all(F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(TERM), F.lit(0)))
     block = _Block()
-    for row in items.select(F.col(item_id).cast("long"), terms).toLocalIterator():
+    for row in items.select(F.col(item_id).cast("long"), F.array_distinct(term_column(F.col(text)))).toLocalIterator():
         for t in row[1] or ():
             block.items[t.encode()].append(len(block.item_ids))
         block.item_ids.append(row[0])
