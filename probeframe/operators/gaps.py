@@ -39,6 +39,12 @@ def item_counts(responses: DataFrame) -> DataFrame:
     )
 
 
+def gaps_of_counts(counts: DataFrame) -> DataFrame:
+    """:func:`item_gaps` from :func:`item_counts`."""
+    both = counts.filter("n_orig > 0 and n_var > 0").withColumns({"p_orig": F.col("right_orig") / F.col("n_orig"), "p_iso": F.col("right_var") / F.col("n_var")})
+    return both.select("model", "item_id", "p_orig", "p_iso", "n_orig", "n_var", (F.col("p_orig") - F.col("p_iso")).alias("delta"))
+
+
 def standard_error(delta: Column, sample: bool) -> Column:
     """Of the mean; with n-1 (``sample``) or n degrees; 0 for a single item."""
     n = F.count(delta)

@@ -12,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probeframe.sources.result_log import ResultLog
+
 QUESTION = "item_id string, question string, answer double, is_original boolean, status string, regenerated boolean, all_values_present boolean"
 ITEM = f"{QUESTION}, variants array<struct<{', '.join(c.replace(' ', ':', 1) for c in QUESTION.split(', '))}>>"
 RESULT = "struct<item_id:string,trial:int,is_original:boolean,extracted:double,expected:double,correct:boolean,response:string>"
@@ -94,16 +96,11 @@ def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def append_results(new: DataFrame, path: str) -> None:
-    """Appends results, by model, that ``path`` doesn't have yet; a second call with the same rows adds none."""
-    spark = new.sparkSession
-    fresh = new.dropDuplicates(["model", "key"])
-    try:
-        done = spark.read.parquet(path).select("model", "key")
-        fresh = fresh.join(done, ["model", "key"], "left_anti")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    fresh.write.mode("append").partitionBy("model").parquet(path)
+    """Appends results that ``path`` doesn't have yet, in one commit of its log; a second call with the same rows adds none.
+
+    Several writers may append at once; ``ResultLog(spark, path).read()`` gives the rows.
+    """
+    ResultLog(new.sparkSession, path).merge(new)
 
 
 def reuse_or_make(spark: SparkSession, path: str, make) -> DataFrame:

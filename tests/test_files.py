@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from probeframe.operators import gaps, selection
 from probeframe.sources import json_files
+from probeframe.sources.result_log import ResultLog
 from probeframe.streaming import results as stream
 
 ITEMS = [
@@ -56,7 +57,7 @@ def test_appends_are_idempotent(spark, tmp_path):
     for _ in range(2):
         json_files.append_results(rows, str(tmp_path / "r"))
     json_files.append_results(spark.createDataFrame([("m", "k3", True)], rows.schema), str(tmp_path / "r"))
-    assert spark.read.parquet(str(tmp_path / "r")).count() == 4
+    assert sorted(tuple(r) for r in ResultLog(spark, str(tmp_path / "r")).read().select("model", "key", "correct").collect()) == [("m", "k1", True), ("m", "k2", False), ("m", "k3", True), ("n", "k1", True)]
     calls = []
     make = lambda: calls.append(1) or rows
     assert json_files.reuse_or_make(spark, str(tmp_path / "once"), make).count() == json_files.reuse_or_make(spark, str(tmp_path / "once"), make).count() == 4 and len(calls) == 1
@@ -66,8 +67,9 @@ def test_stream_of_results(spark, tmp_path):
     rows = spark.createDataFrame([("m", "k1", True, "2024-01-01 00:10:00"), ("m", "k1", True, "2024-01-01 00:10:00"), ("m", "k2", False, "2024-01-01 00:20:00"), ("n", "k1", None, "2024-01-01 02:00:00")], "model string, key string, correct boolean, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    stream.sink(source(), str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination(120)
-    assert sorted((r["model"], r["key"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("m", "k1"), ("m", "k2"), ("n", "k1")]
+    log = ResultLog(spark, str(tmp_path / "out"))
+    stream.sink(stream.once(source()), log, str(tmp_path / "c1")).awaitTermination(120)
+    assert sorted((r["model"], r["key"]) for r in log.read().collect()) == [("m", "k1"), ("m", "k2"), ("n", "k1")]
     query = stream.accuracy_by_window(source()).writeStream.format("memory").queryName("acc").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r["model"], r["n"], round(r["accuracy"], 4)) for r in spark.table("acc").collect()) == [("m", 3, 0.6667), ("n", 1, 0.0)]
