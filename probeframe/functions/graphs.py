@@ -1,16 +1,20 @@
 """Computation graphs as nested columns: parsing, checks, execution, fingerprints.
 
 A graph is ``array<struct<op, refs, value, dc>>`` in definition order; ``refs``
-are places in the array, from 0.  Everything is higher-order functions over that
-array, so a graph never leaves its row and nothing shuffles.
+are places in the array, from 0.  Texts are read on Arrow batches; all else is
+higher-order functions over that array, so a graph never leaves its row and
+nothing shuffles.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from probeframe.functions.answers import agrees_within, digit_class, number_or_ratio, stated_answer, to_number
+from probeframe.functions.graph_parser import parse_batch
 from probeframe.functions.text import let, missing_numbers
 
 STEP = r"<<([^>]+?)=([^>]+?)>>"
@@ -20,6 +24,7 @@ NUMBER = r"\d+(?:\.\d+)?"
 EXECUTABLE = ["assign", "add", "subtract", "multiply", "divide", "modulo"]
 NODE = "struct<op:string,refs:array<int>,value:double,dc:int>"
 NODES = f"array<{NODE}>"
+GRAPH = f"struct<nodes:{NODES},answer:double,accepted:boolean,error:string,values:array<double>,depth:int>"
 
 
 def steps(solution: Column) -> Column:
@@ -54,56 +59,6 @@ def dominant_op(expr: Column, strict: bool = False) -> Column:
     )
 
 
-def _node(op: Column, refs: Column, value: Column) -> Column:
-    return F.struct(op.alias("op"), refs.cast("array<int>").alias("refs"), value.alias("value"), digit_class(value).cast("int").alias("dc"))
-
-
-def build(solution: Column, strict: bool = False) -> Column:
-    """The graph of an annotated solution, before acceptance; null without steps.
-
-    Leaves are the distinct literals of all steps; each step refers to the
-    newest node with an operand's value.  A leaf whose value some step computes
-    goes, and what referred to it refers to the first such step.  Steps without
-    an operator are passed over; with ``strict``, so are steps whose result is
-    no number.
-    """
-    read = lambda s: F.struct(
-        dominant_op(s["expr"], strict).alias("op"), numbers(s["expr"]).alias("args"),
-        (to_number(F.translate(s["result"], ",$€", "")) if strict else number_or_ratio(s["result"])).alias("result"),
-    )
-    found = F.transform(steps(solution), read)
-    if strict:
-        found = F.filter(found, lambda s: s["result"].isNotNull())
-
-    def add(nodes: Column, s: Column) -> Column:
-        refs = let(F.reverse(F.transform(nodes, lambda n: n["value"])), lambda values: F.transform(s["args"], lambda v: (F.size(values) - F.array_position(values, v)).cast("int")))
-        return F.when(s["op"].isNull(), nodes).otherwise(F.concat(nodes, F.array(_node(s["op"], refs, s["result"]))))
-
-    def full(found: Column) -> Column:
-        leaves = F.transform(F.array_distinct(F.flatten(F.transform(found, lambda s: s["args"]))), lambda v: _node(F.lit("assign"), F.array().cast("array<int>"), v))
-        return F.aggregate(found, leaves.cast(NODES), lambda nodes, s: add(nodes, s).cast(NODES))
-
-    return F.when(F.size(steps(solution)) > 0, let(let(found, full), _merged))
-
-
-def _merged(nodes: Column) -> Column:
-    """Without the leaves that a step computes, references moved to the first such step, and places counted anew."""
-    computed = F.transform(nodes, lambda n: F.when(n["op"] != "assign", n["value"]))
-
-    def with_targets(computed: Column) -> Column:
-        """Of each node, the place of the step that takes its place: its own for a node that stays."""
-        place = lambda n, i: F.when((n["op"] == "assign") & (F.coalesce(F.array_position(computed, n["value"]), F.lit(0)) > 0), F.array_position(computed, n["value"]) - 1).otherwise(i)
-        return let(F.transform(nodes, lambda n, i: place(n, i).cast("int")), moved)
-
-    def moved(target: Column) -> Column:
-        gone = F.filter(F.transform(target, lambda t, i: F.when(t != i, i)), lambda i: i.isNotNull())
-        ref = lambda gone, r: let(F.try_element_at(target, r + 1), lambda t: t - F.size(F.filter(gone, lambda g: g < t)))
-        node = lambda gone, n: F.struct(n["op"].alias("op"), F.transform(n["refs"], lambda r: ref(gone, r)).cast("array<int>").alias("refs"), n["value"].alias("value"), n["dc"].alias("dc"))
-        return let(gone, lambda gone: F.transform(F.filter(nodes, lambda n, i: F.element_at(target, i + 1) == i), lambda n: node(gone, n)))
-
-    return let(computed, with_targets)
-
-
 def forward_refs(nodes: Column) -> Column:
     """Whether some node refers to itself, a later node or none."""
     return F.exists(F.transform(nodes, lambda n, i: F.exists(n["refs"], lambda r: (r >= i) | (r < 0))), lambda x: x)
@@ -138,34 +93,49 @@ def execute(nodes: Column, lenient: bool = True) -> Column:
     return F.try_element_at(values(nodes, lenient), F.lit(-1))
 
 
-def checked(nodes: Column) -> Column:
-    """``struct<answer, ok>``: ok if every computed value is whole, not negative and 1e8 at most."""
+def checked(nodes: Column, done: Column | None = None) -> Column:
+    """``struct<answer, ok>``: ok if every computed value is whole, not negative and 1e8 at most; ``done`` are the values if they are known."""
 
     def judged(done: Column) -> Column:
         computed = F.filter(F.zip_with(nodes, done, lambda n, v: F.struct(n["op"].alias("op"), v.alias("v"))), lambda x: x["op"] != "assign")
         fine = F.forall(computed, lambda x: F.coalesce((x["v"] == F.floor(x["v"])) & (x["v"] >= 0) & (F.abs(x["v"]) <= 1e8), F.lit(False)))
         return F.struct(F.try_element_at(done, F.lit(-1)).alias("answer"), F.coalesce(fine, F.lit(False)).alias("ok"))
 
-    return let(values(nodes, False), judged)
+    return let(values(nodes, False) if done is None else done, judged)
+
+
+@cache
+def _reader(strict: bool):
+    @F.arrow_udf(GRAPH)
+    def read(solutions: pa.Array) -> pa.Array:
+        return parse_batch(solutions, strict)
+
+    return read
 
 
 def parse(solution: Column, strict: bool = False) -> Column:
-    """``struct<nodes, answer, accepted, error>``: the graph and whether it gives the stated answer.
+    """``struct<nodes, answer, accepted, error, values, depth>``: the graph of an annotated solution, and whether it gives the stated answer.
+
+    Leaves are the distinct literals of all steps; each step refers to the
+    newest node with an operand's value.  A leaf whose value some step computes
+    goes, and what referred to it refers to the first such step.  Steps without
+    an operator are passed over; with ``strict``, so are steps whose result is
+    no number.  ``nodes`` is null without steps and for a null solution.
 
     Strict graphs need two nodes, no reference ahead and a relative error under
     1%; script graphs an absolute error of .01 at most, and NaN is no error.
+    ``values`` are all nodes' by forward execution, as :func:`values` gives them
+    (lenient unless ``strict``), ``depth`` the edges on the longest path.
+
+    The newest node of each value is state, so a small reader walks each text
+    once, on Arrow batches (``graph_parser``).
     """
+    return _reader(strict)(solution.cast("string"))
 
-    def judged(nodes: Column, answer: Column, got: Column) -> Column:
-        close = F.abs(got - answer) / F.greatest(F.abs(answer), F.lit(1e-300)) < 0.01 if strict else agrees_within(got, answer)
-        close = F.when(answer == 0, F.abs(got) < 0.01).otherwise(close) if strict else close
-        error = (
-            F.when(answer.isNull(), "no answer").when(nodes.isNull(), "no steps").when(F.size(nodes) < 2, "too few nodes")
-            .when(forward_refs(nodes), "forward reference").when(~F.coalesce(close, F.lit(False)), "answer differs")
-        )
-        return let(error, lambda error: F.struct(nodes.alias("nodes"), answer.alias("answer"), error.isNull().alias("accepted"), error.alias("error")))
 
-    return let(build(solution, strict), lambda nodes: let(stated_answer(solution), lambda answer: let(execute(nodes, not strict), lambda got: judged(nodes, answer, got))))
+def build(solution: Column, strict: bool = False) -> Column:
+    """The graph before acceptance; null without steps."""
+    return parse(solution, strict)["nodes"]
 
 
 def topological_order(nodes: Column) -> Column:

@@ -114,7 +114,7 @@ def forward_execute(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parsed(spark, sf_dir).select("pid", "g.*")
     when = lambda c: F.when(F.col("accepted"), c)
     n = F.col("nodes")
-    return p.select("pid", "accepted", when(graphs.execute(n)).alias("answer"), when(F.size(n)).alias("n_nodes"), when(graphs.depth(n)).cast("int").alias("depth"), when(graphs.checked(n)["ok"]).alias("whole"))
+    return p.select("pid", "accepted", when(F.try_element_at("values", F.lit(-1))).alias("answer"), when(F.size(n)).alias("n_nodes"), when(F.col("depth")).alias("depth"), when(graphs.checked(n, F.col("values"))["ok"]).alias("whole"))
 
 
 TEXTS = f""", t AS (SELECT pid, len(leaves) AS m, c, d, k, a, b,
