@@ -78,8 +78,13 @@ def terms_of(raw: bytes | None) -> list[bytes]:
 
 
 def term_column(text: Column) -> Column:
-    """The terms of a text as an array, in order; null for a null text.  Split and not extracted: extraction copies the text for every match."""
-    return F.filter(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), _BETWEEN), lambda t: t != "")
+    """The terms of a text as an array, in order; null for a null text."""
+    return cased_terms(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def cased_terms(text: Column) -> Column:
+    """The same in the text's own case.  Split and not extracted: extraction copies the text for every match."""
+    return F.filter(F.split(text, _BETWEEN), lambda t: t != "")
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

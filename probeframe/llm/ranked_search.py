@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probeframe.llm._shared import bounded_batches, materialize, term_column, terms_of
+from probeframe.llm._shared import BROADCAST_ROWS, bounded_batches, cased_terms, materialize, term_column, terms_of
 
 #: Documents and terms at which a segment is full.
-SEGMENT_DOCS, SEGMENT_TERMS = 4096, 1 << 21
+SEGMENT_DOCS, SEGMENT_TERMS = 2048, 1 << 20
 #: A term's share of postings in the tiers up to each but the last, and the least number of them in a segment.
 SHARES, LEAST_POSTINGS = (1 / 16, 1 / 4), (64, 256)
 TIERS = len(SHARES) + 1
@@ -59,8 +59,8 @@ def impacts(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
 class _Segment:
     """Documents of a segment being built."""
 
-    def __init__(self, n_docs: int, n_terms: int) -> None:
-        self.n_docs, self.n_terms = n_docs, n_terms
+    def __init__(self, n_docs: int, n_terms: int, most_docs: int, least: tuple[int, ...]) -> None:
+        self.n_docs, self.n_terms, self.most_docs, self.least = n_docs, n_terms, most_docs, least
         self.code = defaultdict(count().__next__)
         self.ids, self.sizes, self.codes, self.size = [], [], [], 0
 
@@ -74,7 +74,7 @@ class _Segment:
 
     @property
     def full(self) -> bool:
-        return len(self.ids) >= SEGMENT_DOCS or self.size >= SEGMENT_TERMS
+        return len(self.ids) >= self.most_docs or self.size >= SEGMENT_TERMS
 
     def row(self) -> dict[str, bytes]:
         names = sorted(self.code)
@@ -90,7 +90,7 @@ class _Segment:
         df = np.bincount(term, minlength=len(names))
         start = np.cumsum(df) - df
         at = np.arange(len(term)) - start[term]
-        upto = [np.minimum(df, np.maximum(least, np.ceil(df * share).astype(np.int64))) for share, least in zip(SHARES, LEAST_POSTINGS, strict=True)] + [df]
+        upto = [np.minimum(df, np.maximum(least, np.ceil(df * share).astype(np.int64))) for share, least in zip(SHARES, self.least, strict=True)] + [df]
         rest = [np.where(u < df, impact[np.minimum(start + u, len(impact) - 1)], 0) for u in upto[:-1]]
         out = {
             "terms": b" ".join(names), "ids": np.array([i or 0 for i in self.ids], np.int64), "missing": np.array([i is None for i in self.ids], bool),
@@ -104,7 +104,7 @@ class _Segment:
         return {c: v if isinstance(v, bytes) else v.tobytes() for c, v in out.items()}
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", segment_docs: int = SEGMENT_DOCS, least_postings: tuple[int, ...] = LEAST_POSTINGS) -> Index:
     """The index of all rows of ``docs``, written to the shared folder.
 
     Counts of documents and terms come first, JVM-side; the second scan makes
@@ -112,12 +112,12 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     a term, null ones too, aren't in the index; a null id stays null; rows that
     repeat are documents of their own; other columns aren't read.
     """
-    sized = docs.select(F.size(term_column(F.col(text))).cast("long").alias("n"))
+    sized = docs.select(F.size(cased_terms(F.col(text))).cast("long").alias("n"))
     n_docs, n_terms = sized.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0).cast("long"))).first()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
-        number, building = count(part), _Segment(n_docs, n_terms)
+        number, building = count(part), _Segment(n_docs, n_terms, segment_docs, least_postings)
 
         def closed() -> pa.RecordBatch:
             row = building.row()
@@ -128,7 +128,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 building.add(i, raw)
                 if building.full:
                     yield closed()
-                    building = _Segment(n_docs, n_terms)
+                    building = _Segment(n_docs, n_terms, segment_docs, least_postings)
         if building.ids:
             yield closed()
 
@@ -243,19 +243,24 @@ def _document_frequencies(index: Index, block: _Block) -> dict[bytes, int]:
     return {bytes(r["term"]): r["df"] for r in rows}
 
 
-def _best(index: Index, block: _Block, last: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """``q, item_id, doc_id, score``: each item's best by the tiers up to ``last``; and ``q, bound``: what a document outside of them can reach."""
+def _best(index: Index, block: _Block, last: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the tiers up to ``last`` give: each item's best, ``q, item_id, doc_id, score``; ``q, bound``, what a document outside of
+    them can reach; and ``segment, reach``, what by item one in that segment can.
+    """
     shared = index.table.sparkSession.sparkContext.broadcast(block)
+    schema = "q long, item_id long, doc_id long, score long, bound long, segment long, reach array<long>"
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         none = np.zeros(0, np.int64)
         best = {q: (none, none.astype(bool), none) for items in block.items.values() for q in items}
-        bounds = np.zeros(len(block.item_ids), np.int64)
+        bounds, reaches = np.zeros(len(block.item_ids), np.int64), []
         for row in _rows(batches):
             seg = _Reader(row, last)
-            score, _, bound = _scores(seg, block)
+            score, met, bound = _scores(seg, block)
             bounds = np.maximum(bounds, bound)
+            if last < TIERS - 1:
+                reaches.append((row["segment"], np.where(score > 0, score - met, -1).max(1) + bound))
             for q, (ids, missing, had) in best.items():
                 low = had[-1] if len(had) == most else 1
                 new = np.flatnonzero(score[q] >= low)
@@ -265,24 +270,18 @@ def _best(index: Index, block: _Block, last: int, most: int) -> tuple[DataFrame,
                     ids, missing, had = np.concatenate([ids, seg.ids[new]]), np.concatenate([missing, seg.missing[new]]), np.concatenate([had, score[q, new]])
                     order = np.lexsort((ids, missing, -had))[:most]
                     best[q] = ids[order], missing[order], had[order]
-        q = np.repeat(np.array(list(best), np.int64), [len(b[0]) for b in best.values()])
-        ids, missing, score = (np.concatenate([b[k] for b in best.values()]) if best else none for k in range(3))
-        open_ = np.flatnonzero(bounds)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([q, open_]), pa.int64()),
-                pa.array([block.item_ids[i] for i in [*q, *open_]], pa.int64()),
-                pa.array(np.concatenate([ids, open_ * 0]), pa.int64(), mask=np.concatenate([missing.astype(bool), open_ >= 0])),
-                pa.array(np.concatenate([score, open_ * 0]), pa.int64(), mask=np.concatenate([score < 0, open_ >= 0])),
-                pa.array(np.concatenate([score * 0, bounds[open_]]), pa.int64(), mask=np.concatenate([score >= 0, open_ < 0])),
-            ],
-            ["q", "item_id", "doc_id", "score", "bound"],
-        )
+        found = [
+            {"q": q, "item_id": block.item_ids[q], "doc_id": None if m else int(i), "score": int(s)} for q, (ids, missing, had) in best.items() for i, m, s in zip(ids, missing, had, strict=True)
+        ]
+        found += [{"q": int(q), "bound": int(bounds[q])} for q in np.flatnonzero(bounds)]
+        found += [{"segment": s, "reach": r.tolist()} for s, r in reaches]
+        kinds = pa.schema([*[(c, pa.int64()) for c in ("q", "item_id", "doc_id", "score", "bound", "segment")], ("reach", pa.list_(pa.int64()))])
+        yield pa.RecordBatch.from_pylist(found, kinds)
 
     with bounded_batches(index.table.sparkSession):
-        found = materialize(index.table.select(*_columns(last)).mapInArrow(searched, "q long, item_id long, doc_id long, score long, bound long"), "best")
+        found = materialize(index.table.select(*_columns(last)).mapInArrow(searched, schema), "best")
     bound = found.filter("bound is not null").groupBy("q").agg(F.max("bound").alias("bound"))
-    return _top(found.filter("bound is null").drop("bound"), most), bound
+    return _top(found.filter("score is not null").select("q", "item_id", "doc_id", "score"), most), bound, found.filter("segment is not null").select("segment", "reach")
 
 
 def _top(found: DataFrame, most: int) -> DataFrame:
@@ -291,39 +290,40 @@ def _top(found: DataFrame, most: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
-def _in_full(index: Index, block: _Block, last: int, least: dict[int, int], most: int) -> DataFrame:
+def _in_full(index: Index, block: _Block, last: int, least: dict[int, int], reaches: DataFrame, most: int) -> DataFrame:
     """Exact scores of the proven items' candidates: documents that may reach ``least``, found in the tiers up to ``last``.
 
-    Candidates meet their segment by a join; only segments that have some are read to the end.
+    Each segment is scored where it is, so the index isn't shuffled.  Segments
+    without a candidate aren't read if those with one are few enough to be
+    broadcast, which a count checks; else all are.
     """
     spark = index.table.sparkSession
     shared = spark.sparkContext.broadcast((block, least))
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, least = shared.value
-        for row in _rows(batches):
-            seg = _Reader(row, last)
-            score, met, bound = _scores(seg, block)
-            found = [(q, np.flatnonzero((score[q] > 0) & (score[q] + bound[q] - met[q] >= low))) for q, low in least.items()]
-            q = np.repeat(np.array([x for x, _ in found], np.int64), [len(d) for _, d in found])
-            doc = np.concatenate([d for _, d in found])
-            if len(q):
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([row["segment"]]), "q": pa.array([q.tobytes()], pa.binary()), "doc": pa.array([doc.astype(np.int64).tobytes()], pa.binary())})
+    wanted = F.array(*[F.lit(least.get(q)).cast("long") for q in range(len(block.item_ids))])  # null for items that aren't asked for
+    held = materialize(reaches.filter(F.exists(F.zip_with("reach", wanted, lambda r, w: r >= w), lambda x: F.coalesce(x, F.lit(False)))).select("segment"), "held")
+    table = index.table.select(*_columns(TIERS - 1))
+    if held.count() <= BROADCAST_ROWS:
+        table = table.join(F.broadcast(held), "segment", "left_semi")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, _ = shared.value
+        block, least = shared.value
         for row in _rows(batches):
+            upper = _Reader(row, last)
+            score, met, bound = _scores(upper, block)
+            may = {q: np.flatnonzero((score[q] > 0) & (score[q] + bound[q] - met[q] >= low)) for q, low in least.items()}
+            may = {q: docs for q, docs in may.items() if len(docs)}
             seg = _Reader(row, TIERS - 1)
-            q, doc = np.frombuffer(row["q"], np.int64), np.frombuffer(row["doc"], np.int64)
-            score = _scores(seg, block.of(sorted({*q.tolist()})))[0][q, doc]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q), pa.array([block.item_ids[i] for i in q], pa.int64()), pa.array(seg.ids[doc], pa.int64(), mask=seg.missing[doc]), pa.array(score)], ["q", "item_id", "doc_id", "score"]
-            )
+            score = _scores(seg, block.of(list(may)))[0]
+            for q, docs in may.items():
+                docs = docs[score[q, docs] >= least[q]]  # the best are that good at least
+                n = len(docs)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([q] * n, pa.int64()), pa.array([block.item_ids[q]] * n, pa.int64()), pa.array(seg.ids[docs], pa.int64(), mask=seg.missing[docs]), pa.array(score[q, docs], pa.int64())],
+                    ["q", "item_id", "doc_id", "score"],
+                )
 
     with bounded_batches(spark):
-        few = materialize(index.table.select(*_columns(last)).mapInArrow(candidates, "segment long, q binary, doc binary"), "candidates")
-        met = index.table.select(*_columns(TIERS - 1)).join(few, "segment")
-        found = materialize(met.mapInArrow(scored, "q long, item_id long, doc_id long, score long"), "scored")
+        found = materialize(table.mapInArrow(scored, "q long, item_id long, doc_id long, score long"), "scored")
     return _top(found, most)
 
 
@@ -342,7 +342,7 @@ def search(index: Index, items: DataFrame, most: int = MOST, item_id: str = "ite
         block.items = {t: q for t, q in block.items.items() if t in df}
         active = sorted({q for items in block.items.values() for q in items})
         for last in range(TIERS):
-            best, bound = _best(index, block.of(active), last, most)
+            best, bound, reaches = _best(index, block.of(active), last, most)
             if last == TIERS - 1:
                 done, exact = active, active
             else:
@@ -353,7 +353,7 @@ def search(index: Index, items: DataFrame, most: int = MOST, item_id: str = "ite
             if exact:
                 results.append(best.filter(F.col("q").isin(exact)).withColumn("tier", F.lit(last)))
             if full := sorted({*done} - {*exact}):
-                results.append(_in_full(index, block.of(full), last, {q: least[q] for q in full}, most).withColumn("tier", F.lit(last)))
+                results.append(_in_full(index, block.of(full), last, {q: least[q] for q in full}, reaches, most).withColumn("tier", F.lit(last)))
             if proven is not None:
                 proven += [last] * len(done)
             active = [q for q in active if q not in {*done}]
