@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeframe.functions.text import let
@@ -69,14 +69,30 @@ def containments(docs: DataFrame, items: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
     """``doc_id, item_id, shared, jaccard, held``: documents with the share ``least`` of an item's shingles or more.
 
-    Shared shingles are counted by a join on their hash, so a frequent one costs
-    its documents times the items that have it.
+    Of an item with n shingles such a document lacks n - ceil(least * n) at most,
+    so it holds one of any n - ceil(least * n) + 1 of them: candidates are joined
+    on those that the fewest documents have, the item's prefix, and what else
+    they share is counted in the document's own row.  A shingle of a third of
+    the documents costs a row for each of them, whatever the number of items
+    that have it.  A repeated row of documents gives repeated rows, null texts
+    and texts without words have no shingles.
     """
-    # the count rides with each shingle: outside of the explode it would be computed for every one
-    hashed = lambda n: let(shingles(F.col("text")), lambda x: F.transform(x, lambda s: F.struct(F.xxhash64(s).alias("h"), F.size(x).alias(n))))
-    sides = lambda df, key, n: df.select(key, F.inline(hashed(n)))
-    both = sides(docs, "doc_id", "n_doc").join(sides(items, "item_id", "n_item"), "h")
-    counts = both.groupBy("doc_id", "item_id", "n_doc", "n_item").agg(F.count("*").alias("shared"))
+    hashed = lambda df, *keys: df.select(*keys, F.transform(shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("hs")).filter("size(hs) > 0")
+    wanted = hashed(items, "item_id").withColumn("n_item", F.size("hs"))
+    asked = written(wanted.select("item_id", "n_item", F.explode("hs").alias("h"), "hs"))
+    known = asked.select("h").distinct()
+    if written(known).limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        known = F.broadcast(known)
+    rows = hashed(docs.withColumn("__row", F.monotonically_increasing_id()), "doc_id", "__row").select("doc_id", "__row", F.size("hs").alias("n_doc"), F.explode("hs").alias("h"))
+    hits = written(rows.join(known, "h", "left_semi"))
+    frequency = hits.groupBy("h").agg(F.count("*").alias("df"))
+    n = F.col("n_item")
+    nth = F.row_number().over(Window.partitionBy("item_id", "hs").orderBy("df", "h"))  # an item's own shingles
+    placed = asked.join(frequency, "h", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("nth", nth)
+    prefix = placed.filter((F.col("nth") <= n - F.ceil(n * F.lit(least) - 1e-9) + 1) & (F.col("df") > 0))
+    near = hits.join(prefix.select("h", "item_id", "n_item", "hs"), "h").select("__row", "item_id", "n_item", "hs").distinct()
+    held_by = hits.groupBy("__row", "doc_id", "n_doc").agg(F.collect_list("h").alias("own"))
+    counts = near.join(held_by, "__row").select("doc_id", "item_id", "n_doc", "n_item", F.size(F.array_intersect("own", "hs")).cast("long").alias("shared"))
     held = F.col("shared") / F.col("n_item")
     jaccard = F.col("shared") / (F.col("n_doc") + F.col("n_item") - F.col("shared"))
     return counts.select("doc_id", "item_id", "shared", jaccard.alias("jaccard"), held.alias("held")).filter(F.col("held") >= least)

@@ -6,18 +6,23 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes ``df`` under ``spark.checkpoint.dir`` (a temporary folder where it is unset and the master is local) and returns a scan of it."""
-    spark = df.sparkSession
+def scratch_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder where it is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="probeframe-"))
         root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes ``df`` under :func:`scratch_root` and returns a scan of it."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -63,27 +63,38 @@ def normal_tail(z: Column) -> Column:
 
 
 def signed_rank_exact(deltas: list[float]) -> float:
-    """One-sided exact p of a short vector: the share of sign patterns of the nonzero ranks with as high a sum."""
-    sizes = sorted(abs(d) for d in deltas if d != 0)
-    if not sizes:
+    """One-sided exact p: the share of sign patterns of the nonzero ranks with as high a sum.
+
+    Patterns are counted by sum, one rank after another, over doubled ranks,
+    which are whole with ties too: n ranks take n passes over n(n+1) sums and not
+    2^n patterns, so several hundred gaps are no trouble.
+    """
+    sizes = np.sort([abs(d) for d in deltas if d != 0])
+    if not len(sizes):
         return 1.0
-    first: dict[float, list[int]] = {}
-    for i, s in enumerate(sizes, 1):
-        first.setdefault(s, []).append(i)
-    rank = {s: sum(at) / len(at) for s, at in first.items()}
-    seen = sum(rank[abs(d)] for d in deltas if d > 0)
-    sums = np.zeros(1)
-    for s in sizes:
-        sums = np.concatenate([sums, sums + rank[s]])
-    return float((sums >= seen - 1e-9).mean())
-
-
-def rank_test(items: DataFrame, least: int = 5) -> DataFrame:
-    """:func:`signed_ranks` with ``p_report`` (null under ``least`` nonzero gaps), ``p_table`` (1 without any) and exact p for short vectors."""
+    values, counts = np.unique(sizes, return_counts=True)
+    upto = np.cumsum(counts)
+    doubled = dict(zip(values.tolist(), (2 * upto - counts + 1).tolist(), strict=True))
+    seen = sum(doubled[abs(d)] for d in deltas if d > 0)
+    share = np.zeros(sum(doubled[s] for s in sizes.tolist()) + 1)  # of patterns, by sum
+    share[0], top = 1.0, 0
+    for rank in (doubled[s] for s in sizes.tolist()):
+        share[rank : top + rank + 1] += share[: top + 1].copy()
+        top += rank
+        share[: top + 1] /= 2
+    return float(share[seen:].sum())
+
+
+def rank_test(items: DataFrame, least: int = 5, exact_below: int = EXACT_BELOW) -> DataFrame:
+    """:func:`signed_ranks` with ``p_report`` (null under ``least`` nonzero gaps), ``p_table`` (1 without any) and exact p for short vectors.
+
+    Vectors of ``exact_below`` gaps or more get the normal p, as published; the
+    exact p holds for any length up to several hundred.
+    """
     ranks = signed_ranks(items).withColumn("p", normal_tail(F.col("z")))
-    short = items.join(ranks.filter(F.col("n_all") < EXACT_BELOW).select("model"), "model")
+    short = items.join(ranks.filter(F.col("n_all") < exact_below).select("model"), "model")
 
-    def exact(group: pd.DataFrame) -> pd.DataFrame:  # at most EXACT_BELOW rows
+    def exact(group: pd.DataFrame) -> pd.DataFrame:  # under exact_below rows
         return pd.DataFrame({"model": [group["model"].iloc[0]], "p_exact": [signed_rank_exact(list(group["delta"].round(TIE_DECIMALS)))]})
 
     found = ranks.join(short.groupBy("model").applyInPandas(exact, "model string, p_exact double"), "model", "left")
@@ -210,7 +221,7 @@ def one_sample_t(items: DataFrame) -> DataFrame:
 
 
 def two_sample_t(values: DataFrame, group: str, value: str) -> DataFrame:
-    """Pooled two-sample t of ``value`` between the groups true and false, with their means and Cohen's d."""
+    """Pooled two-sample t of ``value`` between the groups true and false, with its two-sided p, their means and Cohen's d; a group under two values gives nulls."""
     g, v = F.col(group), F.col(value)
     side = lambda f, c: f(F.when(c, v))
     r = values.agg(
@@ -220,7 +231,7 @@ def two_sample_t(values: DataFrame, group: str, value: str) -> DataFrame:
     df = F.col("n1") + F.col("n2") - 2
     pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / df)
     diff = F.col("m1") - F.col("m2")
-    return r.select("n1", "n2", "m1", "m2", (diff / (pooled * F.sqrt(1 / F.col("n1") + 1 / F.col("n2")))).alias("t"), df.alias("df"), (diff / pooled).alias("cohens_d"))
+    return r.select("n1", "n2", "m1", "m2", (diff / (pooled * F.sqrt(1 / F.col("n1") + 1 / F.col("n2")))).alias("t"), df.alias("df"), (diff / pooled).alias("cohens_d")).withColumn("p_value", t_p(F.col("t"), F.col("df").cast("double")))
 
 
 def item_z(responses: DataFrame) -> DataFrame:

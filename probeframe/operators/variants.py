@@ -134,6 +134,15 @@ def redrawn(ops: list[str], refs: list[list[int]], values: list[float], seed: st
     return None
 
 
+def drawable(parsed: DataFrame, every_leaf: bool = False) -> DataFrame:
+    """``pid, question, nodes, answer, free`` of the problems that may have variants; ``free`` tells of every node whether its value may change."""
+    # exploding an array of one keeps the planner from evaluating it once for each use
+    rows = parsed.select(F.col("pid").cast("string").alias("pid"), "question", "nodes", "answer", F.explode(F.array(roles(F.col("nodes"), F.col("question")))).alias("roles"))
+    rows = rows.filter((F.exists("roles", lambda r: r["role"] == "VARIABLE") | F.lit(every_leaf)) & ~F.exists("nodes", lambda n: n["value"].isNull() | F.isnan(n["value"])))
+    free = F.transform("nodes", lambda n: (n["op"] == "assign") & F.exists("roles", lambda r: (r["value"] == n["value"]) & (r["role"] == "VARIABLE")))
+    return rows.select("pid", "question", "nodes", "answer", free.alias("free"))
+
+
 def mutate(parsed: DataFrame, variants: int = 5, attempts: int = ATTEMPTS, every_leaf: bool = False) -> DataFrame:
     """``pid, k, attempt, nodes, answer, variant_question`` from ``pid, question, nodes, answer``.
 
@@ -160,12 +169,8 @@ def mutate(parsed: DataFrame, variants: int = 5, attempts: int = ATTEMPTS, every
                         out.append((pid, question, *plain, dcs, k, *found))
             yield pd.DataFrame(out, columns=names)
 
-    # exploding an array of one keeps the planner from evaluating it once for each use
-    rows = parsed.select(F.col("pid").cast("string").alias("pid"), "question", "nodes", "answer", F.explode(F.array(roles(F.col("nodes"), F.col("question")))).alias("roles"))
-    rows = rows.filter((F.exists("roles", lambda r: r["role"] == "VARIABLE") | F.lit(every_leaf)) & ~F.exists("nodes", lambda n: n["value"].isNull() | F.isnan(n["value"])))
-    free = F.transform("nodes", lambda n: (n["op"] == "assign") & F.exists("roles", lambda r: (r["value"] == n["value"]) & (r["role"] == "VARIABLE")))
     part = lambda c: F.transform("nodes", lambda n: n[c])
-    made = rows.select("pid", "question", part("op").alias("ops"), part("refs").alias("refs"), part("value").alias("old"), part("dc").alias("dcs"), free.alias("free"), F.col("answer").cast("double").alias("was")).mapInPandas(tries, schema)
+    made = drawable(parsed, every_leaf).select("pid", "question", part("op").alias("ops"), part("refs").alias("refs"), part("value").alias("old"), part("dc").alias("dcs"), "free", F.col("answer").cast("double").alias("was")).mapInPandas(tries, schema)
 
     def nodes(value: str) -> Column:
         node = lambda n: F.struct(n["ops"].alias("op"), n["refs"].alias("refs"), n[value].alias("value"), F.when(n["ops"] == "assign", digit_class(n[value]).cast("int")).otherwise(n["dcs"]).alias("dc"))

@@ -115,7 +115,7 @@ def one_sample_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT n1, n2, {r('m1')}, {r('m2')}, {r('(m1 - m2) / (sd * sqrt(1.0 / n1 + 1.0 / n2))', 't')}, n1 + n2 - 2 AS df, {r('(m1 - m2) / sd', 'cohens_d')} FROM p""")
 def two_sample_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "O").alias("g"), answers.magnitude(F.col("o_totalprice")).alias("v"))
-    return rounded(significance.two_sample_t(values, "g", "v"))
+    return rounded(significance.two_sample_t(values, "g", "v").drop("p_value"))
 
 
 ITEM_Z = """, v AS (SELECT model, item_id, is_original, variant_no, sum(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS r, count(*) AS n FROM responses GROUP BY 1, 2, 3, 4),

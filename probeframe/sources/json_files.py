@@ -8,10 +8,16 @@ split.  All schemas are given, so no file is read to infer one.
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probeframe.operators.scratch import scratch_root
 from probeframe.sources.result_log import ResultLog
 
 QUESTION = "item_id string, question string, answer double, is_original boolean, status string, regenerated boolean, all_values_present boolean"
@@ -43,6 +49,59 @@ def write_item_lines(items: DataFrame, path: str) -> None:
     items.write.mode("overwrite").json(path)
 
 
+def write_document(items: DataFrame, path: str, name: str = "items", head: dict | None = None, indent: int = 2, ensure_ascii: bool = False) -> None:
+    """One JSON document at ``path``: the fields of ``head``, then all rows as the list ``name``, laid out as ``json.dump`` does with ``indent``.
+
+    Tasks write the rows as texts; their files are then copied one behind the
+    other into the document, as streams of bytes, so no process holds more than
+    a row.  Rows come in the order of ``items``; null fields are written as null,
+    and an empty table gives an empty list.  The document appears when it is
+    whole, in place of an older one.
+    """
+    spark = items.sparkSession
+    pad = " " * indent
+
+    def shown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            dumped = (json.dumps(json.loads(row), indent=indent, ensure_ascii=ensure_ascii) for row in batch["row"])
+            yield pd.DataFrame({"value": ["\n".join(f"{pad}{pad}{line}" for line in text.split("\n")) for text in dumped]})
+
+    parts = f"{scratch_root(spark)}/documents/{uuid.uuid4().hex}"
+    rows = items.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in items.columns]), {"ignoreNullFields": "false"}).alias("row"))
+    rows.mapInPandas(shown, "value string").write.option("lineSep", ",\n").text(parts)
+    opened = "".join(f"{pad}{json.dumps(k)}: {_indented(v, indent, ensure_ascii)},\n" for k, v in (head or {}).items())
+    _join_files(spark, parts, path, f"{{\n{opened}{pad}{json.dumps(name)}: [", ",\n", f"\n{pad}]\n}}", "]\n}")
+
+
+def _indented(value: object, indent: int, ensure_ascii: bool) -> str:
+    return json.dumps(value, indent=indent, ensure_ascii=ensure_ascii).replace("\n", "\n" + " " * indent)
+
+
+def _join_files(spark: SparkSession, parts: str, path: str, before: str, between: str, after: str, after_none: str) -> None:
+    """The files of ``parts``, each row of which ends in ``between``, as one file; the last row loses that end."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    source, fs = folder.getFileSystem(conf), target.getFileSystem(conf)
+    files = sorted(((s.getPath().getName(), s.getPath(), s.getLen()) for s in source.listStatus(folder) if s.getLen() and s.getPath().getName().startswith("part-")), key=lambda x: x[0])
+    scratch = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(scratch)
+    out.write(bytearray((before + "\n" * bool(files)).encode()))
+    for i, (_, file, size) in enumerate(files):
+        read = source.open(file)
+        jvm.org.apache.commons.io.IOUtils.copyLarge(read, out, 0, size - len(between.encode()) * (i == len(files) - 1))
+        read.close()
+    out.write(bytearray((after if files else after_none).encode()))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(scratch, target)
+    source.delete(folder, True)
+
+
+def write_report(report: DataFrame, path: str, head: dict | None = None) -> None:
+    """A report's rows as a document with ``rows``."""
+    write_document(report, path, "rows", head)
+
+
 def with_ordinal_ids(rows: DataFrame, ordinal: str, prefix: str) -> DataFrame:
     """``rows`` with ``item_id`` made of a stored ordinal: prefix, underscore and four digits at least."""
     return rows.withColumn("item_id", F.format_string(f"{prefix}_%04d", F.col(ordinal)))

@@ -37,6 +37,23 @@ def test_datasets(spark, tmp_path):
         json_files.read_items(spark, str(tmp_path / "bad.json"))
 
 
+def test_documents_are_laid_out_as_by_json_dump(spark, tmp_path):
+    rows = [(f"i{n}", None if n % 3 else 'é "x"\n字', n / 4, [{"item_id": f"i{n}_v0", "answer": None, "extra": n}] * (n % 4)) for n in range(300)]
+    frame = spark.createDataFrame(rows, "item_id string, question string, answer double, variants array<struct<item_id:string,answer:double,extra:int>>").repartitionByRange(7, "answer").sortWithinPartitions("answer")
+    head = {"metadata": {"n": 300, "by": ["a", "é"]}, "seed": 42}
+    for ascii_ in (True, False):
+        path = tmp_path / f"d{ascii_}.json"
+        json_files.write_document(frame, str(path), head=head, ensure_ascii=ascii_)
+        want = head | {"items": [{"item_id": i, "question": q, "answer": a, "variants": v} for i, q, a, v in rows]}
+        assert path.read_text() == json.dumps(want, indent=2, ensure_ascii=ascii_)
+    read = json_files.read_items(spark, str(tmp_path / "dTrue.json"))
+    assert sorted((r["item_id"], r["question"], r["answer"], len(r["variants"])) for r in read.collect()) == sorted((i, q, a, len(v)) for i, q, a, v in rows)
+    json_files.write_document(frame.filter("false"), str(tmp_path / "dTrue.json"))
+    assert json.loads((tmp_path / "dTrue.json").read_text()) == {"items": []} and not [f for f in tmp_path.iterdir() if f.name.startswith(".") and not f.name.endswith(".crc")]
+    json_files.write_report(spark.createDataFrame([("m", 0.5)], "model string, delta double"), str(tmp_path / "r.json"), {"model": "m"})
+    assert json.loads((tmp_path / "r.json").read_text()) == {"model": "m", "rows": [{"model": "m", "delta": 0.5}]}
+
+
 def test_results_give_the_same_report_as_rows(spark, tmp_path):
     runs = {m: {f"{i}_{k}_t{t}": result(f"i{i}", k == 0, (i * 3 + k + t + n) % 4 != 0, t) for i in range(6) for k in range(3) for t in range(2)} for n, m in enumerate(("mA", "mB"))}
     for m, raw in runs.items():

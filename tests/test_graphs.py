@@ -6,11 +6,12 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from probeframe.functions import graphs
-from probeframe.operators import variants
+from probeframe.functions import extensions, graphs
+from probeframe.operators import graph_tables, variants
 
 SIGNS = {"+": "add", "-": "subtract", "*": "multiply", "/": "divide"}
 
@@ -175,3 +176,52 @@ def test_regeneration_and_first_generator(spark):
     first = {r["pid"]: r for r in variants.mutate(p, 1, 20, every_leaf=True).collect()}
     leaves = [n["value"] for n in first["free"]["nodes"] if n["op"] == "assign"]
     assert all(10 <= v <= 99 and v not in (15, 23, 17) for v in leaves) and leaves[0] * leaves[1] - leaves[2] == first["free"]["answer"]
+
+
+def test_graphs_as_tables(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(25):
+        n = rng.randint(1, 14)
+        nodes = [{"op": "add", "refs": [], "value": 1.0, "dc": 1} for _ in range(n)]
+        place = list(range(n))
+        rng.shuffle(place)  # definition order isn't dependency order
+        for i in range(1, n):
+            nodes[place[i]]["refs"] = [place[rng.randrange(i)] for _ in range(rng.choice([0, 1, 2, 3]))]
+        rows.append((g, nodes))
+    rows += [(90, [{"op": "add", "refs": [1], "value": 1.0, "dc": 1}, {"op": "add", "refs": [0], "value": 1.0, "dc": 1}, {"op": "assign", "refs": [], "value": 1.0, "dc": 1}, {"op": "add", "refs": [0, 2, 9], "value": 1.0, "dc": 1}]), (91, [])]
+    arrays = spark.createDataFrame(rows, f"graph int, nodes {graphs.NODES}")
+    nodes, edges = graph_tables.tables_of(arrays)
+    want = {r["graph"]: r for r in arrays.select("graph", graphs.topological_order(F.col("nodes")).alias("order"), graphs.edges(F.col("nodes")).alias("edges"), F.size("nodes").alias("n")).collect()}
+    order = {}
+    for r in graph_tables.orders(nodes, edges).collect():
+        order.setdefault(r["graph"], []).append((r["position"], r["node"]))
+    levels = {(r["graph"], r["node"]): r["level"] for r in graph_tables.levels(nodes, edges).collect()}
+    deep = {r["graph"]: r["depth"] for r in graph_tables.depths(graph_tables.levels(nodes, edges)).collect()}
+    signed = {r["graph"]: r for r in graph_tables.signatures(nodes, edges).collect()}
+    for g, made in rows[:25]:
+        assert [n for _, n in sorted(order[g])] == list(want[g]["order"])
+        level = {}
+        for name in want[g]["order"]:
+            level[name] = max((level[f"n{r}"] + 1 for r in made[int(name[1:])]["refs"]), default=0)
+        assert {n: levels[g, n] for n in level} == level and deep[g] == max(level.values())
+        assert signed[g]["n_nodes"] == want[g]["n"] and signed[g]["n_edges"] == len(want[g]["edges"])
+    same = {}
+    for g, _ in rows[:25]:
+        same.setdefault((want[g]["n"], str(want[g]["edges"])), set()).add(signed[g]["topology"])
+    assert all(len(s) == 1 for s in same.values()) and len({next(iter(s)) for s in same.values()}) == len(same)
+    assert {n for g, n in levels if g == 90} == {"n2"} and [n for _, n in order[90]] == ["n2"] and 91 not in order
+
+
+def test_sql_functions(spark):
+    texts = [(str(i), f"Tom has {a} boxes of {b} pens and gives away {c}. How many are left?", f"<<{a}*{b}={a * b}>> <<{a * b}-{c}={a * b - c}>>\n#### {a * b - c}") for i, (a, b, c) in enumerate([(15, 23, 17), (8, 31, 9), (125, 6, 88), (3, 14, 4444)])]
+    spark.createDataFrame([*texts, ("n", None, None)], "pid string, question string, solution string").createOrReplaceTempView("texts")
+    extensions.register(spark, {"none": lambda solutions: extensions.PARSERS["script"](solutions.filter(pa.array([False] * len(solutions))).cast(pa.string())) if not len(solutions) else extensions.PARSERS["script"](pa.nulls(len(solutions), pa.string()))})
+    rows = spark.sql("SELECT pid, question, g.nodes, g.answer, g.accepted, parse_none(solution).error AS other FROM (SELECT *, parse_script(solution) AS g FROM texts)")
+    assert {r["other"] for r in rows.collect()} == {"no answer"} and rows.filter("accepted").count() == 4
+    found = rows.filter("accepted").select("pid", "question", "nodes", "answer")
+    variants.drawable(found).createOrReplaceTempView("drawable")
+    got = spark.sql("SELECT d.pid, v.k, v.attempt, v.answer FROM drawable d, LATERAL draw_variants(d.pid, d.nodes, d.free, d.answer, 3, 20) v").collect()
+    want = variants.mutate(found, variants=3, attempts=20).select("pid", "k", "attempt", "answer").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) >= 6
+    assert spark.sql("SELECT * FROM draw_variants(CAST(NULL AS STRING), NULL, NULL, 1.0D, 3, 20)").count() == 0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +28,33 @@ def test_exact_sign_flips(vector, p):
     assert significance.signed_rank_exact(vector) == p
 
 
+def test_exact_ranks_count_all_patterns():
+    rng = random.Random(9)
+    for _ in range(60):
+        vector = [rng.choice([0.0, 0.1, -0.1, 0.2, -0.3, 0.3, 0.5]) for _ in range(rng.randint(1, 12))]
+        sizes = sorted(abs(d) for d in vector if d)
+        rank = {s: sum(i + 1 for i, x in enumerate(sizes) if x == s) / sizes.count(s) for s in sizes}
+        seen = sum(rank[abs(d)] for d in vector if d > 0)
+        sums = [sum(rank[s] for s, up in zip(sizes, signs, strict=True) if up) for signs in itertools.product([0, 1], repeat=len(sizes))]
+        assert significance.signed_rank_exact(vector) == (sum(s >= seen for s in sums) / len(sums) if sizes else 1.0)
+
+
+def test_exact_ranks_of_long_vectors(spark):
+    rng = random.Random(2)
+    vector = [round(rng.gauss(0.05, 0.4), 2) for _ in range(400)]
+    items = spark.createDataFrame([("m", d) for d in vector], "model string, delta double")
+    normal, exact = significance.rank_test(items).first(), significance.rank_test(items, exact_below=500).first()
+    assert exact["p_table"] == significance.signed_rank_exact(vector) != normal["p_table"] == pytest.approx(exact["p_table"], rel=0.02)
+
+
+def test_two_sample_p(spark):
+    rows = [(True, v) for v in (2.1, 2.5, 3.3, 2.8, 2.2)] + [(False, v) for v in (3.1, 3.9, 3.4, 4.2)]
+    r = significance.two_sample_t(spark.createDataFrame(rows, "g boolean, v double"), "g", "v").first()
+    assert r["df"] == 7 and r["t"] == pytest.approx(-3.25785, rel=1e-5) and r["p_value"] == pytest.approx(significance.t_two_sided(r["t"], 7)) and 0.01 < r["p_value"] < 0.02
+    lone = significance.two_sample_t(spark.createDataFrame(rows[:1], "g boolean, v double"), "g", "v").first()
+    assert lone["t"] is None and lone["p_value"] is None
+
+
 def test_asymptotic_rank_test(spark):
     items = spark.createDataFrame([("m", d) for d in [0.0] * 16 + [0.2, 0.4]], "model string, delta double")
     assert significance.rank_test(items).first()["p_table"] == pytest.approx(0.0899, abs=1e-4)
