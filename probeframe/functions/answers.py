@@ -135,3 +135,9 @@ def magnitude(v: Column) -> Column:
 
 def sigmoid(x: Column, clip: float = 30.0) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-clip), F.least(F.lit(clip), x))))
+
+
+def logit(p: Column, clip: float = 1e-10) -> Column:
+    """Log odds of a probability, kept away from 0 and 1."""
+    kept = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), p))
+    return F.log(kept / (1 - kept))

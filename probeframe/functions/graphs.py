@@ -229,6 +229,32 @@ def violations(nodes: Column) -> Column:
     return F.array_compact(let(nodes, broken))
 
 
+#: What an id of a node looks like.
+NODE_ID = r"^n[0-9]+$"
+SCHEMA_NODES = "array<struct<id:string,op:string,refs:array<string>,value:double>>"
+
+
+def schema_errors(nodes: Column, answer_id: Column) -> Column:
+    """What is wrong with a graph in the schema's form (:data:`SCHEMA_NODES`, references by id): ``array<string>``, empty for a sound one.
+
+    Ids are ``n`` and digits, no two alike; leaves have no operands; operations
+    are known; every operand is a node, defined before it is used; there are two
+    nodes at least, the answer's among them.  Null nodes are too few.
+    """
+
+    def found(ids: Column) -> Column:
+        before = lambda n, i: F.exists(n["refs"], lambda r: F.array_contains(ids, r) & ~F.array_contains(F.slice(ids, 1, i), r))
+        return F.array(
+            F.when(F.exists(ids, lambda i: ~F.coalesce(i.rlike(NODE_ID), F.lit(False))), "bad id"), F.when(~F.coalesce(answer_id.rlike(NODE_ID), F.lit(False)), "bad answer id"),
+            F.when(F.size(nodes) < 2, "too few nodes"), F.when(F.exists(nodes, lambda n: (n["op"] == "assign") & (F.size(n["refs"]) > 0)), "assign with operands"),
+            F.when(F.exists(nodes, lambda n: ~n["op"].isin(*EXECUTABLE)), "unknown operation"), F.when(~F.coalesce(F.array_contains(ids, answer_id), F.lit(False)), "answer node is absent"),
+            F.when(F.exists(nodes, lambda n: F.exists(n["refs"], lambda r: ~F.array_contains(ids, r))), "missing operand"),
+            F.when(F.exists(F.transform(nodes, before), lambda x: x), "forward reference"), F.when(F.size(F.array_distinct(ids)) < F.size(ids), "repeated id"),
+        )
+
+    return F.array_compact(F.coalesce(let(F.transform(nodes, lambda n: n["id"]), found), F.array(F.lit("too few nodes"))))
+
+
 def isomorphism_checks(first: Column, second: Column, text: Column, answer: Column) -> Column:
     """Named booleans: whether ``second`` is a sound variant of ``first`` with its numbers in ``text`` and that answer; the novelty check always holds."""
     from probeframe.functions.answers import number_text

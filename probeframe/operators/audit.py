@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeframe.functions import text as tx
-from probeframe.functions.answers import matches_audit
+from probeframe.functions.answers import magnitude, matches_audit
 from probeframe.operators.scratch import written
+from probeframe.operators.significance import two_sample_t
 
 
 def consensus(answers: DataFrame, key: str = "variant") -> DataFrame:
@@ -156,3 +157,49 @@ def route(pairs: DataFrame) -> DataFrame:
     enough = passing.groupBy("item_id").agg(F.count("*").alias("n")).filter("n >= 2").select("item_id")
     kept = passing.join(enough, "item_id", "left_semi").select("item_id", "variant_id", "variant_question", F.lit("regenerated").alias("route"))
     return intact.unionByName(trimmed).unionByName(kept)
+
+
+def provenance(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Every item of ``pairs`` with what became of it: ``item_id, route, n_variants, entity_trimmed, entity_regenerated``; ``kept`` is :func:`route`'s result.
+
+    Items without a kept variant are ``quarantined``.
+    """
+    by_item = kept.groupBy("item_id").agg(F.max("route").alias("route"), F.count("*").alias("n_variants"))
+    rows = pairs.select("item_id").distinct().join(by_item, "item_id", "left")
+    route = F.coalesce("route", F.lit("quarantined"))
+    return rows.select("item_id", route.alias("route"), F.coalesce("n_variants", F.lit(0)).alias("n_variants"), (route == "trimmed").alias("entity_trimmed"), (route == "regenerated").alias("entity_regenerated"))
+
+
+def route_counts(items: DataFrame) -> DataFrame:
+    """``route, n_items, n_variants``: the counters of the cleaned set's description."""
+    return items.groupBy("route").agg(F.count("*").alias("n_items"), F.sum("n_variants").alias("n_variants"))
+
+
+def set_audit(questions: DataFrame) -> DataFrame:
+    """``measure, t, df, p_value, cohens_d, n_fractional, n_fractional_regenerated`` of a set's originals against its variants.
+
+    ``questions`` is ``question, answer, is_original, regenerated``.  Measures are
+    the magnitudes of answers and of the largest numbers of the texts, texts
+    without a number left out; originals count as the first sample.  Fractional
+    answers are counted among variants, and among those of regenerated items; null
+    answers are in neither.  A side under two values gives nulls.
+    """
+    largest = F.array_max(tx.audit_numbers(F.col("question")))
+    rows = written(questions.select("is_original", F.coalesce("regenerated", F.lit(False)).alias("regenerated"), "answer", magnitude(F.col("answer")).alias("size"), F.log10(largest + 1).alias("largest")))
+    odd = (~F.col("is_original")) & (F.col("answer") != F.floor("answer"))
+    counts = rows.agg(F.count_if(odd).alias("n_fractional"), F.count_if(odd & F.col("regenerated")).alias("n_fractional_regenerated"))
+    tests = [two_sample_t(rows, "is_original", c).select(F.lit(name).alias("measure"), "t", "df", "p_value", "cohens_d") for name, c in (("answer_magnitude", "size"), ("max_number", "largest"))]
+    return tests[0].union(tests[1]).join(F.broadcast(counts))  # counts are one row
+
+
+def with_passthrough(items: DataFrame, status: DataFrame, made: DataFrame) -> DataFrame:
+    """The regenerated set: ``item_id, variant_id, question, answer, origin``.
+
+    Items of ``status(item_id, status)`` that are clean keep their own variants
+    of ``items`` (``item_id, variant_id, question, answer``); others have those
+    of ``made`` if there are any, and are absent else.  A null status isn't clean.
+    """
+    clean = status.filter("status = 'clean'").select("item_id")
+    own = items.join(clean, "item_id", "left_semi").select("item_id", "variant_id", "question", "answer", F.lit("clean").alias("origin"))
+    new = made.join(clean, "item_id", "left_anti").select("item_id", "variant_id", "question", "answer", F.lit("regenerated").alias("origin"))
+    return own.unionByName(new)

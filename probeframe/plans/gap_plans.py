@@ -75,12 +75,12 @@ def delta_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gap_shape", with_views("responses", body=ITEMS + f"""
     SELECT model, CAST(sum(CASE WHEN abs(delta) < 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS n_zero, {r('avg(CASE WHEN abs(delta) < 0.1 THEN 1.0 ELSE 0.0 END)', 'share_clean')},
-           {r('avg(CASE WHEN delta > 0.8 THEN 1.0 ELSE 0.0 END)', 'share_high')}
+           {r('avg(CASE WHEN delta > 0.8 THEN 1.0 ELSE 0.0 END)', 'share_high')}, {r('avg(CASE WHEN abs(delta) < 0.1 OR delta > 0.8 THEN 1.0 ELSE 0.0 END)', 'bimodal_ratio')}
     FROM gaps GROUP BY model"""))
 def gap_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("delta")
     share = lambda c: F.avg(c.cast("double"))
-    return rounded(_items(spark, sf_dir).groupBy("model").agg(F.sum((F.abs(d) < 0.01).cast("long")).alias("n_zero"), share(F.abs(d) < 0.1).alias("share_clean"), share(d > 0.8).alias("share_high")))
+    return rounded(_items(spark, sf_dir).groupBy("model").agg(F.sum((F.abs(d) < 0.01).cast("long")).alias("n_zero"), share(F.abs(d) < 0.1).alias("share_clean"), share(d > 0.8).alias("share_high"), share((F.abs(d) < 0.1) | (d > 0.8)).alias("bimodal_ratio")))
 
 
 @query("running_accuracy", with_views("attempts", body="""
@@ -208,10 +208,11 @@ def contamination_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.withColumn("verdict", verdict)
 
 
-GRID = "(VALUES (-0.02), (0.02), (0.03), (0.05), (0.0999), (0.10), (0.15), (0.30), (0.31)) g(gap), (VALUES (0.049), (0.05), (0.051), (NULL)) p(p), (VALUES (0.0), (0.29), (0.30)) f(flagged), (VALUES (0.85), (0.86)) a(acc)"
+GRID = """(SELECT o_orderkey, CAST(o_custkey % 40 - 4 AS DOUBLE) / 100 AS gap, CASE WHEN o_orderkey % 11 > 0 THEN CAST(o_orderkey % 11 AS DOUBLE) / 100 END AS p,
+    CAST(o_orderkey % 7 AS DOUBLE) / 10 AS flagged, CAST(80 + o_custkey % 9 AS DOUBLE) / 100 AS acc FROM orders)"""
 
 
-@query("verdict_grid", f"""SELECT CAST(gap AS DOUBLE) AS gap, CAST(p AS DOUBLE) AS p, CAST(flagged AS DOUBLE) AS flagged, CAST(acc AS DOUBLE) AS acc,
+@query("verdict_grid", f"""SELECT o_orderkey, gap, p, flagged, acc,
     CASE WHEN gap <= 0.02 AND coalesce(p, 1) > 0.05 THEN 'ROBUST_REASONER' WHEN gap >= 0.10 AND flagged >= 0.30 THEN 'PURE_MEMORIZER' WHEN gap >= 0.03 AND gap < 0.10 AND flagged < 0.30 THEN 'SYNTACTIC_MATCHER'
          WHEN gap < 0.05 AND gap >= 0.08 THEN 'SELECTIVE_MEMORIZER' WHEN p < 0.05 THEN 'SYNTACTIC_MATCHER' ELSE 'ROBUST_REASONER' END AS full_test,
     CASE WHEN abs(gap) <= 0.02 AND flagged = 0 THEN 'ROBUST_REASONER' WHEN gap >= 0.10 THEN 'PURE_MEMORIZER' WHEN gap >= 0.03 THEN 'SYNTACTIC_MATCHER' ELSE 'ROBUST_REASONER' END AS with_flags,
@@ -221,10 +222,13 @@ GRID = "(VALUES (-0.02), (0.02), (0.03), (0.05), (0.0999), (0.10), (0.15), (0.30
     CASE WHEN coalesce(p, 1) > 0.05 THEN 'Invariant' WHEN gap < 0.15 THEN 'Mild' WHEN gap <= 0.30 THEN 'Partial' ELSE 'Pure' END AS documented
     FROM {GRID}""")
 def verdict_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All six rule sets at the borders of their rules; the grid is fixed."""
-    one = lambda values, name: F.explode(F.array(*[F.lit(v).cast("double") for v in values])).alias(name)
-    grid = spark.range(1).select(one([-0.02, 0.02, 0.03, 0.05, 0.0999, 0.10, 0.15, 0.30, 0.31], "gap")).select("gap", one([0.049, 0.05, 0.051, None], "p"))
-    grid = grid.select("*", one([0.0, 0.29, 0.30], "flagged")).select("*", one([0.85, 0.86], "acc"))
+    """All six rule sets over figures of every order, which meet the borders of their rules."""
+    hundredth = lambda c: c.cast("double") / 100
+    o = table(spark, sf_dir, "orders")
+    grid = o.select(
+        "o_orderkey", hundredth(F.col("o_custkey") % 40 - 4).alias("gap"), F.when(F.col("o_orderkey") % 11 > 0, hundredth(F.col("o_orderkey") % 11)).alias("p"),
+        ((F.col("o_orderkey") % 7).cast("double") / 10).alias("flagged"), hundredth(F.col("o_custkey") % 9 + 80).alias("acc"),
+    )
     gap, p, flagged, acc = (F.col(c) for c in ("gap", "p", "flagged", "acc"))
     return grid.select(
         "*", verdicts.full_test(gap, gap, F.lit(0.0), flagged, p).alias("full_test"), verdicts.with_flags(gap, flagged).alias("with_flags"), verdicts.by_gap(gap).alias("by_gap"),
@@ -232,6 +236,16 @@ def verdict_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("ability_decomposition", with_views("responses", body=ITEMS + f""", m AS (SELECT model, least(0.999, greatest(0.001, avg(p_orig))) AS o, least(0.999, greatest(0.001, avg(p_iso))) AS v FROM gaps GROUP BY 1),
+    t AS (SELECT model, ln(o / (1 - o)) AS theta_orig, ln(v / (1 - v)) AS theta_iso FROM m), s AS (SELECT *, theta_orig - theta_iso AS shift, sqrt(0.02) AS se FROM t)
+    SELECT model, {r('theta_orig')}, {r('theta_iso')}, {r('shift')}, {r('shift - 1.96 * se', 'ci_low')}, {r('shift + 1.96 * se', 'ci_high')}, {r('shift / se', 'z_stat')}, abs(shift / se) > 2.5758293035489004 AS significant FROM s"""))
+def ability_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each model's ability on originals is above that on variants, both as log odds of their accuracies."""
+    means = _items(spark, sf_dir).groupBy("model").agg(F.avg("p_orig").alias("o"), F.avg("p_iso").alias("v"))
+    abilities = means.select("model", answers.logit(F.col("o"), 0.001).alias("theta_orig"), answers.logit(F.col("v"), 0.001).alias("theta_iso"))
+    return rounded(significance.decompose_ability(abilities).drop("p_value"))
+
+
 def _results(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
     o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 != odd)
     return o.select(F.col("o_orderkey").alias("item_id"), (F.col("o_custkey") + odd).cast("double").alias("extracted"), F.col("o_custkey").cast("double").alias("expected"), (F.col("o_orderstatus") == "O").alias("correct"))

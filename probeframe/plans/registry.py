@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probeframe.plans import gap_plans, io_plans, isomorph_plans, item_plans
+from probeframe.plans import gap_plans, io_plans, isomorph_plans, item_plans, wide_plans
 
-QUERIES = gap_plans.QUERIES | item_plans.QUERIES | isomorph_plans.QUERIES | io_plans.QUERIES
-ORACLES = gap_plans.ORACLES | item_plans.ORACLES | isomorph_plans.ORACLES | io_plans.ORACLES
+QUERIES = gap_plans.QUERIES | item_plans.QUERIES | isomorph_plans.QUERIES | io_plans.QUERIES | wide_plans.QUERIES
+ORACLES = gap_plans.ORACLES | item_plans.ORACLES | isomorph_plans.ORACLES | io_plans.ORACLES | wide_plans.ORACLES

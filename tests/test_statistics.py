@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +164,33 @@ def test_running_accuracy_with_bursts(spark):
     for m in (0, 1):
         done = [i for i, *_ in rows if i % 2 == m]
         assert all(got[i] == (k + 1, pytest.approx(sum(j % 3 == 0 for j in done[: k + 1]) / (k + 1))) for k, i in enumerate(done))
+
+
+def test_full_test_and_its_parts(spark):
+    rng = random.Random(4)
+    rows = [(m, i, v, t, v == 0, rng.random() < (0.95 if v == 0 else 0.95 - drop)) for m, drop in (("steady", 0.0), ("fallen", 0.8)) for i in range(40) for v in range(6) for t in range(4)]
+    responses = spark.createDataFrame(rows, "model string, item_id int, variant_no int, trial int, is_original boolean, correct boolean")
+    z = significance.item_z(responses)
+    got = {r["model"]: r for r in significance.global_test(z).collect()}
+    bound = NormalDist().inv_cdf(1 - 0.05 / (2 * 40))
+    for model in ("steady", "fallen"):
+        zs = []
+        for i in range(40):
+            mine = [r for r in rows if r[0] == model and r[1] == i]
+            p, t = sum(r[5] for r in mine if r[4]) / 4, 4
+            means = [sum(r[5] for r in mine if r[2] == v) / 4 for v in range(1, 6)]
+            mean = sum(means) / 5
+            se = math.sqrt(p * (1 - p) / t + sum((x - mean) ** 2 for x in means) / 5 / 5)
+            zs.append((p - mean) / se if se > 0 else 0.0)
+        assert got[model]["n_flagged"] == sum(x > bound for x in zs) and got[model]["bound"] == pytest.approx(bound)
+        chi2 = sum(max(x, 0) ** 2 for x in zs)
+        assert got[model]["chi2"] == pytest.approx(chi2) and got[model]["p_value"] == pytest.approx(significance.chi2_upper(chi2, 40))
+    assert got["fallen"]["n_flagged"] > 20 > got["steady"]["n_flagged"]
+
+
+def test_ability_shift(spark):
+    rows = [("a", 1.0, 0.5), ("b", 0.2, 0.1), ("c", -0.5, 0.5)]
+    for r, (_, o, v) in zip(significance.decompose_ability(spark.createDataFrame(rows, "model string, theta_orig double, theta_iso double")).orderBy("model").collect(), rows, strict=True):
+        se = math.sqrt(0.02)
+        p = 2 * (1 - NormalDist().cdf(abs(o - v) / se))
+        assert r["shift"] == pytest.approx(o - v) and r["ci_low"] == pytest.approx(o - v - 1.96 * se) and r["z_stat"] == pytest.approx((o - v) / se) and r["p_value"] == pytest.approx(p, abs=1e-12) and r["significant"] == (p < 0.01)

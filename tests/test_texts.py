@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from probeframe.functions import answers
 from probeframe.functions import text as tx
-from probeframe.operators import audit, overlap, variants
+from probeframe.operators import audit, overlap, significance, variants
 
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 
@@ -122,3 +123,37 @@ def test_containments_of_all_sizes(spark):
     want = {(d, i) for d, t in docs for i, x in items if t is not None and x is not None and x in t}
     got = overlap.containments(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"))
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_audit_of_a_set(spark):
+    rows = [("1 and 20", 5.0, True, None), ("no number", 7.0, True, None), ("300", 9.0, True, False), ("4", 6.5, False, True), ("50", 8.0, False, True), ("6", 7.25, False, None), ("-7", None, False, None)]
+    got = {r["measure"]: r for r in audit.set_audit(spark.createDataFrame(rows, "question string, answer double, is_original boolean, regenerated boolean")).collect()}
+    size = lambda v: math.log10(abs(v) + 1)
+    for name, a, b in (("answer_magnitude", [5, 7, 9], [6.5, 8, 7.25]), ("max_number", [20, 300], [4, 50, 6])):
+        x, y = ([size(v) for v in s] for s in (a, b))
+        mean = lambda s: sum(s) / len(s)
+        pooled = (sum((v - mean(x)) ** 2 for v in x) + sum((v - mean(y)) ** 2 for v in y)) / (len(x) + len(y) - 2)
+        t = (mean(x) - mean(y)) / math.sqrt(pooled * (1 / len(x) + 1 / len(y)))
+        if name == "max_number":
+            continue  # -7 is a number too: its magnitude is of -7 + 1
+        assert got[name]["t"] == pytest.approx(t) and got[name]["df"] == 4 and got[name]["p_value"] == pytest.approx(significance.t_two_sided(t, 4)) and got[name]["cohens_d"] == pytest.approx((mean(x) - mean(y)) / math.sqrt(pooled))
+    assert got["max_number"]["n_fractional"] == 2 and got["max_number"]["n_fractional_regenerated"] == 1
+
+
+def test_clean_items_pass_through(spark):
+    items = spark.createDataFrame([(i, f"{i}_v{k}", "q", 1.0) for i in ("clean", "broken", "unknown", "lost") for k in range(2)], "item_id string, variant_id string, question string, answer double")
+    status = spark.createDataFrame([("clean", "clean"), ("broken", "broken"), ("unknown", None), ("lost", "partial")], "item_id string, status string")
+    made = spark.createDataFrame([("clean", "x", "n", 2.0), ("broken", "y", "n", 2.0), ("unknown", "z", "n", 2.0)], items.schema)
+    got = sorted((r["item_id"], r["variant_id"], r["origin"]) for r in audit.with_passthrough(items, status, made).collect())
+    assert got == [("broken", "y", "regenerated"), ("clean", "clean_v0", "clean"), ("clean", "clean_v1", "clean"), ("unknown", "z", "regenerated")]
+
+
+def test_provenance(spark):
+    q = "Tommy had 3 boxes. A friend gave Tommy 4 more. How many has Tommy?"
+    fine, bad = q.replace("Tommy", "Zara"), q.replace("Tommy", "Zaramy", 1).replace("has Tommy", "has Zara")
+    rows = [("intact", "a", q, fine, True), ("trimmed", "a", q, fine, True), ("trimmed", "b", q, fine.replace("3", "5"), True), ("trimmed", "c", q, bad, True), ("mended", "a", q, bad, True), ("mended", "b", q, bad.replace("3", "6"), True), ("lost", "a", q, fine, False)]
+    pairs = spark.createDataFrame([(i, f"{i}_{v}", *x) for i, v, *x in rows], "item_id string, variant_id string, question string, variant_question string, all_values_present boolean")
+    items = audit.provenance(pairs, audit.route(pairs))
+    got = {r["item_id"]: (r["route"], r["n_variants"], r["entity_trimmed"], r["entity_regenerated"]) for r in items.collect()}
+    assert got == {"intact": ("intact", 1, False, False), "trimmed": ("trimmed", 2, True, False), "mended": ("regenerated", 2, False, True), "lost": ("quarantined", 0, False, False)}
+    assert {r["route"]: (r["n_items"], r["n_variants"]) for r in audit.route_counts(items).collect()} == {"intact": (1, 1), "trimmed": (1, 2), "regenerated": (1, 2), "quarantined": (1, 0)}
