@@ -15,7 +15,7 @@ def once(results: DataFrame, time: str = "ts", late: str = "1 day", keys: tuple[
 
     A result that comes later than ``late`` behind the newest is dropped, as
     every stateful operator on a watermark does: set it to the longest delay of
-    a first delivery.
+    a first delivery.  So are, from the second batch on, times before 1970 or null.
     """
     return results.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
