@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probeframe.functions import extensions, graphs
-from probeframe.operators import gaps, graph_tables, variants
+from probeframe.operators import audit, gaps, graph_tables, variants
 from probeframe.operators.scratch import scratch_root
+from probeframe.plans import item_plans
 from probeframe.plans._shape import rounded
 from probeframe.plans.gap_plans import ORACLES as GAP_ORACLES
 from probeframe.plans.item_plans import GRAPH, parsed
@@ -57,6 +58,29 @@ def _results(rows: DataFrame) -> DataFrame:
     return rows.withColumn("nth", nth).select("model", key.alias("key"), "item_id", "is_original", "correct", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.col("trial"), F.lit(86_400))).alias("ts"))
 
 
+@query("results_documents", GAP_ORACLES["delta_report"])
+def results_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of results that were written as a document for each model and are found again by a glob."""
+    rows, folder = _results(responses(spark, sf_dir)), _scratch(spark, "results")
+    json_files.write_results(rows.withColumn("item_id", F.col("item_id").cast("string")).drop("ts"), folder)
+    return rounded(gaps.model_gaps(gaps.item_gaps(json_files.read_results(spark, [f"{folder}/results_*.json", f"{folder}/absent.json"]))))
+
+
+@query("regenerated_audit")
+def regenerated_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set in which items whose values pass all checks keep their variants and all others have newly drawn ones, its originals held against its variants."""
+    pairs = item_plans._pairs(spark, sf_dir)
+    checked = item_plans._verdicts(spark, sf_dir).select("item_id", F.filter("reasons", lambda r: ~r.startswith("consensus")).alias("reasons"))
+    found = audit.item_status(checked.withColumn("status", audit.variant_status(F.col("reasons"))))
+    status = found.select("item_id", F.when(F.col("n_suspicious") == 0, "clean").otherwise("suspicious").alias("status"))
+    p = parsed(spark, sf_dir).filter("g.accepted").select("pid", "question", "g.nodes", "g.answer")
+    made = variants.mutate(p, variants=2, attempts=10).select(F.col("pid").alias("item_id"), F.concat_ws("_v", "pid", "k").alias("variant_id"), F.col("variant_question").alias("question"), "answer")
+    own = pairs.select("item_id", F.concat_ws("_v", "item_id", "v").alias("variant_id"), F.col("variant_question").alias("question"), F.col("variant_answer").alias("answer"))
+    kept = audit.with_passthrough(own, status, made).select("question", "answer", F.lit(False).alias("is_original"), (F.col("origin") == "regenerated").alias("regenerated"))
+    originals = p.select("question", F.col("answer").cast("double").alias("answer"), F.lit(True).alias("is_original"), F.lit(False).alias("regenerated"))
+    return audit.set_audit(originals.union(kept))
+
+
 @query("logged_report", GAP_ORACLES["delta_report"])
 def logged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of results that came in two writes, which overlap, and of the first once more."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -73,8 +74,32 @@ def write_document(items: DataFrame, path: str, name: str = "items", head: dict
     _join_files(spark, parts, path, f"{{\n{opened}{pad}{json.dumps(name)}: [", ",\n", f"\n{pad}]\n}}", "]\n}")
 
 
-def _indented(value: object, indent: int, ensure_ascii: bool) -> str:
-    return json.dumps(value, indent=indent, ensure_ascii=ensure_ascii).replace("\n", "\n" + " " * indent)
+def write_results(results: DataFrame, folder: str, indent: int = 2) -> None:
+    """A document ``results_<model>.json`` under ``folder`` for each model: ``model``, ``n_results`` and ``raw_results`` by key, as :func:`read_results` reads it.
+
+    ``results`` is ``model, key, ...``, each key once for a model.  One job
+    writes the entries of all models as texts, whose files are then copied
+    together; a null model is the model ``null``, and names are quoted in paths.
+    """
+    spark = results.sparkSession
+    pad = " " * indent
+
+    def shown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            entries = (f"{pad}{pad}{json.dumps(k)}: {_indented(json.loads(row), indent, True, 2)}" for k, row in zip(batch["key"], batch["row"], strict=True))
+            yield pd.DataFrame({"model": batch["model"], "value": list(entries)})
+
+    named = results.withColumn("model", F.coalesce("model", F.lit("null"))).withColumn("row", F.to_json(F.struct(*[F.col(f"`{c}`") for c in results.columns if c not in ("model", "key")]), {"ignoreNullFields": "false"}))
+    parts = f"{scratch_root(spark)}/documents/{uuid.uuid4().hex}"
+    texts = named.select(F.base64(F.encode("model", "UTF-8")).alias("model"), "key", "row").mapInPandas(shown, "model string, value string")
+    texts.withColumn("of", F.translate("model", "+/=", "-_.")).select("of", "value").write.partitionBy("of").option("lineSep", ",\n").text(parts)
+    for model, coded, n in named.groupBy("model").agg(F.translate(F.base64(F.encode("model", "UTF-8")), "+/=", "-_."), F.count("*")).collect():  # a row for each model
+        before = f'{{\n{pad}"model": {json.dumps(model)},\n{pad}"n_results": {n},\n{pad}"raw_results": {{'
+        _join_files(spark, f"{parts}/of={coded}", f"{folder}/results_{quote(model, safe='')}.json", before, ",\n", f"\n{pad}}}\n}}", "}\n}")
+
+
+def _indented(value: object, indent: int, ensure_ascii: bool, depth: int = 1) -> str:
+    return json.dumps(value, indent=indent, ensure_ascii=ensure_ascii).replace("\n", "\n" + " " * indent * depth)
 
 
 def _join_files(spark: SparkSession, parts: str, path: str, before: str, between: str, after: str, after_none: str) -> None:

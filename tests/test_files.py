@@ -64,6 +64,13 @@ def test_results_give_the_same_report_as_rows(spark, tmp_path):
     rows = spark.createDataFrame([(m, k, r["item_id"], r["is_original"], r["correct"]) for m, raw in runs.items() for k, r in raw.items()], "model string, key string, item_id string, is_original boolean, correct boolean")
     report = lambda df: sorted(map(tuple, gaps.model_gaps(gaps.item_gaps(df)).collect()))
     assert read.count() == 72 and report(read) == report(rows)
+    json_files.write_results(json_files.read_results(spark, paths), str(tmp_path / "again"))
+    for m, raw in runs.items():
+        made = json.loads((tmp_path / "again" / f"results_{m}.json").read_text())
+        assert made["model"] == m and made["n_results"] == len(raw) and {k: {f: v[f] for f in raw[k]} for k, v in made["raw_results"].items()} == raw
+    odd = spark.createDataFrame([("a/b é", 'k"1', 1.5), (None, "k", None)], "model string, key string, expected double")
+    json_files.write_results(odd, str(tmp_path / "odd"))
+    assert {tuple(r) for r in json_files.read_results(spark, [str(tmp_path / "odd" / "*.json")]).select("model", "key", "expected").collect()} == {("a/b é", 'k"1', 1.5), ("null", "k", None)}
     glob = json_files.read_results(spark, [str(tmp_path / "results_*.json")])
     assert {r["model"] for r in glob.select("model").distinct().collect()} == {"mA", "mB", "results_unnamed"}
     assert json_files.read_results(spark, [str(tmp_path / "no*.json")]).count() == 0
