@@ -107,41 +107,51 @@ def bootstrap_exact(deltas: list[float], draws: int = 5000, seed: int = 2026) ->
     if not len(deltas):
         return 0.0, 0.0
     rng, x = np.random.default_rng(seed), np.asarray(deltas, float)
-    means = [np.mean(rng.choice(x, size=len(x), replace=True)) for _ in range(draws)]
+    block = max(1, (1 << 22) // len(x))  # draws of one call; a call for several goes on in the same stream
+    means = np.concatenate([rng.choice(x, size=(min(block, draws - at), len(x)), replace=True).mean(axis=1) for at in range(0, draws, block)])
     low, high = np.percentile(means, [2.5, 97.5])
     return float(low), float(high)
 
 
-def bootstrap(items: DataFrame, draws: int = 5000, seed: int = 2026, exact_items: int = EXACT_ITEMS) -> DataFrame:
-    """Percentile interval of each model's mean gap, ``model, boot_low, boot_high``.
-
-    A model with at most ``exact_items`` items is resampled as published, its
-    items in order.  Beyond, resampling is Poisson: each distinct gap, which n
-    items share, counts Poisson(n) times in each draw, from a generator that
-    model and gap seed; draws are summed by task, so none holds a model's items.
-    """
-    counted = written(items.groupBy("model").agg(F.count("*").alias("items")))
-    rows = items.join(counted, "model")
+def bootstrap_items(items: DataFrame, draws: int = 5000, seed: int = 2026) -> DataFrame:
+    """``model, boot_low, boot_high``: each model's items resampled in their order, as published; a model's items must fit a task."""
 
-    def short(group: pd.DataFrame) -> pd.DataFrame:  # at most exact_items rows
+    def short(group: pd.DataFrame) -> pd.DataFrame:
         low, high = bootstrap_exact(list(group.sort_values("item_id", kind="stable")["delta"]), draws, seed)
         return pd.DataFrame({"model": [group["model"].iloc[0]], "boot_low": [low], "boot_high": [high]})
 
+    return items.select("model", "item_id", "delta").groupBy("model").applyInPandas(short, "model string, boot_low double, boot_high double")
+
+
+def bootstrap_poisson(items: DataFrame, draws: int = 5000, seed: int = 2026) -> DataFrame:
+    """The same interval by Poisson weights, for any number of items.
+
+    Each distinct gap, which n items share, counts Poisson(n) times in each
+    draw, from a generator that model and gap seed; draws are summed by task, so
+    none holds a model's items.
+    """
+
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights: dict[str, np.ndarray] = {}
         for batch in batches:
-            for model, group in batch.groupby("model", sort=True):
-                weights, sums = np.zeros(draws), np.zeros(draws)
-                for key, d, n in zip(group["key"], group["d"], group["n"], strict=True):
-                    w = np.random.default_rng([seed, key & (1 << 63) - 1]).poisson(n, draws)
-                    weights += w
-                    sums += w * d
-                yield pd.DataFrame({"model": model, "draw": np.arange(draws), "w": weights, "s": sums})
-
-    exact = rows.filter(F.col("items") <= exact_items).select("model", "item_id", "delta").groupBy("model").applyInPandas(short, "model string, boot_low double, boot_high double")
-    counts = rows.filter(F.col("items") > exact_items).groupBy("model", F.col("delta").alias("d")).agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("model", "d"))
+            for model, key, d, n in zip(batch["model"], batch["key"], batch["d"], batch["n"], strict=True):
+                w = np.random.default_rng([seed, key & (1 << 63) - 1]).poisson(n, draws).astype(float)
+                held = weights.setdefault(model, np.zeros((2, draws)))
+                held[0] += w
+                held[1] += w * d
+        for model, (w, s) in weights.items():
+            yield pd.DataFrame({"model": model, "draw": np.arange(draws), "w": w, "s": s})
+
+    counts = items.groupBy("model", F.col("delta").alias("d")).agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("model", "d"))
     means = counts.mapInPandas(draw, "model string, draw int, w double, s double").groupBy("model", "draw").agg((F.sum("s") / F.sum("w")).alias("mean"))
-    wide = means.groupBy("model").agg(F.percentile("mean", F.lit(0.025)).alias("boot_low"), F.percentile("mean", F.lit(0.975)).alias("boot_high"))
-    return exact.unionByName(wide)
+    return means.groupBy("model").agg(F.percentile("mean", F.lit(0.025)).alias("boot_low"), F.percentile("mean", F.lit(0.975)).alias("boot_high"))
+
+
+def bootstrap(items: DataFrame, draws: int = 5000, seed: int = 2026, exact_items: int = EXACT_ITEMS) -> DataFrame:
+    """:func:`bootstrap_items` for models of at most ``exact_items`` items, so that published intervals come out, :func:`bootstrap_poisson` for all others."""
+    counted = written(items.groupBy("model").agg(F.count("*").alias("items")))
+    rows = items.join(counted, "model")
+    return bootstrap_items(rows.filter(F.col("items") <= exact_items), draws, seed).unionByName(bootstrap_poisson(rows.filter(F.col("items") > exact_items), draws, seed))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

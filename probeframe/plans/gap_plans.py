@@ -161,7 +161,7 @@ def wilcoxon_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return significance.bootstrap(_items(spark, sf_dir))
+    return significance.bootstrap_poisson(_items(spark, sf_dir))
 
 
 @query("rescored_report")
