@@ -4,9 +4,11 @@ A page is a row of blocks of words and of tags.  Words score positive or, where
 labelled pages have such words outside of their article, negative; tags score
 negative.  A word's score is the log-odds of a logistic regression over what
 stands around it (elements, names in class, id and role, links), a tag's follows
-from where labelled pages have it.  A linear scan finds the contiguous region
-with the highest sum; blocks of it that score negative by themselves are left
-out.  Only scripts, styles and markup are removed by rule.
+from where labelled pages have it.  A linear scan finds all contiguous regions
+of maximal sum (Ruzzo and Tompa 1999).  Regions that go on in the same element
+after an interruption, however long, are one; that with the highest sum is the
+text, without its blocks that score negative by themselves.  Only scripts,
+styles and markup are removed by rule.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "obje
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 MARKS = {"article", "main"}
+#: Elements that hold a part of a text: it is at home in the element around them.
+HELD = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address"}
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: What the regression holds before it sees a page, by surrounding; an unknown one weighs nothing.
 PRIOR = (
@@ -65,11 +69,25 @@ class Weights:
 
 @dataclass
 class Place:
-    """An open element: its name, what is around its words (as features), and whether an article is."""
+    """An open element: its name, what is around its words (as features), the article that is, and the element around it."""
 
     name: str
     around: frozenset[str]
-    marked: bool
+    article: Place | None = None
+    parent: Place | None = None
+
+    @property
+    def marked(self) -> bool:
+        return self.article is not None
+
+    def home(self) -> Place:
+        """The article that the place is in, or else the nearest element that isn't just part of a text."""
+        if self.article is not None:
+            return self.article
+        at = self
+        while at.parent is not None and (at.name in INLINE or at.name in HELD):
+            at = at.parent
+        return at
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, Place]]:
@@ -78,7 +96,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, Place]]:
     Unclosed elements end where their parent does; a page may break off
     anywhere.  Scripts and styles have no text.
     """
-    root = Place("body", frozenset(), False)
+    root = Place("body", frozenset())
     stack: list[Place] = []
     open_names: Counter = Counter()
 
@@ -117,7 +135,10 @@ def pieces(page: str) -> Iterator[tuple[str, str, Place]]:
             own = {f"is:{n.lower()}" for g in NAMED.findall(m["attrs"]) for n in NAMES.findall(next(filter(None, g), ""))} if name not in ("html", "body") else set()
             if name not in MARKS and name not in ("html", "body") and (name not in INLINE or name == "a"):
                 own.add(f"in:{name}")
-            stack.append(Place(name, here.around | own, here.marked or name in MARKS))
+            new = Place(name, here.around | own, here.article, here)
+            if name in MARKS and new.article is None:
+                new.article = new
+            stack.append(new)
             open_names[name] += 1
 
 
@@ -145,10 +166,12 @@ def blocks(page: str) -> list[Block]:
     return [*row, Block(parts=parts)]
 
 
-def _odds(weights: dict[str, float], around: frozenset[str], known: dict) -> float:
-    if around not in known:
-        known[around] = weights.get("bias", 0.0) + sum(weights.get(f, 0.0) for f in around)
-    return known[around]
+def _odds(weights: dict[str, float], around: frozenset[str], known: dict, side: float = 0.0) -> float:
+    """A word's score: all that speaks for it, up to a bound, and all that speaks against it, so that a sidebar within an article stays one."""
+    if (around, side) not in known:
+        found = [weights.get("bias", 0.0), side, *(weights.get(f, 0.0) for f in around)]
+        known[around, side] = max(-MOST, min(MOST, sum(f for f in found if f > 0)) + sum(f for f in found if f < 0))
+    return known[around, side]
 
 
 def is_marked(row: list[Block], weights: dict[str, float], known: dict) -> bool:
@@ -161,23 +184,64 @@ def is_marked(row: list[Block], weights: dict[str, float], known: dict) -> bool:
     return found[1] > found[0]
 
 
+def maximal_regions(scores: list[float]) -> list[tuple[int, int, float]]:
+    """``first, end, sum`` of all disjoint regions of maximal sum, in order (Ruzzo and Tompa 1999), in linear time.
+
+    Each region's sum can't be raised by making it longer or shorter, and every
+    positive score is in one.
+    """
+    found: list[list[float]] = []  # first, end, sum before the region, sum up to its end
+    back: list[int] = []  # for each region the nearest before it whose sum before is smaller, or -1
+    total = 0.0
+    for i, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        new = [i, i + 1, before, total]
+        while True:
+            j = len(found) - 1
+            while j >= 0 and found[j][2] >= new[2]:
+                j = back[j]
+            if j < 0 or found[j][3] >= new[3]:
+                found.append(new)
+                back.append(j)
+                break
+            new = [found[j][0], new[1], found[j][2], new[3]]
+            del found[j:], back[j:]
+    return [(int(a), int(b), after - before) for a, b, before, after in found]
+
+
+def joined(row: list[Block], scores: list[float], regions: list[tuple[int, int, float]]) -> list[tuple[list[int], float]]:
+    """Regions that have an element in common at their ends, together: their blocks of positive score, and the sum."""
+    home = lambda i: next(p for t, p in row[i].parts if t.strip()).home()
+    out: list[tuple[list[int], float]] = []
+    held: dict[int, int] = {}  # the element in which a joined region ends, to that region
+    for a, b, total in regions:
+        own = [i for i in range(a, b) if scores[i] > 0]
+        first, last = home(own[0]), home(own[-1])
+        at = held.get(id(first))
+        if at is None:
+            at = len(out)
+            out.append((own, total))
+        else:
+            out[at] = (out[at][0] + own, out[at][1] + total)
+        held[id(last)] = at
+    return out
+
+
 def extract(page: str, weights: Weights) -> str:
     """The text of the best region: its blocks in page order, one to a line, white space within a block as one space."""
     row, known = blocks(page), {}
     side = (weights.of.get("outside", 0.0), weights.of.get("inside", 0.0)) if is_marked(row, weights.of, known) else (0.0, 0.0)
-    best, span, total, start, scores = 0.0, (0, 0), 0.0, 0, []
-    for i, b in enumerate(row):
+    scores = []
+    for b in row:
         if b.tag:
-            score = weights.tag(b.tag)
+            scores.append(weights.tag(b.tag))
         else:
-            score = sum(len(t.split()) * max(-MOST, min(MOST, _odds(weights.of, p.around, known) + side[p.marked])) for t, p in b.parts)
-        scores.append(score)
-        total += score
-        if total <= 0:
-            total, start = 0.0, i + 1
-        elif total > best:
-            best, span = total, (start, i + 1)
-    lines = (row[i].text() for i in range(*span) if scores[i] > 0)
+            scores.append(sum(len(t.split()) * _odds(weights.of, p.around, known, side[p.marked]) for t, p in b.parts))
+    found = joined(row, scores, maximal_regions(scores))
+    best = max(found, key=lambda f: f[1])[0] if found else []  # the first of equal ones
+    lines = (row[i].text() for i in best)
     return "\n".join(line for line in lines if line)
 
 
