@@ -71,17 +71,26 @@ def roles(nodes: Column, question: Column) -> Column:
     return let(tx.whole_numbers(question), lambda shown: let(as_values(shown), lambda found: let(leaves(nodes), lambda own: let(tx.conversion_values(question), lambda guarded: of(shown, found, own, guarded)))))
 
 
-def draw_like(value: float, used: set[int], rng: random.Random, tries: int = 200) -> float | None:
-    """A whole number with as many digits as ``value`` and its sign, a fifth away from it or more, none of ``used`` and no known constant; None if every try fails."""
+def draw_like(value: float, used: set[int], rng: random.Random) -> float | None:
+    """A whole number with as many digits as ``value`` and its sign, a fifth away from it or more, none of ``used`` and no known constant.
+
+    One draw of an index into all that is allowed, counted as a range without an
+    interval and some points; None only if nothing is allowed.
+    """
     size = int(abs(value))
     digits = len(str(size))
     low, high = (2, 9) if digits == 1 else (10 ** (digits - 1), 10**digits - 1)
     away = max(1, int(abs(value) * 0.2))
-    for _ in range(tries):
-        c = rng.randint(low, high)
-        if c not in used and abs(c - size) >= away and c not in tx.KNOWN_CONSTANTS:
-            return float(-c if value < 0 else c)
-    return None
+    near = max(low, size - away + 1), min(high, size + away - 1)
+    barred = {(c, c) for c in (*used, *tx.KNOWN_CONSTANTS) if low <= c <= high and not near[0] <= c <= near[1]} | ({near} if near[0] <= near[1] else set())
+    allowed = high - low + 1 - sum(b - a + 1 for a, b in barred)
+    if allowed <= 0:
+        return None
+    c = low + rng.randrange(allowed)
+    for a, b in sorted(barred):
+        if c >= a:
+            c += b - a + 1
+    return float(-c if value < 0 else c)
 
 
 def run_checked(ops: list[str], refs: list[list[int]], values: list[float], whole: bool = True) -> float | None:
@@ -121,13 +130,19 @@ def sampled(ops: list[str], refs: list[list[int]], values: list[float], free: li
 
 
 def redrawn(ops: list[str], refs: list[list[int]], values: list[float], seed: str, attempts: int) -> tuple[int, list[float], float] | None:
-    """As :func:`sampled`, by the first generator's rules: every leaf becomes another number of as many digits, whatever the others are."""
+    """As :func:`sampled`, by the first generator's rules: every leaf is drawn from the numbers of as many digits, whatever the others are.
+
+    In the first attempt each leaf must change, in later ones it may come out as it was.
+    """
     for attempt in range(attempts):
         rng, new = random.Random(f"{seed}|{attempt}"), list(values)
         for i, op in enumerate(ops):
-            digits = len(str(int(abs(values[i]))))
-            while op == "assign" and new[i] == values[i]:
-                new[i] = float(rng.randint(max(2, 10 ** (digits - 1)), 10**digits - 1))
+            if op == "assign":
+                digits = len(str(int(abs(values[i]))))
+                low, high = max(2, 10 ** (digits - 1)), 10**digits - 1
+                inside = attempt == 0 and values[i] in range(low, high + 1)
+                c = low + rng.randrange(high - low + 1 - inside)
+                new[i] = float(c + (inside and c >= values[i]))
         made = run_checked(ops, refs, new, whole=False)
         if made is not None:
             return attempt, new, made

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probeframe.functions import extensions, graphs
+from probeframe.functions import text as tx
 from probeframe.operators import graph_tables, variants
 
 SIGNS = {"+": "add", "-": "subtract", "*": "multiply", "/": "divide"}
@@ -225,3 +226,21 @@ def test_sql_functions(spark):
     want = variants.mutate(found, variants=3, attempts=20).select("pid", "k", "attempt", "answer").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) >= 6
     assert spark.sql("SELECT * FROM draw_variants(CAST(NULL AS STRING), NULL, NULL, 1.0D, 3, 20)").count() == 0
+
+
+def test_draws_are_from_all_that_is_allowed():
+    for value, used in ((5.0, {7}), (1.0, set()), (9.0, {2, 3, 4, 5, 6}), (37.0, {11, 99}), (-480.0, {100, 999}), (12.0, set()), (8.0, {2, 3, 5, 6})):
+        size, away = int(abs(value)), max(1, int(abs(value) * 0.2))
+        d = len(str(size))
+        low, high = (2, 9) if d == 1 else (10 ** (d - 1), 10**d - 1)
+        allowed = {c for c in range(low, high + 1) if c not in used and abs(c - size) >= away and c not in tx.KNOWN_CONSTANTS}
+        rng = random.Random(7)
+        got = {variants.draw_like(value, used, rng) for _ in range(12000 if d == 3 else 2000)}
+        assert got == ({(-c if value < 0 else c) for c in allowed} or {None})
+
+
+def test_first_generator_may_repeat_a_leaf_only_in_a_retry():
+    ops, refs = ["assign", "assign", "subtract"], [[], [], [0, 1]]
+    first = [variants.redrawn(ops, refs, [5.0, 7.0, -2.0], f"s{i}", 30) for i in range(300)]
+    assert all(v[1][0] != 5 and v[1][1] != 7 for v in first if v[0] == 0) and any(v[1][0] == 5 or v[1][1] == 7 for v in first if v[0] > 0)
+    assert all(v[2] == v[1][0] - v[1][1] >= 0 and all(2 <= x <= 9 for x in v[1][:2]) for v in first)
