@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from probeframe.functions import text as tx
 from probeframe.functions.answers import magnitude, matches_audit
+from probeframe.operators.joins import join_counted
 from probeframe.operators.scratch import written
 from probeframe.operators.significance import two_sample_t
 
@@ -83,10 +84,10 @@ def status_counts(rows: DataFrame, status: str) -> DataFrame:
 
 
 def duplicates(rows: DataFrame, group: str, text: str, order: str) -> DataFrame:
-    """Rows whose text an earlier row of their group has, with that first row's id; by a grouped minimum, so no group is gathered."""
-    first = rows.groupBy(F.col(group).alias("g"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("h2")).agg(F.min(order).alias("first"))
-    joined = rows.join(first, (F.col(group) == F.col("g")) & (F.xxhash64(text) == F.col("h")) & (F.sha2(text, 256) == F.col("h2")))
-    return joined.filter(F.col(order) != F.col("first")).drop("g", "h", "h2")
+    """Rows whose text an earlier row of their group has, with that first row's id; by a grouped minimum, so no group is gathered and a popular text stays spread."""
+    keys = {"__g": F.col(group), "__h": F.xxhash64(text), "__h2": F.sha2(text, 256)}
+    first = rows.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.min(order).alias("first"), F.count("*").alias("__n"))
+    return join_counted(rows.withColumns(keys), first, list(keys), "__n").filter(F.col(order) != F.col("first")).drop(*keys, "__n")
 
 
 def entity_failures(pairs: DataFrame) -> DataFrame:

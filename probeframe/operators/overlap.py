@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeframe.functions.text import let
+from probeframe.operators.joins import join_counted
 from probeframe.operators.scratch import written
 
 #: Words of a shingle; words of the key that candidates share.
@@ -99,7 +100,7 @@ def similar(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id, surface_hash, n_copies, first_id`` of every non-null text; copies are counted by hash, never gathered."""
+    """``doc_id, surface_hash, n_copies, first_id`` of every non-null text; copies are counted by hash, never gathered, and a popular text stays spread."""
     hashed = docs.filter(F.col("text").isNotNull()).select("doc_id", F.sha2("text", 256).alias("full"))
     counts = hashed.groupBy("full").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("first_id"))
-    return hashed.join(counts, "full").select("doc_id", F.substring("full", 1, 16).alias("surface_hash"), "n_copies", "first_id")
+    return join_counted(hashed, counts, ["full"], "n_copies").select("doc_id", F.substring("full", 1, 16).alias("surface_hash"), "n_copies", "first_id")
