@@ -143,6 +143,8 @@ def bootstrap_poisson(items: DataFrame, draws: int = 5000, seed: int = 2026) ->
             yield pd.DataFrame({"model": model, "draw": np.arange(draws), "w": w, "s": s})
 
     counts = items.groupBy("model", F.col("delta").alias("d")).agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("model", "d"))
+    # few small rows that cost time each: their number of tasks is given, so that they aren't put together in one
+    counts = counts.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     means = counts.mapInPandas(draw, "model string, draw int, w double, s double").groupBy("model", "draw").agg((F.sum("s") / F.sum("w")).alias("mean"))
     return means.groupBy("model").agg(F.percentile("mean", F.lit(0.025)).alias("boot_low"), F.percentile("mean", F.lit(0.975)).alias("boot_high"))
 
