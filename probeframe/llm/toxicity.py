@@ -6,9 +6,9 @@ trained jointly in numpy.  A window is :data:`WINDOW` words, one beginning at
 every word, and a text is as toxic as its worst window: a few words among
 thousands vanish in the mean of a whole text.  In folds of the training rows
 recall falls as the window grows (sf0.1: 0.90 at one word, 0.81 at two, 0.67 at
-four), so a window is one word's bag; training knows other widths.  Settings are
-those of the best F1 in the folds (:func:`cross_validate`), which held-out rows
-are no part of.
+four), so a window is one word's bag; training knows other widths.  Rate, weights,
+softness, ridge, passes and least texts are those of the best F1 in such folds
+(:func:`cross_validate`); sizes and n-grams are older (see the README).
 """
 
 from __future__ import annotations
