@@ -86,7 +86,7 @@ def status_counts(rows: DataFrame, status: str) -> DataFrame:
 def duplicates(rows: DataFrame, group: str, text: str, order: str) -> DataFrame:
     """Rows whose text an earlier row of their group has, with that first row's id; by a grouped minimum, so no group is gathered and a popular text stays spread."""
     keys = {"__g": F.col(group), "__h": F.xxhash64(text), "__h2": F.sha2(text, 256)}
-    first = rows.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.min(order).alias("first"), F.count("*").alias("__n"))
+    first = rows.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.min(order).alias("first"), F.count("*").alias("__n")).filter("__n > 1")
     return join_counted(rows.withColumns(keys), first, list(keys), "__n").filter(F.col(order) != F.col("first")).drop(*keys, "__n")
 
 
@@ -96,47 +96,31 @@ def entity_failures(pairs: DataFrame) -> DataFrame:
     Names of the original against the words of each variant; every part stays in
     the variant's row until its failures are unfolded.
     """
-    named = pairs.withColumn("names", tx.proper_nouns(F.col("question"))).withColumn("variant_names", tx.proper_nouns(F.col("variant_question"))).withColumn("variant_words", F.array_distinct(tx.words(F.col("variant_question"))))
-    each = named.select("*", F.explode("names").alias("name"))
-    each = each.withColumn("had", tx.whole_word_count(F.col("question"), F.col("name"))).withColumn("has", tx.whole_word_count(F.col("variant_question"), F.col("name")))
-    each = each.withColumn("artifacts", F.filter("variant_words", lambda w: tx.suffix_artifact(F.col("name"), w).isNotNull()))
-    others = F.filter("variant_names", lambda v: ~F.array_contains("names", v) & tx.suffix_artifact(F.col("name"), v).isNull())
-    each = each.withColumn("candidate", F.try_element_at(others, F.lit(1))).withColumn("tried", (F.col("has") < F.col("had")) | (F.size("artifacts") > 0))
-    ids = ["item_id", "variant_id"]
-    # three checks read it
-    each = written(each.select(*ids, "name", "variant_question", "had", "has", "artifacts", "candidate", "tried"))
-    artifacts = each.select(*ids, "name", F.explode("artifacts").alias("word")).select(
-        *ids, F.lit("SUBSTRING_ARTIFACT").alias("check"), F.concat("word", F.lit(" ends in "), tx.suffix_artifact(F.col("name"), F.col("word")), F.lit(" of "), "name").alias("details")
-    )
-    leftover = each.filter("tried and has > 0").select(*ids, F.lit("LEFTOVER_NAME").alias("check"), F.concat("name", F.lit(" x "), F.col("has").cast("string")).alias("details"))
-    count = tx.whole_word_count(F.col("variant_question"), F.col("candidate"))
-    uneven = each.filter(F.col("tried") & F.col("candidate").isNotNull() & (F.col("has") + count != F.col("had"))).select(*ids, F.lit("CONSISTENCY").alias("check"), F.concat("name", F.lit(" / "), "candidate").alias("details"))
-    twice = duplicates(pairs, "item_id", "variant_question", "variant_id").select(*ids, F.lit("DUPLICATE").alias("check"), F.concat(F.lit("same text as "), "first").alias("details"))
-    flagged = pairs.filter("all_values_present = false").select(*ids, F.lit("NUMBER_GRAPH_MISMATCH").alias("check"), F.lit("a value is absent").alias("details"))
-    return artifacts.unionByName(leftover).unionByName(uneven).unionByName(twice).unionByName(flagged)
+    return _unfolded(pairs, _names_checked(pairs))
 
 
-def items_by_failure(pairs: DataFrame, failures: DataFrame) -> DataFrame:
-    """``item_id, has_failures`` of every item."""
-    failing = failures.select("item_id").distinct().withColumn("bad", F.lit(True))
-    return pairs.select("item_id").distinct().join(failing, "item_id", "left").select("item_id", F.coalesce("bad", F.lit(False)).alias("has_failures"))
+def _names_checked(pairs: DataFrame) -> DataFrame:
+    """Every pair's ids, what its names fail, whether a value is absent, and a hash of item and text: written, as several checks read it."""
+    failed = tx.name_failures(F.col("question"), F.col("variant_question"))
+    return written(pairs.select("item_id", "variant_id", failed.alias("failed"), (F.col("all_values_present") == False).alias("absent"), F.xxhash64("item_id", "variant_question").alias("rough")))  # noqa: E712
 
 
-def repaired(question: Column, variant_question: Column) -> Column:
-    """The variant's text with one replacement for each original name, where artifacts or leftovers show that one was tried."""
-    names = tx.proper_nouns(question)
+def _unfolded(pairs: DataFrame, checked: DataFrame) -> DataFrame:
+    ids = ["item_id", "variant_id"]
+    names = checked.select(*ids, F.explode("failed").alias("f")).select(*ids, "f.check", "f.details")
+    flagged = checked.filter("absent").select(*ids, F.lit("NUMBER_GRAPH_MISMATCH").alias("check"), F.lit("a value is absent").alias("details"))
+    found = names.unionByName(flagged)
+    # equal texts of an item have equal hashes: where no hash repeats there is nothing to compare
+    if checked.groupBy("rough").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return found
+    twice = duplicates(pairs, "item_id", "variant_question", "variant_id").select(*ids, F.lit("DUPLICATE").alias("check"), F.concat(F.lit("same text as "), "first").alias("details"))
+    return found.unionByName(twice)
 
-    def fix(text: Column, name: Column) -> Column:
-        broken = F.filter(F.array_distinct(tx.words(text)), lambda w: tx.suffix_artifact(name, w).isNotNull())
-        word = F.try_element_at(broken, F.lit(1))
-        stem = F.substring(word, F.lit(1), F.length(word) - F.length(tx.suffix_artifact(name, word)))
-        fresh = F.try_element_at(F.filter(tx.proper_nouns(text), lambda v: ~F.array_contains(names, v)), F.lit(1))
-        new = F.coalesce(stem, fresh)
-        cleared = F.aggregate(broken, text, lambda t, w: tx.replace_word(t, w, new))
-        had, has = tx.whole_word_count(question, name), tx.whole_word_count(text, name)
-        return F.when(new.isNull(), text).when((has > 0) & (has < had), tx.replace_word(cleared, name, new)).otherwise(cleared)
 
-    return F.aggregate(names, variant_question, fix)
+def items_by_failure(pairs: DataFrame, failures: DataFrame) -> DataFrame:
+    """``item_id, has_failures`` of every item."""
+    rows = pairs.select("item_id", F.lit(False).alias("bad"), F.lit(True).alias("own")).unionByName(failures.select("item_id", F.lit(True).alias("bad"), F.lit(False).alias("own")))
+    return rows.groupBy("item_id").agg(F.max("bad").alias("has_failures"), F.max("own").alias("own")).filter("own").drop("own")
 
 
 def route(pairs: DataFrame) -> DataFrame:
@@ -151,8 +135,8 @@ def route(pairs: DataFrame) -> DataFrame:
     marked = written(marked.join(totals, "item_id"))
     intact = marked.filter("n_bad = 0").select("item_id", "variant_id", "variant_question", F.lit("intact").alias("route"))
     trimmed = marked.filter("n_bad > 0 and n_good >= 2 and not bad").select("item_id", "variant_id", "variant_question", F.lit("trimmed").alias("route"))
-    again = marked.filter("n_bad > 0 and n_good < 2").select("item_id", "question", "variant_id", repaired(F.col("question"), F.col("variant_question")).alias("variant_question"), "all_values_present")
-    again = written(again)
+    mended = tx.mended_names(F.col("question"), F.col("variant_question"))
+    again = written(marked.filter("n_bad > 0 and n_good < 2").select("item_id", "question", "variant_id", mended.alias("variant_question"), "all_values_present"))
     still = entity_failures(again).select("item_id", "variant_id").distinct()
     passing = again.join(still, ["item_id", "variant_id"], "left_anti")
     enough = passing.groupBy("item_id").agg(F.count("*").alias("n")).filter("n >= 2").select("item_id")
