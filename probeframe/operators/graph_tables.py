@@ -16,12 +16,12 @@ from probeframe.operators.scratch import written
 def tables_of(graphs: DataFrame, graph: str = "graph", nodes: str = "nodes") -> tuple[DataFrame, DataFrame]:
     """Nodes ``graph, node, place, op`` and edges ``graph, source, target`` of graphs that are arrays; nodes are named n0, n1, ... by place.
 
-    A reference that occurs twice in a node is one edge; one that points nowhere is none.
+    A reference that occurs twice in a node is one edge; one that points nowhere is none.  Graphs have names of their own.
     """
     name = lambda c: F.concat(F.lit("n"), c.cast("string"))
     each = graphs.select(F.col(graph).alias("graph"), F.size(nodes).alias("size"), F.posexplode(nodes).alias("place", "n"))
-    edges = each.select("graph", "size", "place", F.explode("n.refs").alias("r")).filter("r >= 0 and r < size")
-    return each.select("graph", name(F.col("place")).alias("node"), "place", "n.op"), edges.select("graph", name(F.col("r")).alias("source"), name(F.col("place")).alias("target")).distinct()
+    edges = each.select("graph", "size", "place", F.explode(F.array_distinct("n.refs")).alias("r")).filter("r >= 0 and r < size")
+    return each.select("graph", name(F.col("place")).alias("node"), "place", "n.op"), edges.select("graph", name(F.col("r")).alias("source"), name(F.col("place")).alias("target"))
 
 
 def levels(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
@@ -31,16 +31,20 @@ def levels(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFram
     goes with them.  Only what is left is written for the next round.  Repeated
     rows count once; an edge whose source is no node keeps its target waiting.
     """
-    left = written(nodes.select("graph", "node").distinct())
-    waits = written(edges.select("graph", "source", "target").distinct())
+    left = nodes.select("graph", "node")
+    waits = written(edges.select("graph", "source", "target"))
     parts: list[DataFrame] = []
     for level in range(rounds):
-        held = waits.select("graph", F.col("target").alias("node")).distinct()
-        ready = written(left.join(held, ["graph", "node"], "left_anti"))
-        if not ready.limit(1).count():
+        # one grouping tells of every node left whether an edge still points to it
+        both = left.select("graph", "node", F.lit(True).alias("own"), F.lit(False).alias("held")).union(waits.select("graph", "target", F.lit(False), F.lit(True)))
+        marked = written(both.groupBy("graph", "node").agg(F.max("own").alias("own"), F.max("held").alias("held")).filter("own").drop("own"))
+        ready = marked.filter("not held").select("graph", "node")
+        if ready.isEmpty():
             break
         parts.append(ready.withColumn("level", F.lit(level)))
-        left = written(left.join(held, ["graph", "node"], "left_semi"))
+        left = marked.filter("held").select("graph", "node")
+        if left.isEmpty():
+            break
         waits = written(waits.join(ready.withColumnRenamed("node", "source"), ["graph", "source"], "left_anti"))
     else:
         raise RuntimeError(f"the deepest graph has more than {rounds} levels")
@@ -55,6 +59,12 @@ def depths(levelled: DataFrame) -> DataFrame:
     return levelled.groupBy("graph").agg(F.max("level").alias("depth"))
 
 
+def sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``graph, n_nodes, n_edges``: rows of both tables by graph, in one grouping; a graph needs a node."""
+    both = nodes.select("graph", F.lit(1).alias("n"), F.lit(0).alias("e")).union(edges.select("graph", F.lit(0), F.lit(1)))
+    return both.groupBy("graph").agg(F.sum("n").alias("n_nodes"), F.sum("e").alias("n_edges")).filter("n_nodes > 0")
+
+
 def _bits(*columns: Column) -> tuple[Column, Column]:
     return F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)
 
