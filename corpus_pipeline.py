@@ -36,7 +36,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: five-word shingles, similarity of 0.8 at least.
+    """One document of each group of near-copies: candidates by simhash fingerprints and by bands of minhashes, confirmed by a similarity of five-word shingles of 0.8 at least.
 
     Of equal candidates that with the smallest id, then hash of the text, stays;
     null and empty texts are one group; other columns are kept.

@@ -1,8 +1,10 @@
 """Near copies by exact Jaccard similarity of word shingles (near-dedup of the pipeline).
 
-Texts that agree in a band of minhashes are candidates; every link is confirmed
-by the exact similarity of the two sets of shingles.  A first pass compares each
-member of a bucket with one of its members only, a second those that the first
+Texts whose simhash fingerprints differ in few bits are candidates, and so are
+those that agree in a band of minhashes, as near copies of some length differ in
+more bits; every link is confirmed by the exact similarity of the two sets of
+shingles.  A first pass compares what fingerprints link, and each member of a
+bucket with one of its members only, a second those that the first
 left in different components: small buckets as pairs, large ones by cells, which
 only links leave, so a large group of copies never unfolds to its pairs.  At a
 similarity of 0.8 a pair agrees in no band with a probability of 2e-6.
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probeframe.llm._shared import broadcast_if_small, connected_components, materialize, small_batches
-from probeframe.llm.simhash import SEED, one_of_each
+from probeframe.llm.simhash import RADIUS, SEED, SHINGLE, fingerprints, links_within, one_of_each
 
 #: Words of a shingle; similarity of near copies; bands of minhashes and minhashes of a band.
 WORDS, LEAST, BANDS, DEPTH = 5, 0.8, 25, 4
@@ -149,7 +151,8 @@ def components(docs: DataFrame, least: float = LEAST, words: int = WORDS, doc_id
 
     star = buckets.filter((F.col("mark") != F.col("centre.mark")) & _sizes_allow(F.col("n"), F.col("centre.n"), least))
     star = materialize(star.select(F.least("mark", "centre.mark").alias("a"), F.greatest("mark", "centre.mark").alias("b")).distinct(), "star")
-    links = confirmed(star, docs, least, words, text)
+    near = materialize(fingerprint_pairs(docs, doc_id, text).join(star, ["a", "b"], "left_anti"), "near")
+    links = materialize(confirmed(near.union(star), docs, least, words, text), "links")
     roots = connected_components(links).withColumnRenamed("id", "mark")
     def sides(roots: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Buckets of more than one component: all their members, and those outside of the largest component."""
@@ -172,6 +175,20 @@ def components(docs: DataFrame, least: float = LEAST, words: int = WORDS, doc_id
     return rows.select("doc_id", "mark").join(broadcast_if_small(materialize(roots, "roots")), "mark", "left").select("doc_id", "mark", F.coalesce("root", "mark").alias("root"))
 
 
+def fingerprint_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
+    """Candidates ``a, b`` (marks of texts, a < b) by simhash: texts of one fingerprint, and one text each of fingerprints within ``radius`` bits.
+
+    Texts of one fingerprint meet the least of them, linked fingerprints meet by
+    the forest that links them, so a large group never unfolds to its pairs.
+    """
+    rows = materialize(fingerprints(docs, words, doc_id, text).select("mark", "fp").distinct(), "prints")
+    least = materialize(rows.groupBy("fp").agg(F.min("mark").alias("first")), "firsts")
+    alike = rows.hint("merge").join(least, "fp").filter("mark <> first").select(F.col("first").alias("a"), F.col("mark").alias("b"))
+    end = lambda s: least.select(F.col("fp").alias(s), F.col("first").alias(f"m{s}"))
+    linked = links_within(least.select("fp"), radius).hint("merge").join(end("a"), "a").hint("merge").join(end("b"), "b").filter("ma <> mb")
+    return alike.union(linked.select(F.least("ma", "mb"), F.greatest("ma", "mb"))).distinct()
+
+
 def keep_one(docs: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFrame:
     """One row of each component, with the columns of ``docs``, as in ``simhash.keep_one``."""
     return one_of_each(docs, components(docs, least, words))

@@ -71,3 +71,14 @@ def test_the_whole_is_its_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     got = out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and out.filter("not parity").count() == 0
+
+
+def test_near_dedup_compares_what_fingerprints_link(spark, monkeypatch):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "A b c d e f g h"), (4, "q r s t u v w x y z"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    mark = {r["doc_id"]: r["m"] for r in docs.select("doc_id", F.xxhash64("text").alias("m")).collect()}
+    pairs = {(r["a"], r["b"]) for r in near_copies.fingerprint_pairs(docs).collect()}
+    assert pairs == {tuple(sorted((mark[1], mark[3]))), tuple(sorted((mark[5], mark[6])))}
+    met = []
+    monkeypatch.setattr(near_copies, "fingerprint_pairs", lambda d, *a, real=near_copies.fingerprint_pairs: met.append(1) or real(d, *a))
+    assert {r["doc_id"] for r in near_copies.keep_one(docs).collect()} == {1, 4, 5} and met
