@@ -33,6 +33,11 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     Fields that a file lacks are null; an empty list has no rows.
     """
     listed = ", ".join(c.replace(" ", ":", 1) for c in ITEM.split(", variants ")[0].split(", ")) + ", variants:" + ITEM.split(", variants ")[1]
+    if _laid_out(spark, path, "items"):
+        # each item begins and ends on lines of its own, and no JSON text holds a raw line end: items are found wherever a file is split
+        pieces = spark.read.option("lineSep", BETWEEN).text(path).select(F.element_at(F.split("value", OPENED, 2), -1).alias("value"))
+        whole = F.when(F.contains("value", F.lit("\n  ],")), F.raise_error(F.lit("something follows the list of items"))).otherwise(F.regexp_replace("value", r"\n    \}\n  \]\n\}\s*\z", ""))
+        return pieces.select(F.from_json(F.concat(F.lit("{"), whole, F.lit("}")), ITEM).alias("item")).select("item.*")
     files = spark.read.schema(f"items array<struct<{listed}>>").option("multiLine", True).json(path)
     bad = files.filter("items is null").select(F.input_file_name().alias("file")).first()
     if bad:
@@ -40,6 +45,38 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.inline("items"))
 
 
+#: What stands between two items of a document that :func:`write_document` lays out, and what opens their list.
+BETWEEN, OPENED = "\n    },\n    {", r'\n  "items": \[\n    \{'
+#: Bytes of a file's head in which its list must open.
+HEAD = 1 << 16
+
+
+def _laid_out(spark: SparkSession, path: str, name: str) -> bool:
+    """Whether every file of ``path`` has the layout of :func:`write_document` with two spaces: objects of a list ``name`` that ends the document.  Reads the files' ends only."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s for s in (fs.globStatus(target) or [])]
+    if not found or not all(s.isFile() for s in found):
+        return False
+    for s in found:
+        file = fs.open(s.getPath())
+        try:
+            read = lambda at, n: bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(_at(file, at), n)).decode("utf-8", "replace")  # noqa: B023, E731
+            head, tail = read(0, min(HEAD, s.getLen())), read(max(0, s.getLen() - 64), min(64, s.getLen()))
+        finally:
+            file.close()
+        before, opened, _ = head.partition(f'\n  "{name}": [\n    {{')
+        if not opened or BETWEEN in before or not tail.rstrip().endswith("\n    }\n  ]\n}"):
+            return False
+    return True
+
+
+def _at(file, at: int):
+    file.seek(at)
+    return file
+
+
 def read_item_lines(spark: SparkSession, path: str) -> DataFrame:
     """The items of datasets that have one item a line."""
     return spark.read.schema(ITEM).json(path)
@@ -147,9 +184,10 @@ def nested(rows: DataFrame, originals: DataFrame) -> DataFrame:
 
 def flatten(items: DataFrame) -> DataFrame:
     """``parent_id, item_id, question, answer, is_original, variant_no``: a row for each item and each of its variants; null lists have none."""
-    own = items.select(F.col("item_id").alias("parent_id"), "item_id", "question", "answer", F.lit(True).alias("is_original"), F.lit(0).alias("variant_no"))
-    each = items.select(F.col("item_id").alias("parent_id"), F.posexplode("variants").alias("at", "v"))
-    return own.unionByName(each.select("parent_id", "v.item_id", "v.question", "v.answer", F.lit(False).alias("is_original"), (F.col("at") + 1).alias("variant_no")))
+    row = lambda v, original, at: F.struct(F.col("item_id").alias("parent_id"), v["item_id"].alias("item_id"), v["question"].alias("question"), v["answer"].alias("answer"), F.lit(original).alias("is_original"), at.cast("int").alias("variant_no"))
+    own = F.array(row({c: F.col(c) for c in ("item_id", "question", "answer")}, True, F.lit(0)))
+    # one pass over the items, which may be read from a document
+    return items.select(F.explode(F.concat(own, F.coalesce(F.transform("variants", lambda v, i: row(v, False, i + 1)), F.slice(own, 1, 0)))).alias("x")).select("x.*")
 
 
 def totals(items: DataFrame) -> DataFrame:

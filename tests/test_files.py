@@ -105,3 +105,23 @@ def test_shuffle_and_union(spark):
     order = [r["id"] for r in a]
     assert [r["position"] for r in a] == list(range(500)) and order == [r["id"] for r in b] and order != [r["id"] for r in c] and order != sorted(order)
     assert selection.any_of(rows, rows.filter("id < 5"), spark.createDataFrame([(900,)], "id int")).count() == 501
+
+
+def test_items_of_a_laid_out_document_are_read_in_splits(spark, tmp_path):
+    rows = [(f"i{i}", 'a "},\n    {" b\n  ],', float(i), [(f"i{i}_v{j}", float(j)) for j in range(i % 3)]) for i in range(200)]
+    items = spark.createDataFrame(rows, "item_id string, question string, answer double, variants array<struct<item_id:string,answer:double>>")
+    path = str(tmp_path / "d.json")
+    json_files.write_document(items, path, head={"metadata": {"list": [1, {"a": 2}]}})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        read = json_files.read_items(spark, path)
+        assert read.rdd.getNumPartitions() > 5
+        got = [(r["item_id"], r["question"], r["answer"], [(v["item_id"], v["answer"]) for v in r["variants"]]) for r in read.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got) == sorted(rows)
+    json_files.write_document(items.limit(1), path)
+    assert json_files.read_items(spark, path).count() == 1
+    json_files.write_document(items.limit(2), path, indent=4)  # another layout is read whole
+    assert json_files.read_items(spark, path).count() == 2
