@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 import zlib
 
 import corpus_pipeline
@@ -93,6 +94,19 @@ def test_sentence_pieces_parity(docs, empty):
     assert sentence_pieces.encode(empty, path).count() == 0
 
 
+def test_sentence_pieces_remember_words_in_little_space():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    peer = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        encoder = sentence_pieces.Encoder(f.read())
+    encoder.WORDS = 1000
+    for i in range(12):  # words of the two batches before come again, all others are gone
+        texts = [" ".join(f"q{j * 7919:x}z" for j in range(a, a + 300)) for a in range(i * 200, i * 200 + 400, 100)]
+        assert encoder.encode(texts) == peer.encode(texts)
+        kept = [*encoder.ids.values(), *encoder.older.values()]
+        assert len(kept) < 4 * encoder.WORDS and sum(map(sys.getsizeof, kept)) < 80 * len(kept)
+
+
 def test_mix_meets_targets(spark, empty):
     made = [(i, " ".join(["w"] * (1 + i * 7 % 400)), None, None if i % 9 == 0 else f"s{min(i % 6, 3)}", 0, 0.0, 1, "") for i in range(900)]
     docs = spark.createDataFrame([*made, made[3], (2000, None, None, "s1", 0, 0.0, 1, ""), (2001, "x", None, "tiny", 0, 0.0, 1, "")], SCHEMA)
