@@ -9,6 +9,7 @@ split.  All schemas are given, so no file is read to infer one.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -60,18 +61,23 @@ def _laid_out(spark: SparkSession, path: str, name: str) -> bool:
     if not found or not all(s.isFile() for s in found):
         return False
     for s in found:
-        file = fs.open(s.getPath())
-        try:
-            read = lambda at, n: bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(_at(file, at), n)).decode("utf-8", "replace")  # noqa: B023, E731
-            head, tail = read(0, min(HEAD, s.getLen())), read(max(0, s.getLen() - 64), min(64, s.getLen()))
-        finally:
-            file.close()
+        head, tail = _ends(jvm, fs, s)
         before, opened, _ = head.partition(f'\n  "{name}": [\n    {{')
         if not opened or BETWEEN in before or not tail.rstrip().endswith("\n    }\n  ]\n}"):
             return False
     return True
 
 
+def _ends(jvm, fs, status) -> tuple[str, str]:
+    """A file's head and tail as texts."""
+    file = fs.open(status.getPath())
+    try:
+        read = lambda at, n: bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(_at(file, at), n)).decode("utf-8", "replace")
+        return read(0, min(HEAD, status.getLen())), read(max(0, status.getLen() - 64), min(64, status.getLen()))
+    finally:
+        file.close()
+
+
 def _at(file, at: int):
     file.seek(at)
     return file
@@ -209,14 +215,73 @@ def existing(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     return reader.json(found) if found else spark.createDataFrame([], schema)
 
 
-def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``model, key, item_id, trial, ...``: every result of every file; a file without a model takes its own name for one."""
-    files = existing(spark, paths, RESULTS).withColumn("file", F.input_file_name())
+#: What stands between two results of a document that :func:`write_results` lays out, what opens and what ends their map.
+RESULT_BETWEEN, RESULT_OPENED, RESULT_CLOSED = '\n    },\n    "', '\n  "raw_results": {\n    "', "\n    }\n  }\n}"
+#: Bytes from which on a document of results is looked at for that layout; smaller ones are one task's work in any case.
+SPLIT_FROM = 32 << 20
+
+
+def read_results(spark: SparkSession, paths: list[str], split_from: int = SPLIT_FROM) -> DataFrame:
+    """``model, key, item_id, trial, ...``: every result of every file; a file without a model takes its own name for one.
+
+    Documents of ``split_from`` bytes or more that are laid out as
+    :func:`write_results` does are read in splits, all others by one task each.
+    """
+    laid, rest = [], []
+    for path in paths:
+        found = _results_layout(spark, path, split_from)
+        laid += [(p, model) for p, laid_out, model in found if laid_out]
+        rest += [p for p, laid_out, _ in found if not laid_out] if any(laid_out for _, laid_out, _ in found) else [path]
+    parts = [_laid_results(spark, laid)] if laid else []
+    if rest or not laid:
+        parts.append(existing(spark, rest, RESULTS).select(F.input_file_name().alias("file"), "model", "raw_results"))
+    files = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     name = F.regexp_extract("file", r"([^/]+?)(?:\.json)?$", 1)
-    rows = files.select(F.coalesce("model", name).alias("model"), F.explode("raw_results").alias("key", "r"))
+    # outer: of a plain explode the optimizer infers a filter, by which each piece would be parsed again
+    rows = files.select(F.coalesce("model", name).alias("model"), F.explode_outer("raw_results").alias("key", "r")).filter("key is not null")
     return rows.select("model", "key", "r.*")
 
 
+def _results_layout(spark: SparkSession, path: str, split_from: int) -> list[tuple[str, bool, str | None]]:
+    """The files of a path or glob, whether each is large and laid out as results, and its model; empty if there is none or some aren't files.  Reads large files' ends only."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s for s in (fs.globStatus(target) or [])]
+    if not all(s.isFile() for s in found):
+        return []
+    listed = []
+    for s in found:
+        laid_out, model = False, None
+        if s.getLen() >= split_from:
+            head, tail = _ends(jvm, fs, s)
+            before, opened, _ = head.partition(RESULT_OPENED)
+            try:
+                fields = json.loads(before.rstrip().rstrip(",") + "}") if opened and tail.rstrip().endswith(RESULT_CLOSED) and RESULT_BETWEEN not in before else {"model": 0}
+                model = fields.get("model")
+                laid_out = model is None or isinstance(model, str)
+            except ValueError:
+                pass
+        listed.append((re.sub(r"([\\\[\]{}*?,])", r"\\\1", s.getPath().toString()), laid_out, model))
+    return listed
+
+
+def _laid_results(spark: SparkSession, files: list[tuple[str, str | None]]) -> DataFrame:
+    """``file, model, raw_results`` of laid out documents: each result begins and ends on lines of its own, and no JSON text holds a raw line end, so results are found wherever a file is split."""
+    place = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    jvm = spark._jvm
+    uri = lambda p: jvm.org.apache.hadoop.fs.Path(re.sub(r"\\(.)", r"\1", p)).toUri().toString()
+    models = spark.createDataFrame(list({uri(p): (uri(p), model) for p, model in files}.values()), "at string, own string").select(place(F.col("at")).alias("at"), "own", F.lit(True).alias("known"))
+    pieces = spark.read.option("lineSep", RESULT_BETWEEN).text([p for p, _ in files]).select(F.input_file_name().alias("file"), "value")
+    # patterns are tried on a file's first and last piece only: others open with a key and hold no line that closes the map
+    text = F.when(F.startswith("value", F.lit("{")), F.element_at(F.split("value", re.escape(RESULT_OPENED), 2), -1)).otherwise(F.col("value"))
+    ended = F.regexp_replace(text, r"\n    \}\n  \}\n\}\s*\z", "")
+    whole = F.when(~F.contains("value", F.lit("\n  }")), text).when(F.contains(ended, F.lit("\n  }")), F.raise_error(F.lit("something follows the results"))).otherwise(ended)
+    rows = pieces.withColumn("at", place(F.col("file"))).join(F.broadcast(models), "at", "left")
+    model = F.when(F.col("known").isNull(), F.raise_error(F.concat(F.lit("unknown file "), "file"))).otherwise(F.col("own"))
+    return rows.select("file", model.alias("model"), F.from_json(F.concat(F.lit('{"'), whole, F.lit("}}")), f"map<string,{RESULT}>").alias("raw_results"))
+
+
 def append_results(new: DataFrame, path: str) -> None:
     """Appends results that ``path`` doesn't have yet, in one commit of its log; a second call with the same rows adds none.
 

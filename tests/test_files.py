@@ -125,3 +125,23 @@ def test_items_of_a_laid_out_document_are_read_in_splits(spark, tmp_path):
     assert json_files.read_items(spark, path).count() == 1
     json_files.write_document(items.limit(2), path, indent=4)  # another layout is read whole
     assert json_files.read_items(spark, path).count() == 2
+
+
+def test_documents_of_results_are_read_in_splits(spark, tmp_path):
+    models = ["mA", "a/b é", "x{1}"]
+    rows = [(m, f'{i}_"q\n    }},\n    "', f"i{i}", i % 2 == 0, "},\n é") for m in models for i in range(400)]
+    made = spark.createDataFrame(rows, "model string, key string, item_id string, correct boolean, response string")
+    folder = str(tmp_path / "r")
+    json_files.write_results(made, folder)
+    (tmp_path / "r" / "results_own.json").write_text(json.dumps({"raw_results": {"k": {"item_id": "z"}, "n": {}, "l": {"item_id": "y"}}}, indent=2))
+    (tmp_path / "r" / "results_flat.json").write_text(json.dumps({"model": "flat", "raw_results": {"k": {"item_id": "w"}}}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = json_files.read_results(spark, [f"{folder}/results_*.json", f"{folder}/absent.json"], split_from=1)
+        got = [tuple(r) for r in read.select("model", "key", "item_id", "correct", "response").collect()]
+        splits = read.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    own = [("results_own", "k", "z", None, None), ("results_own", "n", None, None, None), ("results_own", "l", "y", None, None), ("flat", "k", "w", None, None)]
+    assert sorted(got, key=str) == sorted(rows + own, key=str)
+    assert splits > 20
