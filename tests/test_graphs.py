@@ -10,9 +10,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from probeframe.functions import extensions, graphs
+from probeframe.functions import extensions, graph_parser, graphs, leaf_roles
 from probeframe.functions import text as tx
 from probeframe.operators import graph_tables, variants
+from probeframe.plans import wide_plans
+from probeframe.sources import domain
 
 SIGNS = {"+": "add", "-": "subtract", "*": "multiply", "/": "divide"}
 
@@ -244,3 +246,30 @@ def test_first_generator_may_repeat_a_leaf_only_in_a_retry():
     first = [variants.redrawn(ops, refs, [5.0, 7.0, -2.0], f"s{i}", 30) for i in range(300)]
     assert all(v[1][0] != 5 and v[1][1] != 7 for v in first if v[0] == 0) and any(v[1][0] == 5 or v[1][1] == 7 for v in first if v[0] > 0)
     assert all(v[2] == v[1][0] - v[1][1] >= 0 and all(2 <= x <= 9 for x in v[1][:2]) for v in first)
+
+
+def test_shapes_are_read_as_arrays_like_single_texts():
+    rng = random.Random(3)
+    forms = ["<<{}+{}={}>> <<{}*{}={}>>\n#### {}", "<<{}/{}=-{}>> <<{}%{}={}/{}>>\n#### -{}", "<<{}-{}=many>> <<{}-{}-{}={}>>\n#### {}", "<<{}={}>>\n#### {}.", "é {} <<{}+{}={}>>", "<<{}*{}={},{}>>\n####{}\n"]
+    texts = [re.sub(r"\{\}", lambda _: rng.choice(["0", "1", "2", "2.5", "7", "12"]), form) for form in forms for _ in range(60)]
+    rng.shuffle(texts)
+    for strict in (False, True):
+        single = [graph_parser.parse_batch(pa.array([t]), strict)[0].as_py() for t in texts]
+        assert repr(graph_parser.parse_batch(pa.array(texts), strict).to_pylist()) == repr(single)
+
+
+def test_texts_of_one_shape_are_walked_once(monkeypatch):
+    walked = []
+    own = graph_parser.linked
+    monkeypatch.setattr(graph_parser, "linked", lambda steps: walked.append(1) or own(steps))
+    graph_parser.shape_graph.cache_clear()
+    texts = [f"<<{a}+{b}={a + b}>>\n#### {a + b}" for a in range(100, 120) for b in range(300, 350)]
+    assert all(r["accepted"] for r in graph_parser.parse_batch(pa.array(texts), False).to_pylist()) and len(walked) < 5
+
+
+def test_factors_are_looked_for_only_where_they_matter(monkeypatch):
+    looked = []
+    own = leaf_roles.factors
+    monkeypatch.setattr(leaf_roles, "factors", lambda q: looked.append(q) or own(q))
+    assert leaf_roles.movable([213.0, 315.0], ["213", "315"], "213 rows of 315 seats every day?") == [True, True] and not looked
+    assert leaf_roles.movable([24.5, 315.0], ["24.5", "315"], "24.5 per hour of 315?") == [False, True] and looked
