@@ -267,6 +267,13 @@ def test_texts_of_one_shape_are_walked_once(monkeypatch):
     assert all(r["accepted"] for r in graph_parser.parse_batch(pa.array(texts), False).to_pylist()) and len(walked) < 5
 
 
+def test_solutions_from_known_values(spark):
+    texts = ["<<12.5*40=500>> <<500-9=491>>\n#### 491", "<<2-7=-5>> <<3-7=-4>>\n#### -4", "<<7/2=3.5>> <<3.5+2=5.5>> <<5.5+5.5=11>>\n#### 11"]
+    g = spark.createDataFrame([(t,) for t in texts], "s string").select(F.explode(F.array(graphs.parse(F.col("s")))).alias("g"))
+    got = g.select(graphs.solution_of(F.col("g.nodes"), F.col("g.values")), graphs.solution_of(F.col("g.nodes"))).collect()
+    assert [r[0] for r in got] == texts and [r[1] for r in got] == texts
+
+
 def test_factors_are_looked_for_only_where_they_matter(monkeypatch):
     looked = []
     own = leaf_roles.factors
