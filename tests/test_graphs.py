@@ -274,6 +274,15 @@ def test_solutions_from_known_values(spark):
     assert [r[0] for r in got] == texts and [r[1] for r in got] == texts
 
 
+def test_ids_of_problems_are_written_after_repeats_are_gone(spark, tmp_path):
+    lines = [(1, 2, 3, 4, 5.0), (1, 2, 3, 4, 5.4), (12, 3, 3, 4, 6.0), (1, 23, 3, 4, 6.0), (None, 2, 3, 4, 5.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(3, 8)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    made = domain.problems(spark, str(tmp_path))
+    assert sorted((r["pid"], r["a"], r["k"]) for r in made.collect()) == [("1-2-3-4", 5, 2), ("1-23-3-4", 6, 23), ("12-3-3-4", 6, 3), ("2-3-4", 5, 2)]
+    assert "concat_ws" not in made._jdf.queryExecution().optimizedPlan().toString().split("Repartition", 1)[1]
+
+
 def test_factors_are_looked_for_only_where_they_matter(monkeypatch):
     looked = []
     own = leaf_roles.factors
