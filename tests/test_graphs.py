@@ -274,6 +274,14 @@ def test_solutions_from_known_values(spark):
     assert [r[0] for r in got] == texts and [r[1] for r in got] == texts
 
 
+def test_nodes_of_the_schema_are_made_once(spark, tmp_path):
+    lines = [(i, i % 3 + 1, i * 7, 5, 2.0) for i in range(40)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    made = wide_plans.schema_errors(spark, str(tmp_path))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("guess") == 1
+    assert {r["errors"] for r in made.collect()} == {"", "unknown operation", "missing operand", "repeated id", "bad id"}
+
+
 def test_ids_of_problems_are_written_after_repeats_are_gone(spark, tmp_path):
     lines = [(1, 2, 3, 4, 5.0), (1, 2, 3, 4, 5.4), (12, 3, 3, 4, 6.0), (1, 23, 3, 4, 6.0), (None, 2, 3, 4, 5.0)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
