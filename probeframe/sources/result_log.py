@@ -93,12 +93,24 @@ class ResultLog:
             rows = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "__version").alias("last")).select(*self.keys, "last.*")
         return rows
 
-    def _keyed(self, new: DataFrame) -> DataFrame:
-        """One row a key, the largest of those that repeat, with its bucket and the hash of its other columns."""
+    def _keyed(self, new: DataFrame, old: DataFrame | None) -> DataFrame:
+        """One row a key of ``new``, the largest of those that repeat, with its bucket, the hash of its other columns and the one that ``old`` has for the key.
+
+        New rows and old hashes meet in one grouping, so each is shuffled once.
+        """
         rest = [c for c in new.columns if c not in self.keys]
-        one = new.groupBy(*self.keys).agg(F.max(F.struct(*rest)).alias("row")).select(*self.keys, "row.*")
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        return one.withColumn("__bucket", bucket).withColumn("__hash", F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256))
+        rows = new.select(*self.keys, F.struct(*rest).alias("row"))
+        if old is not None:
+            kind = rows.schema["row"].dataType
+            rows = rows.withColumn("__was", F.lit(None).cast("string")).unionByName(old.select(*self.keys, F.lit(None).cast(kind).alias("row"), F.col("__hash").alias("__was")))
+        was = [F.max("__was").alias("__was")] if old is not None else []
+        one = rows.groupBy(*self.keys).agg(F.max("row").alias("row"), *was).filter("row is not null").select(*self.keys, "row.*", *(["__was"] if old is not None else [F.lit(None).cast("string").alias("__was")]))
+        # 128 bits as 24 characters: hashes don't compress, and are stored and shuffled with each row
+        code = F.base64(F.unhex(F.substring(F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256), 1, 32)))
+        return one.withColumn("__bucket", self._bucket()).withColumn("__hash", code)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def merge(self, new: DataFrame, app: str | None = None, batch: int = 0) -> int:
         """Stores ``new`` in one commit and returns the version that holds it.
@@ -119,19 +131,11 @@ class ResultLog:
 
     def _write(self, new: DataFrame, at: Snapshot) -> tuple[str | None, bool, int]:
         """Writes what ``new`` adds to a snapshot: the folder, whether it replaces rows, and its number of rows."""
-        rows = self._keyed(new)
-        stored = self._stored(at, [*self.keys, *OWN])
-        if stored is not None:
-            touched = [r[0] for r in rows.select("__bucket").distinct().collect()]  # at most as many as there are buckets
-            same = [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in self.keys]
-            condition: Column = F.col("n.__bucket") == F.col("s.__bucket")
-            for c in same:
-                condition = condition & c
-            old = stored.filter(F.col("__bucket").isin(touched)).select(*self.keys, "__bucket", F.col("__hash").alias("__was"))
-            met = rows.alias("n").join(old.alias("s"), condition, "left").filter("s.__was is null or s.__was <> n.__hash")
-            rows = met.select("n.*", F.col("s.__was").isNotNull().alias("__replaces"))
-        else:
-            rows = rows.withColumn("__replaces", F.lit(False))
+        old = self._stored(at, [*self.keys, *OWN])
+        if old is not None:
+            touched = [r[0] for r in new.select(self._bucket().alias("b")).distinct().collect()]  # at most as many as there are buckets
+            old = old.filter(F.col("__bucket").isin(touched))
+        rows = self._keyed(new, old).filter("__was is null or __was <> __hash").withColumn("__replaces", F.col("__was").isNotNull()).drop("__was")
         folder = uuid.uuid4().hex
         where = f"{self.path}/data/{folder}"
         rows.write.partitionBy("__bucket").parquet(where)

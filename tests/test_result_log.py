@@ -110,3 +110,15 @@ def test_stream_that_delivers_again(spark, tmp_path):
     want = report(gaps.model_gaps(gaps.item_gaps(whole)))
     assert log.read().count() == len(rows) and report(gaps.model_gaps(gaps.item_gaps(log.read()))) == want
     assert counts.snapshot().updates and report(stream.report(counts.read())) == want
+
+
+def test_new_rows_and_stored_hashes_are_shuffled_once(spark, tmp_path):
+    log = ResultLog(spark, str(tmp_path / "once"))
+    rows = spark.createDataFrame([("m", "k1", 1), ("m", None, 2), (None, "k2", 3)], "model string, key string, v int")
+    log.merge(rows)
+    later = spark.createDataFrame([("m", None, 2), ("m", "k1", 5), (None, "k2", 3), ("n", "k", None)], rows.schema)
+    met = log._keyed(later, log._stored(log.snapshot(), ["model", "key", "__bucket", "__hash", "__version"]))
+    assert "Join" not in met._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["model"], r["key"]): r["__was"] == r["__hash"] if r["__was"] else None for r in met.collect()} == {("m", None): True, ("m", "k1"): False, (None, "k2"): True, ("n", "k"): None}
+    log.merge(later)
+    assert sorted(map(tuple, log.read().select("model", "key", "v").collect()), key=str) == sorted([("m", None, 2), ("m", "k1", 5), (None, "k2", 3), ("n", "k", None)], key=str)
