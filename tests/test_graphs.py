@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import re
@@ -297,3 +298,13 @@ def test_factors_are_looked_for_only_where_they_matter(monkeypatch):
     monkeypatch.setattr(leaf_roles, "factors", lambda q: looked.append(q) or own(q))
     assert leaf_roles.movable([213.0, 315.0], ["213", "315"], "213 rows of 315 seats every day?") == [True, True] and not looked
     assert leaf_roles.movable([24.5, 315.0], ["24.5", "315"], "24.5 per hour of 315?") == [False, True] and looked
+
+
+def test_fingerprint_from_a_known_depth(spark):
+    node = lambda op, refs, value, dc: {"op": op, "refs": refs, "value": value, "dc": dc}
+    nodes = [node("assign", [], 2.5, 1), node("assign", [], 40.0, 2), node("multiply", [0, 1], 100.0, 3), node("add", [2, 2], 200.0, None)]
+    row = spark.createDataFrame([(nodes, 2)], f"n {graphs.NODES}, d int").select(graphs.fingerprint_core(F.col("n"), F.col("d")), graphs.fingerprint_core(F.col("n")), graphs.fingerprint_script(F.col("n"))).first()
+    shown = {"complexities": [[0, 1, 0, True, False], [0, 2, 0, False, False], [2, 3, 0, True, False], [2, 3, 0, False, False]], "depth": 2, "n_edges": 3, "n_nodes": 4, "op_types": ["assign", "assign", "multiply", "add"]}
+    assert row[0] == row[1] == hashlib.sha256(json.dumps(shown).encode()).hexdigest()[:16]
+    script = '{"dcs": [1, 2, 3], "depths": [0, 0, 2, 2], "n": 4, "ops": ["assign", "assign", "multiply", "add"]}'
+    assert row[2] == hashlib.sha256(script.encode()).hexdigest()[:12]
