@@ -51,3 +51,21 @@ def test_consensus_takes_the_answers_of_all_lines(spark, sf_dir):
     got = {r["variant"]: (r["n_answers"], r["consensus"], r["votes"]) for r in registry.QUERIES["consensus"](spark, sf_dir).collect()}
     # by model (supplier % 5): part 1 has 9, 10, 11, 7, 8; part 2, without a second line, 9 three times
     assert got == {1: (5, 9.0, 1), 2: (3, 9.0, 3)}
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_each_solution_is_read_and_changed_once(spark, tmp_path, monkeypatch, sent):
+    from probeframe.plans import item_plans
+
+    monkeypatch.setattr(item_plans, "MOST_SENT", sent)
+    quantity = [19.0, 9.0, 12.5, None]  # of a thousand problems each; 9 gets another digit, a null makes no solution
+    n = 4000
+    pq.write_table(pa.table({"l_orderkey": range(n), "l_linenumber": pa.array([3] * n, pa.int32()), "l_partkey": [1] * n, "l_suppkey": [i % 7 for i in range(n)], "l_quantity": [quantity[i % 4] for i in range(n)]}), tmp_path / "lineitem.parquet")
+    pq.write_table(pa.table({"p_partkey": [1], "p_size": pa.array([10], pa.int32())}), tmp_path / "part.parquet")
+    made = registry.QUERIES["locked_mutation"](spark, str(tmp_path))
+    assert "ArrowEvalPython" not in made._jdf.queryExecution().optimizedPlan().toString()  # no text of a single problem is read
+    got = {r["item_id"]: tuple(r)[1:] for r in made.collect()}
+    want = {19.0: (None, 20.0 * 10 - 3, "Depot 5", "crates", "parts"), 9.0: ("digit class", None, "Depot 2", "crates", "parts"), 12.5: (None, 13.0 * 10 - 3, "Depot 5", "crates", "parts")}
+    assert got == {f"{i}-3-1-{i % 7}": want[q] for i in range(n) if (q := quantity[i % 4])}
+    run = {r["pid"]: r["accepted"] for r in registry.QUERIES["forward_execute"](spark, str(tmp_path)).collect()}
+    assert run == {f"{i}-3-1-{i % 7}": quantity[i % 4] is not None for i in range(n)}
