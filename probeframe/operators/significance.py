@@ -12,8 +12,10 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probeframe.operators.scratch import written
 
@@ -312,14 +314,17 @@ def flag_overlap(items: DataFrame, flag: float = 0.5) -> DataFrame:
     return pairs.join(common, ["model_a", "model_b"], "left").select("model_a", "model_b", both.alias("n_both"), (both / (F.col("na") + F.col("nb") - both)).alias("jaccard"))
 
 
-#: Newton steps of an item's two parameters in a round; models whose abilities may go to the tasks as one array.
-ITEM_STEPS, MOST_MODELS = 30, 1_000_000
+#: Newton steps of an item's two parameters in a round; models whose abilities may go to the tasks as one array; distinct items that are worth a task; items of an array.
+ITEM_STEPS, MOST_MODELS, ITEMS_OF_TASK, ITEMS_AT_ONCE = 30, 1_000_000, 1000, 2048
 
 
-def _item_batch(theta: np.ndarray, models: pd.Series, rates: pd.Series, ridge: float) -> tuple[np.ndarray, ...]:
-    """Log discriminations and difficulties of a batch of items, given the abilities, and the abilities' first and second derivatives."""
-    n = models.map(len).to_numpy()
-    of, j, y = np.repeat(np.arange(len(n)), n), np.concatenate(list(models)).astype(int), np.concatenate(list(rates)).astype(float)
+def _item_batch(theta: np.ndarray, sizes: np.ndarray, j: np.ndarray, y: np.ndarray, ridge: float) -> tuple[np.ndarray, ...]:
+    """Log discriminations and difficulties of a batch of items, given the abilities, and each rate's part of its ability's first and second derivative.
+
+    ``sizes`` are the items' numbers of rates, ``j`` and ``y`` all rates' models and values, item by item.
+    """
+    n = sizes
+    of = np.repeat(np.arange(len(n)), n)
     total = lambda x: np.bincount(of, x, minlength=len(n))
     mean = np.clip(total(y) / n, 0.05, 0.95)
     la, b = np.zeros(len(n)), -np.log(mean / (1 - mean))
@@ -337,14 +342,26 @@ def _item_batch(theta: np.ndarray, models: pd.Series, rates: pd.Series, ridge: f
         b = b + np.clip((h_l * g_b - h * g_l) / det, -1, 1)
         la = np.clip(la + np.clip((h_b * g_l - h * g_b) / det, -0.5, 0.5), -2, 2)
     a, _, e, w = at()
-    return la, b, np.bincount(j, a * e, minlength=len(theta)), np.bincount(j, a * a * w, minlength=len(theta))
+    return la, b, a * e, a * a * w
+
+
+def _item_arrays(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+    """Of some items at a time the numbers of rates, all rates' models and values, and the columns ``more``."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ITEMS_AT_ONCE):
+            part = batch.slice(start, ITEMS_AT_ONCE)
+            j, y = part.column("j"), part.column("rate")
+            yield j.value_lengths().to_numpy(), j.flatten().to_numpy().astype(int), y.flatten().to_numpy(zero_copy_only=False), *[part.column(c) for c in more]
 
 
 def fit_2pl(rates: DataFrame, rounds: int = 60, ridge: float = 0.01, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """Two-parameter item response fit of ``model, item_id, rate``: abilities ``model, theta`` and items ``item_id, a, b``.
 
     A round is one job: tasks fit their items to the present abilities and sum
-    the abilities' derivatives, which give the next ones.  An item's row holds
+    the abilities' derivatives, which give the next ones.  Items with the same
+    rates of the same models have the same fit, so a round fits each such set of
+    rates once and counts it as often as it occurs; rates are shares of few
+    answers, so there are far fewer of them than items.  An item's row holds
     its models' rates, so items, of which there are many, never meet; abilities
     are one array (:data:`MOST_MODELS` at most, or ValueError).  Rates, not only
     0 and 1, are allowed, equal rows count as often as they occur; log a is held
@@ -353,27 +370,34 @@ def fit_2pl(rates: DataFrame, rounds: int = 60, ridge: float = 0.01, tolerance:
     It ends when no ability moves by ``tolerance`` in a round, or after ``rounds``.
     """
     spark = rates.sparkSession
-    names = [r["model"] for r in rates.select("model").distinct().orderBy("model").limit(MOST_MODELS + 1).collect()]
-    if len(names) > MOST_MODELS:
+    rates = written(rates.select("model", "item_id", F.col("rate").cast("double").alias("rate")))
+    found = rates.groupBy("model").agg(F.avg("rate").alias("m")).orderBy("model").limit(MOST_MODELS + 1).collect()
+    if len(found) > MOST_MODELS:
         raise ValueError("too many models")
+    names = [r["model"] for r in found]
     place = spark.createDataFrame([(m, i) for i, m in enumerate(names)], f"model {rates.schema['model'].dataType.simpleString()}, j int")
-    rows = rates.join(F.broadcast(place), "model").groupBy("item_id").agg(F.collect_list(F.struct("j", "rate")).alias("r"))
+    rows = rates.join(F.broadcast(place), "model").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("j", "rate"))).alias("r"))
     rows = written(rows.select("item_id", F.col("r.j").alias("j"), F.col("r.rate").alias("rate")))
-    theta = np.zeros(len(names))
-    means = {r["model"]: min(0.95, max(0.05, r["m"])) for r in rates.groupBy("model").agg(F.avg("rate").alias("m")).collect()}
-    theta = np.array([math.log(means[m] / (1 - means[m])) for m in names])
+    kinds = written(rows.groupBy("j", "rate").agg(F.count("*").alias("n")))
+    # fits cost time by the item, not by the byte: small rows are dealt out again
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-kinds.count() // ITEMS_OF_TASK))
+    kinds = written(kinds.repartition(max(1, tasks)))
+    means = [min(0.95, max(0.05, r["m"])) for r in found]
+    theta = np.array([math.log(m / (1 - m)) for m in means])
 
     def derivatives(theta: np.ndarray) -> pd.DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g, h, sums = np.zeros(len(theta)), np.zeros(len(theta)), np.zeros(4)
-            for batch in batches:
-                if len(batch):
-                    la, b, gb, hb = _item_batch(theta, batch["j"], batch["rate"], ridge)
-                    g, h, sums = g + gb, h + hb, sums + [len(b), b.sum(), (b * b).sum(), la.sum()]
-            yield pd.DataFrame({"j": np.arange(-4, len(theta)), "g": np.concatenate([sums, g]), "h": np.concatenate([np.zeros(4), h])})
+            for sizes, j, y, n in _item_arrays(batches, "n"):
+                n = n.to_numpy()
+                la, b, gb, hb = _item_batch(theta, sizes, j, y, ridge)
+                of = np.repeat(n, sizes)
+                g, h = g + np.bincount(j, of * gb, minlength=len(theta)), h + np.bincount(j, of * hb, minlength=len(theta))
+                sums = sums + [n.sum(), (n * b).sum(), (n * b * b).sum(), (n * la).sum()]
+            yield pa.RecordBatch.from_pydict({"j": np.arange(-4, len(theta), dtype=np.int32), "g": np.concatenate([sums, g]), "h": np.concatenate([np.zeros(4), h])})
 
-        found = rows.select("j", "rate").mapInPandas(run, "j int, g double, h double")
-        return found.groupBy("j").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).orderBy("j").toPandas()  # a row for each model
+        found = kinds.mapInArrow(run, "j int, g double, h double")
+        return found.groupBy("j").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas().sort_values("j")  # a row for each model
 
     for _ in range(rounds if names else 0):
         d = derivatives(theta)
@@ -384,15 +408,15 @@ def fit_2pl(rates: DataFrame, rounds: int = 60, ridge: float = 0.01, tolerance:
         if np.abs(step).max() + abs(shift) + abs(math.log(scale)) < tolerance:
             break
 
-    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                la, b, _, _ = _item_batch(theta, batch["j"], batch["rate"], ridge)
-                yield pd.DataFrame({"item_id": batch["item_id"], "a": np.exp(la), "b": b})
+    kind = T.StructType([rates.schema["item_id"], T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sizes, j, y, ids in _item_arrays(batches, "item_id"):
+            la, b, _, _ = _item_batch(theta, sizes, j, y, ridge)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.exp(la)), pa.array(b)], ["item_id", "a", "b"])
 
-    kind = rates.schema["item_id"].dataType.simpleString()
     centred = spark.createDataFrame([(m, float(t - theta.mean())) for m, t in zip(names, theta, strict=True)], f"model {place.schema['model'].dataType.simpleString()}, theta double")
-    return centred, rows.mapInPandas(items, f"item_id {kind}, a double, b double")
+    return centred, rows.mapInArrow(items, kind)
 
 
 def _gauge(theta: np.ndarray, n: float, sum_b: float, sum_bb: float, sum_la: float) -> tuple[float, float]:

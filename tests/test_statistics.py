@@ -157,6 +157,36 @@ def test_item_response_fit_against_gradient_descent(spark):
     assert np.abs(got_theta - (t - t.mean())).max() < 0.05 and np.corrcoef(got_b, bb)[0, 1] > 0.99
 
 
+def test_item_response_fit_of_repeated_items_is_that_of_one_weighted_item(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rate = rng.integers(4, 37, (5, 9)) / 40
+    one = [(f"m{j}", i, float(rate[j, i])) for j in range(5) for i in range(9) if (i + j) % 4]
+    many = [(m, i + 100 * c, x) for c in range(40) for m, i, x in one]
+    rng.shuffle(many)
+    frame = lambda rows: spark.createDataFrame([(str(m), int(i), float(x)) for m, i, x in rows], "model string, item_id int, rate double").repartition(3)
+    kept = []
+    monkeypatch.setattr(significance, "written", lambda df, write=significance.written: kept.append(write(df)) or kept[-1])
+    monkeypatch.setattr(significance, "ITEMS_OF_TASK", 2)
+    abilities, items = significance.fit_2pl(frame(many), rounds=4)
+    assert kept[-1].count() == 9 and {r["n"] for r in kept[-1].select("n").collect()} == {40}  # a round fits nine sets of rates, not 360 items
+    found = {r["item_id"]: (r["a"], r["b"]) for r in items.collect()}
+    assert len(found) == 360 and all(found[i + 100 * c] == found[i] for i in range(9) for c in range(40))
+    sizes, j, y = np.array([sum(k == i for _, k, _ in one) for i in range(9)]), np.array([int(m[1]) for i in range(9) for m, k, _ in one if k == i]), np.array([x for i in range(9) for _, k, x in one if k == i])
+    means = np.bincount(j, y) / np.bincount(j)
+    theta = np.log(means / (1 - means))
+    for _ in range(4):  # the same rounds over all 360 items at once
+        la, b, g, h = significance._item_batch(theta, np.tile(sizes, 40), np.tile(j, 40), np.tile(y, 40), 0.01)
+        g, h = np.bincount(np.tile(j, 40), g), np.bincount(np.tile(j, 40), h)
+        step = np.clip((g - 0.02 * theta) / (h + 0.02), -1, 1)
+        shift, scale = significance._gauge(theta + step, 360, b.sum(), (b * b).sum(), la.sum())
+        theta = (theta + step + shift) * scale
+    la, b, *_ = significance._item_batch(theta, sizes, j, y, 0.01)
+    assert [r["theta"] for r in abilities.orderBy("model").collect()] == pytest.approx(list(theta - theta.mean()), abs=1e-9)
+    assert [found[i] for i in range(9)] == [pytest.approx((x, z), abs=1e-6) for x, z in zip(np.exp(la), b, strict=True)]
+
+
 def test_running_accuracy_with_bursts(spark):
     rows = [(i, f"2024-01-01 00:00:{min(i // 40, 9):02d}", f"m{i % 2}", i % 3 == 0) for i in range(900)]
     attempts = spark.createDataFrame(rows, "event_id int, ts string, model string, correct boolean").withColumn("ts", F.col("ts").cast("timestamp"))
