@@ -323,3 +323,10 @@ def test_levels_of_equal_solutions_are_found_once(spark, tmp_path, monkeypatch):
     got = io_plans.graph_levels(spark, str(tmp_path)).collect()
     assert counted == [2]  # not 40
     assert sorted(map(tuple, got)) == sorted((f"{i}-2-{(3, 5)[i % 2]}-{i % 4}/15/{(8, 31)[i % 2]}/2", 2, 5, 4) for i in range(40))
+
+
+def test_round_trip_takes_every_sound_kind(spark, tmp_path):
+    _lines(spark, str(tmp_path), [(kind, 2, 3, 0, 15.0) for kind in range(15)])  # x = 215, y = 308, z = 22
+    got = {int(r["pid"].split("-")[0]): (r["solution"], r["same"]) for r in wide_plans.wide_round_trip(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 7, 11, 12, 14} and {k for k, (_, same) in got.items() if not same} == {12}
+    assert got[2][0] == "<<66220/308=215>> <<215+22=237>>\n#### 237" and got[11][0] == "<<215*308=66220>> <<132440/2=66220>>\n#### 66220" and got[12][0] == "<<308-215=93>>\n#### 93"
