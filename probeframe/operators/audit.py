@@ -129,19 +129,44 @@ def route(pairs: DataFrame) -> DataFrame:
     An item without failures stays; with two passing variants it keeps those;
     else all its variants are repaired and audited again, and two must pass.
     """
-    failing = written(entity_failures(pairs).select("item_id", "variant_id").distinct())
-    marked = pairs.join(failing.withColumn("bad", F.lit(True)), ["item_id", "variant_id"], "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
-    totals = marked.groupBy("item_id").agg(F.sum(F.col("bad").cast("long")).alias("n_bad"), F.sum((~F.col("bad")).cast("long")).alias("n_good"))
-    marked = written(marked.join(totals, "item_id"))
-    intact = marked.filter("n_bad = 0").select("item_id", "variant_id", "variant_question", F.lit("intact").alias("route"))
-    trimmed = marked.filter("n_bad > 0 and n_good >= 2 and not bad").select("item_id", "variant_id", "variant_question", F.lit("trimmed").alias("route"))
-    mended = tx.mended_names(F.col("question"), F.col("variant_question"))
-    again = written(marked.filter("n_bad > 0 and n_good < 2").select("item_id", "question", "variant_id", mended.alias("variant_question"), "all_values_present"))
-    still = entity_failures(again).select("item_id", "variant_id").distinct()
-    passing = again.join(still, ["item_id", "variant_id"], "left_anti")
-    enough = passing.groupBy("item_id").agg(F.count("*").alias("n")).filter("n >= 2").select("item_id")
-    kept = passing.join(enough, "item_id", "left_semi").select("item_id", "variant_id", "variant_question", F.lit("regenerated").alias("route"))
-    return intact.unionByName(trimmed).unionByName(kept)
+    return _routed(pairs).filter("kept").drop("kept")
+
+
+def _routed(pairs: DataFrame) -> DataFrame:
+    """All rows of ``pairs`` with their route and whether they are ``kept``.
+
+    Names are read, mended and read again where a pair is; then pairs meet once,
+    by item, and all else is decided there: nothing is written or joined.  Equal
+    texts are known by two 64-bit hashes, so that texts which nobody asks for aren't shuffled.
+    """
+    absent = F.coalesce(F.col("all_values_present") == False, F.lit(False))  # noqa: E712
+    seen = pairs.select("item_id", "variant_id", "variant_question", absent.alias("absent"), F.explode(F.array(tx.audited_names(F.col("question"), F.col("variant_question")))).alias("n"))
+    bits = lambda text: F.when(text.isNotNull(), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b")))
+    seen = seen.select(
+        "item_id", "variant_id", "variant_question", "n.changed", "n.mended", (F.col("n.failed") | F.col("absent")).alias("fails"), (F.col("n.still") | F.col("absent")).alias("fails_still"),
+        bits(F.col("variant_question")).alias("text"), F.when(F.col("n.changed"), bits(F.col("n.mended"))).alias("new_text"),
+    ).repartition("item_id")
+    item = lambda *more: Window.partitionBy("item_id", *more)
+
+    def judged(rows: DataFrame, text: str, fails: str, bad: str, n_bad: str, n_good: str) -> DataFrame:
+        """Adds whether a row is bad, as one with its ids fails or repeats an earlier one's text, and its item's counts of bad and good rows."""
+        twice = F.coalesce(F.col(text).isNotNull() & (F.col("variant_id") != F.min("variant_id").over(item(text))), F.lit(False))
+        marked = rows.withColumn(bad, F.col(fails) | twice).withColumn(bad, F.col("item_id").isNotNull() & F.col("variant_id").isNotNull() & F.max(bad).over(item("variant_id")))
+        return marked.withColumn(n_bad, F.count_if(F.col(bad)).over(item())).withColumn(n_good, F.count_if(~F.col(bad)).over(item()))
+
+    rows = judged(seen, "text", "fails", "bad", "n_bad", "n_good").withColumn("new_text", F.when(F.col("changed"), F.col("new_text")).otherwise(F.col("text")))
+    rows = judged(rows, "new_text", "fails_still", "bad_still", "n_bad_still", "n_mended")
+    route = F.when(F.col("n_bad") == 0, "intact").when(F.col("n_good") >= 2, "trimmed").otherwise("regenerated")
+    kept = F.col("item_id").isNotNull() & F.when(F.col("n_bad") == 0, True).when(F.col("n_good") >= 2, ~F.col("bad")).otherwise(~F.col("bad_still") & (F.col("n_mended") >= 2))
+    text = F.when((route == "regenerated") & F.col("changed"), F.col("mended")).otherwise(F.col("variant_question"))
+    return rows.select("item_id", "variant_id", text.alias("variant_question"), route.alias("route"), kept.alias("kept"))
+
+
+def routed_items(pairs: DataFrame) -> DataFrame:
+    """What :func:`provenance` tells of the items of ``pairs`` and their :func:`route`, where the pairs met."""
+    items = _routed(pairs).groupBy("item_id").agg(F.max(F.when(F.col("kept"), F.col("route"))).alias("route"), F.count_if("kept").alias("n_variants"))
+    route = F.coalesce("route", F.lit("quarantined"))
+    return items.select("item_id", route.alias("route"), "n_variants", (route == "trimmed").alias("entity_trimmed"), (route == "regenerated").alias("entity_regenerated"))
 
 
 def provenance(pairs: DataFrame, kept: DataFrame) -> DataFrame:

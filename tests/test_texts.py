@@ -157,3 +157,27 @@ def test_provenance(spark):
     got = {r["item_id"]: (r["route"], r["n_variants"], r["entity_trimmed"], r["entity_regenerated"]) for r in items.collect()}
     assert got == {"intact": ("intact", 1, False, False), "trimmed": ("trimmed", 2, True, False), "mended": ("regenerated", 2, False, True), "lost": ("quarantined", 0, False, False)}
     assert {r["route"]: (r["n_items"], r["n_variants"]) for r in audit.route_counts(items).collect()} == {"intact": (1, 1), "trimmed": (1, 2), "regenerated": (1, 2), "quarantined": (1, 0)}
+
+
+def test_pairs_meet_once_on_their_way(spark):
+    fine, bad, lost = "Zara had 3 pens. Later Zara sold one.", "Zaramy had 3 pens. Later Tommy sold one.", None
+    old = "Tommy had 3 pens. Later Tommy sold one."
+    rows = [
+        ("intact", old, "a", fine, True), ("intact", old, "b", fine + " ", None), ("two", old, "a", fine, True), ("two", old, "b", fine + "!", True), ("two", old, "c", bad, True),
+        ("same", old, "a", fine, True), ("same", old, "b", fine, True), ("same", old, "c", fine, True), ("mended", old, "a", bad, True), ("mended", old, "b", bad + "!", True),
+        ("twins", old, "a", bad, True), ("twins", old, "b", bad, True), ("ids", old, "a", fine, True), ("ids", old, "a", fine, False), ("ids", old, "b", fine + "!", True),
+        ("null", old, "a", lost, False), ("null", old, "b", lost, True), ("null", None, "c", fine, True), ("null", old, None, bad, True), (None, old, "a", fine, True),
+    ]
+    pairs = spark.createDataFrame(rows, "item_id string, question string, variant_id string, variant_question string, all_values_present boolean").repartition(3)
+    kept = audit.route(pairs)
+    got = sorted((r["item_id"], r["variant_id"] or "", r["variant_question"], r["route"]) for r in kept.collect())
+    assert got == sorted([
+        ("intact", "a", fine, "intact"), ("intact", "b", fine + " ", "intact"), ("two", "a", fine, "trimmed"), ("two", "b", fine + "!", "trimmed"),
+        ("mended", "a", fine, "regenerated"), ("mended", "b", fine + "!", "regenerated"),
+        ("null", "b", None, "trimmed"), ("null", "c", fine, "trimmed"), ("null", "", bad, "trimmed"),
+    ], key=lambda x: (x[0], x[1]))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionBy") == 1 and "Join" not in plan
+    assert sorted(map(tuple, audit.routed_items(pairs).collect()), key=str) == sorted(map(tuple, audit.provenance(pairs, kept).collect()), key=str)
+    slim = audit.route_counts(audit.routed_items(pairs))._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
+    assert "mended" not in slim  # counts shuffle no texts
